@@ -1,7 +1,7 @@
 """Toxicity: maximum-scoring segments of token log-odds.
 
 Log-odds of tokens in toxic against other labelled texts, with an informative Dirichlet prior from all of them, score each
-token; a token that tells nothing costs a little, so the expected score is below zero. A linear-time scan finds every
+token: a word, or where the word is too rare to tell its longest telling beginning of 8 to 3 letters. A token that tells nothing costs a little, so the expected score is below zero. A linear-time scan finds every
 maximal segment. Under the extreme-value law for such scores, a segment of score s in a text of n tokens is met by chance
 K * n * exp(-lambda * s) times; lambda comes from the clean texts' score distribution. A text's evidence is that of its
 significant segments together, and a logistic curve fitted on the training rows maps it to 0..1.
@@ -22,10 +22,13 @@ from .common import held_out
 
 #: Labelled documents that the model is fitted on at most, and tokens that it keeps: both bound what the driver holds.
 TRAIN_DOCS, MODEL_TOKENS = 20_000, 20_000
-#: Weight of the prior in tokens, least |z| of a token that scores, score of any other token, expected count K, largest score.
-PRIOR, LEAST_Z, DRIFT, K, TOP = 5_000.0, 3.5, -0.05, 0.1, 6.0
+#: Weight of the prior in tokens, least |z| of a word and of a beginning that score, score of any other token, expected
+#: count K, largest score.
+PRIOR, LEAST_Z, LEAST_STEM_Z, DRIFT, K, TOP = 5_000.0, 3.5, 5.0, -0.05, 0.1, 6.0
 #: A segment counts if fewer than this many are expected by chance.
 E_VALUE = 1.0
+#: Letters of the beginnings that stand for rare words, longest first; words that a worker remembers.
+STEMS, WORDS_KEPT = (8, 7, 6, 5, 4, 3), 500_000
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -62,12 +65,22 @@ def tokens(text: str | None) -> list[str]:
 class Scorer:
     def __init__(self, scores: dict[str, float], lam: float, curve: tuple[float, float] = (1.0, 0.0)) -> None:
         self.scores, self.lam, self.curve = scores, lam, curve
+        self.seen: dict[str, float | None] = {}
+
+    def token(self, word: str) -> float | None:
+        """The score of the word itself, else of its longest beginning that scores, else None."""
+        keys = [word + "$", *(word[:n] for n in STEMS if len(word) > n)]
+        found = self.seen[word] = next((self.scores[k] for k in keys if k in self.scores), None)
+        return found
 
     def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         """Significant segments (start, end in tokens, evidence -ln E) and the number of tokens."""
         words = tokens(text)
-        get = self.scores.get
-        hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
+        if len(self.seen) > WORDS_KEPT:
+            self.seen.clear()
+        for w in set(words).difference(self.seen):
+            self.token(w)
+        hits = [(i, s) for i, s in enumerate(map(self.seen.get, words)) if s is not None]
         chance = math.log(K * max(len(words), 1))
         found = [(b, e, self.lam * s - chance) for b, e, s in maximal_segments(hits)] if hits else []
         return [f for f in found if f[2] > -math.log(E_VALUE)], len(words)
@@ -129,26 +142,35 @@ def token_list(text: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Scorer:
     """Learn from the labelled rows that are not held out. Without any toxic or any clean row, every text scores the prior."""
     rows = training_rows(docs, labels, doc_id, text, label).persist()
-    counts = rows.select("y", F.explode(token_list("text")).alias("token")).groupBy("token").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    counts = counts.persist()
-    total = counts.agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).first()
+    words = rows.select("y", F.explode(token_list("text")).alias("word")).groupBy("word").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).persist()
+    total = words.agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).first()
     pos, n = float(total["pos"] or 0), float(total["n"] or 0)
     scores: dict[str, float] = {}
     lam = 1.0
     if pos and n > pos:
-        prior = F.lit(PRIOR) * F.col("n") / n
-        a, b = F.col("pos") + prior, F.col("n") - F.col("pos") + prior
-        odds = F.log(a / (pos + PRIOR - a)) - F.log(b / (n - pos + PRIOR - b))
-        scored = counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b)).where(F.abs("z") >= LEAST_Z)
-        # Bounded by MODEL_TOKENS rows, the most telling ones.
-        model = scored.orderBy(F.abs("z").desc(), "token").limit(MODEL_TOKENS).collect()
+
+        def telling(counts: DataFrame, least: float) -> DataFrame:
+            """(token, odds, pos, n) of the tokens with |z| of `least` or more; the MODEL_TOKENS most telling ones."""
+            prior = F.lit(PRIOR) * F.col("n") / n
+            a, b = F.col("pos") + prior, F.col("n") - F.col("pos") + prior
+            odds = F.log(a / (pos + PRIOR - a)) - F.log(b / (n - pos + PRIOR - b))
+            scored = counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b)).where(F.abs("z") >= least)
+            return scored.orderBy(F.abs("z").desc(), "token").limit(MODEL_TOKENS)
+
+        whole = telling(words.withColumnRenamed("word", "token"), LEAST_Z)
+        # A beginning speaks for the words that have no score of their own.
+        stems = F.array(*(F.when(F.length("word") > k, F.substring("word", 1, k)) for k in STEMS))
+        rest = words.join(F.broadcast(whole.select(F.col("token").alias("word"))), "word", "left_anti")
+        rest = rest.select(F.explode(F.array_compact(stems)).alias("token"), "pos", "n").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+        # At most MODEL_TOKENS rows each.
+        model = whole.withColumn("token", F.concat("token", F.lit("$"))).collect() + telling(rest, LEAST_STEM_Z).collect()
         scores = {r.token: max(-TOP, min(TOP, r.odds)) for r in model}
         clean = np.array([r.n - r.pos for r in model], float)
         s = np.array([scores[r.token] for r in model])
         lam = solve_lambda(np.append(s, DRIFT), np.append(clean, max(n - pos - clean.sum(), 1.0)))
     scorer = Scorer(scores, lam)
     seen = with_evidence(rows.select("text", "y"), "text", scorer).select("evidence", "y").toPandas()  # TRAIN_DOCS rows at most
-    counts.unpersist()
+    words.unpersist()
     rows.unpersist()
     if len(seen):
         scorer.curve = fit_logistic(seen["evidence"].to_numpy(float), seen["y"].to_numpy(float))
