@@ -132,9 +132,7 @@ def best_frame_pairs(frames: DataFrame, distance: int, offset: int = 0, k: int =
 def _per_row(df: DataFrame, inputs: list[str], out: str, f) -> DataFrame:
     """df with columns `out` (a DDL list) that f computes from the inputs of a row."""
     extra = df.sparkSession.createDataFrame([], out).schema
-    schema = df.schema
-    for field in extra:
-        schema = schema.add(field)
+    schema = type(extra)([*df.schema.fields, *extra.fields])
     at = [df.columns.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
