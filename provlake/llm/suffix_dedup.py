@@ -51,7 +51,7 @@ def _gram_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
 
 
 #: Bytes of text that are hashed at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 
 def suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
