@@ -191,7 +191,7 @@ def bitplanes(mask_frames: DataFrame, bits: DataFrame) -> DataFrame:
             for bit, px in zip(b.column("bit_number").to_pylist(), b.column("pixels").to_pylist()):
                 part = np.where(np.frombuffer(px, "u1") == 0, 1 << ((bit - 1) % 8), 0).astype("u1")
                 out = part if out is None else out | part
-        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()]) for k in key] + [pa.array([out.tobytes()], pa.binary())], names=["group_id", "frame_no", "plane", "pixels"])
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], t) for k, t in zip(key, (pa.int64(), pa.int64(), pa.int32()))] + [pa.array([out.tobytes()], pa.binary())], names=["group_id", "frame_no", "plane", "pixels"])
 
     return rows.select("group_id", "frame_no", "plane", "bit_number", "pixels").groupBy("group_id", "frame_no", "plane").applyInArrow(merge, "group_id long, frame_no long, plane int, pixels binary")
 
