@@ -82,22 +82,23 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     One row for each input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     edit_section (the first differing section, null if none).
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pairs = materialize(next_ids(base, "doc_id", n), "next")
-    firsts = pairs.agg(F.min("doc_id").alias("first_id"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Both joins below deal the texts out by (no_id, id), which are never null: the optimizer adds no filter of its own to
+    # either side, so the two exchanges are the same and the texts are shuffled once.
+    key = F.col(doc_id).cast("long")
+    base = docs.select(key.isNull().alias("no_id"), F.coalesce(key, F.lit(0).cast("long")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    known = base.where("not no_id")
+    pairs = next_ids(known, "id", n).select(F.lit(False).alias("no_id"), "id", F.col("next_key").alias("next_id"))
+    after_null = known.agg(F.min("id").alias("next_id")).where("next_id is not null").select(F.lit(True).alias("no_id"), F.lit(0).cast("long").alias("id"), "next_id")
+    pairs = materialize(pairs.unionByName(after_null).withColumn("next_no_id", F.lit(False)), "next")
     # What a document tells those before it: up to as many code points as they replace, and its tree.
-    need = base.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
-    asked = pairs.join(need, "doc_id").groupBy(F.col("next_key").alias("doc_id")).agg(F.max("need").alias("need"))
-    orphans = need.where(F.col("doc_id").isNull()).crossJoin(firsts).select(F.col("first_id").alias("doc_id"), "need")
-    asked = asked.unionByName(orphans).groupBy("doc_id").agg(F.max("need").alias("need"))
-    tell = base.join(asked, "doc_id").select(F.col("doc_id").alias("next_key"), F.col("text").alias("_text"), F.expr("left(text, need)").alias("head"))
-    tell = with_tree(tell, "_text", "n").groupBy("next_key").agg(F.min_by(F.struct("head", "n_leaves", "n_root"), "_text").alias("t"))
-    told = pairs.join(tell, "next_key").select("doc_id", "t.*")
-    lost = firsts.withColumnRenamed("first_id", "next_key").join(tell, "next_key").select(F.lit(None).cast("long").alias("doc_id"), "t.*")
-    told = told.unionByName(lost).withColumnRenamed("doc_id", "_to")
-    all_ = base.withColumn("n_chars", F.length("text").cast("long")).join(told, F.col("doc_id").eqNullSafe(F.col("_to")), "left")
+    need = base.groupBy("no_id", "id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
+    asked = pairs.join(need, ["no_id", "id"]).groupBy(F.col("next_no_id").alias("no_id"), F.col("next_id").alias("id")).agg(F.max("need").alias("need"))
+    tell = base.join(asked, ["no_id", "id"]).select(F.col("no_id").alias("next_no_id"), F.col("id").alias("next_id"), F.col("text").alias("_text"), F.expr("left(text, need)").alias("head"))
+    tell = with_tree(tell, "_text", "n").groupBy("next_no_id", "next_id").agg(F.min_by(F.struct("head", "n_leaves", "n_root"), "_text").alias("t"))
+    told = pairs.join(tell, ["next_no_id", "next_id"]).select("no_id", "id", "t.*")
+    all_ = base.join(told, ["no_id", "id"], "left").withColumn("n_chars", F.length("text").cast("long"))
+    all_ = all_.withColumn("doc_id", F.when(~F.col("no_id"), F.col("id")))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 4) as int))"), F.coalesce(F.substring("head", F.lit(1), cut), F.lit("")))
     out = with_tree(all_.withColumn("edited", edited), "text", "o")
