@@ -134,3 +134,37 @@ def frame_rate(avg: Column, real: Column) -> Column:
 def version_stem(version: Column) -> Column:
     """a version's first two numbers."""
     return F.regexp_extract(version, r"(\d+(?:\.\d+)?)", 1)
+
+
+def exif_turn(code: Column) -> Column:
+    """struct(flip, rotation) that an EXIF orientation code asks for. Code 5 and unknown codes ask for nothing."""
+    flip = F.when(code.isin(2, 7), "horizontal").when(code == 4, "vertical")
+    turn = F.when(code == 3, 180.0).when(code.isin(6, 7), 90.0).when(code == 8, 270.0).otherwise(0.0)
+    return F.struct(flip.alias("flip"), turn.alias("rotation"))
+
+
+def zigzag_places(n: int = 8) -> list[int]:
+    """For each cell of an n x n table, row by row, its place in the zigzag scan along the diagonals."""
+    cells = sorted(((r, c) for r in range(n) for c in range(n)), key=lambda x: (sum(x), x[0] if sum(x) % 2 else x[1]))
+    place = {cell: i for i, cell in enumerate(cells)}
+    return [place[r, c] for r in range(n) for c in range(n)]
+
+
+def unzigzag(table: Column) -> Column:
+    """a table of 64 values in zigzag order, row by row; null for another length."""
+    places = F.array(*map(F.lit, zigzag_places()))
+    return F.when(F.size(table) == 64, F.transform(places, lambda i: F.get(table, i)))
+
+
+def jpeg_quality(tables: Column) -> Column:
+    """quality 1 to 100 estimated from up to three quantization tables of whole numbers; a table of under two values ends the list."""
+    short = F.array_position(F.transform(tables, lambda t: F.size(t) < 2), True)
+    used = F.slice(tables, F.lit(1), F.least(F.lit(3), F.when(short > 0, short - 1).otherwise(F.size(tables))).cast("int"))
+    mean = lambda t: F.floor(F.aggregate(F.slice(t, F.lit(2), F.size(t) - 1), F.lit(0).cast("long"), lambda a, x: a + x) / (F.size(t) - 1))
+    q = F.transform(used, lambda t: F.lit(100) - mean(t))
+    at = lambda i: F.get(q, F.lit(i))
+    near = lambda i: F.abs(at(0) - at(i)) * 0.49
+    two = F.round(F.floor((at(0) + 2 * at(1)) / 3) + near(1) * 2)
+    three = F.round(F.floor((at(0) + at(1) + at(2)) / 3) + near(1) + near(2))
+    n = F.size(q)
+    return F.when(n == 0, 100).when(n == 1, at(0)).when(n == 2, two).otherwise(three).cast("long")

@@ -253,7 +253,8 @@ def audio_to_video(segs: DataFrame, frames: DataFrame) -> DataFrame:
     """As-of: the first video frame at or after each segment's time (set_id, ms); segs (set_id, seg_no, ms), frames (set_id, frame_no, time_ms)."""
     rows = segs.select("set_id", F.col("ms").alias("t"), F.lit(0).alias("_k"), "seg_no", F.lit(None).cast("long").alias("frame_no"))
     rows = rows.unionByName(frames.select("set_id", F.col("time_ms").alias("t"), F.lit(1).alias("_k"), F.lit(None).cast("long").alias("seg_no"), "frame_no"))
-    at = F.expr("first(frame_no, true) over (partition by set_id order by t, _k, frame_no rows between current row and unbounded following)")
+    # Backwards with a growing frame, which is linear; a shrinking frame would be summed anew for each row.
+    at = F.expr("last(frame_no, true) over (partition by set_id order by t desc, _k desc, frame_no desc rows between unbounded preceding and current row)")
     return rows.withColumn("frame", at).where("_k = 0").select("set_id", "seg_no", F.col("frame").alias("frame_no"))
 
 
@@ -262,3 +263,52 @@ def position_segments(positions: DataFrame, start: float, end: float, fps: float
     nxt = F.expr("lead(ms) over (partition by set_id order by ms, pos_no)")
     stop = F.least(F.col("ms") + F.col("duration_ms"), F.coalesce(nxt - 1000.0 / fps, F.lit(end)), F.lit(end))
     return positions.withColumn("end_ms", stop).withColumn("begin_ms", F.greatest("ms", F.lit(start))).where("begin_ms <= end_ms").select("set_id", "pos_no", "begin_ms", "end_ms")
+
+
+def seed_segments(segs: DataFrame) -> DataFrame:
+    """Where a cut or a crop shows in what is left, by `op`: the frame before the cut and the cut's first; or the whole remaining stream.
+
+    segs carry frames, starttime and rate; rows of another op go.
+    """
+    step = 1000.0 / F.col("rate")
+    cut, early = F.col("op") == "cut", F.col("startframe") - 1 < 0
+    rows = segs.where(F.col("op").isin("cut", "crop"))
+    return rows.withColumns(
+        {
+            "startframe": F.when(~cut | early, F.lit(1)).otherwise(F.col("startframe") - 1).cast("long"),
+            "endframe": F.when(cut, F.col("startframe")).otherwise(F.col("frames") - 1).cast("long"),
+            "endtime": F.when(cut, F.col("starttime")).otherwise(F.col("starttime") + step * (F.col("frames") - 1)),
+            "starttime": F.when(~cut | early, F.lit(0.0)).otherwise(F.col("starttime") - step),
+        }
+    )
+
+
+def snap_to_frames(segs: DataFrame, frames: DataFrame) -> DataFrame:
+    """Starts and ends moved to the last frame at or before them, for a variable rate.
+
+    segs: set_id, seg_no (unique in the set), starttime, endtime, error. frames: set_id, frame_no from 1, time_ms. A time after which
+    no frame comes stays, its frame null; before the first frame it is frame 0 at 0 ms. The error grows by the distance from the start, or
+    if only the end was moved from the end, to the next frame.
+    """
+    hits = segs.select("set_id", "seg_no", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("starttime").alias("t")), F.struct(F.lit(1).alias("end"), F.col("endtime").alias("t")))).alias("h")).select("set_id", "seg_no", "h.*")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = hits.select("set_id", "seg_no", "end", "t", F.lit(1).alias("_k"), none("long").alias("frame_no"), none("double").alias("time_ms"))
+    rows = rows.unionByName(frames.select("set_id", none("long").alias("seg_no"), none("int").alias("end"), F.col("time_ms").alias("t"), F.lit(0).alias("_k"), "frame_no", "time_ms"))
+    # Both ways with a growing frame, which is linear; a shrinking frame would be summed anew for each row.
+    before, after = (f"over (partition by set_id order by t {way}, _k {way}, frame_no {way} rows between unbounded preceding and current row)" for way in ("asc", "desc"))
+    rows = rows.withColumns(
+        {
+            "_frame": F.expr(f"last(frame_no, true) {before}"),
+            "_last": F.expr(f"last(time_ms, true) {before}"),
+            "_next": F.expr(f"last(time_ms, true) {after}"),
+        }
+    ).where("_k = 1")
+    moved = F.col("_next").isNotNull()
+    pick = lambda e, c: F.max(F.when(F.col("end") == e, c))
+    at = {"frame": F.when(moved, F.coalesce("_frame", F.lit(0).cast("long"))), "time": F.when(moved, F.coalesce("_last", F.lit(0.0))), "gap": F.col("_next") - F.col("t")}
+    found = rows.groupBy("set_id", "seg_no").agg(*(pick(e, c).alias(f"{side}{name}") for name, c in at.items() for e, side in enumerate(("start", "end"))))
+    out = segs.select("set_id", "seg_no", F.col("starttime").alias("_s"), F.col("endtime").alias("_e"), "error").join(found, ["set_id", "seg_no"])
+    return out.select(
+        "set_id", "seg_no", "startframe", "endframe", F.coalesce("starttime", "_s").alias("starttime"), F.coalesce("endtime", "_e").alias("endtime"),
+        (F.coalesce("error", F.lit(0.0)) + F.coalesce("startgap", "endgap", F.lit(0.0))).alias("error"),
+    )
