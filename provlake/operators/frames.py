@@ -33,7 +33,7 @@ def cut_ranges(a: DataFrame, b: DataFrame) -> DataFrame:
 def silences(samples: DataFrame, least: int, threshold: int) -> DataFrame:
     """(media_id, start, stop, n): runs of windows of `least` samples that all stay within the threshold."""
     quiet = samples.withColumn("_max", F.expr(f"max(abs(value)) over (partition by media_id order by sample_no rows between current row and {least - 1} following)"))
-    quiet = quiet.withColumn("_left", F.expr("count(*) over (partition by media_id order by sample_no rows between current row and unbounded following)"))
+    quiet = quiet.withColumn("_left", F.expr("count(*) over (partition by media_id) - row_number() over (partition by media_id order by sample_no) + 1"))
     return islands(quiet, ["media_id"], "sample_no", (F.col("_max") <= threshold) & (F.col("_left") >= least), least).select(
         "media_id", "start", (F.col("stop") + least - 1).alias("stop"), "n"
     )
