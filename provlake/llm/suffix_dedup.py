@@ -5,6 +5,11 @@ words in a row, wherever they stand, retain a suffix at the same place. A retain
 words, 16-bit hashes of the next 25 and of the 25 before. All retained suffixes are sorted over the cluster; neighbours in
 that order are compared, and a common start is extended right and left word by word. As a maximal repeat that went 26 or
 more words beyond a suffix would hold another retained one, the 25 words on each side are enough.
+
+A neighbour shares the longest continuation, not the longest text before the suffix. So where other rows share the head
+too, each of the 26 windows of 50 words that hold it is hashed, and a window that two documents hold is a passage. Any 50
+words that repeat are such a window of a suffix retained in both places, so none is missed. All rows that hold a window
+share its head and stand together; only heads that go over the end of a batch send their windows over the cluster.
 """
 
 from __future__ import annotations
@@ -97,6 +102,7 @@ def _emit_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 KEYS = ("head", "right", "left", "doc_id", "at")
 SUFFIX = "head long, right binary, left binary, doc_id long, at int"
+#: Spans have no head; suffixes at a partition's ends have no stop; windows have both, the window's hash as head.
 FOUND = f"{SUFFIX}, stop int"
 
 
@@ -115,11 +121,27 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(1)
 
 
+def _windows(head: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix and r = 0..SIDE the hash of the window of MIN_WORDS words that ends r words after the head, and whether the text holds it."""
+    n, sums = len(head), []
+    for side, base in ((left, BASE), (right, INVERSE)):
+        sums.append(np.concatenate((np.zeros((n, 1), "u8"), np.cumsum(_mix(side.astype("u8")) * _powers(base, SIDE + 1)[1:], axis=1, dtype="u8")), axis=1))
+    r = np.arange(SIDE + 1)
+    hashes = _mix(_mix(_mix(sums[0])[:, ::-1] + sums[1]) + head.view("u8")[:, None] + r.astype("u8"))
+    there = [np.concatenate((np.ones((n, 1), bool), side != 0), axis=1) for side in (left, right)]
+    return hashes.view("i8"), there[0][:, ::-1] & there[1]
+
+
+#: Suffixes whose windows are hashed at once.
+WINDOW_ROWS = 1 << 14
+
+
 def _compare(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
     """Compare each sorted suffix with its nearest neighbours of other documents, before and after it, that share its head.
 
     Yields (doc_id, at, stop) for passages, other columns null. With edges, also the suffixes at both ends of the partition,
-    with stop null, so that they can be compared over partition borders.
+    with stop null, so that they can be compared over partition borders, and the windows (hash as head, doc_id, at, stop) of
+    heads that other batches may hold too; at is null if the batch itself has settled the window's rows.
     """
     schema = pa.schema([("head", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32())])
     carry, first, done = schema.empty_table(), True, 0  # done: rows of carry that have had their turn
@@ -138,22 +160,74 @@ def _compare(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.Reco
         rows = np.arange(lo, hi)
         left, right = _sides(t["left"]), _sides(t["right"])
         begin_, stop_ = np.full(n, 1 << 30), np.full(n, -1)
+        # The most words after the head that a row of another document shares, -1 if none has the head; words shared with each neighbour.
+        most, shared = np.full(n, -1), []
         for other in (start[rows] - 1, stop[rows]):
             ok = (other >= 0) & (other < n)
+            most[rows[~ok]] = SIDE  # beyond the partition
             mine, its = rows[ok], other[ok]
             same = head[mine] == head[its]
             mine, its = mine[same], its[same]
             before, after = _common(left[mine], left[its]), _common(right[mine], right[its])
+            most[mine] = np.maximum(most[mine], after)
+            shared.append((mine, before, after))
             long = before + HEAD + after >= MIN_WORDS
             np.minimum.at(begin_, mine[long], at[mine[long]] - before[long])
             np.maximum.at(stop_, mine[long], at[mine[long]] + HEAD + after[long])
+        if edges:
+            for a in range(lo, hi, WINDOW_ROWS):
+                yield from windows(a, min(a + WINDOW_ROWS, hi), head, at, doc, known, left, right, most, shared, begin_, stop_)
         hit = np.flatnonzero(stop_ >= 0)
         if len(hit):
-            none = pa.nulls(len(hit))
-            yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(doc[hit], mask=~known[hit]), pa.array(begin_[hit], pa.int32()), pa.array(stop_[hit], pa.int32())],
-                names=[*KEYS, "stop"],
-            )
+            yield rows_of(None, doc[hit], known[hit], pa.array(begin_[hit], pa.int32()), stop_[hit])
+
+    def rows_of(head: np.ndarray | None, doc: np.ndarray, known: np.ndarray, at: pa.Array, stop: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(doc))
+        first = none.cast(pa.int64()) if head is None else pa.array(head)
+        return pa.RecordBatch.from_arrays([first, none.cast(pa.binary()), none.cast(pa.binary()), pa.array(doc, mask=~known), at, pa.array(stop, pa.int32())], names=[*KEYS, "stop"])
+
+    def windows(lo: int, hi: int, head, at, doc, known, left, right, most, shared, begin_, stop_) -> Iterator[pa.RecordBatch]:
+        """Widen begin_ and stop_ of the rows lo..hi by the windows that documents among them share; yield the windows of heads that may go on elsewhere."""
+        here = head[lo:hi]
+        group = np.cumsum(np.concatenate(([0], here[1:] != here[:-1])))
+        whole = np.ones(group[-1] + 1, bool)
+        whole[0] &= lo > 0 and head[lo - 1] != head[lo]
+        whole[-1] &= hi < len(head) and head[hi] != head[hi - 1]
+        # Of a head with two rows or none in another document nothing is left to compare.
+        rest = np.flatnonzero((most[lo:hi] >= 0) & ((np.bincount(group) > 2) | ~whole)[group])
+        if not len(rest):
+            return
+        hashes, valid = _windows(here[rest], left[lo + rest], right[lo + rest])
+        r = np.arange(SIDE + 1)
+        valid &= r <= most[lo + rest][:, None]
+        seen, where = np.zeros_like(valid), np.full(hi - lo, -1)
+        where[rest] = np.arange(len(rest))
+        for mine, before, after in shared:
+            ours = (mine >= lo) & (mine < hi)
+            ours[ours] = where[mine[ours] - lo] >= 0
+            seen[where[mine[ours] - lo]] |= (SIDE - r <= before[ours][:, None]) & (r <= after[ours][:, None])
+        # A whole head whose rows the neighbours settle needs no more.
+        open_ = ~whole
+        open_[group[rest[(valid & ~seen).any(1)]]] = True
+        row, r = np.nonzero(valid & open_[group[rest]][:, None])
+        if not len(row):
+            return
+        key, row, met = hashes[row, r], lo + rest[row], seen[row, r]
+        order = np.lexsort((doc[row], key))
+        key, row, r, met = key[order], row[order], r[order], met[order]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        ends = np.append(new[1:], len(key)) - 1
+        several = doc[row[new]] != doc[row[ends]]
+        many = np.repeat(several, ends - new + 1)
+        np.minimum.at(begin_, row[many], at[row[many]] - (SIDE - r[many]))
+        np.maximum.at(stop_, row[many], at[row[many]] + HEAD + r[many])
+        # What is settled here still speaks for its least and greatest document.
+        told = ~many
+        told[new[several]] = told[ends[several]] = True
+        told &= ~whole[group[row - lo]]
+        if told.any():
+            row, r, key, met = row[told], r[told], key[told], (many | met)[told]
+            yield rows_of(key, doc[row], known[row], pa.array(at[row] - (SIDE - r), pa.int32(), mask=met), at[row] + HEAD + r)
 
     def edge(t: pa.Table) -> pa.RecordBatch:
         return t.append_column("stop", pa.nulls(len(t), pa.int32())).combine_chunks().to_batches()[0]
@@ -187,9 +261,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Words are separated by ASCII white space and compared byte by byte; positions count words from 0, the end exclusive;
     overlapping and touching passages of a document are one row. Documents without such a passage, null and shorter texts
     have no row. Rows that share an id, and all rows without an id, count as one document each, so that what repeats only
-    inside it is not reported. Boundaries rest on 16-bit word hashes: one in 65,536 may lie a word too far. Where
-    several documents share a head, a suffix is compared with its neighbours in suffix order, which share the longest
-    continuation; a match of 50 to 74 words that two other documents hold only in halves may be seen from one side alone.
+    inside it is not reported. Boundaries rest on 16-bit word hashes: one in 65,536 may lie a word too far,
+    so that 49 words which many documents share may count as 50 in some.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_emit_suffixes, SUFFIX)
@@ -197,7 +270,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = materialize(ordered.mapInArrow(lambda b: _compare(b, True), FOUND), "suffixes")
     # A few rows for each partition.
     borders = found.where("stop is null").drop("stop").repartition(1).sortWithinPartitions(*KEYS).mapInArrow(lambda b: _compare(b, False), FOUND)
-    spans = found.where("stop is not null").select("doc_id", "at", "stop").unionByName(borders.select("doc_id", "at", "stop"))
+    windows = found.where("head is not null and stop is not null").select("head", "doc_id", "at", "stop")
+    # A missing id is a document of its own.
+    named = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    common = windows.groupBy("head").agg(F.min(named).alias("_least"), F.max(named).alias("_most")).where("_least < _most").select("head")
+    windows = windows.where("at is not null").join(common, "head").select("doc_id", "at", "stop")
+    spans = found.where("head is null").select("doc_id", "at", "stop").unionByName(borders.select("doc_id", "at", "stop")).unionByName(windows)
     spans = spans.withColumn("reach", F.expr("max(stop) over (partition by doc_id order by at, stop rows between unbounded preceding and 1 preceding)"))
     spans = spans.withColumn("island", F.expr("sum(case when at <= reach then 0 else 1 end) over (partition by doc_id order by at, stop rows unbounded preceding)"))
     merged = spans.groupBy("doc_id", "island").agg(F.min("at").alias("start_word"), F.max("stop").alias("end_word"))

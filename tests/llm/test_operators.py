@@ -105,6 +105,28 @@ def test_repeated_passages(spark, corpus):
     assert got == repeated(corpus) and len(got) > 6
 
 
+@pytest.mark.parametrize("batch", [10_000, 40])
+def test_short_matches_around_a_common_line(spark, batch):
+    """Lines of 25-48 words in many documents; two of these share more words before a line, 50-60 in all."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [words(rng.randint(36, 48)) for _ in range(12)]
+    texts = [[w for line in lines for w in [*words(30), *line]] + words(30) for _ in range(60)]
+    for line in lines:
+        passage = words(rng.randint(50, 60) - len(line)) + line
+        for _ in range(2):
+            texts.append(words(40) + passage + words(40))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(words(5) + texts[60])), (None, " ".join(words(9) + texts[60]))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(docs(spark, rows).repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # Rows without an id count as one document, and their passages are one row.
+    want = {x for x in repeated(rows) if x[0] is not None}
+    assert {x for x in got if x[0] is not None} == want and len(want) == 24
+
+
 # --- 3 ---
 
 
