@@ -24,15 +24,23 @@ class Kind:
     words: str  # context words as an alternation, lower case
 
 
-# Possessive forms of the contract's patterns: they match the same text without a deep stack or quadratic retries.
+# Possessive forms of the contract's patterns: they match the same text without a deep stack or quadratic retries. Of an
+# IBAN the pattern takes the first four characters alone and looks ahead at up to 31 more (one past the longest), so that
+# what follows an account is neither swallowed nor kept from being one; iban_spans() finds the end.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "mail|email|contact|write|address|kontakt|correo|courriel"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|host|server|login|from|client|adresse|address"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", 0.8, "card|visa|credit|payment|amex|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "phone|tel|call|mobile|fax|telefon|llame|portable"),
-    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Z0-9])", 0.5, "iban|bank|account|konto|cuenta|compte|sepa"),
+    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,31}+))", 0.5, "iban|bank|account|konto|cuenta|compte|sepa"),
 )
 BASE = ("email", "ip", "card", "phone")
+#: Characters of an IBAN by country, where its registry gives them.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 def digits(hit: Column) -> Column:
@@ -58,7 +66,7 @@ def mod97(iban: Column) -> Column:
         v = F.ascii(c)
         return F.when(v >= 65, (a * 100 + v - 55) % 97).otherwise((a * 10 + v - 48) % 97)
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step) == 1
+    return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
 def confirmed(kind: str, hit: Column) -> Column:
@@ -68,22 +76,54 @@ def confirmed(kind: str, hit: Column) -> Column:
         return F.when(F.length(digits(hit)).between(16, 19), luhn(digits(hit))).otherwise(False)
     if kind == "phone":
         return F.length(digits(hit)).between(8, 15)
-    if kind == "iban":
-        bare = F.regexp_replace(hit, " ", "")
-        return F.when(F.length(bare).between(15, 34), mod97(bare)).otherwise(False)
     return F.lit(True)
 
 
+def iban_spans(spans: Column, text: Column) -> Column:
+    """The accounts that start at the spans (hit: four characters, part: what follows), from left to right without overlap.
+
+    Of the beginnings of 15 to 34 characters that end at a word's edge and pass mod-97 the one with its country's length
+    counts, else the longest.
+    """
+
+    def longest(s: Column) -> Column:
+        whole = F.concat(s.hit, s.part)
+        country = F.substring(s.hit, 1, 2)
+        usual = F.coalesce(*(F.when(country.isin(*names.split()), F.lit(n)) for n, names in IBAN_CHARS.items()), F.lit(0))
+
+        def prefix(i: Column) -> Column:
+            piece = F.substring(whole, F.lit(1), i)
+            bare = F.regexp_replace(piece, " ", "")
+            return F.struct((F.length(bare) == usual).alias("usual"), i.cast("long").alias("n"), bare.alias("bare"))
+
+        # An edge is where a blank or nothing follows.
+        edges = F.filter(F.sequence(F.lit(15), F.length(whole)), lambda i: F.substring(whole, i + 1, F.lit(1)).isin("", " ") & (F.substring(whole, i, F.lit(1)) != " "))
+        fit = F.filter(F.transform(edges, prefix), lambda p: F.length(p.bare).between(15, 34) & mod97(p.bare))
+        return F.struct(s.start.alias("start"), (s.start + F.array_max(fit).n).alias("end"))
+
+    found = F.filter(F.transform(spans, longest), lambda s: s.end.isNotNull())
+    zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    apart = F.aggregate(found, zero, lambda a, s: F.when((F.size(a) == 0) | (F.get(a, F.size(a) - 1).end <= s.start), F.concat(a, F.array(s))).otherwise(a))
+
+    # The pattern's other hits may stand between a context word and the account, so the text itself is looked at.
+    def before(s: Column) -> Column:
+        at = F.greatest(s.start - CONTEXT, F.lit(0))
+        return F.substring(text, (at + 1).cast("int"), (s.start - at).cast("int"))
+
+    return F.transform(apart, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), before(s).alias("before")))
+
+
 def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with one more column, `pii`: array<struct<kind,start,end,score>> ordered by kind as listed, then start.
 
     Spans of the base kinds (email, ip, card, phone) that their check confirms are always there; spans of other kinds
-    (iban) need a score of `threshold` or more. The score is the kind's prior, raised by half of what is missing to 1 if
+    (iban) need a score of `threshold` or more; at 0.5, iban's prior, the checksum alone decides, so that no valid account is
+    lost for want of a context word, and a higher threshold asks for one. The score is the kind's prior, raised by half of what is missing to 1 if
     a context word stands in the 48 characters before the span. Null and empty texts have no spans. Other columns pass through.
     """
     work = docs.withColumn("_pii_text", F.coalesce(F.col(text), F.lit("")))
     for k in KINDS:
-        work = find_spans(work, "_pii_text", k.pattern, f"_pii_{k.name}", context=CONTEXT)
+        work = find_spans(work, "_pii_text", k.pattern, f"_pii_{k.name}", group=int(k.name == "iban"), context=CONTEXT)
 
     def kept(k: Kind) -> Column:
         def scored(s: Column) -> Column:
@@ -95,7 +135,9 @@ def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Dat
                 F.when(near, F.lit(0.5 + k.prior / 2)).otherwise(F.lit(k.prior)).alias("score"),
             )
 
-        spans = F.transform(F.filter(f"_pii_{k.name}", lambda s: confirmed(k.name, s.hit)), scored)
+        found = F.col(f"_pii_{k.name}")
+        found = iban_spans(found, F.col("_pii_text")) if k.name == "iban" else F.filter(found, lambda s: confirmed(k.name, s.hit))
+        spans = F.transform(found, scored)
         return spans if k.name in BASE else F.filter(spans, lambda s: s.score >= threshold)
 
     return work.withColumn("pii", F.concat(*(kept(k) for k in KINDS))).drop("_pii_text", *(f"_pii_{k.name}" for k in KINDS))

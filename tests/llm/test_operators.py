@@ -322,6 +322,21 @@ def test_pii(spark):
     assert rows[11].pii[0].score > 0.9 and rows[0].pii[0].score == 0.9
 
 
+def test_accounts_beside_other_tokens(spark):
+    de, gb, fr = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"
+    texts = [f"{de} BIC COBADEFF", f"é {de} 2024 paid", f"{de.replace(' ', '')} {gb} {fr}", f"IBAN AB12 CD34 {de}", f"{gb}X {de}1", f"{de} " + "A1 " * 40, "AB12 " * 3000]
+    rows = pii.find_pii(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    got = [[texts[r.doc_id][s.start : s.end] for s in r.pii if s.kind == "iban"] for r in rows]
+    assert got[:6] == [[de], [de], [de.replace(" ", ""), gb, fr], [de], [], [de]]
+    assert pii.redact(docs(spark, [(1, texts[1])])).first().text == "é [IBAN] 2024 paid"
+
+
+def test_checksum_alone_decides_on_accounts(spark):
+    d = docs(spark, [(1, "x DE89370400440532013000"), (2, "iban DE89370400440532013000")])
+    score = lambda t: {r.doc_id: [s.score for s in r.pii] for r in pii.find_pii(d, threshold=t).collect()}
+    assert score(0.5) == {1: [0.5], 2: [0.75]} and score(0.6) == {1: [], 2: [0.75]}
+
+
 def test_redact(spark):
     d = docs(spark, [(1, "é a@b.cc, +1 555 123 4567; 4111111111111111!"), (2, None), (3, "clean"), (3, "clean")])
     out = pii.redact(d)
