@@ -11,14 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 from .tokens import END, default_path, encoder, ids_crc32
 
 CAPACITY = 4096
 #: Tokens that a task packs at once when it writes id matrices.
 BLOCK_TOKENS = 1 << 23
-#: Pieces that one group packs, and rounds of exchange.
-GROUP_PIECES, ROUNDS = 30_000, 4
+#: Pieces that one group packs.
+GROUP_PIECES = 30_000
 
 
 class CapacityTree:
@@ -79,13 +79,24 @@ def dual_feasible_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     For each threshold k up to half the capacity, items above capacity - k count as whole bins, items below k as nothing,
     the rest by length; the best threshold counts. k = 0 gives the sum of lengths over the capacity.
     """
-    count = np.bincount(lengths, minlength=capacity + 1).astype("i8")
+    return _bound(np.bincount(lengths, minlength=capacity + 1).astype("i8"), capacity)
+
+
+def counted_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """The same from the number of items of each length."""
+    count = np.zeros(capacity + 1, "i8")
+    for length, n in counts.items():
+        count[length] = n
+    return _bound(count, capacity)
+
+
+def _bound(count: np.ndarray, capacity: int) -> int:
     size = count * np.arange(capacity + 1)
     sums, counts = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(count)))
     k = np.arange(capacity // 2 + 1)
     large = counts[capacity + 1] - counts[capacity - k + 1]
     middle = sums[capacity - k + 1] - sums[k]
-    return int((large + -(-middle // capacity)).max()) if len(lengths) else 0
+    return int((large + -(-middle // capacity)).max())
 
 
 # --- token pieces ---------------------------------------------------------------------------------------------------
@@ -95,12 +106,13 @@ def _pieces(ids: np.ndarray, capacity: int) -> list[np.ndarray]:
     return [ids[i : i + capacity] for i in range(0, len(ids), capacity)]
 
 
-def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, ids: bool = False) -> DataFrame:
     """Rows (row, doc_id, piece, start, length, ids_crc32): each text's ids and the end id, cut only where longer than the capacity.
 
-    `row` numbers the pieces of a task and tells repeated rows and null ids apart. A null text is empty.
+    `row` numbers the pieces of a task and tells repeated rows and null ids apart. A null text is empty. With `ids` also
+    input_ids (binary, little-endian unsigned 16-bit ids).
     """
-    path = tokenizer or default_path()
+    path, with_ids = tokenizer or default_path(), ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, row = encoder(path), TaskContext.get().partitionId() << 36
@@ -108,67 +120,90 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
             rows: list[tuple] = []
             for k, ids in enumerate(enc.encode_all(b.column(1).to_pylist())):
                 for p, part in enumerate(_pieces(np.append(ids, np.uint16(END)), capacity)):
-                    rows.append((k, p, p * capacity, len(part), ids_crc32(part)))
-            k, p, start, length, crc = (list(c) for c in zip(*rows)) if rows else ([],) * 5
+                    rows.append((k, p, p * capacity, len(part), ids_crc32(part), part.astype("<u2").tobytes() if with_ids else None))
+            k, p, start, length, crc, data = (list(c) for c in zip(*rows)) if rows else ([],) * 6
             at = np.arange(row, row + len(k))
             row += len(k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), b.column(0).take(pa.array(k, pa.int64())), pa.array(p, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["row", "doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            out = [pa.array(at), b.column(0).take(pa.array(k, pa.int64())), pa.array(p, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(data, pa.binary())], [*names, "input_ids"]) if with_ids else pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + (", input_ids binary" if ids else "")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 # --- packing by length over the cluster -----------------------------------------------------------------------------
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """pieces (row unique, length 1..capacity, other columns) with sequence_id and offset: into as few sequences as it can.
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """pieces (row unique, length 1..capacity, other columns) with sequence_id and offset, in as few sequences as it can,
+    and two figures of the whole table: n_sequences and bound, the dual-feasible bound on any packing's number of sequences.
 
-    Pieces are dealt by hash into groups of about `group_pieces`; each group is packed best-fit decreasing, and a bound
-    from dual-feasible functions certifies its number of sequences. Groups with a gap between the two keep their full
-    sequences and give the documents of the others to a pool, which is dealt into fewer groups and packed again; after
-    `rounds` rounds, or when the pool fits one group, what is packed stays.
+    Pieces are dealt into groups of about `group_pieces` in order of length, one to each group in turn, so that no group gets
+    more long pieces than its share; each group is packed best-fit decreasing. Full sequences are settled. While the number
+    of sequences is above the bound and there are several groups, the pieces of all other sequences are dealt anew into fewer
+    groups and packed again; a round counts only if it lowers the number. It ends when the bound is met, one group held all
+    that was left, or a round gained nothing.
     """
     columns = pieces.columns
-    schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "_settled": F.lit(True)}).schema
-    whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("row"), "offset": F.lit(0).cast("long")})
-    pool, parts = pieces.where(F.col("length") < capacity), [whole]
-    for turn in range(rounds):
-        count = pool.count()
-        groups = max(1, -(-count // group_pieces))
-        last = groups == 1 or turn == rounds - 1
-
-        def pack(frame: pd.DataFrame, turn: int = turn, last: bool = last) -> pd.DataFrame:
-            frame = frame.sort_values("row", ignore_index=True)
-            lengths = frame["length"].to_numpy()
-            bins, offset, n = best_fit_decreasing(lengths, capacity)
-            full = np.bincount(bins, lengths, n) == capacity
-            certified = last or n == dual_feasible_bound(lengths, capacity)
-            # Whole pieces have their row as their number; a sequence takes that of its first row, and the round's mark.
-            first = frame["row"].to_numpy()[np.unique(bins, return_index=True)[1]]
-            frame["sequence_id"] = -1 - (first[bins] * ROUNDS + turn)
-            frame["offset"] = offset
-            frame["_settled"] = certified | full[bins]
-            return frame
-
-        dealt = pool.withColumn("_group", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)))
-        packed = materialize(dealt.groupBy("_group").applyInPandas(lambda f: pack(f.drop(columns="_group")), schema), f"packed{turn}")
-        parts.append(packed.where("_settled").drop("_settled"))
-        pool = packed.where("not _settled").select(columns)
-        if last:
+    sequence, offset, full, group = unused(pieces, "sequence_id", "offset", "full", "group")
+    if (sequence, offset) != ("sequence_id", "offset"):
+        raise ValueError("pieces must not have the columns sequence_id and offset")
+    schema = pieces.withColumns({sequence: F.lit(0).cast("long"), offset: F.lit(0).cast("long"), full: F.lit(True)}).schema
+    # At most `capacity` rows.
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bound = counted_bound(counts, capacity)
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop(columns=group).sort_values("row", ignore_index=True)
+        lengths, row = frame["length"].to_numpy(), frame["row"].to_numpy()
+        bins, at, n = best_fit_decreasing(lengths, capacity)
+        # A sequence takes the number of the piece at its start, which no other sequence holds.
+        first = np.zeros(n, "i8")
+        first[bins[at == 0]] = row[at == 0]
+        frame[sequence], frame[offset] = first[bins], at
+        frame[full] = (np.bincount(bins, lengths, n) == capacity)[bins]
+        return frame
+
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = [pieces.where(F.col("length") == capacity).withColumns({sequence: F.col("row"), offset: F.lit(0).cast("long")})]
+    settled, pool = counts.get(capacity, 0), pieces.where(F.col("length") < capacity)
+    left, total, packed, turn = sum(counts.values()) - settled, None, None, 0
+    while left:
+        groups = -(-left // group_pieces)
+        # The row's place in its range partition; each partition starts with another group.
+        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.xxhash64(F.spark_partition_id(), F.lit(turn)).bitwiseAND(0xFFFFFFFF)
+        ordered = pool.repartitionByRange(n, "length", F.xxhash64("row", F.lit(turn)), "row").sortWithinPartitions("length", F.xxhash64("row", F.lit(turn)), "row")
+        dealt = ordered.withColumn(group, F.pmod(place, F.lit(groups)))
+        after = materialize(dealt.groupBy(group).applyInPandas(pack, schema), "packed")
+        starts = F.col(offset) == 0
+        now = after.agg(F.count_if(starts).alias("open"), F.count_if(starts & F.col(full)).alias("full"), F.count_if(F.col(full)).alias("pieces")).first()
+        if total is not None and settled + now["open"] >= total:
+            break
+        if packed is not None:
+            parts.append(packed.where(full).drop(full))
+        total, packed, turn = settled + now["open"], after, turn + 1
+        settled, left = settled + now["full"], left - now["pieces"]
+        if total <= bound or groups == 1:
             break
+        pool = packed.where(~F.col(full)).select(columns)
+    if packed is not None:
+        parts.append(packed.drop(full))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.withColumns({"n_sequences": F.lit(total if total is not None else settled).cast("long"), "bound": F.lit(bound).cast("long")})
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. No document is lost or cut needlessly."""
-    pieces = materialize(token_pieces(docs, doc_id, text, capacity, tokenizer), "pieces")
-    return pack_pieces(pieces, capacity).drop("row")
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, ids: bool = False) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences, bound (see pack_pieces).
+
+    With `ids` also input_ids: the piece's ids as little-endian unsigned 16-bit numbers. Every row of docs gives at least one
+    piece, repeated rows and null ids included; a null text is empty and holds the end id alone. No document is cut needlessly.
+    """
+    pieces = materialize(token_pieces(docs, doc_id, text, capacity, tokenizer, ids), "pieces")
+    packed = pack_pieces(pieces.select("row", "length"), capacity)
+    return pieces.join(packed.drop("length"), "row").drop("row")
 
 
 # --- packed id matrices ---------------------------------------------------------------------------------------------
