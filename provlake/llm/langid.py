@@ -8,24 +8,27 @@ of the sum over all segmentations, by the forward algorithm. A word's likelihood
 from __future__ import annotations
 
 import math
-import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import WORD, held_out, unused
 
-#: Training documents in all at most; characters of a vocabulary piece; EM rounds; words that a worker remembers.
-TRAIN_DOCS, PIECE_CHARS, ROUNDS, WORDS_KEPT = 12_000, 16, 2, 500_000
+#: Training documents in all, about; EM rounds; words that a worker remembers; letters of a word that is scored in a batch
+#: (longer ones one by one, with the same sum); words in such a batch; characters of texts whose words are looked up together.
+TRAIN_DOCS, ROUNDS, WORDS_KEPT, BATCH_LETTERS, BATCH_WORDS, BLOCK_CHARS = 12_000, 2, 500_000, 256, 2048, 1 << 21
 #: Pseudo-count of every piece, and probability of a character that no piece covers.
 PSEUDO, UNKNOWN = 0.01, 1e-7
 NONE = "und"
 #: Text below this posterior is rejected by keep_known.
 LEAST_SCORE = 0.5
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(WORD)
 MARK = "▁"
 
 
@@ -40,93 +43,148 @@ def vocabulary(path: str) -> dict[str, int]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    kept = [p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and (p := sp.id_to_piece(i)).replace(MARK, "").isalpha() and p.rfind(MARK) <= 0 and len(p) <= PIECE_CHARS]
+    kept = [p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and (p := sp.id_to_piece(i)).replace(MARK, "").isalpha() and p.rfind(MARK) <= 0]
     return {p: i for i, p in enumerate(dict.fromkeys(q for p in kept for q in (p.lower(),)))}
 
 
+def same_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
+    """(length, places) of the words of each length, at most BATCH_WORDS at a time."""
+    by_length = defaultdict(list)
+    for n, w in enumerate(words):
+        by_length[len(w)].append(n)
+    for length, at in sorted(by_length.items()):
+        for i in range(0, len(at), BATCH_WORDS):
+            yield length, at[i : i + BATCH_WORDS]
+
+
 class Model:
-    """Piece probabilities: probs[piece] is a tuple with one value for each language."""
+    """Piece probabilities: table[k, pieces[p]] is that of piece p in language k."""
 
     def __init__(self, langs: list[str], pieces: dict[str, int], table: np.ndarray, prior: np.ndarray) -> None:
-        self.langs, self.prior = langs, prior
-        self.probs = {p: tuple(table[:, i].tolist()) for p, i in pieces.items()}
+        self.langs, self.prior, self.pieces = langs, prior, pieces
+        # One row a piece, and a last one, that of number -1, for what is no piece.
+        self.probs = np.concatenate((table.T, np.zeros((1, len(langs)))))
+        self.single = np.concatenate((table.T, np.full((1, len(langs)), UNKNOWN)))  # of single characters
+        with np.errstate(divide="ignore"):
+            self.logs = np.log(self.probs)
         self.longest = max(map(len, pieces), default=1)
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1 << 12, len(langs)))
 
-    def edges(self, word: str) -> list[tuple[int, int, tuple[float, ...] | None, str]]:
-        """(begin, end, probabilities, piece) of all pieces in the marked word, by end; an uncovered character is one of its own."""
-        text, get, n, out = MARK + word, self.probs.get, len(word) + 1, []
-        for j in range(1, n + 1):
-            single = False
+    def edges(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(begin, end, piece numbers) of every stretch, by end, over marked words of one length; -1 where it is no piece."""
+        get, missing = self.pieces.get, len(self.pieces)
+        for j in range(1, len(texts[0]) + 1):
             for i in range(max(0, j - self.longest), j):
-                p = get(text[i:j])
-                if p is not None:
-                    out.append((i, j, p, text[i:j]))
-                    single |= i == j - 1
-            if not single:
-                out.append((j - 1, j, None, text[j - 1 : j]))
+                at = np.fromiter((get(t[i:j], missing) for t in texts), "i8", len(texts))
+                if i == j - 1 or (at != missing).any():
+                    yield i, j, at
+
+    def edge_logs(self, i: int, j: int, at: np.ndarray, k: int) -> np.ndarray:
+        """Log-probabilities of the edges in language k; a character that is no piece has UNKNOWN."""
+        p = self.logs[at, k]
+        return np.where(at == len(self.pieces), math.log(UNKNOWN), p) if j == i + 1 else p
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-likelihoods of words, one row each with one value for each language: the forward algorithm, words of one length at once."""
+        out = np.zeros((len(words), len(self.langs)))
+        for n, at in same_length(words):
+            texts = [MARK + words[x] for x in at]
+            if n <= BATCH_LETTERS:
+                out[at] = self.likelihoods(texts)
+            else:
+                for x, t in zip(at, texts):
+                    out[x] = self.long_word(t)
         return out
 
-    def word(self, word: str) -> list[float]:
-        """Log-likelihoods of a word, one for each language: the forward algorithm, rescaled as it goes."""
-        edges, n, out = self.edges(word), len(word) + 1, []
-        for k in range(len(self.langs)):
-            alpha, scale = [0.0] * (n + 1), 0.0
-            alpha[0] = 1.0
-            at = 0
-            for i, j, p, _ in edges:
-                if j != at:
-                    if j > 30 and at % 16 == 0 and alpha[at] < 1e-150:
-                        scale += math.log(f := max(alpha[max(0, at - self.longest) : at + 1]))
-                        for x in range(max(0, at - self.longest), at + 1):
-                            alpha[x] /= f
-                    at = j
-                alpha[j] += alpha[i] * (UNKNOWN if p is None else p[k])
-            out.append(math.log(alpha[n]) + scale)
-        return out
-
-    def expected(self, word: str, k: int, weight: float, into: dict[str, float]) -> None:
-        """Add the expected piece counts of a word in language k, times weight."""
-        edges, n = self.edges(word), len(word) + 1
-        if n > 60:
-            return
-        alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
-        alpha[0] = beta[n] = 1.0
-        for i, j, p, _ in edges:
-            alpha[j] += alpha[i] * (UNKNOWN if p is None else p[k])
-        for i, j, p, _ in reversed(edges):
-            beta[i] += beta[j] * (UNKNOWN if p is None else p[k])
-        for i, j, p, piece in edges:
-            if p is not None and alpha[n] > 0:
-                into[piece] = into.get(piece, 0.0) + weight * alpha[i] * p[k] * beta[j] / alpha[n]
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        """(language, posterior); (`und`, 0) where there is no letter."""
-        words = _WORD.findall((text or "").lower())
-        if not words or not self.langs:
-            return NONE, 0.0
+    def likelihoods(self, texts: list[str]) -> np.ndarray:
+        """The forward algorithm over marked words of one length, with a scale taken out every 16 letters."""
+        window, scale = {0: np.ones((len(texts), len(self.langs)))}, np.zeros((len(texts), len(self.langs)))
+        for i, j, at in self.edges(texts):
+            if j not in window:
+                if j % 16 == 0:
+                    window = {x: w for x, w in window.items() if x >= j - self.longest}
+                    top = np.max(list(window.values()), axis=0)
+                    window, scale = {x: w / top for x, w in window.items()}, scale + np.log(top)
+                window[j] = np.zeros_like(scale)
+            window[j] += window[i] * (self.probs if i < j - 1 else self.single)[at]
+        return np.log(window[len(texts[0])]) + scale
+
+    def long_word(self, text: str) -> np.ndarray:
+        """The same for one marked word of any length, within a window of the longest piece."""
+        get, unknown = self.pieces.get, np.full(len(self.langs), UNKNOWN)
+        window, scale = [np.ones(len(self.langs))], np.zeros(len(self.langs))
+        for j in range(1, len(text) + 1):
+            total = np.zeros(len(self.langs))
+            for back in range(1, len(window) + 1):
+                x = get(text[j - back : j])
+                if x is not None:
+                    total = total + window[-back] * self.probs[x]
+                elif back == 1:
+                    total = total + window[-1] * unknown
+            window = [*window, total][-self.longest :]
+            if j % 16 == 0:
+                top = np.max(window, axis=0)
+                window, scale = [w / top for w in window], scale + np.log(top)
+        return np.log(window[-1]) + scale
+
+    def expected(self, words: list[str], weights: list[int], k: int) -> np.ndarray:
+        """Expected piece counts in language k of words of any length, times their weights: forward and backward over all segmentations."""
+        sums = np.zeros(len(self.pieces) + 1)
+        for _, at in same_length(words):
+            texts, weight = [MARK + words[x] for x in at], np.array([weights[x] for x in at], float)
+            edges = list(self.edges(texts))
+            alpha = [np.zeros(len(texts))] + [np.full(len(texts), -np.inf) for _ in texts[0]]
+            beta = alpha[:0:-1] + alpha[:1]
+            for i, j, x in edges:
+                alpha[j] = np.logaddexp(alpha[j], alpha[i] + self.edge_logs(i, j, x, k))
+            for i, j, x in reversed(edges):
+                beta[i] = np.logaddexp(beta[i], beta[j] + self.edge_logs(i, j, x, k))
+            for i, j, x in edges:
+                share = np.exp(alpha[i] + self.edge_logs(i, j, x, k) + beta[j] - alpha[-1])
+                np.add.at(sums, x, weight * share)
+        return sums[:-1]  # the last are characters that are no piece
+
+    def score_all(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """(language, posterior) of each text; (`und`, 0) where there is no letter. New words of a block of texts are scored together."""
+        held, chars = [], 0
+        for t in texts:
+            held.append(_WORD.findall((t or "").lower()))
+            chars += len(t or "")
+            if chars >= BLOCK_CHARS:
+                yield from self._scores(held)
+                held, chars = [], 0
+        yield from self._scores(held)
+
+    def _scores(self, texts: list[list[str]]) -> Iterator[tuple[str, float]]:
         if len(self.index) > WORDS_KEPT:
             self.index.clear()
-        index, at = self.index, []
-        for w in words:
-            i = index.get(w)
-            if i is None:
-                i = index[w] = len(index)
-                if i >= len(self.rows):
-                    self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-                self.rows[i] = self.word(w)
-            at.append(i)
-        logs = self.rows[at].sum(0) + self.prior
-        p = np.exp(logs - logs.max())
-        k = int(p.argmax())
-        return self.langs[k], float(p[k] / p.sum())
+        new = list(set(chain.from_iterable(texts)).difference(self.index)) if self.langs else []
+        if new:
+            first = len(self.index)
+            while first + len(new) > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.rows[first : first + len(new)] = self.words(new)
+            self.index.update(zip(new, range(first, first + len(new))))
+        get = self.index.__getitem__
+        for words in texts:
+            if not words or not self.langs:
+                yield NONE, 0.0
+                continue
+            logs = self.rows[list(map(get, words))].sum(0) + self.prior
+            p = np.exp(logs - logs.max())
+            k = int(p.argmax())
+            yield self.langs[k], float(p[k] / p.sum())
+
+    def score(self, text: str | None) -> tuple[str, float]:
+        return next(self.score_all([text]))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", path: str | None = None) -> Model:
-    """Learn from at most TRAIN_DOCS rows with a language that are not held out, the first by a hash of the id in each language.
+    """Learn from about TRAIN_DOCS rows with a language that are not held out, an equal number of each language by a hash of the id.
 
-    The word counts of the sample stay distributed; what comes to the driver is a table of pieces by languages.
+    The word counts of the sample stay distributed; what comes to the driver is a table of pieces by languages, so `lang`
+    must be a column of language names, not of free text. All words of the sample count, whatever their length.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -139,44 +197,46 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     # A share of each language by a hash of the id, so that no row is sorted; about TRAIN_DOCS rows in all.
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, TRAIN_DOCS / len(langs) / v))) for k, v in n.items()))
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
     words = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).persist()
     prior = np.log(np.array([n[k] for k in langs], float) / sum(n.values()))
-    # From pieces that are likelier the longer they are, as a segmentation into few pieces should be.
-    table = np.tile(np.array([10.0 ** (-4 + 0.0 * len(p)) for p in pieces]), (len(langs), 1))
-    model = Model(langs, pieces, table / table.sum(1, keepdims=True), prior)
+    # From equal probabilities of all pieces.
+    model = Model(langs, pieces, np.full((len(langs), len(pieces)), 1 / len(pieces)), prior)
+    names = list(pieces)
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m, sums = shared.value, [{} for _ in langs]
+            m, sums = shared.value, np.zeros((len(langs), len(names)))
             for b in batches:
-                for k, w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    m.expected(w, langs.index(k), c, sums[langs.index(k)])
-            flat = [(k, p, x) for k, s in enumerate(sums) for p, x in s.items()]
-            cols = list(zip(*flat)) if flat else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["k", "piece", "x"])
+                of, words_, counts = (b.column(i).to_pylist() for i in range(3))
+                for k, name in enumerate(langs):
+                    mine = [i for i, x in enumerate(of) if x == name]
+                    if mine:
+                        sums[k] += m.expected([words_[i] for i in mine], [counts[i] for i in mine], k)
+            k, piece = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(sums[k, piece], pa.float64())], names=["k", "piece", "x"])
 
         # At most pieces x languages rows.
-        sums = words.mapInArrow(expect, "k int, piece string, x double").groupBy("k", "piece").agg(F.sum("x").alias("x")).collect()
+        sums = words.mapInArrow(expect, "k int, piece int, x double").groupBy("k", "piece").agg(F.sum("x").alias("x")).collect()
         table = np.full((len(langs), len(pieces)), PSEUDO)
         for r in sorted(sums, key=lambda r: (r.k, r.piece)):
-            table[r.k, pieces[r.piece]] += round(r.x, 6)
+            table[r.k, r.piece] += round(r.x, 6)
         model = Model(langs, pieces, table / table.sum(1, keepdims=True), prior)
     words.unpersist()
     return model
 
 
-def with_language(docs: DataFrame, text: str, model: Model) -> DataFrame:
-    """docs with `lang_pred` and `lang_score`."""
-    schema = docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
+def with_language(docs: DataFrame, text: str, model: Model, lang_pred: str = "lang_pred", lang_score: str = "lang_score") -> DataFrame:
+    """docs with two more columns: the predicted language and its posterior."""
+    schema = docs.withColumns({lang_pred: F.lit(""), lang_score: F.lit(0.0)}).schema
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found = [m.score(t) for t in b.column(at).to_pylist()]
+            found = list(m.score_all(b.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -185,8 +245,8 @@ def with_language(docs: DataFrame, text: str, model: Model) -> DataFrame:
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", path: str | None = None) -> DataFrame:
     """One row (doc_id, held_out, lang_pred, score) for each input row; the prediction looks at the text alone.
 
-    Null texts and texts without a letter are `und` with score 0, and so is all without a training row. Rows that share an
-    id are predicted each; a null id is held out.
+    Null texts and texts without a letter (of any script, as Unicode has it) are `und` with score 0, and so is all without a
+    training row. Rows that share an id are predicted each; a null id is held out. An empty table gives an empty one.
     """
     model = fit(docs, doc_id, text, lang, path)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -194,6 +254,10 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without the rows whose language is `und` or uncertain (posterior below LEAST_SCORE)."""
-    marked = with_language(docs, text, fit(docs, doc_id, text, lang))
-    return marked.where((F.col("lang_pred") != NONE) & (F.col("lang_score") >= LEAST_SCORE)).select(docs.columns)
+    """docs without the rows whose language is `und` (null texts and texts without a letter) or uncertain (posterior below LEAST_SCORE).
+
+    Each row is judged by its own text: repeated rows stay or go together, whatever their ids. Columns and their order stay.
+    """
+    pred, score = unused(docs, "lang_pred", "lang_score")
+    marked = with_language(docs, text, fit(docs, doc_id, text, lang), pred, score)
+    return marked.where((F.col(pred) != NONE) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
