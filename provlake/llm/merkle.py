@@ -1,9 +1,10 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
-A section is a block of up to 8 paragraphs that ends early at a blank line; a paragraph is a line with its line end; its
-leaves are phrases, cut after punctuation or 80 characters. A leaf's hash is taken from its text, a paragraph's from its
-leaves' hashes, a section's from its paragraphs' and the root's from the sections'. No character is left out, so equal
-roots mean equal texts, and where two roots differ only the branches with differing hashes need a look.
+A paragraph is a line with its line end; its leaves are phrases, cut after punctuation or 80 characters. A section ends
+after a blank line and after any paragraph whose hash starts with one of CUT's digits, so that its borders depend on what
+stands there and an insertion leaves the other sections as they were. A leaf's hash is taken from its text, a paragraph's
+from its leaves' hashes, a section's from its paragraphs' and the root's from the sections'. No character is left out, so
+equal roots mean equal texts, and where two roots differ only the branches with differing hashes need a look.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 PARAGRAPH = r"[^\n]*\n|[^\n]+"
 LEAF = r"[^.,;:!?\n]{0,80}[.,;:!?\n]|[^.,;:!?\n]{1,80}"
-#: Paragraphs in a section.
-SECTION = 8
+#: First hex digits of a paragraph's hash that end a section: two of sixteen, so eight paragraphs on average.
+CUT = "08"
 #: Hex digits of a leaf's hash that the comparison keeps, and of a section's in a printed fingerprint.
 LEAF_DIGITS, SECTION_DIGITS = 8, 16
+#: Groups that rows without an id are dealt into.
+SPREAD = 256
 
 
 def digest(c: Column) -> Column:
@@ -26,21 +29,21 @@ def digest(c: Column) -> Column:
 
 
 def with_tree(docs: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Add prefix_leaves (array of all leaf hashes), prefix_paragraphs, prefix_sections (hashes) and prefix_root."""
-    paras = F.transform(
-        F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)),
-        lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), digest),
-    )
-    docs = docs.withColumn(f"{prefix}_tree", paras)
-    docs = docs.withColumn(f"{prefix}_leaves", F.transform(F.flatten(f"{prefix}_tree"), lambda h: F.substring(h, 1, LEAF_DIGITS)))
-    docs = docs.withColumn(f"{prefix}_paragraphs", F.transform(f"{prefix}_tree", lambda p: digest(F.array_join(p, ""))))
-    at = F.col(f"{prefix}_paragraphs")
-    blocks = F.when(
-        F.size(at) > 0,
-        F.transform(F.sequence(F.lit(0), F.floor((F.size(at) - 1) / SECTION).cast("int")), lambda i: digest(F.array_join(F.slice(at, i * SECTION + 1, F.lit(SECTION)), ""))),
-    ).otherwise(F.array().cast("array<string>"))
-    docs = docs.withColumn(f"{prefix}_sections", blocks)
-    return docs.withColumn(f"{prefix}_root", F.sha2(F.array_join(f"{prefix}_sections", ""), 256)).drop(f"{prefix}_tree")
+    """Add prefix_leaves (array of all leaf hashes, shortened), prefix_tree (array of each paragraph's hash, number of code
+    points, and leaf hashes), prefix_blocks (each section's paragraph hashes, joined), prefix_sections (hashes) and prefix_root."""
+
+    def paragraph(p: Column) -> Column:
+        leaves = F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), digest)
+        hash_ = digest(F.array_join(leaves, ""))
+        ends = F.trim(p).isin("", "\n", "\r\n") | F.substring(hash_, 1, 1).isin(*CUT)
+        return F.struct(hash_.alias("hash"), ends.alias("ends"), F.length(p).alias("n"), leaves.alias("leaves"))
+
+    docs = docs.withColumn(f"{prefix}_tree", F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), paragraph))
+    docs = docs.withColumn(f"{prefix}_leaves", F.transform(F.flatten(F.col(f"{prefix}_tree.leaves")), lambda h: F.substring(h, 1, LEAF_DIGITS)))
+    joined = F.array_join(F.transform(f"{prefix}_tree", lambda p: F.concat(p.hash, F.when(p.ends, F.lit("|")).otherwise(F.lit("")))), "")
+    docs = docs.withColumn(f"{prefix}_blocks", F.filter(F.split(joined, "[|]"), lambda b: b != ""))
+    docs = docs.withColumn(f"{prefix}_sections", F.transform(f"{prefix}_blocks", digest))
+    return docs.withColumn(f"{prefix}_root", F.sha2(F.array_join(f"{prefix}_sections", ""), 256))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -50,14 +53,34 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(f"{a}_root") == F.col(f"{b}_root"), 1.0).when(most == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(x, y)) / most, 6))
 
 
-def first_difference(a: str, b: str, level: str) -> Column:
-    """0-based position of the first differing section or paragraph of two trees; null if none differs."""
-    x, y = F.col(f"{a}_{level}"), F.col(f"{b}_{level}")
-    most = F.greatest(F.size(x), F.size(y))
-    differs = F.filter(F.sequence(F.lit(0), most), lambda i: (i < most) & ~F.get(x, i).eqNullSafe(F.get(y, i)))
+def same_start(x: Column, y: Column) -> Column:
+    """Number of equal elements at the start of two arrays."""
+    most = F.least(F.size(x), F.size(y))
+    differs = F.filter(F.sequence(F.lit(0), most), lambda i: (i == most) | (F.get(x, i) != F.get(y, i)))
     return F.get(differs, F.lit(0))
 
 
+def with_edit_place(docs: DataFrame, a: str, b: str, text: str) -> DataFrame:
+    """Add edit_sections (sections of tree b that tree a does not hold) and edit_start (the code point of `text`, the text of
+    tree a, where the first phrase stands that differs; null if none does), by descent from the roots: the sections before
+    the first differing one are passed over by their hashes, then its paragraphs, then the phrases of its first differing one.
+    """
+    section, paragraph, phrases = unused(docs, "section", "paragraph", "phrases")
+    out = docs.withColumn("edit_sections", F.size(F.array_except(f"{b}_sections", f"{a}_sections")).cast("long"))
+    out = out.withColumn(section, same_start(F.col(f"{a}_sections"), F.col(f"{b}_sections")))
+    # A block holds 32 digits for each paragraph.
+    before = F.aggregate(F.slice(f"{a}_blocks", F.lit(1), F.col(section)), F.lit(0), lambda n, x: n + F.floor(F.length(x) / 32).cast("int"))
+    out = out.withColumn(paragraph, before)
+    rest = lambda t: F.transform(F.slice(f"{t}_tree", F.col(paragraph) + 1, F.greatest(F.size(f"{t}_tree") - F.col(paragraph), F.lit(0))), lambda p: p.hash)
+    out = out.withColumn(paragraph, F.col(paragraph) + same_start(rest(a), rest(b)))
+    at = F.aggregate(F.slice(f"{a}_tree", F.lit(1), F.col(paragraph)), F.lit(0), lambda n, p: n + p.n)
+    mine, its = (F.coalesce(F.get(F.col(f"{t}_tree"), F.col(paragraph)).leaves, F.array().cast("array<string>")) for t in (a, b))
+    # The phrases of the one paragraph, whose lengths give the place.
+    out = out.withColumn(phrases, F.regexp_extract_all(F.substring(text, at + 1, F.coalesce(F.get(F.col(f"{a}_tree"), F.col(paragraph)).n, F.lit(0))), F.lit(LEAF), F.lit(0)))
+    start = at + F.aggregate(F.slice(phrases, F.lit(1), same_start(mine, its)), F.lit(0), lambda n, x: n + F.length(x))
+    return out.withColumn("edit_start", F.when(F.col(f"{a}_root") != F.col(f"{b}_root"), start.cast("long"))).drop(section, paragraph, phrases)
+
+
 def next_ids(docs: DataFrame, key: str, partitions: int) -> DataFrame:
     """(key, next_key) over distinct non-null keys in ascending order, the last followed by the first.
 
@@ -80,16 +103,18 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     the same next document, that of the next larger id (of several its smallest text); null ids are followed by the first id.
 
     One row for each input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    edit_section (the first differing section, null if none).
+    edit_sections, edit_start (see with_edit_place).
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Both joins below deal the texts out by (no_id, id), which are never null: the optimizer adds no filter of its own to
     # either side, so the two exchanges are the same and the texts are shuffled once.
     key = F.col(doc_id).cast("long")
-    base = docs.select(key.isNull().alias("no_id"), F.coalesce(key, F.lit(0).cast("long")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Rows without an id, which may be many, are dealt by their texts.
+    dealt = F.pmod(F.xxhash64(F.col(text)), F.lit(SPREAD))
+    base = docs.select(key.isNull().alias("no_id"), F.coalesce(key, dealt).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = base.where("not no_id")
     pairs = next_ids(known, "id", n).select(F.lit(False).alias("no_id"), "id", F.col("next_key").alias("next_id"))
-    after_null = known.agg(F.min("id").alias("next_id")).where("next_id is not null").select(F.lit(True).alias("no_id"), F.lit(0).cast("long").alias("id"), "next_id")
+    after_null = known.agg(F.min("id").alias("next_id")).where("next_id is not null").select(F.lit(True).alias("no_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("id"), "next_id")
     pairs = materialize(pairs.unionByName(after_null).withColumn("next_no_id", F.lit(False)), "next")
     # What a document tells those before it: up to as many code points as they replace, and its tree.
     need = base.groupBy("no_id", "id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
@@ -102,7 +127,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 4) as int))"), F.coalesce(F.substring("head", F.lit(1), cut), F.lit("")))
     out = with_tree(all_.withColumn("edited", edited), "text", "o")
-    out = with_tree(out, "edited", "e")
+    out = with_edit_place(with_tree(out, "edited", "e"), "o", "e", "text")
     return out.select(
         "doc_id",
         "n_chars",
@@ -111,7 +136,8 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         serialized("e").alias("edited_fingerprint"),
         likeness("o", "e").cast("double").alias("near_edited"),
         F.coalesce(likeness("o", "n"), F.lit(0.0)).cast("double").alias("near_next"),
-        first_difference("o", "e", "sections").alias("edit_section"),
+        "edit_sections",
+        "edit_start",
     )
 
 

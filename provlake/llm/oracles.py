@@ -73,10 +73,10 @@ FROM d LEFT JOIN joined USING (rn)
 
 
 def _tree(text: str) -> str:
-    """[leaves, sections, root] of a text's Merkle tree as a struct."""
+    """A list with each paragraph's text, leaf hashes and hash."""
     paragraphs = f"regexp_extract_all({text}, '{merkle.PARAGRAPH}')"
     leaves = f"list_transform(regexp_extract_all(p, '{merkle.LEAF}'), lambda q: md5(q))"
-    return f"list_transform({paragraphs}, lambda p: {leaves})"
+    return f"list_transform({paragraphs}, lambda p: struct_pack(p := p, leaves := {leaves}, h := md5(array_to_string({leaves}, ''))))"
 
 
 _LIKE = """CASE WHEN {a}.root = {b}.root THEN 1.0
@@ -84,27 +84,35 @@ _LIKE = """CASE WHEN {a}.root = {b}.root THEN 1.0
      ELSE round(len(list_intersect(list_distinct({a}.leaves), list_distinct({b}.leaves)))::DOUBLE / greatest(len(list_distinct({a}.leaves)), len(list_distinct({b}.leaves))), 6) END::DOUBLE"""
 
 
-def _finish(tree: str) -> str:
-    sections = f"""list_transform(generate_series(0, (len({tree}) - 1) // {merkle.SECTION}), lambda i:
-      md5(array_to_string(list_transform({tree}[i * {merkle.SECTION} + 1 : i * {merkle.SECTION} + {merkle.SECTION}], lambda x: md5(array_to_string(x, ''))), '')))"""
-    return f"CASE WHEN len({tree}) = 0 THEN []::VARCHAR[] ELSE {sections} END"
+def _sections(tree: str) -> str:
+    ends = f"trim(x.p, ' ') IN ('', chr(10), chr(13) || chr(10)) OR x.h[1] IN ({', '.join(repr(c) for c in merkle.CUT)})"
+    joined = f"array_to_string(list_transform({tree}, lambda x: x.h || CASE WHEN {ends} THEN '|' ELSE '' END), '')"
+    return f"list_transform(list_filter(string_split({joined}, '|'), lambda s: s <> ''), lambda s: md5(s))"
 
 
+def _struct(name: str) -> str:
+    leaves = f"flatten(list_transform({name}_tree, lambda x: x.leaves))"
+    return f"struct_pack(root := sha256(array_to_string({name}s, '')), leaves := list_transform({leaves}, lambda h: h[1:{merkle.LEAF_DIGITS}]))"
+
+
+# The place of an edit is found here by comparing all phrases in a row, without the tree.
 OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 o AS (SELECT *, length(t) AS n, length(t) // 4 AS k,
              coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt FROM d),
 e AS (SELECT *, left(t, n - k) || left(nt, k) AS et FROM o),
 trees AS (SELECT *, {_tree('t')} AS o_tree, {_tree('et')} AS e_tree, {_tree('nt')} AS n_tree FROM e),
-cut AS (SELECT *, {_finish('o_tree')} AS os, {_finish('e_tree')} AS es, {_finish('n_tree')} AS ns FROM trees),
-made AS (SELECT *,
-  struct_pack(root := sha256(array_to_string(os, '')), leaves := list_transform(flatten(o_tree), lambda h: h[1:{merkle.LEAF_DIGITS}])) AS a,
-  struct_pack(root := sha256(array_to_string(es, '')), leaves := list_transform(flatten(e_tree), lambda h: h[1:{merkle.LEAF_DIGITS}])) AS b,
-  struct_pack(root := sha256(array_to_string(ns, '')), leaves := list_transform(flatten(n_tree), lambda h: h[1:{merkle.LEAF_DIGITS}])) AS c FROM cut)
+cut AS (SELECT *, {_sections('o_tree')} AS os, {_sections('e_tree')} AS es, {_sections('n_tree')} AS ns,
+  flatten(list_transform(regexp_extract_all(t, '{merkle.PARAGRAPH}'), lambda p: regexp_extract_all(p, '{merkle.LEAF}'))) AS ot,
+  flatten(list_transform(regexp_extract_all(et, '{merkle.PARAGRAPH}'), lambda p: regexp_extract_all(p, '{merkle.LEAF}'))) AS ett FROM trees),
+made AS (SELECT *, {_struct('o')} AS a, {_struct('e')} AS b, {_struct('n')} AS c,
+  list_filter(generate_series(1, least(len(ot), len(ett)) + 1), lambda i: i > least(len(ot), len(ett)) OR ot[i] <> ett[i])[1] AS place FROM cut)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(et) AS edited_sha256,
        a.root || ':' || array_to_string(list_transform(os, lambda h: h[1:{merkle.SECTION_DIGITS}]), '.') AS fingerprint,
        b.root || ':' || array_to_string(list_transform(es, lambda h: h[1:{merkle.SECTION_DIGITS}]), '.') AS edited_fingerprint,
-       {_LIKE.format(a='a', b='b')} AS near_edited, {_LIKE.format(a='a', b='c')} AS near_next
+       {_LIKE.format(a='a', b='b')} AS near_edited, {_LIKE.format(a='a', b='c')} AS near_next,
+       len(list_distinct(list_filter(es, lambda s: NOT list_contains(os, s))))::BIGINT AS edit_sections,
+       CASE WHEN t <> et THEN coalesce(list_sum(list_transform(ot[1:place - 1], lambda x: length(x))), 0)::BIGINT END AS edit_start
 FROM made
 """
 

@@ -37,7 +37,7 @@ def op4_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.fingerprint_edits(_documents(spark, sf_dir)).drop("edit_section")
+    return merkle.fingerprint_edits(_documents(spark, sf_dir))
 
 
 def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,9 +272,16 @@ def test_edits(spark, corpus):
 
 
 def test_difference_is_located(spark):
-    a = "\n".join(f"line {i}." for i in range(40))
-    d = merkle.with_tree(merkle.with_tree(spark.createDataFrame([(a, a.replace("line 20.", "line x."))], "a string, b string"), "a", "a"), "b", "b")
-    assert d.select(merkle.first_difference("a", "b", "sections").alias("s"), merkle.first_difference("a", "b", "paragraphs").alias("p")).first() == (2, 20)
+    a = "\n".join(f"line {i}, with some words." + "\n" * (i % 7 == 0) for i in range(40))
+    at = a.index("line 20,")
+    edits = [a.replace("line 20,", "line x,"), "one line before all.\n" + a, a[:at] + "two.\nlines.\n" + a[at:], a, a + " more", a[: at + 3], "", a.replace("words", "wörds")]
+    rows = [(i, a, e) for i, e in enumerate(edits)] + [(8, "", "new"), (9, "", "")]
+    d = merkle.with_tree(merkle.with_tree(spark.createDataFrame(rows, "i int, a string, b string"), "a", "a"), "b", "b")
+    got = {r.i: r for r in merkle.with_edit_place(d, "a", "b", "a").collect()}
+    assert [got[i].edit_start for i in (0, 1, 2, 3, 4, 5, 6, 8, 9)] == [at, 0, at, None, len(a), at, 0, 0, None]
+    assert len(got[0].a_sections) > 5 and got[3].edit_sections == 0 and got[0].edit_sections == 1
+    # An insertion changes the section that it is in, two at most, and no other.
+    assert 1 <= got[1].edit_sections <= 2 and 1 <= got[2].edit_sections <= 2
 
 
 # --- 6 ---
@@ -394,8 +401,39 @@ def test_forward_sums_all_segmentations():
     def total(t):
         return 1.0 if not t else sum(p[0][i] * total(t[len(k) :]) for k, i in pieces.items() if t.startswith(k))
 
-    assert m.word("abab")[0] == pytest.approx(np.log(total("▁abab")))
-    assert m.word("ab" * 90)[0] == pytest.approx(np.log(total("▁" + "ab" * 90)))
+    got = m.words(["abab", "ab" * 90, "a", "ab" * 300])[:, 0]
+    assert got == pytest.approx([np.log(total("▁" + w)) for w in ("abab", "ab" * 90, "a")] + [m.long_word("▁" + "ab" * 300)[0]])
+    assert m.long_word("▁" + "ab" * 90)[0] == pytest.approx(got[1]) and m.long_word("▁abab")[0] == pytest.approx(got[0])
+
+
+def test_expected_pieces_by_enumeration():
+    pieces = {"▁a": 0, "a": 1, "b": 2, "ab": 3, "▁ab": 4, "▁": 5}
+    p = np.array([[0.5] * 6, [0.1, 0.2, 0.3, 0.15, 0.05, 0.2]])
+    m = langid.Model(["w", "x"], pieces, p, np.zeros(2))
+
+    def ways(t):
+        if not t:
+            yield []
+        for k in pieces:
+            if t.startswith(k):
+                yield from ([k, *rest] for rest in ways(t[len(k) :]))
+
+    want = np.zeros(6)
+    for word, weight in (("abab", 3), ("ba", 2), ("ab", 1)):
+        found = list(ways("▁" + word))
+        share = np.array([np.prod([p[1][pieces[k]] for k in w]) for w in found])
+        for w, x in zip(found, share / share.sum()):
+            for k in w:
+                want[pieces[k]] += weight * x
+    assert m.expected(["abab", "ba", "ab"], [3, 2, 1], 1) == pytest.approx(want)
+    # A word of any length counts: as many letters as pieces cover.
+    long = m.expected(["ab" * 200], [1], 1)
+    assert (long * [2, 1, 1, 2, 3, 1]).sum() == pytest.approx(401)
+
+
+def test_no_letter_is_undetermined():
+    m = langid.Model(["en"], {"a": 0}, np.array([[1.0]]), np.zeros(1))
+    assert [m.score(t)[0] for t in ("½ ² ¾", "123_", "", None, "ª", "中")] == ["und"] * 4 + ["en"] * 2
 
 
 def test_languages(spark):
@@ -408,6 +446,8 @@ def test_languages(spark):
     held = [i for i, _, k in rows if got[i].held_out]
     assert all(got[i].lang_pred == rows[i][2] for i in held) and all(0 <= r.score <= 1 for r in got.values())
     kept = langid.keep_known(d)
+    clash = d.withColumns({"lang_pred": F.lit(1), "lang_score": F.lit("x")})
+    assert langid.keep_known(clash).columns == clash.columns and langid.keep_known(clash).count() == 182
     assert kept.columns == d.columns and {500, 501}.isdisjoint(r.doc_id for r in kept.collect()) and kept.count() == 182
 
 
