@@ -29,18 +29,19 @@ def digest(c: Column) -> Column:
 
 
 def with_tree(docs: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Add prefix_leaves (array of all leaf hashes, shortened), prefix_tree (array of each paragraph's hash, number of code
-    points, and leaf hashes), prefix_blocks (each section's paragraph hashes, joined), prefix_sections (hashes) and prefix_root."""
+    """Add prefix_leaves (array of all leaf hashes, shortened), prefix_tree (array of each paragraph's number of code points,
+    whether it is blank, and leaf hashes), prefix_paragraphs (hashes), prefix_blocks (each section's paragraph hashes, joined),
+    prefix_sections (hashes) and prefix_root. Each level is a column of its own, so that no hash is taken twice."""
 
     def paragraph(p: Column) -> Column:
         leaves = F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), digest)
-        hash_ = digest(F.array_join(leaves, ""))
-        ends = F.trim(p).isin("", "\n", "\r\n") | F.substring(hash_, 1, 1).isin(*CUT)
-        return F.struct(hash_.alias("hash"), ends.alias("ends"), F.length(p).alias("n"), leaves.alias("leaves"))
+        return F.struct(F.length(p).alias("n"), F.trim(p).isin("", "\n", "\r\n").alias("blank"), leaves.alias("leaves"))
 
     docs = docs.withColumn(f"{prefix}_tree", F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), paragraph))
     docs = docs.withColumn(f"{prefix}_leaves", F.transform(F.flatten(F.col(f"{prefix}_tree.leaves")), lambda h: F.substring(h, 1, LEAF_DIGITS)))
-    joined = F.array_join(F.transform(f"{prefix}_tree", lambda p: F.concat(p.hash, F.when(p.ends, F.lit("|")).otherwise(F.lit("")))), "")
+    docs = docs.withColumn(f"{prefix}_paragraphs", F.transform(f"{prefix}_tree", lambda p: digest(F.array_join(p.leaves, ""))))
+    ends = lambda p, h: F.when(p.blank | F.substring(h, 1, 1).isin(*CUT), F.lit("|")).otherwise(F.lit(""))
+    joined = F.array_join(F.zip_with(f"{prefix}_tree", f"{prefix}_paragraphs", lambda p, h: F.concat(h, ends(p, h))), "")
     docs = docs.withColumn(f"{prefix}_blocks", F.filter(F.split(joined, "[|]"), lambda b: b != ""))
     docs = docs.withColumn(f"{prefix}_sections", F.transform(f"{prefix}_blocks", digest))
     return docs.withColumn(f"{prefix}_root", F.sha2(F.array_join(f"{prefix}_sections", ""), 256))
@@ -53,8 +54,8 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(f"{a}_root") == F.col(f"{b}_root"), 1.0).when(most == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(x, y)) / most, 6))
 
 
-def same_start(x: Column, y: Column) -> Column:
-    """Number of equal elements at the start of two arrays."""
+def same_start(x: str, y: str) -> Column:
+    """Number of equal elements at the start of two array columns."""
     most = F.least(F.size(x), F.size(y))
     differs = F.filter(F.sequence(F.lit(0), most), lambda i: (i == most) | (F.get(x, i) != F.get(y, i)))
     return F.get(differs, F.lit(0))
@@ -65,20 +66,27 @@ def with_edit_place(docs: DataFrame, a: str, b: str, text: str) -> DataFrame:
     tree a, where the first phrase stands that differs; null if none does), by descent from the roots: the sections before
     the first differing one are passed over by their hashes, then its paragraphs, then the phrases of its first differing one.
     """
-    section, paragraph, phrases = unused(docs, "section", "paragraph", "phrases")
+    section, paragraph, phrases, mine, its = unused(docs, "section", "paragraph", "phrases", "mine", "its")
     out = docs.withColumn("edit_sections", F.size(F.array_except(f"{b}_sections", f"{a}_sections")).cast("long"))
-    out = out.withColumn(section, same_start(F.col(f"{a}_sections"), F.col(f"{b}_sections")))
+    out = out.withColumn(section, same_start(f"{a}_sections", f"{b}_sections"))
     # A block holds 32 digits for each paragraph.
     before = F.aggregate(F.slice(f"{a}_blocks", F.lit(1), F.col(section)), F.lit(0), lambda n, x: n + F.floor(F.length(x) / 32).cast("int"))
-    out = out.withColumn(paragraph, before)
-    rest = lambda t: F.transform(F.slice(f"{t}_tree", F.col(paragraph) + 1, F.greatest(F.size(f"{t}_tree") - F.col(paragraph), F.lit(0))), lambda p: p.hash)
-    out = out.withColumn(paragraph, F.col(paragraph) + same_start(rest(a), rest(b)))
+    out = out.withColumn(section, before)
+
+    def rest(t: str) -> Column:
+        """Hashes of the paragraphs from that section on."""
+        return F.slice(f"{t}_paragraphs", F.col(section) + 1, F.greatest(F.size(f"{t}_paragraphs") - F.col(section), F.lit(0)))
+
+    out = out.withColumns({mine: rest(a), its: rest(b)})
+    out = out.withColumn(paragraph, F.col(section) + same_start(mine, its))
     at = F.aggregate(F.slice(f"{a}_tree", F.lit(1), F.col(paragraph)), F.lit(0), lambda n, p: n + p.n)
-    mine, its = (F.coalesce(F.get(F.col(f"{t}_tree"), F.col(paragraph)).leaves, F.array().cast("array<string>")) for t in (a, b))
+    leaves = {c: F.coalesce(F.get(F.col(f"{t}_tree"), F.col(paragraph)).leaves, F.array().cast("array<string>")) for c, t in ((mine, a), (its, b))}
+    out = out.withColumns({**leaves, section: at})
+    at = F.col(section)
     # The phrases of the one paragraph, whose lengths give the place.
     out = out.withColumn(phrases, F.regexp_extract_all(F.substring(text, at + 1, F.coalesce(F.get(F.col(f"{a}_tree"), F.col(paragraph)).n, F.lit(0))), F.lit(LEAF), F.lit(0)))
     start = at + F.aggregate(F.slice(phrases, F.lit(1), same_start(mine, its)), F.lit(0), lambda n, x: n + F.length(x))
-    return out.withColumn("edit_start", F.when(F.col(f"{a}_root") != F.col(f"{b}_root"), start.cast("long"))).drop(section, paragraph, phrases)
+    return out.withColumn("edit_start", F.when(F.col(f"{a}_root") != F.col(f"{b}_root"), start.cast("long"))).drop(section, paragraph, phrases, mine, its)
 
 
 def next_ids(docs: DataFrame, key: str, partitions: int) -> DataFrame:
