@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,63 +66,60 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def running_starts(gaps: Column, lengths: Column) -> Column:
-    """Start of each match: the sum of all gaps up to it and of all matches before it.
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array<bigint> the fold, from 0, of all elements before it.
 
-    Folds blocks of 256 so that the cost per match stays bounded in texts with very many of them.
+    Folds blocks of 256 so that the cost per element stays bounded in very long arrays.
     """
-    block = 256
-    pairs = F.zip_with(gaps, lengths, lambda g, n: F.struct(g.cast("long").alias("g"), n.cast("long").alias("n")))
-    count = F.ceil(F.size(lengths) / F.lit(block)).cast("int")
-    blocks = F.when(
-        F.size(lengths) > 0,
-        F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(pairs, b * block + 1, F.lit(block))),
-    )
-    sums = F.transform(blocks, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x.g + x.n))
+    block, zero = 256, F.lit(0).cast("long")
+    count = F.ceil(F.size(values) / F.lit(block)).cast("int")
+    blocks = F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(values, b * block + 1, F.lit(block))))
+    sums = F.transform(blocks, lambda p: F.aggregate(p, zero, combine))
 
     def one(p: Column, i: Column) -> Column:
-        first = F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x)
-        zero = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(
-            p,
-            zero,
-            lambda a, x: F.struct((a.at + x.g + x.n).alias("at"), F.concat(a.out, F.array(a.at + x.g)).alias("out")),
-            lambda a: a.out,
-        )
+        first = F.aggregate(F.slice(sums, F.lit(1), i), zero, combine)
+        start = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(p, start, lambda a, x: F.struct(combine(a.at, x).alias("at"), F.concat(a.out, F.array(a.at)).alias("out")), lambda a: a.out)
 
     return F.coalesce(F.flatten(F.transform(blocks, one)), F.array().cast("array<bigint>"))
 
 
-def find_spans(df: DataFrame, text: str, regex: str, out: str, group: int = 0, context: int = 0) -> DataFrame:
+#: Characters of a chunk of a text.
+CHUNK = 1024
+
+
+def chunks(text: Column | str) -> Column:
+    """A text cut every CHUNK code points, so that stretch() need not count from its start for each stretch of it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def stretch(cut: Column | str, start: Column, end: Column) -> Column:
+    """The code points start..end (exclusive) of a text given by its chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    held = F.slice(cut, first + 1, (F.floor((end - 1) / CHUNK) - first + 1).cast("int"))
+    return F.when(end <= start, F.lit("")).otherwise(F.substring(F.array_join(held, ""), (start % CHUNK).cast("int") + 1, (end - start).cast("int")))
+
+
+def find_spans(df: DataFrame, text: str, regex: str, out: str, group: int = 0) -> DataFrame:
     """Add column `out`: the leftmost non-overlapping matches of regex in df[text], built from split() and regexp_extract_all().
 
-    Each is struct(start, end, hit, part, before): code points with an exclusive end, the match, its capture `group`,
-    and up to `context` characters between the previous match and this one.
+    Each is struct(start, end, hit, part): code points with an exclusive end, the match and its capture `group`.
     """
     seen = F.col(text).rlike(regex)
     none = F.array().cast("array<string>")
     df = df.withColumn(f"{out}_h", F.when(seen, F.regexp_extract_all(text, F.lit(regex), F.lit(0))).otherwise(none))
     df = df.withColumn(f"{out}_p", F.when(seen, F.regexp_extract_all(text, F.lit(regex), F.lit(group))).otherwise(none) if group else F.col(f"{out}_h"))
     gaps = F.when(seen, F.slice(F.split(text, regex, -1), F.lit(1), F.size(f"{out}_h"))).otherwise(none)
-    df = df.withColumn(
-        f"{out}_g",
-        F.transform(gaps, lambda g: F.struct(F.length(g).cast("long").alias("n"), (F.right(g, F.lit(context)) if context else F.lit("")).alias("before"))),
-    )
-    df = df.withColumn(f"{out}_s", running_starts(F.col(f"{out}_g.n"), F.transform(f"{out}_h", lambda h: F.length(h).cast("long"))))
+    df = df.withColumn(f"{out}_g", F.transform(gaps, lambda g: F.length(g).cast("long")))
+    # A match starts after all gaps up to it and all matches before it.
+    df = df.withColumn(f"{out}_s", running(F.zip_with(f"{out}_g", f"{out}_h", lambda g, h: g + F.length(h)), lambda a, x: a + x))
     zipped = F.arrays_zip(f"{out}_s", f"{out}_h", f"{out}_p", f"{out}_g")
-    return df.withColumn(
-        out,
-        F.transform(
-            zipped,
-            lambda z: F.struct(
-                z[f"{out}_s"].alias("start"),
-                (z[f"{out}_s"] + F.length(z[f"{out}_h"])).alias("end"),
-                z[f"{out}_h"].alias("hit"),
-                z[f"{out}_p"].alias("part"),
-                z[f"{out}_g"]["before"].alias("before"),
-            ),
-        ),
-    ).drop(f"{out}_h", f"{out}_p", f"{out}_g", f"{out}_s")
+
+    def span(z: Column) -> Column:
+        start = z[f"{out}_s"] + z[f"{out}_g"]
+        return F.struct(start.alias("start"), (start + F.length(z[f"{out}_h"])).alias("end"), z[f"{out}_h"].alias("hit"), z[f"{out}_p"].alias("part"))
+
+    return df.withColumn(out, F.transform(zipped, span)).drop(f"{out}_h", f"{out}_p", f"{out}_g", f"{out}_s")
 
 
 def joined_spans(spans: Column) -> Column:

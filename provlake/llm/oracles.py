@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import merkle, secret_scan
+from . import merkle, pii, secret_scan
 
 
 
@@ -44,30 +44,42 @@ _LUHN = """list_sum(list_transform(generate_series(1, length(n)), lambda j:
 _MOD97 = """list_reduce(list_prepend(0::BIGINT, list_transform(string_split(b[5:] || b[1:4], ''), lambda c: ascii(c)::BIGINT)), lambda a, v:
     CASE WHEN v >= 65 THEN (a * 100 + v - 55) % 97 ELSE (a * 10 + v - 48) % 97 END) = 1"""
 
+_USUAL = "CASE " + " ".join(f"WHEN t[i:i+1] IN ({', '.join(map(repr, names.split()))}) THEN {n}" for n, names in pii.IBAN_CHARS.items()) + " ELSE 0 END"
+_RANK = "CASE kind " + " ".join(f"WHEN '{k.name}' THEN {i}" for i, k in enumerate(pii.KINDS)) + " END"
+_NEAR = "CASE kind " + " ".join(f"WHEN '{k.name}' THEN CASE WHEN regexp_matches(b, '{pii.near(k)}') THEN {0.5 + k.prior / 2} ELSE {k.prior} END" for k in pii.KINDS) + " END"
+
+# Accounts: every place where one may start, every end that it may have.
 OP7 = f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
 hits AS ({_hits('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+')}
   UNION ALL {_hits('ip', '[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)')}
   UNION ALL {_hits('card', '[0-9]([ -]?[0-9])+')}
-  UNION ALL {_hits('phone', '[+][0-9][ ().0-9-]+[0-9]')}
-  UNION ALL {_hits('iban', r'\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}\b')}),{_SPANS},
-clean AS (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS n, replace(hit, ' ', '') AS b FROM located),
-kept AS (
-  SELECT rn, kind, start, stop, CASE kind WHEN 'email' THEN 0 WHEN 'ip' THEN 1 WHEN 'card' THEN 2 WHEN 'phone' THEN 3 ELSE 4 END AS rank
-  FROM clean WHERE CASE kind
+  UNION ALL {_hits('phone', '[+][0-9][ ().0-9-]+[0-9]')}),{_SPANS},
+clean AS (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS n FROM located),
+base AS (
+  SELECT rn, kind, start::BIGINT AS start, stop::BIGINT AS stop FROM clean WHERE CASE kind
     WHEN 'email' THEN true
     WHEN 'ip' THEN list_max(list_transform(string_split(hit, '.'), lambda x: x::HUGEINT)) <= 255
     WHEN 'card' THEN CASE WHEN length(n) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END
-    WHEN 'phone' THEN length(n) BETWEEN 8 AND 15
-    ELSE CASE WHEN length(b) BETWEEN 15 AND 34 THEN {_MOD97} ELSE false END END),
+    ELSE length(n) BETWEEN 8 AND 15 END),
+begins AS (SELECT rn, t, i FROM (SELECT rn, t, unnest(generate_series(1, length(t))) AS i FROM d WHERE regexp_matches(t, '[A-Z]{{2}}[0-9]{{2}}'))
+  WHERE regexp_full_match(t[i:i+3], '[A-Z]{{2}}[0-9]{{2}}') AND NOT regexp_full_match(coalesce(t[i-1:i-1], ''), '[A-Z0-9]')),
+ends AS (SELECT rn, i, n, {_USUAL} = length(b) AS usual FROM (SELECT *, substring(t, i, n) AS p, replace(substring(t, i, n), ' ', '') AS b FROM (SELECT *, unnest(generate_series(15, 68)) AS n FROM begins))
+  WHERE length(p) = n AND regexp_full_match(p, '[A-Z]{{2}}[0-9]{{2}}( ?[A-Z0-9])+') AND NOT regexp_full_match(t[i+n:i+n], '[A-Z0-9]')
+    AND CASE WHEN length(b) BETWEEN 15 AND 34 THEN {_MOD97} ELSE false END),
+accounts AS (SELECT rn, i, arg_max(n, ROW(usual, n)) AS n FROM ends GROUP BY rn, i),
+apart AS (SELECT rn, i, n, max(i + n) OVER (PARTITION BY rn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM accounts),
+kept AS (SELECT * FROM base UNION ALL SELECT rn, 'iban', i - 1, i - 1 + n FROM apart WHERE reach IS NULL OR reach <= i),
+scored AS (SELECT *, {_RANK} AS rank, {_NEAR} AS score FROM (SELECT k.*, lower(substring(d.t, greatest(k.start - {pii.CONTEXT}, 0) + 1, least(k.start, {pii.CONTEXT}))) AS b FROM kept k JOIN d USING (rn))),
 joined AS (
   SELECT rn, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card,
          count(*) FILTER (rank = 3) AS n_phone,
-         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY rank, start) AS spans,
-         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY rank, start) FILTER (rank < 4) AS base
-  FROM kept GROUP BY rn)
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) AS spans,
+         string_agg(printf('%.3f', score), ',' ORDER BY rank, start) AS scores,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) FILTER (rank < 4) AS base
+  FROM scored GROUP BY rn)
 SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card,
-       coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN joined USING (rn)
 """
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_spans
+from .common import chunks, find_spans, running, stretch, unused
 
 #: Characters before a span that are searched for context words.
 CONTEXT = 48
@@ -79,7 +79,7 @@ def confirmed(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def iban_spans(spans: Column, text: Column) -> Column:
+def iban_spans(spans: Column) -> Column:
     """The accounts that start at the spans (hit: four characters, part: what follows), from left to right without overlap.
 
     Of the beginnings of 15 to 34 characters that end at a word's edge and pass mod-97 the one with its country's length
@@ -103,44 +103,46 @@ def iban_spans(spans: Column, text: Column) -> Column:
 
     found = F.filter(F.transform(spans, longest), lambda s: s.end.isNotNull())
     zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    apart = F.aggregate(found, zero, lambda a, s: F.when((F.size(a) == 0) | (F.get(a, F.size(a) - 1).end <= s.start), F.concat(a, F.array(s))).otherwise(a))
+    return F.aggregate(found, zero, lambda a, s: F.when((F.size(a) == 0) | (F.get(a, F.size(a) - 1).end <= s.start), F.concat(a, F.array(s))).otherwise(a))
 
-    # The pattern's other hits may stand between a context word and the account, so the text itself is looked at.
-    def before(s: Column) -> Column:
-        at = F.greatest(s.start - CONTEXT, F.lit(0))
-        return F.substring(text, (at + 1).cast("int"), (s.start - at).cast("int"))
 
-    return F.transform(apart, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), before(s).alias("before")))
-
-
-def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with one more column, `pii`: array<struct<kind,start,end,score>> ordered by kind as listed, then start.
+def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5, out: str = "pii") -> DataFrame:
+    """docs with one more column, `out`: array<struct<kind,start,end,score>> ordered by kind as listed, then start.
 
     Spans of the base kinds (email, ip, card, phone) that their check confirms are always there; spans of other kinds
     (iban) need a score of `threshold` or more; at 0.5, iban's prior, the checksum alone decides, so that no valid account is
-    lost for want of a context word, and a higher threshold asks for one. The score is the kind's prior, raised by half of what is missing to 1 if
-    a context word stands in the 48 characters before the span. Null and empty texts have no spans. Other columns pass through.
+    lost for want of a context word, and a higher threshold asks for one. The score is the kind's prior, raised by half of what
+    is missing to 1 if a context word stands in the 48 characters before the span. Null and empty texts have no spans. Other
+    columns pass through; a column that is called `out` already is an error.
     """
-    work = docs.withColumn("_pii_text", F.coalesce(F.col(text), F.lit("")))
-    for k in KINDS:
-        work = find_spans(work, "_pii_text", k.pattern, f"_pii_{k.name}", group=int(k.name == "iban"), context=CONTEXT)
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {out}")
+    whole, cut, *names = unused(docs, "pii_text", "pii_cut", *(f"pii_{k.name}" for k in KINDS))
+    work = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    for k, name in zip(KINDS, names):
+        work = find_spans(work, whole, k.pattern, name, group=int(k.name == "iban"))
+
+    def kept(k: Kind, name: str) -> Column:
+        found = iban_spans(F.col(name)) if k.name == "iban" else F.filter(name, lambda s: confirmed(k.name, s.hit))
+        return F.transform(found, lambda s: F.struct(F.lit(k.name).alias("kind"), s.start.alias("start"), s.end.alias("end")))
+
+    work = work.withColumn(out, F.concat(*map(kept, KINDS, names))).drop(*names)
+    work = work.withColumn(cut, F.when(F.size(out) > 0, chunks(whole)))
+
+    def scored(s: Column) -> Column:
+        before = F.lower(stretch(cut, F.greatest(s.start - CONTEXT, F.lit(0)), s.start))
+        score = F.lit(None).cast("double")
+        for k in KINDS:
+            score = F.when(s.kind == k.name, F.when(before.rlike(near(k)), F.lit(0.5 + k.prior / 2)).otherwise(F.lit(k.prior))).otherwise(score)
+        return F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), score.alias("score"))
 
-    def kept(k: Kind) -> Column:
-        def scored(s: Column) -> Column:
-            near = F.lower(s.before).rlike(rf"\b(?:{k.words})\b")
-            return F.struct(
-                F.lit(k.name).alias("kind"),
-                s.start.alias("start"),
-                s.end.alias("end"),
-                F.when(near, F.lit(0.5 + k.prior / 2)).otherwise(F.lit(k.prior)).alias("score"),
-            )
+    spans = F.filter(F.transform(out, scored), lambda s: s.kind.isin(*BASE) | (s.score >= threshold))
+    return work.withColumn(out, F.when(F.col(cut).isNull(), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")).otherwise(spans)).drop(whole, cut)
 
-        found = F.col(f"_pii_{k.name}")
-        found = iban_spans(found, F.col("_pii_text")) if k.name == "iban" else F.filter(found, lambda s: confirmed(k.name, s.hit))
-        spans = F.transform(found, scored)
-        return spans if k.name in BASE else F.filter(spans, lambda s: s.score >= threshold)
 
-    return work.withColumn("pii", F.concat(*(kept(k) for k in KINDS))).drop("_pii_text", *(f"_pii_{k.name}" for k in KINDS))
+def near(k: Kind) -> str:
+    """Pattern of a context word in lower-case text."""
+    return f"(?:^|[^a-z])(?:{k.words})(?:[^a-z]|$)"
 
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -148,29 +150,14 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
 
     Overlapping spans become one, named by the one that starts first. Rows, columns and null texts stay as they are.
     """
-    found = find_pii(docs, text, threshold)
-    spans = F.array_sort(F.transform("pii", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
-    # Keeps a span only if it starts at or after the end of what precedes it, else widens the last one.
-    zero = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-
-    def merge(a: Column, s: Column) -> Column:
-        last = F.element_at(a, -1)
-        wider = F.struct(last.start.alias("start"), F.greatest(last.end, s.end).alias("end"), last.kind.alias("kind"))
-        return F.when((F.size(a) == 0) | (F.get(a, F.size(a) - 1).end <= s.start), F.concat(a, F.array(s))).otherwise(
-            F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(wider))
-        )
-
-    found = found.withColumn("_pii_spans", F.when(F.size("pii") > 0, F.aggregate(spans, zero, merge)).otherwise(zero))
-    at = F.col("_pii_spans")
-    parts = F.transform(
-        at,
-        lambda s, i: F.concat(
-            F.substring(F.col(text), F.coalesce(F.get(at, i - 1).end, F.lit(0)).cast("int") + 1, (s.start - F.coalesce(F.get(at, i - 1).end, F.lit(0))).cast("int")),
-            F.lit("["),
-            F.upper(s.kind),
-            F.lit("]"),
-        ),
-    )
-    tail = F.substring(F.col(text), F.get(at, F.size(at) - 1).end.cast("int") + 1, F.length(text))
-    new = F.when(F.size(at) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col(text))
-    return found.withColumn(text, new).select(docs.columns)
+    pii, cut, new = unused(docs, "pii", "pii_cut", "pii_new")
+    found = find_pii(docs, text, threshold, pii)
+    found = found.withColumn(pii, F.array_sort(F.transform(pii, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))))
+    found = found.withColumn(cut, chunks(text))
+    # Where all spans before one end, at most at its start, a new stretch begins; what lies between is kept.
+    reach = running(F.transform(pii, lambda s: s.end), lambda a, x: F.greatest(a, x))
+    heads = F.filter(F.zip_with(pii, reach, lambda s, r: F.struct(r.alias("reach"), s.start.alias("start"), s.kind.alias("kind"))), lambda s: s.start >= s.reach)
+    parts = F.transform(heads, lambda s: F.concat(stretch(cut, s.reach, s.start), F.lit("["), F.upper(s.kind), F.lit("]")))
+    tail = stretch(cut, F.array_max(F.transform(pii, lambda s: s.end)), F.length(text).cast("long"))
+    found = found.withColumn(new, F.when(F.size(pii) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col(text)))
+    return found.select(*(F.col(new).alias(c) if c == text else F.col(c) for c in docs.columns))

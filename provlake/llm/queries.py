@@ -47,8 +47,10 @@ def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text"))
     counts = [_count("pii", k) for k in pii.BASE]
+    # In the order of spans: the prior of the kind, or more with a context word.
+    scores = F.array_join(F.transform("pii", lambda s: F.format_string("%.3f", s.score)), ",")
     base = F.filter("pii", lambda s: s.kind.isin(*pii.BASE))
-    return found.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("pii")).alias("spans"), scores.alias("scores"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
