@@ -6,6 +6,7 @@ Exact piece hits come from one automaton over all pieces; around each hit Myers'
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Edits allowed for each character of an item, and characters of items in one automaton.
 ERROR_RATE, BLOCK_CHARS = 0.05, 1 << 23
-#: Items shorter than this are too common to be evidence.
+#: Items shorter than this must stand unchanged, as whole words, and are no evidence for drop_contaminated().
 MIN_CHARS = 40
 
 
@@ -25,7 +26,7 @@ def normalize(text: str | None) -> str:
 
 
 def budget(item: str) -> int:
-    return int(len(item) * ERROR_RATE)
+    return int(len(item) * ERROR_RATE) if len(item) >= MIN_CHARS else 0
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -35,8 +36,9 @@ def pieces(item: str) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def myers(pattern_bits: dict[str, int], m: int, text: str, limit: int) -> tuple[int, int] | None:
-    """(distance, end) of the best match of a pattern anywhere in text, the earliest end on ties; None above limit."""
+def myers(pattern_bits: dict[str, int], m: int, text: str, limit: int, anchored: bool = False) -> tuple[int, int] | None:
+    """(distance, end) of the best match of a pattern anywhere in text, or with `anchored` from its start on; the earliest end
+    on ties, None above limit."""
     mask, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best = mask, 0, m, None
     for j, c in enumerate(text):
@@ -48,7 +50,8 @@ def myers(pattern_bits: dict[str, int], m: int, text: str, limit: int) -> tuple[
             score += 1
         elif mh & top:
             score -= 1
-        ph, mh = (ph << 1) & mask, (mh << 1) & mask
+        # An anchored match pays for each character of the text before the pattern begins.
+        ph, mh = (ph << 1 | anchored) & mask, (mh << 1) & mask
         pv, mv = mh | ~(xv | ph) & mask, ph & xv
         if score <= limit and (best is None or score < best[0]):
             best = (score, j + 1)
@@ -66,12 +69,13 @@ class Matcher:
     """All items of one block, ready for any number of texts."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items = [(i, n) for i, t in items if len(n := normalize(t)) >= MIN_CHARS]
+        self.items = [(i, n) for i, t in items if (n := normalize(t))]
         self.bits = [(bits(t), bits(t[::-1])) for _, t in self.items]
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(self.items):
             for at, piece in pieces(t):
                 where.setdefault(piece, []).append((k, at))
+        self.long = {i for i, t in self.items if len(t) >= MIN_CHARS}
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -79,7 +83,8 @@ class Matcher:
             self.automaton.make_automaton()
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, distance) of the best match of each item, in normalized characters."""
+        """(item_id, start, end, distance) of the best match of each item, in normalized characters: the least distance, of
+        these the earliest end, of these the shortest."""
         if not self.items:
             return []
         text, best, tried = normalize(text), {}, set()
@@ -91,33 +96,69 @@ class Matcher:
                 step = max(1, limit)
                 if (k, begin // step) in tried or best.get(k, (1,))[0] == 0:
                     continue
+                if len(t) < MIN_CHARS:
+                    if not (text[begin - 1 : begin].isalnum() or text[last + 1 : last + 2].isalnum()):
+                        best[k] = (0, last + 1)
+                    continue
                 tried.add((k, begin // step))
                 lo, hi = max(0, begin - 2 * step - limit), begin + len(t) + 2 * step + limit
                 found = myers(self.bits[k][0], len(t), text[lo:hi], limit)
-                if found and (k not in best or found[0] < best[k][0]):
-                    end = lo + found[1]
-                    back = myers(self.bits[k][1], len(t), text[max(0, end - len(t) - limit) : end][::-1], found[0])
-                    best[k] = (found[0], end - back[1], end)
-        return sorted((self.items[k][0], s, e, d) for k, (d, s, e) in best.items())
+                if found and (k not in best or (found[0], lo + found[1]) < best[k]):
+                    best[k] = (found[0], lo + found[1])
+        out = []
+        for k, (d, end) in best.items():
+            m = len(self.items[k][1])
+            back = myers(self.bits[k][1], m, text[max(0, end - m - d) : end][::-1], d, anchored=True)
+            out.append((self.items[k][0], end - back[1], end, d))
+        return sorted(out)
+
+    def evidence(self, text: str | None) -> bool:
+        """Does the text hold an item of MIN_CHARS characters or more?"""
+        return any(m[0] in self.long for m in self.matches(text))
+
+
+#: The last block's matcher, kept by a worker process between tasks.
+_kept: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, items: list[tuple[int, str]]) -> Matcher:
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Matcher(items)
+    return _kept[key]
+
+
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about BLOCK_CHARS characters, an empty one if there is none."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("t")).where("t is not null")
+    block, chars, none = [], 0, True
+    for r in items.toLocalIterator():
+        block.append((r.item_id, r.t))
+        chars += len(r.t)
+        if chars >= BLOCK_CHARS:
+            yield block
+            block, chars, none = [], 0, False
+    if block or none:
+        yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, start, end, distance): the best match of every item in every text, within 5 % edits.
 
-    Positions are in the normalized text (lower case, single blanks). Texts and items that are null or empty match nothing,
-    nor do items under 40 characters. Repeated rows are matched each. The items are a stated query set: they are read in
-    blocks of at most BLOCK_CHARS characters, one pass over the documents for each, so no block grows with the benchmark.
+    Positions are in the normalized text (lower case, single blanks). Items under MIN_CHARS characters match where they stand
+    unchanged and no letter or digit comes right before or after. Texts and items that are null or empty match nothing.
+    Repeated rows are matched each. The items are a stated query set: they are read in blocks of about BLOCK_CHARS characters,
+    one pass over the documents for each, so no block grows with the benchmark.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("t")).where("t is not null")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, start int, end int, distance int"
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+        shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+            matcher = _matcher(key, shared.value)
             for b in batches:
                 out = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in matcher.matches(t)]
                 cols = list(zip(*out)) if out else [()] * 5
@@ -125,27 +166,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
         return rows.mapInArrow(run, schema)
 
-    found, block, chars = [], [], 0
-    for r in items.toLocalIterator():
-        block.append((r.item_id, r.t))
-        chars += len(r.t)
-        if chars >= BLOCK_CHARS:
-            found.append(search(block))
-            block, chars = [], 0
-    if block or not found:
-        found.append(search(block))
+    found = [search(block) for block in _blocks(benchmark, item_id, item_text)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose id has a match; rows with a null id go only if their own text matches."""
-    known = docs.where(F.col(doc_id).isNotNull())
-    bad = contaminated(known, benchmark, doc_id, text).select(F.col("doc_id").alias("_bad")).distinct()
-    kept = known.join(bad, F.col(doc_id) == F.col("_bad"), "left_anti")
-    nameless = docs.where(F.col(doc_id).isNull())
-    marked = nameless.withColumn("_row", F.monotonically_increasing_id())
-    hits = contaminated(marked, benchmark, "_row", text).select(F.col("doc_id").alias("_bad")).distinct()
-    return kept.unionByName(marked.join(hits, F.col("_row") == F.col("_bad"), "left_anti").drop("_row"))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows whose text holds an item of MIN_CHARS characters or more, within 5 % edits.
+
+    Shorter items, such as one word, are found by contaminated() but are no evidence against a document. Each row is judged by
+    its own text alone, whatever its id: a filter without a shuffle, one for each block of items. Null and empty texts stay.
+    """
+    spark, at = docs.sparkSession, docs.columns.index(text)
+
+    def without(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(key, shared.value)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.evidence(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    out = docs
+    for block in _blocks(benchmark, item_id, item_text):
+        out = without(out, block)
+    return out
