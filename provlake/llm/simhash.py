@@ -3,12 +3,17 @@
 Two fingerprints within distance 2 agree on at least two of four 16-bit blocks. Each pair of blocks is one index, each of
 its values a shard: a shard's BK-tree (children keyed by their Hamming distance to the parent) is built in the task that
 also holds the shard's queries, which follow only edges within the radius. So no tree travels to every executor, whatever
-the corpus holds. A shard above SHARD_MAX fingerprints is linked in another exact way: each of its fingerprints meets
-those that share one of the 65 values within distance 1, and a minimum per value, combined on the map side, links them.
+the corpus holds. A shard above SHARD_MAX fingerprints is split by the bits that it leaves free: in three parts, of which two
+fingerprints within distance 2 share one at least, so that the smaller shards link all that the large one would.
+
+keep_one() goes further, as a corpus should not hold a text twice with a few words changed: fingerprints of similarity 0.8 or
+more (the cosine of their angle, so 13 differing bits at most) are linked too. No block index serves at that distance; there
+the shards hold documents that share four minima in a row of their five-word shingles' hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,33 +23,70 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 from .components import components
 
 RADIUS = 2
 SHINGLE = 3
+#: Similarity of near copies for keep_one(), and the distance that it means.
+SIMILARITY = 0.8
+NEAR = math.floor(64 / math.pi * math.acos(SIMILARITY))
+#: Bins of the shingles' minima, and bins in a band: at a similarity of 0.8 one of the bands agrees in 98 of 100 pairs.
+BINS, BAND = 32, 4
 #: Fingerprints in a shard that one BK-tree takes.
 SHARD_MAX = 4096
 SEED = 42
 
 
-def simhash(text: str | None) -> int:
-    """Fingerprint of one text: a bit is 1 if it is set in over half the XXH64 of the word shingles."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; of the whole sequence where it is shorter; none of an empty text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     k = min(SHINGLE, len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
     hash_ = xxhash.xxh64_intdigest
-    values = np.array([hash_(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())], "<u8")
+    return np.array([hash_(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())], "<u8")
+
+
+def majority(values: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the values; zero without values."""
     counts = np.zeros(64, "i8")
     for i in range(0, len(values), 65536):
         counts += np.unpackbits(values[i : i + 65536].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
     return int.from_bytes(np.packbits(counts * 2 > len(values), bitorder="little").tobytes(), "little")
 
 
+def simhash(text: str | None) -> int:
+    """Fingerprint of one text: a bit is 1 if it is set in over half the XXH64 of the word shingles."""
+    return majority(shingle_hashes(text))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def bands(values: np.ndarray) -> np.ndarray:
+    """Keys of the bands of BAND minima over the five-word shingles, from the hashes of three-word shingles; none of an empty text."""
+    if not len(values):
+        return np.zeros(0, "i8")
+    # Words i..i+4 are the shingles at i and at i+2; of shorter texts those that there are.
+    five = np.unique(_mix(values[:-2] * np.uint64(3) + values[2:]) if len(values) > 2 else values)
+    bin_ = (five >> np.uint64(64 - int(math.log2(BINS)))).astype("i8")
+    first = np.flatnonzero(np.concatenate(([True], bin_[1:] != bin_[:-1])))
+    # An empty bin takes the minimum of the next that is not, marked by the distance.
+    at = np.searchsorted(bin_[first], np.arange(BINS))
+    source = bin_[first][at % len(first)]
+    minima = _mix(five[first][at % len(first)] + ((source - np.arange(BINS)) % BINS).astype("u8"))
+    odd = (np.arange(BAND, dtype="u8") * np.uint64(2) + np.uint64(3)) ** np.uint64(5)
+    keys = (minima.reshape(-1, BAND) * odd).sum(1, dtype="u8")
+    return _mix(keys + np.arange(BINS // BAND, dtype="u8")).view("i8")
+
+
 def with_fingerprint(docs: DataFrame, text: str, out: str = "fp") -> DataFrame:
     """docs with one more column: the fingerprint of `text` as a signed 64-bit integer."""
     schema = docs.withColumn(out, F.lit(0).cast("long")).schema
@@ -64,30 +106,36 @@ class BKTree:
     def __init__(self) -> None:
         self.root: tuple[int, dict] | None = None
 
-    def near_then_add(self, x: int, radius: int) -> list[int]:
-        """What is within the radius of x so far; then x becomes a node."""
-        if self.root is None:
-            self.root = (x, {})
-            return []
-        found, todo = [], [self.root]
+    def near(self, x: int, radius: int) -> list[int]:
+        """The nodes within the radius of x."""
+        found, todo = [], [self.root] if self.root else []
         while todo:
             v, children = todo.pop()
             d = (v ^ x).bit_count()
             if d <= radius:
                 found.append(v)
-            for e in range(max(0, d - radius), d + radius + 1):
-                if e in children:
-                    todo.append(children[e])
+            if len(children) > 2 * radius + 1:
+                todo += [children[e] for e in range(max(0, d - radius), d + radius + 1) if e in children]
+            else:
+                todo += [c for e, c in children.items() if d - radius <= e <= d + radius]
+        return found
+
+    def add(self, x: int) -> None:
+        if self.root is None:
+            self.root = (x, {})
+            return
         v, children = self.root
         while (d := (v ^ x).bit_count()) and d in children:
             v, children = children[d]
         if d:
             children[d] = (x, {})
-        return found
 
 
-def shard_links(members: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that join all members which a chain of steps within the radius joins: at most one for each member and group."""
+def shard_links(members: list[int], radius: int = RADIUS, leaders: bool = False) -> list[tuple[int, int]]:
+    """Links that join all members which a chain of steps within the radius joins: at most one for each member and group.
+
+    With `leaders` only members without a leader in reach become nodes of the tree; the others are tied to all their leaders.
+    """
     tree, head, links = BKTree(), {}, []
 
     def root(v: int) -> int:
@@ -97,29 +145,32 @@ def shard_links(members: list[int], radius: int = RADIUS) -> list[tuple[int, int
 
     for x in members:
         head[x] = x
-        for y in tree.near_then_add(x, radius):
+        found = tree.near(x, radius)
+        for y in found:
             if (a := root(x)) != (b := root(y)):
                 head[a] = b
                 links.append((x, y))
+        if not (leaders and found):
+            tree.add(x)
     return links
 
 
-def _link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, fp) come sorted by shard; a shard may go on in the next batch."""
+def _link_shards(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, leaders: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (mask, value, fp) come sorted by shard (mask, value); a shard may go on in the next batch."""
     key, members, out = None, [], []
     for b in batches:
-        shards, fps = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).view("u8").tolist()
-        for s, f in zip(shards, fps):
+        fps = b.column(2).to_numpy(zero_copy_only=False).view("u8").tolist()
+        for s, f in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), fps):
             if s != key:
                 if len(members) > 1:
-                    out += shard_links(members)
+                    out += shard_links(members, radius, leaders)
                 key, members = s, []
             members.append(f)
         if len(out) > 50_000:
             yield _links_batch(out)
             out = []
     if len(members) > 1:
-        out += shard_links(members)
+        out += shard_links(members, radius, leaders)
     yield _links_batch(out)
 
 
@@ -128,25 +179,43 @@ def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _thirds(mask: int) -> list[int]:
+    """The mask with each third of its free bits added."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in free[k :: RADIUS + 1]) for k in range(RADIUS + 1)]
+
+
+def _linked(shards: DataFrame, radius: int, leaders: bool) -> DataFrame:
+    n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = shards.select("mask", "value", "fp").repartition(n, "mask", "value").sortWithinPartitions("mask", "value", "fp")
+    return ordered.mapInArrow(lambda b: _link_shards(b, radius, leaders), "a long, b long")
+
+
 def near_links(fps: DataFrame, shard_max: int = SHARD_MAX) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` (one row each), enough for all components at RADIUS."""
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    # 0..5 for the pair of blocks, then the two blocks' values.
-    keys = [F.lit(i).cast("long") * (1 << 32) + block[x] * 65536 + block[y] for i, (x, y) in enumerate(combinations(range(4), 2))]
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("shard"))
-    sizes = materialize(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
-    small = rows.join(sizes.where(F.col("n") <= shard_max).select("shard"), "shard", "left_semi").select("shard", "fp")
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    trees = small.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(_link_shards, "a long, b long")
-    large = sizes.where(F.col("n") > shard_max).select("shard")
-    if large.isEmpty():
-        return trees.distinct()
-    crowd = rows.join(large, "shard", "left_semi").select("fp").distinct()
-    flips = crowd.select("fp", F.explode(F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)))).alias("_m"))
-    flips = flips.select("fp", F.col("fp").bitwiseXOR(F.col("_m")).alias("value"))
-    least = materialize(flips.groupBy("value").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select("value", "least"), "midpoints")
-    stars = flips.join(least, "value").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    return trees.unionByName(stars).distinct()
+    masks = [(0xFFFF << 16 * x) | (0xFFFF << 16 * y) for x, y in combinations(range(4), 2)]
+    shard = lambda m: F.struct(F.lit(_signed(m)).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("value"))
+    rows, out = fps.select("fp", F.explode(F.array(*map(shard, masks))).alias("s")).select("fp", "s.mask", "s.value"), None
+    while True:
+        sizes = materialize(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
+        # Where no more bits are free than the radius has, all members are within it of each other.
+        last = F.col("mask").isin(*(_signed(m) for m in masks if 64 - m.bit_count() <= RADIUS))
+        small = rows.join(sizes.where((F.col("n") <= shard_max) | last).select("mask", "value"), ["mask", "value"], "left_semi")
+        links = _linked(small, RADIUS, False)
+        out = links if out is None else out.unionByName(links)
+        large = sizes.where((F.col("n") > shard_max) & ~last).select("mask", "value")
+        # At most six masks, and three for each of these in every further round.
+        crowded = {r["mask"] for r in large.select("mask").distinct().collect()}
+        if not crowded:
+            return out.distinct()
+        masks = sorted({t for m in masks if _signed(m) in crowded for t in _thirds(m)})
+        finer = F.explode(F.filter(F.array(*(F.lit(_signed(m)).cast("long") for m in masks)), lambda m: m.bitwiseAND(F.col("mask")) == F.col("mask")))
+        split = rows.join(large, ["mask", "value"], "left_semi").select("fp", finer.alias("mask"))
+        rows = materialize(split.withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).distinct(), "split")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_max: int = SHARD_MAX) -> DataFrame:
@@ -166,12 +235,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, digest, text) to (doc_id, digest, fp, bands)."""
+    for b in batches:
+        fps, keys = [], []
+        for t in b.column(2).to_pylist():
+            values = shingle_hashes(t)
+            fps.append(majority(values))
+            keys.append(bands(values))
+        ends = np.cumsum([0, *map(len, keys)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, "u8").view("i8"), pa.int64()), lists], names=["doc_id", "digest", "fp", "bands"])
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the rows stay whose doc_id is its smallest.
+    """docs without near-duplicates: one row of each group stays.
 
-    Rows with a null id stay; of rows that share the kept id one stays.
+    A group is what chains of links join: fingerprints within distance 2, and fingerprints of SIMILARITY or more of documents
+    that share a band (in a band's shard each is compared with those that have no such one before them). The row that
+    stays is the one with the smallest id (null ids last), of these the one with the least hash of all its columns, so the result is
+    the same in every run; of rows that are alike in every column one stays. Null and empty texts are one group. Each row is
+    judged by its own text: where rows share an id but not their text, they are different documents.
     """
-    found = near_duplicates(docs, doc_id, text)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(kept.withColumnRenamed("doc_id", "_kept"), F.col(doc_id) == F.col("_kept"), "left_semi")
-    return named.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    (digest,) = unused(docs, "digest")
+    named = docs.withColumn(digest, F.sha2(F.to_json(F.struct("*")), 256))
+    rows = named.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(digest).alias("digest"), F.col(text).alias("text"))
+    marked = materialize(rows.mapInArrow(_marked, "doc_id long, digest string, fp long, bands array<long>"), "fingerprints")
+    shards = materialize(marked.select("fp", F.posexplode("bands").alias("mask", "value")).distinct(), "bands")
+    shared = shards.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mask", "value")
+    links = near_links(marked.select("fp").distinct()).unionByName(_linked(shards.join(shared, ["mask", "value"], "left_semi"), NEAR, True))
+    roots = components(links).withColumnRenamed("node", "fp")
+    classed = marked.select("doc_id", "digest", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")).alias("f"))
+    kept = materialize(first.select(F.col("f.digest").alias(digest)), "kept")
+    # Equal rows are put together before they are dealt out.
+    return named.dropDuplicates([digest]).join(kept, digest, "left_semi").select(docs.columns)

@@ -176,10 +176,40 @@ def test_shards_link_what_a_chain_links():
 
 
 def test_keep_one(spark, corpus):
-    d = docs(spark, corpus)
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(900)}" for _ in range(150)]
+    changed = [set(rng.sample(range(150), 3)) for _ in range(6)]
+    edited = lambda k: " ".join("new" if i in changed[k] else w for i, w in enumerate(long))
+    # Rows that share an id: one text has a copy with a smaller id, the other is of its own.
+    rows = corpus + [(200 + i, edited(i)) for i in range(6)] + [(302, corpus[7][1]), (305, corpus[7][1]), (305, "a text of its own " * 9), (None, "nameless text here"), (None, "nameless text here")]
+    d = docs(spark, rows).withColumn("digest", F.lit("x"))
     kept = simhash.keep_one(d)
-    want = {c for (i, _, c), n in linked(corpus).items() if c is not None}
-    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(want)
+    fps, keys = [fingerprint(t) for _, t in rows], [set(enumerate(simhash.bands(simhash.shingle_hashes(t)).tolist())) for _, t in rows]
+    head = list(range(len(rows)))
+
+    def root(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (n := (fps[i] ^ fps[j]).bit_count()) <= 2 or (n <= simhash.NEAR and keys[i] & keys[j]):
+                head[root(i)] = root(j)
+    groups = defaultdict(list)
+    for i, (k, t) in enumerate(rows):
+        groups[root(i)].append((k is None, k or 0, t or ""))
+    want = Counter(None if g[0] else g[1] for g in map(min, groups.values()))
+    got = kept.collect()
+    assert kept.columns == d.columns and Counter(r.doc_id for r in got) == want
+    assert sum(r.doc_id in range(200, 206) for r in got) == 1 and [r.text for r in got if r.doc_id == 305] == ["a text of its own " * 9]
+
+
+def test_large_shards_split_in_thirds():
+    for m in (0xFFFFFFFF, 0xFFFF0000FFFF0000):
+        parts = simhash._thirds(m)
+        assert all(p & m == m for p in parts) and parts[0] | parts[1] | parts[2] == (1 << 64) - 1
+        assert all((parts[i] & ~m) & (parts[j] & ~m) == 0 for i in range(3) for j in range(i))
 
 
 # --- 4 and 9 ---
@@ -344,6 +374,33 @@ def test_checksum_alone_decides_on_accounts(spark):
     assert score(0.5) == {1: [0.5], 2: [0.75]} and score(0.6) == {1: [], 2: [0.75]}
 
 
+def test_accounts_and_scores_against_sql(spark, tmp_path):
+    import duckdb
+
+    from provlake.llm import oracles
+
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    texts = [f"{de} BIC COBADEFF", f"iban: {de} 2024 paid", f"{gb} {de}x", "DE88370400440532013000", f"my bank {gb}X", f"Konto\n{gb}\n4111 1111 1111 1111", "visa card 4111-1111-1111-1111, tel +1 (555) 123-4567", "host 1.2.3.4 mail a@b.cc", None, ""]
+    d = docs(spark, list(enumerate(texts)) + [(None, texts[0])])
+    d.select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op7_pii(spark, str(tmp_path)).toPandas()
+    want = con.execute(oracles.ORACLES["op7_pii"]).df()
+    rows = lambda f: sorted(map(str, f[sorted(f.columns)].fillna({"doc_id": -1}).astype({"doc_id": int}).astype(str).itertuples(index=False)))
+    assert rows(got) == rows(want)
+    assert [s.count("iban") for s in got.sort_values("doc_id").spans[:6]] == [1, 1, 2, 0, 0, 1]
+    assert got.sort_values("doc_id").scores[1] == "0.750" and got.sort_values("doc_id").scores[6] == "0.900,0.850"
+
+
+def test_redact_many_spans(spark):
+    text = "".join(f"é mail a{i}@b.cc, " for i in range(700)) + "x" * 3000 + " +1 555 123 4567 end"
+    d = docs(spark, [(1, text), (2, "4111 1111 1111 1111@x.yy and 1.2.3.4@b.cc")]).withColumns({"pii": F.lit("keep"), "_pii_spans": F.lit(1)})
+    got = {r.doc_id: r for r in pii.redact(d).collect()}
+    assert got[1].text == "é mail [EMAIL], " * 700 + "x" * 3000 + " [PHONE] end" and got[1].pii == "keep"
+    assert got[2].text == "[CARD] and [IP]"
+
+
 def test_redact(spark):
     d = docs(spark, [(1, "é a@b.cc, +1 555 123 4567; 4111111111111111!"), (2, None), (3, "clean"), (3, "clean")])
     out = pii.redact(d)
@@ -384,9 +441,44 @@ def test_contaminated(spark, corpus):
             if (n := distance(p, decontam.normalize(t))) <= decontam.budget(p):
                 want[(d, i, n)] += 1
     assert got == want and sum(want.values()) > 9
-    kept = decontam.drop_contaminated(docs(spark, rows), bench)
-    bad = {d for d, *_ in want}
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(d for d, _ in rows if d is not None and d not in bad)
+    # Rows are judged one by one, also where they share an id or have none, and whatever their columns are called.
+    d = docs(spark, [*rows, (200, "clean words"), (None, items[0][1])]).withColumns({"_row": F.lit(1), "_bad": F.lit(2), "pii": F.lit(3)})
+    kept = decontam.drop_contaminated(d, bench)
+    texts = {t for d_, t in rows if any(distance(decontam.normalize(p), decontam.normalize(t)) <= decontam.budget(decontam.normalize(p)) for _, p in items)}
+    assert kept.columns == d.columns and Counter(r.doc_id for r in kept.collect()) == Counter([d_ for d_, t in rows if t not in texts] + [200])
+
+
+def test_places_of_matches_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        item = "".join(rng.choice("abcd ") for _ in range(60)).strip() + "z"
+        edited = list(decontam.normalize(item))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(edited))
+            edited[k : k + 1] = rng.choice([[], ["x"], [edited[k], "y"]])
+        text = decontam.normalize("".join(rng.choice("abcd ") for _ in range(40)) + "".join(edited) + "".join(rng.choice("abcd ") for _ in range(40)))
+        p = decontam.normalize(item)
+        best = min(((whole(p, text[a:b]), b, b - a) for a in range(len(text)) for b in range(a + 50, min(a + 68, len(text)) + 1)), default=None)
+        got = decontam.Matcher([(1, item)]).matches(text)
+        assert [(d, e, e - s) for _, s, e, d in got] == ([best] if best and best[0] <= decontam.budget(p) else [])
+
+
+def whole(p, t):
+    row = list(range(len(t) + 1))
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, x in enumerate(t, 1):
+            new.append(min(row[j - 1] + (c != x), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "What is  2+2?"), (2, "cat")], "item_id long, text string")
+    d = docs(spark, [(1, "so WHAT is 2+2? four"), (2, "concatenate what is 2+22"), (3, "a Cat."), (4, None), (5, "what is 2+3?")])
+    got = {(r.doc_id, r.item_id, r.start, r.end, r.distance) for r in decontam.contaminated(d, bench).collect()}
+    assert got == {(1, 1, 3, 15, 0), (3, 2, 2, 5, 0)}
+    assert decontam.drop_contaminated(d, bench).count() == 5
 
 
 # --- 10 ---
