@@ -119,7 +119,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     key = F.col(doc_id).cast("long")
     # Rows without an id, which may be many, are dealt by their texts.
     dealt = F.pmod(F.xxhash64(F.col(text)), F.lit(SPREAD))
-    base = docs.select(key.isNull().alias("no_id"), F.coalesce(key, dealt).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = docs.select(key.isNull().alias("no_id"), F.coalesce(key, dealt, F.lit(0).cast("long")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = base.where("not no_id")
     pairs = next_ids(known, "id", n).select(F.lit(False).alias("no_id"), "id", F.col("next_key").alias("next_id"))
     after_null = known.agg(F.min("id").alias("next_id")).where("next_id is not null").select(F.lit(True).alias("no_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("id"), "next_id")
