@@ -21,21 +21,25 @@ located AS (
          stop - length(hit) AS start
   FROM hits)"""
 
+_KINDS = "CASE kind " + " ".join(f"WHEN '{r.kind}' THEN {i}" for i, r in enumerate(secret_scan.RULES + secret_scan.MORE_RULES)) + " END"
+_MORE = "".join(f" UNION ALL {_hits(r.kind, r.pattern, r.group)}" for r in secret_scan.MORE_RULES)
+
 OP1 = f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
 hits AS ({_hits('assign', secret_scan.RULES[0].pattern, 2)}
   UNION ALL {_hits('access', 'AKIA[A-Z0-9]+')}
-  UNION ALL {_hits('hex', '[0-9a-f]+')}),{_SPANS},
+  UNION ALL {_hits('hex', '[0-9a-f]+')}{_MORE}),{_SPANS},
 kept AS (
-  SELECT rn, kind, start, stop, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS rank
-  FROM located WHERE length(part) >= CASE kind WHEN 'assign' THEN 12 WHEN 'access' THEN 18 ELSE 16 END),
+  SELECT rn, kind, start, stop, {_KINDS} AS rank
+  FROM located WHERE length(part) >= CASE kind WHEN 'assign' THEN 12 WHEN 'access' THEN 18 WHEN 'hex' THEN 16 ELSE 1 END),
 joined AS (
   SELECT rn, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
          count(*) FILTER (kind = 'hex') AS n_hex,
-         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) AS spans
+         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) AS spans,
+         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) FILTER (rank < 3) AS base
   FROM kept GROUP BY rn)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN joined USING (rn)
 """
 

@@ -20,8 +20,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scan.scan(_documents(spark, sf_dir), "doc_id")
     counts = [_count("findings", k) for k in ("assign", "access", "hex")]
-    spans = joined_spans(F.col("findings"))
-    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+    base = F.filter("findings", lambda s: s.kind.isin(*(r.kind for r in secret_scan.RULES)))
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("findings")).alias("spans"))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

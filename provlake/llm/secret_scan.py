@@ -32,13 +32,20 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
+#: Kinds beyond the contract's: private keys' first lines, signed web tokens, prefixed service tokens, passwords in addresses.
+MORE_RULES = (
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}", 0, 1),
+    Rule("prefixed", r"(gh[opsu]_[A-Za-z0-9]{30,}|xox[abp]-[A-Za-z0-9-]{20,}|sk-[A-Za-z0-9]{20,})", 0, 1),
+    Rule("address", r"[a-z]{3,12}://[^\x20\x09-\x0D/:@]{1,64}:([^\x20\x09-\x0D/:@]{1,64})@", 1, 1),
+)
 
 
-def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
+def rule_version(rules: tuple[Rule, ...] = RULES + MORE_RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-def scan_text(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_text(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES + MORE_RULES) -> DataFrame:
     """Add `findings`: array<struct<start,rank,kind,end>> ordered by start, then rule order."""
     for r in rules:
         df = find_spans(df, text, r.pattern, f"_{r.kind}", r.group)
@@ -57,7 +64,7 @@ def scan(
     path: str,
     text: str = "text",
     ledger: DataFrame | None = None,
-    rules: tuple[Rule, ...] = RULES,
+    rules: tuple[Rule, ...] = RULES + MORE_RULES,
 ) -> tuple[DataFrame, DataFrame]:
     """Return (findings by path, new ledger rows).
 
@@ -82,3 +89,17 @@ def scan(
     found = held.select("path", "blob").join(every, "blob", "left")
     none = F.array().cast(new.schema["findings"].dataType)
     return found.select("path", "blob", F.coalesce("findings", none).alias("findings")), new
+
+
+def scan_into(versions: DataFrame, path: str, folder: str, text: str = "text", rules: tuple[Rule, ...] = RULES + MORE_RULES) -> DataFrame:
+    """Findings by path, as scan() gives them, against the ledger that is kept as Parquet in `folder` (none at first).
+
+    Only what the ledger lacks is scanned, and is appended to it in one commit, after which the findings are read from it: a
+    run that fails before leaves the ledger as it was, one that is repeated scans nothing.
+    """
+    spark = versions.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    held = spark.read.parquet(folder) if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else None
+    found, new = scan(versions, path, text, held, rules)
+    new.write.mode("append").parquet(folder)
+    return found

@@ -68,13 +68,27 @@ def test_secrets(spark):
     assert ledger.count() == len({t or "" for t in texts})
 
 
-def test_ledger_scans_only_the_unseen(spark):
+def test_ledger_scans_only_the_unseen(spark, tmp_path):
     first = docs(spark, [(1, "token=abcdefghijklmn"), (2, "x")])
     _, ledger = secret_scan.scan(first, "doc_id")
-    found, new = secret_scan.scan(docs(spark, [(1, "x"), (2, "token=abcdefghijklmn"), (3, "new secret=0123456789abcd")]), "doc_id", ledger=ledger)
+    versions = docs(spark, [(1, "x"), (2, "token=abcdefghijklmn"), (3, "new secret=0123456789abcd")])
+    found, new = secret_scan.scan(versions, "doc_id", ledger=ledger)
     assert new.count() == 1 and {r.path: len(r.findings) for r in found.collect()} == {1: 0, 2: 1, 3: 1}
     other = (*secret_scan.RULES, secret_scan.Rule("long", "[a-z]{20,}", 0, 20))
     assert secret_scan.scan(first, "doc_id", ledger=ledger, rules=other)[1].count() == 2
+    # The same against a ledger that is kept, and again, when all has been seen.
+    folder = f"{tmp_path}/ledger"
+    for rows, total in ((first, 2), (versions, 3), (versions, 3)):
+        found = {r.path: len(r.findings) for r in secret_scan.scan_into(rows, "doc_id", folder).collect()}
+        assert spark.read.parquet(folder).count() == total
+    assert found == {1: 0, 2: 1, 3: 1}
+
+
+def test_more_secrets(spark):
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    texts = {"pem": "é -----BEGIN RSA PRIVATE KEY-----", "jwt": f"x {jwt}", "prefixed": "ghp_" + "a1B2" * 9, "address": "see ftp://bob:pa55@host"}
+    got = {r.path: [(f.kind, f.start, f.end) for f in r.findings] for r in secret_scan.scan(spark.createDataFrame(list(texts.items()), "id string, text string"), "id")[0].collect()}
+    assert got == {"pem": [("pem", 2, 33)], "jwt": [("jwt", 2, 2 + len(jwt))], "prefixed": [("prefixed", 0, 40)], "address": [("address", 4, 19)]}
 
 
 # --- 2 ---
@@ -327,6 +341,29 @@ def test_segments_by_brute_force():
         assert all(b1 <= a2 for (_, b1, _), (a2, _, _) in zip(found, found[1:]))
 
 
+def test_extreme_value_parameters():
+    rng = np.random.default_rng(1)
+    lam, k, sizes = 0.7, 0.03, rng.integers(20, 400, 4000)
+    tops = np.maximum(0, (np.log(k * sizes) - np.log(-np.log(rng.random(4000)))) / lam)
+    assert toxicity.fit_k(tops, sizes, lam) == pytest.approx(k, rel=0.05)
+    likelihood = lambda x: sum(np.log(x * n) - x * n * np.exp(-lam * t) if t > 0 else -x * n for t, n in zip(tops, sizes))
+    best = toxicity.fit_k(tops, sizes, lam)
+    assert likelihood(best) > max(likelihood(best * 0.97), likelihood(best * 1.03))
+    s, w = np.array([-1.0, 2.0]), np.array([3.0, 1.0])
+    x = toxicity.solve_lambda(s, w)
+    assert x > 0 and (w / 4 * np.exp(x * s)).sum() == pytest.approx(1)
+    assert toxicity.solve_lambda(np.array([1.0]), np.array([1.0])) == 1.0
+
+
+def test_evidence_by_hand():
+    scorer = toxicity.Scorer({"bad$": 3.0, "good": -1.0}, lam=1.0, k=0.1)
+    text = "bad bad goodness " + "word " * 100 + "bad ½ bad"
+    found = scorer.passages(text)
+    assert [(b, e) for b, e, _ in found] == [(0, 2), (103, 105)]
+    assert [x for *_, x in found] == pytest.approx([6 - np.log(0.1 * 105)] * 2)
+    assert scorer.evidence(found) == pytest.approx(np.log(1 + 2 * np.exp(6) / 10.5)) and scorer.evidence([]) == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     good, bad = [f"word{chr(97 + i)}" for i in range(26)], ["vile", "scum", "trash"]
