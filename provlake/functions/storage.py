@@ -1,15 +1,31 @@
-"""Cutting lineage in loops: checkpoints go to the folder that all executors share."""
+"""Cutting lineage in loops: tables written to the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the session's checkpoint folder; one of our own only where none is set, as in local tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of our own only on a local master, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: its lineage is cut, its size is known to the optimizer, and lost
+    executors cost nothing. What was written already is returned as it is."""
+    if hasattr(df, "_written_at"):
+        return df
+    path = f"{shared_dir(df.sparkSession)}/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out

@@ -38,13 +38,16 @@ def merge_groups(journals: DataFrame, key: str) -> DataFrame:
     return journals.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(P)).alias("members")).where("n > 1")
 
 
-def pick_paired(files: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """Files (file) with the pair (prefix, to) whose prefix the name starts with; the longest prefix wins.
+def pick_paired(files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Files (file) with the pair (pos, prefix, to) whose prefix the name starts with; the first pair by position wins.
 
-    Names and prefixes meet on the first `least` characters, which every prefix must have, so that this is an equi-join.
+    A name meets the pairs by its beginnings of the lengths that prefixes have, so this is an equi-join; an empty prefix fits all.
     """
-    j = files.withColumn("_k", F.substring("file", 1, least)).join(pairs.withColumn("_k", F.substring("prefix", 1, least)), "_k").where(F.col("file").startswith(F.col("prefix")))
-    return j.groupBy("file").agg(F.max_by("to", F.struct(F.length("prefix"), "to")).alias("to"))
+    # At most as many rows as the longest name has characters.
+    lengths = sorted(r["n"] for r in pairs.select(F.length("prefix").alias("n")).distinct().collect() if r["n"] is not None)
+    begins = F.explode(F.array_compact(F.array(*(F.when(F.length("file") >= n, F.left("file", F.lit(n))) for n in lengths))))
+    j = files.withColumn("prefix", begins) if lengths else files.withColumn("prefix", F.lit(None).cast("string"))
+    return j.join(pairs, "prefix").groupBy("file").agg(F.min_by("to", F.struct("pos", "to")).alias("to"))
 
 
 def reduce_listing(listing: DataFrame, journals: DataFrame, ts: Column) -> DataFrame:
@@ -69,12 +72,12 @@ def coco_subset(images: DataFrame, annotations: DataFrame, lo: float, hi: float,
     """Annotations of the first n images that have one with an area in [lo, hi]."""
     ok = annotations.where(F.col("area").between(lo, hi)).select("image_id").distinct()
     kept = images.join(ok, "image_id", "left_semi").orderBy("image_id").limit(n).select("image_id")
-    return annotations.join(F.broadcast(kept), "image_id", "left_semi")
+    return annotations.join(kept, "image_id", "left_semi")
 
 
 def classify_color(pixels: DataFrame, classes: DataFrame) -> DataFrame:
     """Pixels (color text) with `class`, `other` where the colour is not listed; blanks do not count."""
-    table = F.broadcast(classes.select(F.regexp_replace("color", r"\s", "").alias("_k"), "class"))
+    table = classes.select(F.regexp_replace("color", r"\s", "").alias("_k"), "class")
     return pixels.withColumn("_k", F.regexp_replace("color", r"\s", "")).join(table, "_k", "left").withColumn("class", F.coalesce("class", F.lit("other"))).drop("_k")
 
 
@@ -141,10 +144,38 @@ def best_name(users: DataFrame, names: DataFrame) -> DataFrame:
     Distinct names meet the list, a dimension of code names.
     """
     lost = users.select("username").distinct().join(names.select(F.col("name").alias("username")), "username", "left_anti")
-    j = lost.crossJoin(F.broadcast(names)).withColumn("_d", F.levenshtein(F.lower("username"), F.lower("name")))
+    # The list of code names is one array, so that each name meets it in its own row.
+    listed = names.agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("_all")).withColumn("_one", F.lit(1))
+    j = lost.withColumn("_one", F.lit(1)).join(listed, "_one").select("username", F.inline("_all")).withColumn("_d", F.levenshtein(F.lower("username"), F.lower("name")))
     return j.groupBy("username").agg(F.min_by("name", F.struct("_d", "pos")).alias("best"))
 
 
+def file_md5(files: DataFrame) -> DataFrame:
+    """files (path, content, as `binaryFile` reads them) with md5."""
+    return files.withColumn("md5", F.md5("content"))
+
+
+def named_by_md5(finals: DataFrame) -> DataFrame:
+    """finals (file, md5) with new_file: the MD5 and the file's own suffix in its folder."""
+    folder, tail = F.regexp_extract("file", r"^(.*[/\\\\])?", 0), F.regexp_extract("file", r"(\.[^./\\\\]*)$", 1)
+    return finals.withColumn("new_file", F.concat(folder, F.col("md5"), tail))
+
+
+def list_check(sheet: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, side): names that only the sheet or only the folder holds."""
+    a, b = sheet.select("file").distinct(), files.select("file").distinct()
+    return a.exceptAll(b).withColumn("side", F.lit("sheet")).unionByName(b.exceptAll(a).withColumn("side", F.lit("folder")))
+
+
+def empty_mask_edges(edges: DataFrame, operations: DataFrame) -> DataFrame:
+    """(project_id, node_id) to remove: ends of empty-mask edges whose operation (op, rule) asks for checkEmpty, and all below them."""
+    from . import lineage
+
+    asked = operations.where("rule = 'checkEmpty'").select("op").distinct()
+    heads = edges.where("empty_mask = 'yes'").join(asked, "op", "left_semi").select(P, F.col("dst").alias("node_id")).distinct()
+    return lineage.reach(edges, heads).select(P, "node_id").distinct()
+
+
 def remove_duplicates(finals: DataFrame) -> DataFrame:
     """Finals (project_id, node_id, hash) after the first of each journal and hash."""
     return finals.withColumn("_k", F.expr("row_number() over (partition by project_id, hash order by node_id)")).where("_k > 1").drop("_k")
@@ -155,9 +186,9 @@ def remove_duplicates(finals: DataFrame) -> DataFrame:
 
 def sheet_names(media: DataFrame, date: str, org: str, user: str, partitions: int = 8) -> DataFrame:
     """HP2: media (file) with new_name date-org-user-00001 in order of file; numbered by range partition and offset, not in one task."""
-    from provlake.functions.storage import checkpointed
+    from provlake.functions.storage import written
 
-    ranged = checkpointed(media.repartitionByRange(partitions, "file").sortWithinPartitions("file").withColumn("_p", F.spark_partition_id()))
+    ranged = written(media.repartitionByRange(partitions, "file").sortWithinPartitions("file").withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_o", F.expr("coalesce(sum(_n) over (order by _p rows between unbounded preceding and 1 preceding), 0)")).drop("_n")
     out = ranged.withColumn("_i", F.expr("row_number() over (partition by _p order by file)")).join(F.broadcast(offsets), "_p")
@@ -166,7 +197,7 @@ def sheet_names(media: DataFrame, date: str, org: str, user: str, partitions: in
 
 def sheet_checks(sheet: DataFrame, models: DataFrame, kinematics: list[str], collections: list[str]) -> DataFrame:
     """HP3: (file, problem): wrong primary/secondary, kinematics of a video, collection or camera model."""
-    known = F.broadcast(models.select("model", F.lit(True).alias("_known")).distinct())
+    known = models.select("model", F.lit(True).alias("_known")).distinct()
     s = sheet.join(known, "model", "left")
     tests = F.array_compact(F.array(
         F.when(~F.lower("primary_secondary").isin("primary", "secondary"), "primary/secondary"),
@@ -204,7 +235,7 @@ def not_in_sheet(files: DataFrame, sheet: DataFrame) -> DataFrame:
 
 def keyword_rows(keywords: DataFrame, valid: DataFrame) -> DataFrame:
     """HP7: (file, keywords, n_bad): a file's keywords tab-joined in order, and how many are not valid."""
-    ok = F.broadcast(valid.select("keyword", F.lit(True).alias("_ok")).distinct())
+    ok = valid.select("keyword", F.lit(True).alias("_ok")).distinct()
     j = keywords.join(ok, "keyword", "left")
     return j.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keyword"))), lambda s: s.keyword), "\t").alias("keywords"), F.count_if(F.col("_ok").isNull()).alias("n_bad"))
 
@@ -243,14 +274,14 @@ def rename_ops(edges: DataFrame, renames: dict[str, str], defaults: DataFrame |
     out = edges.withColumn("op", F.coalesce(F.try_element_at(pairs, F.col("op")), F.col("op")))
     if defaults is None:
         return out
-    d = F.broadcast(defaults.select("op", F.col("arguments").alias("_d")))
+    d = defaults.select("op", F.col("arguments").alias("_d"))
     merged = F.map_concat(F.map_filter("_d", lambda k, v: ~F.map_contains_key("arguments", k)), F.col("arguments"))
     return out.join(d, "op", "left").withColumn("arguments", F.when(F.col("_d").isNull(), F.col("arguments")).otherwise(merged)).drop("_d")
 
 
 def composite_flags(edges: DataFrame, operations: DataFrame) -> DataFrame:
     """M3: recordMaskInComposite true becomes yes; outputs and laundering are never in the composite."""
-    out = F.broadcast(operations.where(F.col("category").isin("Output", "AntiForensic", "Laundering")).select("op", F.lit(True).alias("_o")))
+    out = operations.where(F.col("category").isin("Output", "AntiForensic", "Laundering")).select("op", F.lit(True).alias("_o"))
     flag = F.when(F.col("_o"), "no").when(F.lower("recordMaskInComposite").isin("true", "yes"), "yes").otherwise("no")
     return edges.join(out, "op", "left").withColumn("recordMaskInComposite", flag).drop("_o")
 
@@ -278,6 +309,30 @@ def rotation_flag(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     return j.withColumn("rotated", F.when(turned, "yes").otherwise("no")).drop("_w0", "_h0", "_w1", "_h1")
 
 
+def backfill_segments(segs: DataFrame, streams: DataFrame) -> DataFrame:
+    """M4: segments of old journals (set_id, seg_no, op, type, rate, rates array, startframe, endframe, starttime, endtime, has_end, error)
+    filled: a missing type by the operation's name; the first of a list of rates, a negative rate in thousands; missing fields by S1;
+    and carried to the end of the source's stream (set_id, type, endframe) where it is longer and no end time was entered. Where neither
+    the stream nor an end time is known, the error grows by two frames."""
+    from .segments import complete_segments, time_of
+
+    kind = F.coalesce("type", F.when(F.col("op").contains("Audio"), "audio").otherwise("video"))
+    rate = F.coalesce(F.get("rates", F.lit(0)), F.when(F.col("rate") < 0, -F.col("rate") * 1000.0).otherwise(F.col("rate")))
+    out = complete_segments(segs.withColumns({"type": kind, "rate": rate}))
+    out = out.join(streams.select("set_id", "type", F.col("endframe").alias("_last")), ["set_id", "type"], "left")
+    longer = ~F.col("has_end") & (F.col("_last") > F.col("endframe"))
+    lost = ~F.col("has_end") & F.col("_last").isNull()
+    out = out.withColumns({"error": F.coalesce("error", F.lit(0.0)) + F.when(lost, 2000.0 / F.col("rate")).otherwise(0.0), "endframe": F.when(longer, F.col("_last")).otherwise(F.col("endframe"))})
+    out = out.withColumns({"endtime": F.when(longer, time_of(F.col("endframe"), F.col("rate"))).otherwise(F.col("endtime")), "frames": F.col("endframe") - F.col("startframe") + 1})
+    return out.drop("_last", "rates")
+
+
+def plain_times(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """M5: time arguments 'HH:MM:SS:frames' without the frames; the rest of the arguments stays."""
+    fixed = lambda k, v: F.when(k.isin(*keys), F.regexp_replace(v, r"^(\d+:\d+:\d+(?:\.\d+)?):\d+$", "$1")).otherwise(v)
+    return edges.withColumn("arguments", F.transform_values("arguments", fixed))
+
+
 def replace_value(df: DataFrame, attr: str, old: str, new: str) -> DataFrame:
     """Rewrite a column's value, case not counted."""
     return df.withColumn(attr, F.when(F.lower(attr) == old.lower(), new).otherwise(F.col(attr)))

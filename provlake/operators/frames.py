@@ -40,10 +40,14 @@ def silences(samples: DataFrame, least: int, threshold: int) -> DataFrame:
 
 
 def silence_pairs(ranges: DataFrame, least: int, most: int) -> DataFrame:
-    """Pairs of silences whose outer extent lies within [least, most] samples."""
-    a = ranges.select("media_id", F.col("start").alias("start_a"), F.col("stop").alias("stop_a"))
-    b = ranges.select("media_id", F.col("start").alias("start_b"), F.col("stop").alias("stop_b"))
-    return a.join(b, "media_id").where("start_b > stop_a").where((F.col("stop_b") - F.col("start_a")).between(least, most))
+    """Pairs of silences whose outer extent lies within [least, most] samples.
+
+    The second starts at most `most` samples after the first, so each first meets only the two buckets of starts that it can reach.
+    """
+    bucket = max(most, 1)
+    a = ranges.select("media_id", F.col("start").alias("start_a"), F.col("stop").alias("stop_a"), F.explode(F.array(F.floor(F.col("start") / bucket), F.floor(F.col("start") / bucket) + 1)).alias("_k"))
+    b = ranges.select("media_id", F.col("start").alias("start_b"), F.col("stop").alias("stop_b"), F.floor(F.col("start") / bucket).alias("_k"))
+    return a.join(b, ["media_id", "_k"]).where("start_b > stop_a").where((F.col("stop_b") - F.col("start_a")).between(least, most)).drop("_k")
 
 
 def audio_changes(a: DataFrame, b: DataFrame, window: int = 32, threshold: float = 3, gap: int = 44_100) -> DataFrame:
@@ -115,8 +119,10 @@ def best_frame_pairs(frames: DataFrame, distance: int, offset: int = 0, k: int =
             for m, ra, rb in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 fa, fb = (np.array([r["frame_no"] for r in rs]) for rs in (ra, rb))
                 ga, gb = (np.array([r["gray"] for r in rs], "f8") for rs in (ra, rb))
-                d = ga[:, None, :] - gb[None]
-                score = np.floor(d.std(axis=2) * 1000).astype("i8")
+                # var(a - b) = var(a) + var(b) - 2 cov(a, b): one matrix product for the pair of blocks.
+                ga, gb = ga - ga.mean(1, keepdims=True), gb - gb.mean(1, keepdims=True)
+                squares = (ga**2).mean(1)[:, None] + (gb**2).mean(1)[None] - 2 * (ga @ gb.T) / ga.shape[1]
+                score = np.floor(np.sqrt(np.maximum(squares, 0)) * 1000 + 1e-9).astype("i8")
                 i, j = np.nonzero(fb[None] - fa[:, None] >= distance)
                 order = np.lexsort((fb[j], fa[i], score[i, j]))[:k]
                 i, j = i[order], j[order]
@@ -165,9 +171,24 @@ def change_stats(changed: Column, total: Column) -> Column:
 
 
 def histograms(frames: DataFrame) -> DataFrame:
-    """(media_id, frame_no, value, n): how often each byte occurs, counted in the JVM."""
-    b = frames.select("media_id", "frame_no", F.explode(F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda i: F.conv(F.hex(F.substring("pixels", i, F.lit(1))), 16, 10).cast("int"))).alias("value"))
-    return b.groupBy("media_id", "frame_no", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(media_id, frame_no, value, n): how often each byte of `pixels` occurs, counted a picture at a time."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                n = np.bincount(np.frombuffer(b.column(2)[i].as_py() or b"", "u1"), minlength=256)
+                at = np.flatnonzero(n)
+                ids = [pa.repeat(b.column(k)[i], len(at)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["media_id", "frame_no", "value", "n"])
+
+    return frames.select(F.col("media_id").cast("long"), F.col("frame_no").cast("long"), "pixels").mapInArrow(count, "media_id long, frame_no long, value int, n long")
+
+
+def first_minimum(histogram: DataFrame) -> DataFrame:
+    """(media_id, threshold): the first value after which a histogram (media_id, value 0..255, n) rises again, else the last value."""
+    h = histogram.withColumn("_next", F.expr("lead(n) over (partition by media_id order by value)")).withColumn("_prev", F.expr("lag(n) over (partition by media_id order by value)"))
+    low = F.min(F.when((F.col("_next") > F.col("n")) & (F.coalesce("_prev", F.col("n")) >= F.col("n")), F.col("value")))
+    return h.groupBy("media_id").agg(F.coalesce(low, F.max("value")).alias("threshold"))
 
 
 def otsu(histogram: DataFrame) -> DataFrame:
@@ -212,3 +233,131 @@ def mean_image(frames: DataFrame, sample: int) -> DataFrame:
     kept = n.where((F.col("_i") - 1) % step == 0).select("media_id", F.posexplode("gray").alias("_p", "_v"))
     means = kept.groupBy("media_id", "_p").agg(F.round(F.avg("_v"), 6).alias("_m"))
     return means.groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"]).alias("pixels"))
+
+
+def median_image(frames: DataFrame, sample: int) -> DataFrame:
+    """(media_id, pixels array<double>): median of each pixel over an even sample of at most `sample` aligned frames."""
+    n = frames.withColumn("_n", F.expr("count(*) over (partition by media_id)")).withColumn("_i", F.expr("row_number() over (partition by media_id order by frame_no)"))
+    step = F.greatest(F.ceil(F.col("_n") / sample), F.lit(1))
+    kept = n.where((F.col("_i") - 1) % step == 0).select("media_id", F.posexplode("gray").alias("_p", "_v"))
+    medians = kept.groupBy("media_id", "_p").agg(F.median("_v").alias("_m"))
+    return medians.groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"]).alias("pixels"))
+
+
+def mask_transform(masks: DataFrame, step: str) -> DataFrame:
+    """Masks (height, width, pixels: one byte a pixel) with `pixels` changed, without interpolation.
+
+    step: horizontal or vertical (flip), invert, or crop:top,left,height,width (height and width follow; what lies outside goes).
+    """
+    name, _, numbers = step.partition(":")
+    box = tuple(map(int, numbers.split(","))) if numbers else ()
+
+    def one(height: int, width: int, pixels: bytes) -> tuple:
+        m = np.frombuffer(pixels, "u1").reshape(height, width)
+        if name == "crop":
+            m = m[box[0] : box[0] + box[2], box[1] : box[1] + box[3]]
+        else:
+            m = {"horizontal": m[:, ::-1], "vertical": m[::-1], "invert": 255 - m}[name]
+        return m.shape[0], m.shape[1], m.tobytes()
+
+    out = _per_row(masks, ["height", "width", "pixels"], "_h integer, _w integer, _px binary", one)
+    return out.select(*(F.col({"height": "_h", "width": "_w", "pixels": "_px"}.get(c, c)).alias(c) for c in masks.columns))
+
+
+def merge_masks(masks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pixels): union of masks of equal shape: a pixel is changed (0) where any of them is."""
+    return _fold(masks, keys, "pixels", lambda px, _: np.frombuffer(px, "u1"), np.minimum)
+
+
+def _fold(df: DataFrame, keys: list[str], column: str, read, merge) -> DataFrame:
+    """(keys, column): byte arrays of a group merged pair by pair, first within each task, then over the cluster."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    schema = ", ".join([*(f"`{k}` {kinds[k].simpleString()}" for k in keys), f"`{column}` binary"])
+    arrow = [_ARROW_TYPES[kinds[k].typeName()] for k in keys]
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for *key, px in zip(*(c.to_pylist() for c in b.columns)):
+                new, old = read(px, key), held.get(tuple(key))
+                held[tuple(key)] = new if old is None else merge(old, new)
+            # A bounded number of pictures in memory.
+            if sum(v.nbytes for v in held.values()) > 1 << 26:
+                yield out(held)
+                held = {}
+        if held:
+            yield out(held)
+
+    def out(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        cols = list(zip(*held)) if keys else []
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, arrow)), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=[*keys, column])
+
+    def over(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for px in b.column(column).to_pylist():
+                new = np.frombuffer(px, "u1")
+                total = new if total is None else merge(total, new)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], t) for k, t in zip(key, arrow)), pa.array([total.tobytes()], pa.binary())], names=[*keys, column])
+
+    return df.select(*keys, column).mapInArrow(within, schema).groupBy(*keys).applyInArrow(over, schema)
+
+
+_ARROW_TYPES = {**_ARROW, "bigint": pa.int64(), "string": pa.string()}
+
+
+def color_composite(masks: DataFrame) -> DataFrame:
+    """(project_id, final, pixels, changed, ratio, category, is_global): masks (project_id, final, probe_no below 2**32, color
+    'r g b', pixels: 0 changed) in their colours, a later probe over an earlier one, as one RGB picture on white for each final."""
+
+    def read(px: bytes, _: tuple) -> np.ndarray:
+        return np.frombuffer(px, "u1")
+
+    def paint(no: int, color: str, px: bytes) -> tuple:
+        # Seven bytes a pixel: the probe's number (0: none), then its colour.
+        m, rgb = np.frombuffer(px, "u1") == 0, [int(x) for x in color.split()]
+        cell = np.frombuffer(int(no).to_bytes(4, "big") + bytes(rgb), "u1")
+        return (np.where(m[:, None], cell, np.array([0, 0, 0, 0, 255, 255, 255], "u1")).tobytes(),)
+
+    def later(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = a.reshape(-1, 7), b.reshape(-1, 7)
+        no = lambda v: v[:, :4].astype("i8") @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
+        return np.where((no(x) >= no(y))[:, None], x, y).reshape(-1)
+
+    painted = _per_row(masks.withColumn("probe_no", F.col("probe_no").cast("long")), ["probe_no", "color", "pixels"], "cells binary", paint)
+    whole = _fold(painted, ["project_id", "final"], "cells", read, later)
+
+    def finish(cells: bytes) -> tuple:
+        v = np.frombuffer(cells, "u1").reshape(-1, 7)
+        return v[:, 4:].tobytes(), int(v[:, :4].any(1).sum()), len(v)
+
+    out = _per_row(whole, ["cells"], "pixels binary, changed long, total long", finish)
+    return out.withColumn("_s", change_stats(F.col("changed"), F.col("total"))).select("project_id", "final", "pixels", "changed", "_s.ratio", "_s.category", "_s.is_global")
+
+
+def moved_pixels(pairs: DataFrame) -> DataFrame:
+    """Pairs (mask, inputmask: changed pixels above 0) with mismatch, the share of the mask that the input mask does not explain, and
+    bad (above 5 %); an empty mask has no mismatch."""
+
+    def one(mask: bytes, other: bytes) -> tuple:
+        m, i = np.frombuffer(mask, "u1") > 0, np.frombuffer(other, "u1") > 0
+        size = int(m.sum())
+        share = abs(int((m & ~i).sum()) - int((i & ~m).sum())) / size if size else 0.0
+        return round(share, 6), share > 0.05
+
+    return _per_row(pairs, ["mask", "inputmask"], "mismatch double, bad boolean", one)
+
+
+def crop_side_effects(masks: DataFrame) -> DataFrame:
+    """Masks (height, width, pixels, top, left, box_height, box_width) with dirty: changed pixels (not 255) inside the kept box."""
+
+    def one(height: int, width: int, pixels: bytes, top: int, left: int, h: int, w: int) -> tuple:
+        m = np.frombuffer(pixels, "u1").reshape(height, width)[top : top + h, left : left + w]
+        return (int((m != 255).sum()),)
+
+    return _per_row(masks, ["height", "width", "pixels", "top", "left", "box_height", "box_width"], "dirty long", one)
+
+
+def added_ranges(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Runs of frames of b whose hash a lacks: what was added."""
+    return cut_ranges(b, a)

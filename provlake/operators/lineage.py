@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.functions.storage import checkpointed
+from provlake.functions.storage import written
 
 P = "project_id"
 
@@ -24,11 +24,11 @@ def reach(edges: DataFrame, seeds: DataFrame, upward: bool = False) -> DataFrame
     seeds has project_id and node_id. Cycles end by themselves, as no node is visited twice from one seed.
     """
     here, there = ("dst", "src") if upward else ("src", "dst")
-    steps = edges.select(P, F.col(here).alias("node_id"), F.col(there).alias("_next")).distinct()
-    seen = frontier = checkpointed(seeds.select(P, F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("depth")).distinct())
+    steps = written(edges.select(P, F.col(here).alias("node_id"), F.col(there).alias("_next")).distinct())
+    seen = frontier = written(seeds.select(P, F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("depth")).distinct())
     while not frontier.isEmpty():
         found = frontier.join(steps, [P, "node_id"]).select(P, "seed", F.col("_next").alias("node_id"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = checkpointed(found.join(seen.select(P, "seed", "node_id"), [P, "seed", "node_id"], "left_anti"))
+        frontier = written(found.join(seen.select(P, "seed", "node_id"), [P, "seed", "node_id"], "left_anti"))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -47,18 +47,46 @@ def base_paths(nodes: DataFrame, edges: DataFrame, exclude_donor: bool = True) -
 
     A node whose only predecessors are donors yields no base if donors are left out. Cycles end a path.
     """
-    steps = _plain(edges, exclude_donor).select(P, F.col("dst").alias("at"), F.col("src").alias("_up"))
-    tops = degrees(nodes, edges).where("n_in = 0").select(P, F.col("node_id").alias("at"))
-    frontier = checkpointed(nodes.select(P, "node_id", F.col("node_id").alias("at"), F.array("node_id").alias("path")))
-    found = None
+    steps = written(_plain(edges, exclude_donor).select(P, F.col("dst").alias("at"), F.col("src").alias("_up")))
+    frontier = written(nodes.select(P, "node_id", F.col("node_id").alias("at"), F.array("node_id").alias("path")))
+    found = frontier
     while not frontier.isEmpty():
-        ended = frontier.join(tops, [P, "at"], "left_semi")
-        found = ended if found is None else found.unionByName(ended)
         up = frontier.join(steps, [P, "at"]).where(~F.expr("array_contains(path, _up)"))
-        frontier = checkpointed(up.select(P, "node_id", F.col("_up").alias("at"), F.array_append("path", F.col("_up")).alias("path")))
-    if found is None:
-        found = frontier
-    return found.select(P, "node_id", F.col("at").alias("base"), (F.size("path") - 1).cast("long").alias("level"), "path")
+        frontier = written(up.select(P, "node_id", F.col("_up").alias("at"), F.array_append("path", F.col("_up")).alias("path")))
+        found = found.unionByName(frontier)
+    ended = found.join(tops(nodes, edges).withColumnRenamed("node_id", "at"), [P, "at"], "left_semi")
+    return ended.select(P, "node_id", F.col("at").alias("base"), (F.size("path") - 1).cast("long").alias("level"), "path")
+
+
+def tops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, node_id) of the nodes without any predecessor."""
+    return nodes.select(P, "node_id").join(edges.select(P, F.col("dst").alias("node_id")), [P, "node_id"], "left_anti")
+
+
+def ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, node_id) of the nodes without any successor."""
+    return nodes.select(P, "node_id").join(edges.select(P, F.col("src").alias("node_id")), [P, "node_id"], "left_anti")
+
+
+def nearest_bases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, node_id, base, level): the first base of each node by level, then id, along edges that are not donors.
+
+    From all bases downward at once, one level a round: a node is reached at its least level first, by the smallest base of
+    the parents that were reached in the round before. No path is listed.
+    """
+    steps = written(_plain(edges, True).select(P, F.col("src").alias("node_id"), F.col("dst").alias("_to")))
+    frontier = written(tops(nodes, edges).distinct().select(P, "node_id", F.col("node_id").alias("base"), F.lit(0).cast("long").alias("level")))
+    seen = frontier
+    while not frontier.isEmpty():
+        found = frontier.join(steps, [P, "node_id"]).groupBy(P, F.col("_to").alias("node_id")).agg(F.min("base").alias("base"), (F.min("level") + 1).alias("level"))
+        frontier = written(found.join(seen.select(P, "node_id"), [P, "node_id"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def bases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, node_id, base): every base above each node, once, along edges that are not donors."""
+    return reach(_plain(edges, True), tops(nodes, edges)).select(P, "node_id", F.col("seed").alias("base"))
 
 
 def find_base(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -67,11 +95,11 @@ def find_base(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A node without one is its own base; nodes on a cycle have none.
     """
     parent = _plain(edges, True).groupBy(P, F.col("dst").alias("node_id")).agg(F.min("src").alias("up"))
-    at = checkpointed(nodes.select(P, "node_id").join(parent, [P, "node_id"], "left").select(P, "node_id", F.coalesce("up", "node_id").alias("base")))
+    at = written(nodes.select(P, "node_id").join(parent, [P, "node_id"], "left").select(P, "node_id", F.coalesce("up", "node_id").alias("base")))
     rounds = 0
     while rounds < 63:
         up = at.select(P, F.col("node_id").alias("base"), F.col("base").alias("_far"))
-        after = checkpointed(at.join(up, [P, "base"]).select(P, "node_id", F.col("_far").alias("base")))
+        after = written(at.join(up, [P, "base"]).select(P, "node_id", F.col("_far").alias("base")))
         moved = after.join(at, [P, "node_id", "base"], "left_anti").isEmpty()
         at, rounds = after, rounds + 1
         if moved:
@@ -82,31 +110,30 @@ def find_base(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def terminals(nodes: DataFrame, edges: DataFrame, exclude_donor: bool = True) -> DataFrame:
     """(project_id, node_id, final): nodes without successors that each node reaches, each once."""
-    plain = _plain(edges, exclude_donor)
-    ends = degrees(nodes, edges).where("n_out = 0").select(P, F.col("node_id").alias("final"))
-    found = reach(plain, nodes)
-    return found.select(P, F.col("seed").alias("node_id"), F.col("node_id").alias("final")).join(ends, [P, "final"], "left_semi").select(P, "node_id", "final")
+    nodes, edges = written(nodes.select(P, "node_id")), written(edges.select(P, "src", "dst", "op"))
+    # Upward from the ends: what reaches none of them is not looked at.
+    found = reach(_plain(edges, exclude_donor), ends(nodes, edges), upward=True)
+    return found.select(P, "node_id", F.col("seed").alias("final"))
 
 
 def ancestor_edges(edges: DataFrame, seeds: DataFrame, exclude_donor: bool = False) -> DataFrame:
     """(project_id, seed, src, dst, op): all edges among a node and its ancestors that lead upward from it."""
-    plain = _plain(edges, exclude_donor)
+    plain = _plain(written(edges.select(P, "src", "dst", "op")), exclude_donor)
     up = reach(plain, seeds, upward=True)
     return up.select(P, "seed", F.col("node_id").alias("dst")).join(plain.select(P, "src", "dst", "op"), [P, "dst"]).select(P, "seed", "src", "dst", "op")
 
 
 def donor_base_tuples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, donor_src, donor_dst, base): the bases above each donor edge's start."""
+    edges = written(edges.select(P, "src", "dst", "op"))
     donors = edges.where("op = 'Donor'").select(P, F.col("src").alias("donor_src"), F.col("dst").alias("donor_dst"))
-    bases = base_paths(nodes, edges).select(P, F.col("node_id").alias("donor_src"), "base").distinct()
-    return donors.join(bases, [P, "donor_src"]).select(P, "donor_src", "donor_dst", "base")
+    return donors.join(bases(nodes, edges).withColumnRenamed("node_id", "donor_src"), [P, "donor_src"]).select(P, "donor_src", "donor_dst", "base")
 
 
 def terminal_base_tuples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, final, base)."""
-    ends = degrees(nodes, edges).where("n_out = 0").select(P, F.col("node_id").alias("final"))
-    bases = base_paths(nodes, edges).select(P, F.col("node_id").alias("final"), "base").distinct()
-    return bases.join(ends, [P, "final"], "left_semi")
+    edges = written(edges.select(P, "src", "dst", "op"))
+    return bases(nodes, edges).join(ends(nodes, edges), [P, "node_id"], "left_semi").withColumnRenamed("node_id", "final")
 
 
 def has_ancestor_op(nodes: DataFrame, edges: DataFrame, op: str) -> DataFrame:
@@ -129,12 +156,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Labels spread along edges and then jump to their label's label, so rounds grow with the logarithm of a diameter.
     """
     both = edges.select(P, F.col("src").alias("node_id"), F.col("dst").alias("_to")).unionByName(edges.select(P, F.col("dst").alias("node_id"), F.col("src").alias("_to"))).distinct()
-    label = checkpointed(nodes.select(P, "node_id", F.col("node_id").alias("component")))
+    both = written(both)
+    label = written(nodes.select(P, "node_id", F.col("node_id").alias("component")))
     while True:
         sent = label.join(both, [P, "node_id"]).select(P, F.col("_to").alias("node_id"), "component")
         least = label.unionByName(sent).groupBy(P, "node_id").agg(F.min("component").alias("component"))
         jump = least.select(P, F.col("node_id").alias("component"), F.col("component").alias("_far"))
-        after = checkpointed(least.join(jump, [P, "component"]).select(P, "node_id", F.col("_far").alias("component")))
+        after = written(least.join(jump, [P, "component"]).select(P, "node_id", F.col("_far").alias("component")))
         if after.join(label, [P, "node_id", "component"], "left_anti").isEmpty():
             return after
         label = after
@@ -142,11 +170,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, node_id) of the nodes between which a cycle runs: both ends are trimmed until nothing more falls off."""
-    left = checkpointed(edges.select(P, "src", "dst").distinct())
+    left = written(edges.select(P, "src", "dst").distinct())
     while True:
         ins = left.select(P, F.col("dst").alias("src")).distinct()
         outs = left.select(P, F.col("src").alias("dst")).distinct()
-        after = checkpointed(left.join(ins, [P, "src"], "left_semi").join(outs, [P, "dst"], "left_semi").select(P, "src", "dst"))
+        after = written(left.join(ins, [P, "src"], "left_semi").join(outs, [P, "dst"], "left_semi").select(P, "src", "dst"))
         if after.count() == left.count():
             return after.select(P, F.col("src").alias("node_id")).unionByName(after.select(P, F.col("dst").alias("node_id"))).distinct()
         left = after
@@ -168,6 +196,7 @@ def subgraph(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataF
 
 def qa_invalidate(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(project_id, src, dst): links up- and downstream of changed links (project_id, src, dst), whose QA mark must be reset."""
+    edges = written(edges.select(P, "src", "dst"))
     up = reach(edges, changed.select(P, F.col("src").alias("node_id")), upward=True).select(P, F.col("node_id").alias("dst")).distinct()
     down = reach(edges, changed.select(P, F.col("dst").alias("node_id"))).select(P, F.col("node_id").alias("src")).distinct()
     hit = edges.join(up, [P, "dst"], "left_semi").select(P, "src", "dst").unionByName(edges.join(down, [P, "src"], "left_semi").select(P, "src", "dst"))
@@ -176,13 +205,12 @@ def qa_invalidate(edges: DataFrame, changed: DataFrame) -> DataFrame:
 
 def paths_to_finals(nodes: DataFrame, edges: DataFrame, cond: str = "false") -> DataFrame:
     """(project_id, node_id, final, path, hit): all paths to nodes without successors; hit: an edge on it meets `cond`."""
-    ends = degrees(nodes, edges).where("n_out = 0").select(P, F.col("node_id").alias("at"))
-    steps = edges.select(P, F.col("src").alias("at"), F.col("dst").alias("_to"), F.coalesce(F.expr(cond), F.lit(False)).alias("_c"))
-    frontier = checkpointed(nodes.select(P, "node_id", F.col("node_id").alias("at"), F.array("node_id").alias("path"), F.lit(False).alias("hit")))
-    found = None
+    steps = written(edges.select(P, F.col("src").alias("at"), F.col("dst").alias("_to"), F.coalesce(F.expr(cond), F.lit(False)).alias("_c")))
+    frontier = written(nodes.select(P, "node_id", F.col("node_id").alias("at"), F.array("node_id").alias("path"), F.lit(False).alias("hit")))
+    found = frontier
     while not frontier.isEmpty():
-        ended = frontier.join(ends, [P, "at"], "left_semi")
-        found = ended if found is None else found.unionByName(ended)
         down = frontier.join(steps, [P, "at"]).where(~F.expr("array_contains(path, _to)"))
-        frontier = checkpointed(down.select(P, "node_id", F.col("_to").alias("at"), F.array_append("path", F.col("_to")).alias("path"), (F.col("hit") | F.col("_c")).alias("hit")))
-    return (frontier if found is None else found).select(P, "node_id", F.col("at").alias("final"), "path", "hit")
+        frontier = written(down.select(P, "node_id", F.col("_to").alias("at"), F.array_append("path", F.col("_to")).alias("path"), (F.col("hit") | F.col("_c")).alias("hit")))
+        found = found.unionByName(frontier)
+    last = found.join(steps.select(P, "at"), [P, "at"], "left_anti")
+    return last.select(P, "node_id", F.col("at").alias("final"), "path", "hit")

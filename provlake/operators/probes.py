@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.functions.storage import checkpointed
+from provlake.functions.storage import written
 
 from . import lineage
 
@@ -20,16 +20,21 @@ CUTS, INSERTS = ("DeleteFrames",), ("InsertFrames", "PasteFrames")
 
 def is_localized(operations: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """The edges of localized operations."""
-    ops = F.broadcast(operations.where("scope = 'localized'").select("op"))
+    ops = operations.where("scope = 'localized'").select("op")
     return lambda edges: edges.join(ops, "op", "left_semi")
 
 
 def probe_summary(nodes: DataFrame, edges: DataFrame, operations: DataFrame) -> DataFrame:
     """One row for each localized edge and final medium that it reaches: base and level of its source (the first by level, then id)."""
-    localized = is_localized(operations)(edges).select(P, "src", "dst", "op")
+    nodes, edges = written(nodes.select(P, "node_id")), written(edges.select(P, "src", "dst", "op"))
+    return _completed(is_localized(operations)(edges), nodes, edges)
+
+
+def _completed(some: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row for each of some edges and each final that it reaches, with the first base of its source."""
     finals = lineage.terminals(nodes, edges).select(P, F.col("node_id").alias("dst"), "final")
-    bases = lineage.base_paths(nodes, edges).groupBy(P, F.col("node_id").alias("src")).agg(F.min(F.struct("level", "base")).alias("_b"))
-    return localized.join(finals, [P, "dst"]).join(bases, [P, "src"], "left").select(P, "src", "dst", "op", "final", F.col("_b.base").alias("base"), F.col("_b.level").alias("level"))
+    bases = lineage.nearest_bases(nodes, edges).withColumnRenamed("node_id", "src")
+    return some.select(P, "src", "dst", "op").join(finals, [P, "dst"]).join(bases, [P, "src"], "left").select(P, "src", "dst", "op", "final", "base", "level")
 
 
 def _carry(segs: DataFrame) -> DataFrame:
@@ -51,19 +56,17 @@ def generate_probes(edges: DataFrame, segments: DataFrame, bounds: DataFrame, in
     Edges other than donors are followed; a probe whose segments are all cut away ends. Equal parts of several paths count once.
     """
     steps = edges.where("op <> 'Donor'").select(P, F.col("src").alias("at"), F.col("dst").alias("_to"), "op")
-    steps = steps.join(bounds.select(F.col("set_id").alias("_to"), F.col("startframe").alias("b_start"), F.col("endframe").alias("b_end")), "_to", "left")
+    steps = written(steps.join(bounds.select(F.col("set_id").alias("_to"), F.col("startframe").alias("b_start"), F.col("endframe").alias("b_end")), "_to", "left"))
     seeds = include(edges).select(P, "src", "dst").distinct()
     keys = [P, "src", "dst", "at", "seg_no", *SEG]
-    frontier = checkpointed(seeds.join(segments.withColumnRenamed("set_id", "dst"), "dst").withColumn("at", F.col("dst")).select(*keys))
-    inner = steps.select(P, "at").distinct()
-    found = None
+    frontier = written(seeds.join(segments.withColumnRenamed("set_id", "dst"), "dst").withColumn("at", F.col("dst")).select(*keys))
+    found = frontier
     while not frontier.isEmpty():
-        ended = frontier.join(inner, [P, "at"], "left_anti")
-        found = ended if found is None else found.unionByName(ended)
         moved = _carry(frontier.join(steps, [P, "at"]))
         moved = moved.select(P, "src", "dst", F.col("_to").alias("at"), "seg_no", "type", F.col("_p.s").alias("startframe"), F.col("_p.e").alias("endframe"))
-        frontier = checkpointed(moved.distinct())
-    return (frontier if found is None else found).withColumnRenamed("at", "final")
+        frontier = written(moved.distinct())
+        found = found.unionByName(frontier)
+    return found.join(steps.select(P, "at"), [P, "at"], "left_anti").withColumnRenamed("at", "final").select(P, "src", "dst", "final", "seg_no", *SEG)
 
 
 def construct_donors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,15 +116,21 @@ def assign_video_bits(probes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def assign_colors(edges: DataFrame) -> DataFrame:
-    """(project_id, src, dst, color): edges of a journal spread evenly over the 24-bit range, as 'r g b'."""
-    e = edges.withColumn("_i", F.expr("row_number() over (partition by project_id order by src, dst)")).withColumn("_n", F.expr("count(*) over (partition by project_id)"))
+    """(project_id, src, dst, color): edges of a journal spread evenly over the 24-bit range, as 'r g b'.
+
+    Where all edges of a journal have a colour (linkcolor, if there is such a column) and no two the same, these stay.
+    """
+    own = F.col("linkcolor") if "linkcolor" in edges.columns else F.lit(None).cast("string")
+    e = edges.withColumn("_i", F.expr("row_number() over (partition by project_id order by src, dst)")).withColumn("_own", own)
+    counts = e.groupBy(P).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("_own").alias("_d"))
+    e = e.join(counts, P)
     c = F.floor(F.col("_i") * 16777215 / (F.col("_n") + 1)).cast("long")
-    return e.select(P, "src", "dst", F.concat_ws(" ", F.floor(c / 65536).cast("long"), F.pmod(F.floor(c / 256), F.lit(256)).cast("long"), F.pmod(c, F.lit(256))).alias("color"))
+    spread = F.concat_ws(" ", F.floor(c / 65536).cast("long"), F.pmod(F.floor(c / 256), F.lit(256)).cast("long"), F.pmod(c, F.lit(256)))
+    return e.select(P, "src", "dst", F.when(F.col("_d") == F.col("_n"), F.col("_own")).otherwise(spread).alias("color"))
 
 
 def extend_detect_probes(probes: DataFrame, nodes: DataFrame, edges: DataFrame, detect: Column) -> DataFrame:
     """Rows for detect-only edges without a probe: each final and base of theirs."""
+    nodes, edges = written(nodes.select(P, "node_id")), written(edges.select(P, "src", "dst", "op"))
     free = edges.where(detect).select(P, "src", "dst", "op").join(probes.select(P, "src", "dst").distinct(), [P, "src", "dst"], "left_anti")
-    finals = lineage.terminals(nodes, edges).select(P, F.col("node_id").alias("dst"), "final")
-    bases = lineage.base_paths(nodes, edges).groupBy(P, F.col("node_id").alias("src")).agg(F.min(F.struct("level", "base")).alias("_b"))
-    return free.join(finals, [P, "dst"]).join(bases, [P, "src"], "left").select(P, "src", "dst", "op", "final", F.col("_b.base").alias("base"), F.col("_b.level").alias("level"))
+    return _completed(free, nodes, edges)

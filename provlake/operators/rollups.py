@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provlake.functions.storage import written
+
 from . import lineage
 
 P = "project_id"
@@ -26,7 +28,8 @@ SELECTION = ("SelectRegion", "SelectRegionFromFrames", "SelectImageFromFrames")
 
 def final_edges(nodes: DataFrame, edges: DataFrame, exclude_donor: bool = False) -> DataFrame:
     """(project_id, final, src, dst, op): the closure that all roll-ups of finals use."""
-    finals = lineage.degrees(nodes, edges).where("n_out = 0").select(P, "node_id")
+    edges = written(edges.select(P, "src", "dst", "op"))
+    finals = lineage.ends(nodes, edges)
     return lineage.ancestor_edges(edges, finals, exclude_donor).withColumnRenamed("seed", "final")
 
 
@@ -35,28 +38,108 @@ def rule_rollups(closure: DataFrame) -> DataFrame:
     return closure.groupBy(P, "final").agg(*(F.bool_or(F.col("op").isin(*ops)).alias(k) for k, ops in ROLLUPS.items()))
 
 
-def final_node_properties(closure: DataFrame, properties: DataFrame, plain: DataFrame | None = None) -> DataFrame:
-    """A1: (project_id, final, name, value): does any ancestor edge have one of the property's operations?
-
-    properties: name, operations (array), includedonors. Properties without donors look at the closure without donor edges.
+def _has(prop) -> Column:
+    """Does an edge (op, arguments, semanticGroups, media_type) give the property? By semantic group, or by operation and, if one is
+    named, the value of its parameter; only edges of the property's media type count."""
+    hit = F.lit(False)
+    if prop["semanticgroup"]:
+        hit = F.coalesce(F.array_contains("semanticGroups", prop["description"]), F.lit(False))
+    if prop["operations"]:
+        by_op = F.col("op").isin(*prop["operations"])
+        if prop["parameter"] is not None:
+            by_op &= F.coalesce(F.try_element_at("arguments", F.lit(prop["parameter"])) == F.lit(prop["value"]), F.lit(False))
+        hit |= by_op
+    if prop["nodetype"] is not None:
+        hit &= F.coalesce(F.col("media_type") == prop["nodetype"], F.lit(False))
+    return hit
+
+
+def final_node_properties(closure: DataFrame, properties: DataFrame) -> DataFrame:
+    """A1: (project_id, final, name, value): does an edge above the final give the property?
+
+    closure: project_id, final, is_plain (the edge lies on a path without donors), op, arguments, semanticGroups, media_type, and the
+    yes/no columns that properties name as their rule. properties (the dictionary): name, description, operations, parameter, value,
+    nodetype, semanticgroup, includedonors, rule. Properties without includedonors look at plain edges; a rule counts where the
+    rest says no. All are one aggregate over the closure.
     """
-    props = properties.select("name", F.explode("operations").alias("op"), "includedonors")
-    hit = closure.join(F.broadcast(props.where("includedonors")), "op").select(P, "final", "name")
-    hit = hit.unionByName((closure if plain is None else plain).join(F.broadcast(props.where("not includedonors")), "op").select(P, "final", "name"))
-    every = closure.select(P, "final").distinct().crossJoin(F.broadcast(properties.select("name")))
-    return every.join(hit.distinct().withColumn("value", F.lit(True)), [P, "final", "name"], "left").na.fill(False)
+    rows = properties.collect()  # a dictionary
+    exprs = []
+    for p in rows:
+        hit = _has(p)
+        if p["rule"] is not None:
+            hit |= F.coalesce(F.col(p["rule"]), F.lit(False))
+        exprs.append(F.bool_or(hit & (F.lit(True) if p["includedonors"] else F.col("is_plain"))).alias(p["name"]))
+    wide = closure.groupBy(P, "final").agg(*exprs)
+    return wide.unpivot([P, "final"], [p["name"] for p in rows], "name", "value")
 
 
 def project_properties(edges: DataFrame, properties: DataFrame) -> DataFrame:
-    """A2: (project_id, name, value): does any edge of the journal have one of the property's operations?"""
-    props = properties.select("name", F.explode("operations").alias("op"))
-    hit = edges.join(F.broadcast(props), "op").select(P, "name").distinct().withColumn("value", F.lit(True))
-    return edges.select(P).distinct().crossJoin(F.broadcast(properties.select("name"))).join(hit, [P, "name"], "left").na.fill(False)
+    """A2: (project_id, name, value): does any edge of the journal give the property (see final_node_properties)?"""
+    rows = properties.collect()  # a dictionary
+    wide = edges.groupBy(P).agg(*(F.bool_or(_has(p)).alias(p["name"]) for p in rows))
+    return wide.unpivot([P], [p["name"] for p in rows], "name", "value")
+
+
+# Categories of other enhancements and the operations of these that do not count, edits of a video's place.
+ENHANCEMENTS = ("AdditionalEffect", "Fill", "Transform", "Intensity", "Layer", "Filter", "CGI")
+NO_ENHANCEMENTS = ("Blur", "Sharpening", "TransformResize", "TransformCrop", "TransformRotate", "TransformSeamCarving", "TransformWarp", "Normalization", "Contrast")
+PLACED = ("PasteSampled", "PasteOverlay", "PasteImageSpliceToFrame")
+
+
+def rule_predicates() -> dict[str, Column]:
+    """A3: yes/no rules over an edge (op, category, arguments, is_global: yes, no or null, media_type of its source, common_parent: its
+    end's two predecessors share a base, is_gan)."""
+    op, video = F.col("op"), F.coalesce(F.col("media_type") == "video", F.lit(False))
+    arg = lambda k: F.coalesce(F.try_element_at("arguments", F.lit(k)), F.lit(""))
+    added = (F.size(F.map_keys("arguments")) == 0) | (arg("purpose") == "add")
+    common = F.coalesce("common_parent", F.lit(False))
+    other = F.coalesce(F.col("category").isin(*ENHANCEMENTS), F.lit(False)) & ~op.isin(*NO_ENHANCEMENTS)
+    widely = F.coalesce(F.col("is_global"), F.lit("yes")) == "yes"
+    return {
+        "blur_local": (op == "Blur") & (F.coalesce(F.col("is_global"), F.lit("no")) == "no"),
+        "histogram_global": (op == "Normalization") & widely,
+        "contrast_global": (op == "Contrast") & widely,
+        "color": F.coalesce(F.col("category") == "Color", F.lit(False)),
+        "clone": ((op == "PasteSplice") & common) | ((op == "PasteSampled") & (arg("purpose") == "clone")),
+        "spatial_clone": video & (((op == "PasteOverlay") & common & added) | ((op == "PasteSampled") & (arg("purpose") == "clone"))),
+        "spatial_splice": video & (((op == "PasteOverlay") & ~common & added) | ((op == "PasteImageSpliceToFrame") & (arg("purpose") == "clone"))),
+        "spatial_remove": video & op.isin(*PLACED) & (arg("purpose") == "remove"),
+        "spatial_moving": video & op.isin(*PLACED) & (arg("motion mapping") == "yes"),
+        "voice_overlay": (arg("voice") == "yes") & (arg("add type") == "overlay"),
+        "voice_swap": (arg("voice") == "yes") & (arg("add type") == "replace"),
+        "median_smoothing": (op == "Blur") & (arg("Blur Type") == "Median Smoothing"),
+        "audio_activity": F.coalesce(F.col("category") == "Audio", F.lit(False)),
+        "other_enhancement": F.coalesce(F.col("media_type") == "image", F.lit(False)) & other,
+        "video_other_enhancement": video & other,
+        "gan_component": F.col("is_gan"),
+    }
+
+
+def property_rules(closure: DataFrame) -> DataFrame:
+    """A3: (project_id, final, and one yes/no column a rule): does any edge above the final meet the rule? In one aggregate."""
+    return closure.groupBy(P, "final").agg(*(F.bool_or(c).alias(k) for k, c in rule_predicates().items()))
+
+
+def format_changes(finals: DataFrame, media: DataFrame) -> DataFrame:
+    """A3: (project_id, final, base, reformatted, compressed): finals (project_id, final, base) by their files' metadata (project_id,
+    node_id, mime, file_type, compression): MIME or file type differ; a JPEG, or a compression that is not uncompressed."""
+    one = media.select(P, F.col("node_id").alias("base"), F.col("mime").alias("_m0"), F.col("file_type").alias("_t0"))
+    two = media.select(P, F.col("node_id").alias("final"), F.col("mime").alias("_m1"), F.col("file_type").alias("_t1"), F.trim("compression").alias("_c"))
+    j = finals.join(one, [P, "base"], "left").join(two, [P, "final"], "left")
+    differs = F.coalesce(F.col("_m0") != F.col("_m1"), F.lit(False)) | F.coalesce(F.col("_t0") != F.col("_t1"), F.lit(False))
+    packed = F.coalesce(F.lower("_t1") == "jpeg", F.lit(False)) | F.coalesce((F.col("_c") != "") & ~F.lower("_c").startswith("uncompressed"), F.lit(False))
+    return j.select(P, "final", "base", differs.alias("reformatted"), packed.alias("compressed"))
+
+
+def best_of(finals: DataFrame) -> DataFrame:
+    """(project_id, count, category): the greatest manipulation count of a journal's finals (project_id, units), and its label."""
+    best = finals.groupBy(P).agg(F.max("units").alias("count"))
+    return best.withColumn("category", F.concat(F.lit("Unit-"), F.col("count").cast("string")))
 
 
 def unit_count(closure: DataFrame, operations: DataFrame) -> DataFrame:
     """A4: (project_id, final, units, label): distinct operations but outputs, donors and selections; label Unit-n."""
-    skip = F.broadcast(operations.where(F.col("category").isin("Output", "Donor") | F.col("op").isin(*SELECTION)).select("op", F.lit(True).alias("_skip")))
+    skip = operations.where(F.col("category").isin("Output", "Donor") | F.col("op").isin(*SELECTION)).select("op", F.lit(True).alias("_skip"))
     counted = closure.join(skip, "op", "left").groupBy(P, "final").agg(F.count_distinct(F.when(F.col("_skip").isNull(), F.col("op"))).alias("units"))
     return counted.withColumn("label", F.concat(F.lit("Unit-"), F.col("units").cast("string")))
 
@@ -100,12 +183,16 @@ def packet_summary(diffs: DataFrame) -> DataFrame:
 
 
 def combine_ops(groups: DataFrame, operations: DataFrame) -> DataFrame:
-    """Groups (group_name, pos, op) to (group_name, categories, rules, first_op, last_op), lists sorted and distinct."""
-    j = groups.join(F.broadcast(operations), "op")
-    return j.groupBy("group_name").agg(
+    """Groups (group_name, pos, op) over operations (op, category, rule, transitions) to (group_name, categories, rules, first_op,
+    last_op, transitions), lists sorted and distinct; a transition leads from a start of the first operation to an end of the last."""
+    j = groups.join(operations, "op")
+    out = j.groupBy("group_name").agg(
         F.array_sort(F.collect_set("category")).alias("categories"), F.array_sort(F.collect_set("rule")).alias("rules"),
-        F.min_by("op", "pos").alias("first_op"), F.max_by("op", "pos").alias("last_op"),
-    )
+        F.min_by(F.struct("op", "transitions"), "pos").alias("_f"), F.max_by(F.struct("op", "transitions"), "pos").alias("_l"),
+    )
+    side = lambda c, i: F.array_distinct(F.transform(c, lambda t: F.split_part(t, F.lit("."), F.lit(i))))
+    led = F.flatten(F.transform(side(F.col("_f.transitions"), 1), lambda a: F.transform(side(F.col("_l.transitions"), 2), lambda b: F.concat_ws(".", a, b))))
+    return out.select("group_name", "categories", "rules", F.col("_f.op").alias("first_op"), F.col("_l.op").alias("last_op"), F.array_sort(led).alias("transitions"))
 
 
 def create_time(nodes: DataFrame) -> DataFrame:

@@ -70,20 +70,27 @@ def node_rules(nodes: DataFrame, edges: DataFrame, listing: DataFrame | None = N
 
 def edge_dictionary_rules(edges: DataFrame, operations: DataFrame, software: DataFrame | None = None) -> DataFrame:
     """Operations that the dictionary lacks, recorded errors, software versions that are not approved."""
-    out = [messages(edges.join(F.broadcast(operations.select("op")), "op", "left_anti"), ERROR, "dictionary", F.concat(F.lit("unknown operation "), F.col("op")))]
+    out = [messages(edges.join(operations.select("op"), "op", "left_anti"), ERROR, "dictionary", F.concat(F.lit("unknown operation "), F.col("op")))]
     if "errors" in edges.columns:
         out.append(messages(edges.where(F.size("errors") > 0), ERROR, "dictionary", F.concat(F.lit("recorded: "), F.array_join("errors", "; "))))
     if software is not None:
-        ok = F.broadcast(software.select(F.col("name").alias("softwareName"), F.col("version").alias("softwareVersion")).distinct())
+        ok = software.select(F.col("name").alias("softwareName"), F.col("version").alias("softwareVersion")).distinct()
         out.append(messages(edges.where("softwareName is not null").join(ok, ["softwareName", "softwareVersion"], "left_anti"), WARNING, "dictionary", "version is not approved"))
     return union(out)
 
 
 def mandatory_rules(edges: DataFrame, params: DataFrame) -> DataFrame:
-    """Params (op, name, mandatory, source): mandatory arguments that an edge lacks."""
-    need = F.broadcast(params.where("mandatory").select("op", "name"))
-    lacks = edges.join(need, "op").where(F.coalesce(F.try_element_at("arguments", F.col("name")), F.lit("")) == "")
-    return messages(lacks, ERROR, "mandatory", F.concat(F.lit("missing "), F.col("name")))
+    """Params (op, name, mandatory, source, needed_by, needed_value): arguments that an edge (arguments, src_type, inputmaskname) lacks.
+
+    A mandatory one counts if its source is null or the type of the edge's source; an optional one if another argument (needed_by)
+    has the value that requires it. `inputmaskname` is an attribute of the edge itself.
+    """
+    j = edges.join(params, "op")
+    value = F.when(F.col("name") == "inputmaskname", F.col("inputmaskname")).otherwise(F.try_element_at("arguments", F.col("name")))
+    lacks = j.where(F.coalesce(value, F.lit("")) == "")
+    here = F.col("source").isNull() | (F.col("source") == F.col("src_type"))
+    asked = F.coalesce(F.try_element_at("arguments", F.col("needed_by")) == F.col("needed_value"), F.lit(False))
+    return messages(lacks.where(F.when(F.col("mandatory"), here).otherwise(asked)), ERROR, "mandatory", F.concat(F.lit("missing "), F.col("name")))
 
 
 def argument_ok(kind: Column, value: Column) -> Column:
@@ -107,7 +114,7 @@ def argument_ok(kind: Column, value: Column) -> Column:
 
 def argument_rules(edges: DataFrame, params: DataFrame) -> DataFrame:
     """Params (op, name, type): arguments that are there but do not fit their type."""
-    rows = edges.select(P, "src", "dst", "op", F.explode("arguments").alias("name", "_v")).join(F.broadcast(params.select("op", "name", "type")), ["op", "name"])
+    rows = edges.select(P, "src", "dst", "op", F.explode("arguments").alias("name", "_v")).join(params.select("op", "name", "type"), ["op", "name"])
     return messages(rows.where(~argument_ok(F.col("type"), F.col("_v"))), ERROR, "argument", F.concat(F.lit("invalid "), F.col("name")))
 
 
@@ -174,17 +181,22 @@ def type_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 @register("composite")
 def composite_rules(edges: DataFrame, operations: DataFrame) -> DataFrame:
     """Localized edges that are left out of the composite; edges have recordMaskInComposite (yes/no) and empty_mask."""
-    e = edges.join(F.broadcast(operations.select("op", "scope")), "op").where("scope = 'localized'")
+    e = edges.join(operations.select("op", "scope"), "op").where("scope = 'localized'")
     return union([
         messages(e.where("coalesce(recordMaskInComposite, 'no') <> 'yes'"), WARNING, "composite", "is not in the composite"),
         messages(e.where("coalesce(empty_mask, 'no') = 'yes'"), ERROR, "composite", "mask is empty"),
     ])
 
 
-def user_rules(journals: DataFrame, names: DataFrame) -> DataFrame:
-    """Journals whose user is not in the list of names."""
-    bad = journals.join(names.select("username").distinct(), "username", "left_anti").withColumn("_n", F.lit(None).cast("long"))
-    return messages(bad, ERROR, "user", F.concat(F.lit("unknown user "), F.col("username")), "_n", "_n")
+def user_rules(journals: DataFrame, names: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Journals, and edges (username) where they are given, whose user is not in the list of names."""
+    known = names.select("username").distinct()
+    text = F.concat(F.lit("unknown user "), F.col("username"))
+    bad = journals.join(known, "username", "left_anti").withColumn("_n", F.lit(None).cast("long"))
+    found = messages(bad, ERROR, "user", text, "_n", "_n")
+    if edges is None:
+        return found
+    return found.unionByName(messages(edges.where("username is not null").join(known, "username", "left_anti"), ERROR, "user", text))
 
 
 def registry_rules(nodes: DataFrame, edges: DataFrame, registry: DataFrame) -> DataFrame:
@@ -208,7 +220,7 @@ def run_rules(found: DataFrame, edges: DataFrame, rules: DataFrame, isolated: bo
     """Of the messages those whose module an edge's operation names; rules (op, rule), where `donor:x` is left out if isolated."""
     named = rules.where(~F.col("rule").startswith("donor:")) if isolated else rules
     named = named.select("op", F.regexp_replace("rule", "^donor:", "").alias("module")).distinct()
-    of = edges.join(F.broadcast(named), "op").select(P, F.col("src").alias("start"), F.col("dst").alias("end"), "module").distinct()
+    of = edges.join(named, "op").select(P, F.col("src").alias("start"), F.col("dst").alias("end"), "module").distinct()
     return found.join(of, [P, "start", "end", "module"], "left_semi")
 
 

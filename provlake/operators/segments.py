@@ -115,10 +115,17 @@ def apply_bounds(segs: DataFrame, bounds: DataFrame, insert: bool = False) -> Da
     return out.select(*[F.col("_p.s").alias(c) if c == "startframe" else F.col("_p.e").alias(c) if c == "endframe" else F.col(c) for c in segs.columns])
 
 
-def intersect_segments(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Overlaps of two segment tables: same set and type, rate of the first."""
-    other = b.select("set_id", "type", F.col("seg_no").alias("other_no"), F.col("startframe").alias("_s"), F.col("endframe").alias("_e"))
-    hit = a.join(other, KEYS).where((F.col("startframe") <= F.col("_e")) & (F.col("_s") <= F.col("endframe")))
+def intersect_segments(a: DataFrame, b: DataFrame, bucket: int = 256) -> DataFrame:
+    """Overlaps of two segment tables: same set and type, rate of the first.
+
+    Segments meet in the buckets of frames that they cover, and count in the one where the later of both starts, so that a long
+    stream's pairs are not all formed.
+    """
+    place = lambda frame: F.floor(frame / bucket)
+    covers = F.explode(F.sequence(place(F.col("startframe")), place(F.col("endframe"))))
+    some = a.where("startframe <= endframe").withColumn("_k", covers)
+    other = b.where("startframe <= endframe").withColumn("_k", covers).select("set_id", "type", "_k", F.col("seg_no").alias("other_no"), F.col("startframe").alias("_s"), F.col("endframe").alias("_e"))
+    hit = some.join(other, [*KEYS, "_k"]).where((F.col("startframe") <= F.col("_e")) & (F.col("_s") <= F.col("endframe")) & (F.col("_k") == place(F.greatest("startframe", "_s"))))
     return hit.select("set_id", "type", "rate", "seg_no", "other_no", F.greatest("startframe", "_s").alias("startframe"), F.least("endframe", "_e").alias("endframe"))
 
 
@@ -176,12 +183,14 @@ def warp_segments(segs: DataFrame, src: DataFrame, dst: DataFrame, inverse: bool
     exact = (F.col("startframe") - 1) * scale + 1
     start = F.least(F.greatest(F.round(exact), F.lit(1)), F.col("_f1")).cast("long")
     end = F.least(F.greatest(F.round(F.col("endframe") * scale), start), F.col("_f1")).cast("long")
-    gap = F.round(F.abs(exact - F.round(exact)) * 1000 / F.col("_r1"), 6)
+    # Both parts in whole microseconds, so that the sum does not depend on how doubles round.
+    micros = lambda ms: F.floor(ms * 1e6 + 0.5)
+    gap = F.floor(F.abs(exact - F.round(exact)) * 1e9 / F.col("_r1") + 0.5)
     new = {
         "startframe": F.when(moved, start).otherwise(F.col("startframe")),
         "endframe": F.when(moved, end).otherwise(F.col("endframe")),
         "rate": F.when(moved, F.col("_r1")).otherwise(F.col("rate")),
-        "error": F.when(moved, F.col("error") + gap).otherwise(F.col("error")),
+        "error": F.when(moved, (micros(F.col("error")) + gap) / 1e6).otherwise(F.col("error")),
     }
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in segs.columns])
 

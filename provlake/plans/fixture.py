@@ -66,8 +66,24 @@ SELECT user_id AS media_id, CAST(row_number() OVER (PARTITION BY user_id ORDER B
        event_type IN ('error', 'click') AS changed, value AS intensity, ts, event_id, event_type, props
 FROM {events}"""
 
-VIEWS = {"journals": JOURNALS, "nodes": NODES, "edges": EDGES, "operations": OPERATIONS, "segments": SEGMENTS, "bounds": BOUNDS, "media": MEDIA, "frames": FRAMES}
-NEEDS = {"edges": ("nodes",)}
+WIDE = """
+SELECT e.project_id, e.src, e.dst, e.op, e.r,
+       CASE WHEN a.file LIKE '%.png' OR a.file LIKE '%.jpg' THEN 'image' WHEN a.file LIKE '%.wav' THEN 'audio' ELSE 'video' END AS media_type,
+       CASE WHEN b.file LIKE '%.png' OR b.file LIKE '%.jpg' THEN 'image' WHEN b.file LIKE '%.wav' THEN 'audio' ELSE 'video' END AS dst_type,
+       CASE e.dst % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS record_mask, CASE e.src % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS is_global,
+       CASE e.dst % 7 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS empty_mask, CASE WHEN e.dst % 3 = 0 THEN concat('i', e.dst) END AS inputmask,
+       CASE (e.dst + e.src) % 5 WHEN 0 THEN 'clone' WHEN 1 THEN 'remove' WHEN 2 THEN 'add' WHEN 3 THEN 'blend' END AS purpose,
+       CASE e.src % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'overlay' WHEN 2 THEN 'replace' END AS add_type,
+       CASE WHEN e.src % 6 = 0 THEN 'yes' END AS voice, CASE WHEN e.dst % 5 = 0 THEN 'Median Smoothing' END AS blur_type,
+       CASE WHEN e.dst % 9 = 0 THEN 'a gan face' END AS subject, CASE WHEN e.src % 8 = 0 THEN 'yes' END AS direct, concat('s', e.dst % 6) AS software,
+       CASE WHEN e.src % 3 = 0 THEN '640x480' WHEN e.src % 3 = 1 THEN '640' END AS resolution
+FROM edges e JOIN nodes a ON a.project_id = e.project_id AND a.node_id = e.src JOIN nodes b ON b.project_id = e.project_id AND b.node_id = e.dst"""
+
+#: Names of the arguments that the wide view holds as columns.
+ARGUMENTS = {"purpose": "purpose", "add type": "add_type", "voice": "voice", "Blur Type": "blur_type", "subject": "subject", "Direct from PC": "direct", "resolution": "resolution"}
+
+VIEWS = {"wide": WIDE, "journals": JOURNALS, "nodes": NODES, "edges": EDGES, "operations": OPERATIONS, "segments": SEGMENTS, "bounds": BOUNDS, "media": MEDIA, "frames": FRAMES}
+NEEDS = {"edges": ("nodes",), "wide": ("nodes", "edges")}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +96,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **tables) if tables else spark.sql(sql)
 
 
+def wide_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide view with its arguments as a map; null arguments are not in it."""
+    from pyspark.sql import functions as F
+
+    e = view(spark, sf_dir, "wide").withColumnRenamed("software", "softwareName").withColumnRenamed("inputmask", "inputmaskname")
+    pairs = F.create_map(*(x for name, column in ARGUMENTS.items() for x in (F.lit(name), F.col(column))))
+    return e.withColumn("arguments", F.map_filter(pairs, lambda k, v: v.isNotNull())).drop(*ARGUMENTS.values())
+
+
 def with_views(*names: str, recursive: bool = False) -> str:
     """The WITH clause that gives DuckDB the same views."""
     order = dict.fromkeys(n for name in names for n in (*NEEDS.get(name, ()), name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provlake.operators import lineage, probes, rollups, rules
 
-from .fixture import view, with_views
+from .fixture import view, wide_edges, with_views
 
 
 def _ne(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -143,7 +143,8 @@ def q_donors(spark, d):
 
 
 def q_colors(spark, d):
-    return probes.assign_colors(_ne(spark, d)[1])
+    e = _ne(spark, d)[1].withColumn("linkcolor", F.expr("case when project_id % 3 = 0 or dst % 7 > 0 then concat(src % 256, ' ', dst % 256, ' ', (src + dst) % 251) end"))
+    return probes.assign_colors(e)
 
 
 def q_detect(spark, d):
@@ -156,17 +157,34 @@ def q_rollups(spark, d):
     return rollups.rule_rollups(rollups.final_edges(n, e))
 
 
+PROPERTIES = "name string, description string, operations array<string>, parameter string, value string, nodetype string, semanticgroup boolean, includedonors boolean, rule string"
+
+
 def _properties(spark):
-    return spark.createDataFrame([("blurred", ["Blur"], True), ("pasted", ["PasteSplice", "PasteSampled", "PasteFrames"], True), ("resized", ["TransformResize", "TransformCrop"], False)], "name string, operations array<string>, includedonors boolean")
+    rows = [
+        ("blurred", None, ["Blur"], None, None, None, False, True, None),
+        ("pasted", None, ["PasteSplice", "PasteSampled", "PasteFrames"], "purpose", "clone", None, False, True, None),
+        ("resized_video", None, ["TransformResize", "TransformCrop"], None, None, "video", False, False, None),
+        ("swapped", "face", None, None, None, None, True, False, None),
+        ("timed", None, ["TimeWarp"], "purpose", "add", None, False, False, "warp"),
+    ]
+    return spark.createDataFrame(rows, PROPERTIES)
+
+
+def _property_edges(spark, d):
+    group = F.when(F.pmod("dst", F.lit(8)) == 0, F.array(F.lit("face"), F.lit("body")))
+    return wide_edges(spark, d).withColumns({"semanticGroups": group, "warp": (F.col("op") == "TimeWarp") & (F.pmod("src", F.lit(2)) == 0)})
 
 
 def q_final_properties(spark, d):
     n, e = _ne(spark, d)
-    return rollups.final_node_properties(rollups.final_edges(n, e), _properties(spark), rollups.final_edges(n, e, True))
+    plain = rollups.final_edges(n, e, True).select("project_id", "final", "src", "dst").distinct().withColumn("is_plain", F.lit(True))
+    closure = rollups.final_edges(n, e).select("project_id", "final", "src", "dst", "op").distinct().join(plain, ["project_id", "final", "src", "dst"], "left").na.fill(False, ["is_plain"])
+    return rollups.final_node_properties(closure.join(_property_edges(spark, d), ["project_id", "src", "dst", "op"]), _properties(spark))
 
 
 def q_project_properties(spark, d):
-    return rollups.project_properties(_ne(spark, d)[1], _properties(spark))
+    return rollups.project_properties(_property_edges(spark, d), _properties(spark).where("rule is null"))
 
 
 def q_units(spark, d):
@@ -233,7 +251,9 @@ def q_registry(spark, d):
 
 def q_users(spark, d):
     j = view(spark, d, "journals")
-    return rules.user_rules(j, j.where("project_id % 5 <> 0")).drop("start", "end")
+    e = wide_edges(spark, d).withColumnRenamed("softwareName", "username")
+    names = j.where("project_id % 5 <> 0").select("username").unionByName(e.where("username <> 's3'").select("username"))
+    return rules.user_rules(j, names, e).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("start", "end")})
 
 
 def q_edge_bounds(spark, d):
@@ -257,7 +277,10 @@ def _msg(sev: int, mod: str, msg: str, frm: str, s: str = "src", e: str = "dst")
 _EM = """em AS (SELECT e.*, a.frames AS a_frames, a.rate AS a_rate, a.duration_ms AS a_dur, b.frames AS b_frames, b.rate AS b_rate, b.duration_ms AS b_dur
   FROM edges e JOIN media a ON a.project_id = e.project_id AND a.node_id = e.src JOIN media b ON b.project_id = e.project_id AND b.node_id = e.dst)"""
 _TYPE = """CASE WHEN {f} LIKE '%.png' OR {f} LIKE '%.jpg' THEN 'image' WHEN {f} LIKE '%.wav' THEN 'audio' ELSE 'video' END"""
-_PROPS = "props AS (SELECT * FROM (VALUES ('blurred','Blur',true),('pasted','PasteSplice',true),('pasted','PasteSampled',true),('pasted','PasteFrames',true),('resized','TransformResize',false),('resized','TransformCrop',false)) t(name, op, inc))"
+_HAS = {
+    "blurred": "op = 'Blur'", "pasted": "coalesce(op IN ('PasteSplice', 'PasteSampled', 'PasteFrames') AND purpose = 'clone', false)", "resized_video": "(op IN ('TransformResize', 'TransformCrop') AND media_type = 'video')",
+    "swapped": "dst % 8 = 0", "timed": "coalesce(op = 'TimeWarp' AND purpose = 'add', false)",
+}
 _NODE_AT = {"s": "node_id", "e": "node_id"}
 
 QUERIES = {
@@ -351,8 +374,10 @@ WHEN dst % 2 = 0 THEN 'temporal' ELSE 'detect' END AS designation, count(*) AS n
         "SELECT ps.project_id, ps.src, ps.dst, ps.final, coalesce(d.base, -1) AS donor_base FROM ps LEFT JOIN (SELECT DISTINCT e.project_id, e.dst, b.base FROM edges e JOIN bases b ON b.project_id = e.project_id AND b.node_id = e.src WHERE e.op = 'Donor') d ON d.project_id = ps.project_id AND d.dst = ps.dst", *PV,
     ),
     "link_colors": _sql(
-        "x AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY src, dst) * 16777215 // (count(*) OVER (PARTITION BY project_id) + 1) AS c FROM edges)",
-        "SELECT project_id, src, dst, concat(c // 65536, ' ', (c // 256) % 256, ' ', c % 256) AS color FROM x",
+        """y AS (SELECT *, CASE WHEN project_id % 3 = 0 OR dst % 7 > 0 THEN concat(src % 256, ' ', dst % 256, ' ', (src + dst) % 251) END AS own FROM edges),
+n AS (SELECT project_id, count(*) AS n, count(DISTINCT own) AS d FROM y GROUP BY 1),
+x AS (SELECT y.*, n.n, n.d, row_number() OVER (PARTITION BY y.project_id ORDER BY src, dst) * 16777215 // (n + 1) AS c FROM y JOIN n ON n.project_id = y.project_id)""",
+        "SELECT project_id, src, dst, CASE WHEN d = n THEN own ELSE concat(c // 65536, ' ', (c // 256) % 256, ' ', c % 256) END AS color FROM x",
     ),
     "detect_probes": _sql(
         f"{PSUM}, b1 AS (SELECT project_id, node_id, min(level) AS level, arg_min(base, ROW(level, base)) AS base FROM bases GROUP BY 1, 2)",
@@ -362,12 +387,17 @@ AND NOT EXISTS (SELECT 1 FROM ps WHERE ps.project_id = e.project_id AND ps.src =
     ),
     "rule_rollups": _sql(CLOSURE, "SELECT project_id, final, " + ", ".join(f"bool_or(op IN ({', '.join(map(repr, ops))})) AS {k}" for k, ops in rollups.ROLLUPS.items()) + " FROM closure GROUP BY 1, 2"),
     "final_node_properties": _sql(
-        f"""{CLOSURE}, {UP}, plain AS (SELECT DISTINCT u.project_id, u.node_id AS final, e.op FROM up u JOIN edges e ON e.project_id = u.project_id AND e.dst = u.at AND e.op <> 'Donor'), {_PROPS}""",
-        """SELECT f.project_id, f.final, n.name, EXISTS (SELECT 1 FROM props p JOIN closure c ON c.op = p.op WHERE p.inc AND p.name = n.name AND c.project_id = f.project_id AND c.final = f.final)
-OR EXISTS (SELECT 1 FROM props p JOIN plain c ON c.op = p.op WHERE NOT p.inc AND p.name = n.name AND c.project_id = f.project_id AND c.final = f.final) AS value
-FROM (SELECT DISTINCT project_id, final FROM closure) f CROSS JOIN (SELECT DISTINCT name FROM props) n""",
+        f"""{CLOSURE}, {UP}, plain AS (SELECT DISTINCT u.project_id, u.node_id AS final, e.src, e.dst FROM up u JOIN edges e ON e.project_id = u.project_id AND e.dst = u.at AND e.op <> 'Donor'),
+c AS (SELECT c.final, w.*, p.src IS NOT NULL AS is_plain FROM closure c JOIN wide w ON w.project_id = c.project_id AND w.src = c.src AND w.dst = c.dst AND w.op = c.op
+  LEFT JOIN plain p ON p.project_id = c.project_id AND p.final = c.final AND p.src = c.src AND p.dst = c.dst),
+v AS (SELECT project_id, final, bool_or({_HAS['blurred']}) AS blurred, bool_or({_HAS['pasted']}) AS pasted, bool_or(is_plain AND {_HAS['resized_video']}) AS resized_video,
+  bool_or(is_plain AND {_HAS['swapped']}) AS swapped, bool_or(is_plain AND ({_HAS['timed']} OR (op = 'TimeWarp' AND src % 2 = 0))) AS timed FROM c GROUP BY 1, 2)""",
+        "SELECT project_id, final, name, value FROM v UNPIVOT (value FOR name IN (blurred, pasted, resized_video, swapped, timed))", *NE, "wide",
+    ),
+    "project_properties": _sql(
+        f"v AS (SELECT project_id, " + ", ".join(f"bool_or({_HAS[k]}) AS {k}" for k in ("blurred", "pasted", "resized_video", "swapped")) + " FROM wide GROUP BY 1)",
+        "SELECT project_id, name, value FROM v UNPIVOT (value FOR name IN (blurred, pasted, resized_video, swapped))", "wide",
     ),
-    "project_properties": _sql(_PROPS, "SELECT f.project_id, n.name, EXISTS (SELECT 1 FROM props p JOIN edges e ON e.op = p.op WHERE p.name = n.name AND e.project_id = f.project_id) AS value FROM (SELECT DISTINCT project_id FROM edges) f CROSS JOIN (SELECT DISTINCT name FROM props) n"),
     "unit_count": _sql(
         CLOSURE,
         "SELECT c.project_id, c.final, count(DISTINCT c.op) FILTER (WHERE o.category NOT IN ('Output', 'Donor')) AS units, concat('Unit-', count(DISTINCT c.op) FILTER (WHERE o.category NOT IN ('Output', 'Donor'))) AS label FROM closure c JOIN operations o ON o.op = c.op GROUP BY 1, 2", *PV,
@@ -437,5 +467,8 @@ JOIN nodes b ON b.project_id = e.project_id AND b.node_id = e.dst)""",
             _msg(3, "registry", "final is used in another journal", "lab WHERE label = 'final' AND node_id % 3 = 0 AND node_id % 2 = 1", **_NODE_AT),
         ]),
     ),
-    "user_rules": _sql("", "SELECT project_id, 3 AS severity, 'user' AS module, concat('unknown user ', username) AS message FROM journals WHERE project_id % 5 = 0", "journals"),
+    "user_rules": _sql(
+        "", """SELECT project_id, 3 AS severity, CAST(-1 AS BIGINT) AS start, CAST(-1 AS BIGINT) AS "end", 'user' AS module, concat('unknown user ', username) AS message FROM journals WHERE project_id % 5 = 0
+UNION ALL SELECT project_id, 3, src, dst, 'user', 'unknown user s3' FROM wide WHERE software = 's3'""", "journals", "wide",
+    ),
 }

@@ -148,7 +148,9 @@ SELECT set_id, seg_no, CASE WHEN cut THEN 'cut' ELSE 'crop' END AS op, CASE WHEN
   round(CASE WHEN cut AND startframe >= 1 THEN t - 1000 / rate ELSE 0 END, 4) AS starttime, round(CASE WHEN cut THEN t ELSE t + 1000 / rate * (n - 1) END, 4) AS endtime FROM s""",
     "snap_to_frames": f"""{with_views('segments')}, f AS (SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY startframe, seg_no) AS n, startframe * 9.0::DOUBLE AS t FROM segments WHERE type = 'video'),
 h AS (SELECT set_id, seg_no, error, 0 AS e, startframe * 7.0::DOUBLE AS ms FROM segments UNION ALL SELECT set_id, seg_no, error, 1, endframe * 7.0::DOUBLE FROM segments),
-j AS (SELECT h.set_id, seg_no, error, e, ms, max(n) FILTER (f.t <= ms) AS n, max(f.t) FILTER (f.t <= ms) AS l, min(f.t) FILTER (f.t > ms) AS x FROM h LEFT JOIN f ON f.set_id = h.set_id GROUP BY ALL),
+g AS (SELECT set_id, t, max(n) AS n FROM f GROUP BY 1, 2),
+i AS (SELECT h.*, g.n, g.t AS l FROM h ASOF LEFT JOIN g ON g.set_id = h.set_id AND h.ms >= g.t),
+j AS (SELECT i.*, g.t AS x FROM i ASOF LEFT JOIN g ON g.set_id = i.set_id AND i.ms < g.t),
 k AS (SELECT *, CASE WHEN x IS NULL THEN -1 ELSE coalesce(n, 0) END AS fr, CASE WHEN x IS NULL THEN ms ELSE coalesce(l, 0) END AS tm FROM j)
 SELECT a.set_id, a.seg_no, a.fr AS startframe, b.fr AS endframe, a.tm AS starttime, b.tm AS endtime, round(a.error + coalesce(a.x - a.ms, b.x - b.ms, 0), 4) AS error
 FROM k a JOIN k b ON a.set_id = b.set_id AND a.seg_no = b.seg_no AND a.e = 0 AND b.e = 1""",

@@ -48,25 +48,25 @@ def q_fold(spark, d):
 
 def q_intersect(spark, d):
     s = _segs(spark, d)
-    return segments.intersect_segments(s, s.where("seg_no % 2 = 0")).where("seg_no <> other_no").drop("rate")
+    return segments.intersect_segments(s, s).where("seg_no <> other_no").drop("rate")
 
 
 def q_subtract(spark, d):
     s = _segs(spark, d)
-    return segments.subtract_union(s.where("seg_no = 1"), s.where("seg_no > 1"))
+    return segments.subtract_union(s.where("seg_no % 3 = 1"), s.where("seg_no % 3 <> 1"))
 
 
 def q_complete(spark, d):
     s = _segs(spark, d).withColumns({"starttime": segments.time_of(F.col("startframe"), F.col("rate")), "endtime": segments.time_of(F.col("endframe"), F.col("rate"))})
-    s = s.withColumns({"startframe": F.when(F.col("seg_no") % 2 == 0, F.col("startframe")), "endframe": F.when(F.col("seg_no") % 3 == 0, F.col("endframe")), "rate": F.when(F.col("seg_no") % 6 != 0, F.col("rate"))})
-    s = s.where("rate is not null")
-    return segments.complete_segments(s).select(*SEG, F.round("starttime", 4).alias("starttime"), F.round("endtime", 4).alias("endtime"), "frames")
+    # A row lacks its rate, or else some of its frames.
+    s = s.withColumns({"startframe": F.expr("case when seg_no % 5 > 0 and seg_no % 2 = 0 then null else startframe end"), "endframe": F.expr("case when seg_no % 5 > 0 and seg_no % 3 = 0 then null else endframe end"), "rate": F.expr("case when seg_no % 5 > 0 then rate end")})
+    return segments.complete_segments(s).select(*SEG, F.round("rate", 4).alias("rate"), F.round("starttime", 4).alias("starttime"), F.round("endtime", 4).alias("endtime"), "frames")
 
 
 def q_warp(spark, d):
     m = view(spark, d, "media").withColumnRenamed("node_id", "set_id")
     to = m.select("set_id", (F.col("frames") * 2 + F.col("set_id") % 3).alias("frames"), (F.col("rate") * 2).alias("rate"))
-    return segments.warp_segments(_segs(spark, d), m, to).select(*SEG, "rate", F.round("error", 3).alias("error"))
+    return segments.warp_segments(_segs(spark, d), m, to).select(*SEG, "rate", "error")
 
 
 def q_span(spark, d):
@@ -180,9 +180,9 @@ def q_merge_groups(spark, d):
 
 
 def q_pick_paired(spark, d):
-    f = _read(spark, d, "part").select(F.concat("p_name", F.lit("-"), "p_partkey").alias("file"))
-    pairs = _read(spark, d, "part").select(F.substring("p_name", 1, 6).alias("prefix")).distinct().withColumn("to", F.upper("prefix"))
-    return catalog.pick_paired(f, pairs, 4)
+    p = _read(spark, d, "part").select(F.concat("p_name", F.lit("-"), "p_partkey").alias("file"), "p_name", "p_partkey")
+    pairs = p.groupBy(F.substring("p_name", F.lit(1), F.pmod("p_partkey", F.lit(6)).cast("int") + 1).alias("prefix")).agg(F.max("p_partkey").alias("pos"))
+    return catalog.pick_paired(p.select("file"), pairs.withColumn("to", F.concat_ws(":", "prefix", "pos")))
 
 
 def q_new_media(spark, d):
@@ -294,16 +294,19 @@ p1 AS (SELECT set_id, seg_no, type, b + 60 AS b, e + 65 AS e, n + 5 AS n, unnest
 p2 AS (SELECT set_id, seg_no, type, unnest(CASE WHEN b IS NULL THEN [p] ELSE [{{'s': p.s, 'e': least(p.e, b - 1)}}, {{'s': greatest(p.s, e + 1) - n, 'e': p.e - n}}] END) AS q FROM p1 WHERE p.s <= p.e)
 SELECT set_id, seg_no, type, q.s AS startframe, q.e AS endframe FROM p2 WHERE q.s <= q.e""",
     "intersect_segments": f"""{_S} SELECT a.set_id, a.type, a.seg_no, b.seg_no AS other_no, greatest(a.startframe, b.startframe) AS startframe, least(a.endframe, b.endframe) AS endframe
-FROM segments a JOIN segments b ON a.set_id = b.set_id AND a.type = b.type AND b.seg_no % 2 = 0 AND a.startframe <= b.endframe AND b.startframe <= a.endframe WHERE a.seg_no <> b.seg_no""",
-    "subtract_union": f"""{_S}, a AS (SELECT * FROM segments WHERE seg_no = 1), j AS (SELECT b.set_id, b.type, b.startframe AS bs, b.endframe AS be, a.startframe AS x, a.endframe AS y
-  FROM (SELECT * FROM segments WHERE seg_no > 1) b LEFT JOIN a ON a.set_id = b.set_id AND a.type = b.type)
-SELECT set_id, type, startframe, endframe FROM a UNION ALL SELECT set_id, type, bs, be FROM j WHERE x IS NULL OR be < x OR bs > y
-UNION ALL SELECT set_id, type, bs, x - 1 FROM j WHERE bs < x AND be >= x UNION ALL SELECT set_id, type, y + 1, be FROM j WHERE bs < x AND be > y""",
-    "complete_segments": f"{_S} SELECT set_id, seg_no, type, startframe, endframe, round((startframe - 1) * 1000 / rate, 4) AS starttime, round((endframe - 1) * 1000 / rate, 4) AS endtime, endframe - startframe + 1 AS frames FROM segments WHERE seg_no % 6 <> 0",
+FROM segments a JOIN segments b ON a.set_id = b.set_id AND a.type = b.type AND a.startframe <= b.endframe AND b.startframe <= a.endframe WHERE a.seg_no <> b.seg_no""",
+    "subtract_union": f"""{_S.replace('WITH ', 'WITH RECURSIVE ', 1)}, a AS (SELECT set_id, type, startframe AS x, endframe AS y, row_number() OVER (PARTITION BY set_id, type ORDER BY startframe, endframe) AS k FROM segments WHERE seg_no % 3 = 1),
+f AS (SELECT set_id, type, startframe AS s, endframe AS e, 0::BIGINT AS k FROM segments WHERE seg_no % 3 <> 1
+  UNION ALL SELECT set_id, type, p.s, p.e, k FROM (SELECT f.set_id, f.type, a.k, unnest(CASE WHEN f.e < x OR f.s > y THEN [{{'s': f.s, 'e': f.e}}] WHEN f.s >= x THEN []::STRUCT(s BIGINT, e BIGINT)[]
+    ELSE [{{'s': f.s, 'e': x - 1}}, {{'s': y + 1, 'e': f.e}}] END) AS p FROM f JOIN a ON a.set_id = f.set_id AND a.type = f.type AND a.k = f.k + 1) q WHERE p.s <= p.e),
+n AS (SELECT set_id, type, count(*) AS n FROM a GROUP BY 1, 2)
+SELECT set_id, type, x AS startframe, y AS endframe FROM a UNION ALL SELECT f.set_id, f.type, s, e FROM f LEFT JOIN n ON n.set_id = f.set_id AND n.type = f.type WHERE f.k = coalesce(n, 0)""",
+    "complete_segments": f"""{_S} SELECT set_id, seg_no, type, startframe, endframe, round(CASE WHEN seg_no % 5 > 0 THEN rate WHEN endframe > startframe THEN 30 END, 4)::DOUBLE AS rate,
+  round((startframe - 1) * 1000 / rate, 4) AS starttime, round((endframe - 1) * 1000 / rate, 4) AS endtime, endframe - startframe + 1 AS frames FROM segments""",
     "warp_segments": f"""{with_views('segments', 'media')}, j AS (SELECT s.*, m.frames AS f0, m.rate AS r0, m.frames * 2 + m.node_id % 3 AS f1, m.rate * 2 AS r1, (s.startframe - 1) * (CAST(m.frames * 2 + m.node_id % 3 AS DOUBLE) / m.frames) + 1 AS ex
   FROM segments s JOIN media m ON m.node_id = s.set_id),
 k AS (SELECT *, CAST(least(greatest(round(ex), 1), f1) AS BIGINT) AS ns FROM j)
-SELECT set_id, seg_no, type, ns AS startframe, CAST(least(greatest(round(endframe * (CAST(f1 AS DOUBLE) / f0)), ns), f1) AS BIGINT) AS endframe, r1 AS rate, round(error + round(abs(ex - round(ex)) * 1000 / r1, 6), 3) AS error FROM k""",
+SELECT set_id, seg_no, type, ns AS startframe, CAST(least(greatest(round(endframe * (CAST(f1 AS DOUBLE) / f0)), ns), f1) AS BIGINT) AS endframe, r1 AS rate, (floor(error * 1e6 + 0.5::DOUBLE) + floor(abs(ex - round(ex)) * 1e9 / r1 + 0.5::DOUBLE)) / 1e6 AS error FROM k""",
     "segment_span": f"{_S} SELECT set_id, max(endframe) AS last_frame, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM segments GROUP BY 1",
     "clamp_segments": f"{with_views('segments', 'media')} SELECT s.set_id, s.seg_no, s.type, s.startframe, coalesce(least(s.endframe, m.frames), s.endframe) AS endframe FROM segments s LEFT JOIN media m ON m.node_id = s.set_id WHERE m.frames IS NULL OR s.startframe <= m.frames",
     "entire_stream": f"{with_views('media')} SELECT node_id AS set_id, CAST(1 AS BIGINT) AS seg_no, 'video' AS type, rate, CAST(1 AS BIGINT) AS startframe, frames AS endframe, CAST(0 AS DOUBLE) AS starttime, round((frames - 1) * 1000 / rate, 6) AS endtime FROM media",
@@ -354,8 +357,8 @@ k AS (SELECT md5, min(node_id) AS x FROM a GROUP BY 1), m AS (SELECT b.node_id,
 f AS (SELECT DISTINCT s.id AS src, d.id AS dst FROM eb JOIN m s ON s.node_id = eb.src JOIN m d ON d.node_id = eb.dst)
 SELECT src, dst, 'Blur' AS op FROM ea UNION ALL SELECT src, dst, 'Blur' FROM f WHERE NOT EXISTS (SELECT 1 FROM ea WHERE ea.src = f.src AND ea.dst = f.dst)""",
     "merge_groups": "SELECT concat(c_mktsegment, '-', c_nationkey) AS stem, count(*) AS n, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS members FROM customer GROUP BY 1 HAVING count(*) > 1",
-    "pick_paired": """WITH q AS (SELECT DISTINCT substring(p_name, 1, 6) AS prefix FROM part), f AS (SELECT concat(p_name, '-', p_partkey) AS file FROM part)
-SELECT f.file, max(upper(q.prefix)) AS "to" FROM f JOIN q ON starts_with(f.file, q.prefix) GROUP BY 1""",
+    "pick_paired": """WITH p AS (SELECT concat(p_name, '-', p_partkey) AS file, substring(p_name, 1, p_partkey % 6 + 1) AS prefix, p_partkey FROM part), q AS (SELECT prefix, max(p_partkey) AS pos FROM p GROUP BY 1)
+SELECT p.file, arg_min(concat(q.prefix, ':', q.pos), q.pos) AS "to" FROM p JOIN q ON starts_with(p.file, q.prefix) GROUP BY 1""",
     "new_media": f"{with_views('nodes')} SELECT concat('a/b/', file) AS file FROM nodes WHERE node_id % 3 <> 0",
     "file_index": "SELECT concat('f', l_partkey) AS file, count(DISTINCT l_orderkey) AS n, array_to_string(list_sort(list(DISTINCT l_orderkey)), ',') AS owners FROM lineitem GROUP BY 1",
     "orphan_files": "SELECT p_partkey AS file FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",

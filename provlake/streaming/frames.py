@@ -18,14 +18,15 @@ def change_sessions(frames: DataFrame, gap: str = "1 second", late: str = "10 se
 def intake(stream: DataFrame, key: str, done_path: str, report_path: str, validate: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Journals as they arrive: those in the done list are skipped, the rest validated, messages and the done list appended.
 
-    A batch that is run again after a failure finds its keys in the done list only if all of it was written.
+    Each batch has a folder of its own in both, which it overwrites when it is run again after a failure; so its messages are there once.
     """
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = spark.read.schema(batch.select(key).schema).parquet(done_path) if _exists(spark, done_path) else batch.select(key).limit(0)
-        todo = batch.join(done.distinct(), key, "left_anti").persist()
-        validate(todo).write.mode("append").parquet(report_path)
-        todo.select(key).distinct().write.mode("append").parquet(done_path)
+        done = spark.read.schema(f"{batch.select(key).schema[0].simpleString().replace(':', ' ')}, batch long").parquet(done_path) if _exists(spark, done_path) else None
+        todo = batch if done is None else batch.join(done.where(F.col("batch") != number).select(key).distinct(), key, "left_anti")
+        todo = todo.persist()
+        validate(todo).write.mode("overwrite").parquet(f"{report_path}/batch={number}")
+        todo.select(key).distinct().write.mode("overwrite").parquet(f"{done_path}/batch={number}")
         todo.unpersist()
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
