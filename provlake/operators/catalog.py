@@ -320,11 +320,12 @@ def backfill_segments(segs: DataFrame, streams: DataFrame) -> DataFrame:
     rate = F.coalesce(F.get("rates", F.lit(0)), F.when(F.col("rate") < 0, -F.col("rate") * 1000.0).otherwise(F.col("rate")))
     out = complete_segments(segs.withColumns({"type": kind, "rate": rate}))
     out = out.join(streams.select("set_id", "type", F.col("endframe").alias("_last")), ["set_id", "type"], "left")
-    longer = ~F.col("has_end") & (F.col("_last") > F.col("endframe"))
+    out = out.withColumn("_longer", F.coalesce(~F.col("has_end") & (F.col("_last") > F.col("endframe")), F.lit(False)))
+    longer = F.col("_longer")
     lost = ~F.col("has_end") & F.col("_last").isNull()
     out = out.withColumns({"error": F.coalesce("error", F.lit(0.0)) + F.when(lost, 2000.0 / F.col("rate")).otherwise(0.0), "endframe": F.when(longer, F.col("_last")).otherwise(F.col("endframe"))})
     out = out.withColumns({"endtime": F.when(longer, time_of(F.col("endframe"), F.col("rate"))).otherwise(F.col("endtime")), "frames": F.col("endframe") - F.col("startframe") + 1})
-    return out.drop("_last", "rates")
+    return out.drop("_last", "_longer", "rates")
 
 
 def plain_times(edges: DataFrame, keys: list[str]) -> DataFrame:
