@@ -208,12 +208,28 @@ def q_create_time(spark, d):
 
 def q_graph_rules(spark, d):
     n, e = _ne(spark, d)
-    return rules.graph_rules(n, e.where("op <> 'OutputPng'"))
+    # A link back from the last to the first node of a plain edge in some journals makes cycles.
+    back = e.where("project_id % 10 = 0 and op <> 'OutputPng'").groupBy("project_id").agg(F.min_by(F.struct("src", "dst"), F.struct("dst", "src")).alias("x"))
+    back = back.select("project_id", F.col("x.dst").alias("src"), F.col("x.src").alias("dst"), F.lit("Blur").alias("op"))
+    return rules.graph_rules(n, e.where("op <> 'OutputPng'").unionByName(back))
 
 
-def q_node_rules(spark, d):
+def q_node_rules_messages(spark, d):
+    """Some file names with bad characters, some with a suffix in upper case, some finals named by an MD5."""
     n, e = _ne(spark, d)
-    return rules.has_errors(rules.node_rules(n, e, n.where("r % 7 <> 0").select("file")))
+    listing = n.where("r % 7 <> 0").select("file")
+    named = n.join(listing.withColumn("_l", F.lit(True)), "file", "left")
+    file = F.expr("case node_id % 10 when 0 then concat('x~', file) when 1 then concat(substring_index(file, '.', 1), '.', upper(substring_index(file, '.', -1))) when 2 then concat(md5(file), '.', substring_index(file, '.', -1)) else file end")
+    named = named.withColumn("file", file).withColumn("_l", F.when(F.col("_l"), F.col("file")))
+    return rules.node_rules(named.drop("_l"), e, named.where("_l is not null").select("file"))
+
+
+def q_node_rules(spark, d):
+    return rules.has_errors(q_node_rules_messages(spark, d))
+
+
+def q_node_messages(spark, d):
+    return rules.sort_messages(q_node_rules_messages(spark, d))
 
 
 def q_dictionary(spark, d):
@@ -283,6 +299,13 @@ _HAS = {
 }
 _NODE_AT = {"s": "node_id", "e": "node_id"}
 
+_NODE_MESSAGES = f"""{DEG}, lab AS (SELECT n.*, d.n_out, CASE WHEN n_in = 0 AND n_out_plain = 0 AND n_out > 0 THEN 'donor' WHEN n_in = 0 THEN 'base' WHEN n_out = 0 THEN 'final' ELSE 'interim' END AS label
+  FROM nodes n JOIN deg d ON d.project_id = n.project_id AND d.node_id = n.node_id), b AS (SELECT *, count(*) OVER (PARTITION BY project_id) AS k FROM lab WHERE label = 'base'),
+m AS ({' UNION ALL '.join([
+    _msg(3, "node", "file name has bad characters", "nodes WHERE node_id % 10 = 0", **_NODE_AT), _msg(2, "node", "suffix is not lower case", "nodes WHERE node_id % 10 = 1", **_NODE_AT),
+    _msg(2, "node", "final is not named by its MD5", "lab WHERE label = 'final' AND node_id % 10 <> 2", **_NODE_AT), _msg(3, "node", "is one of several bases", "b WHERE k > 1", **_NODE_AT), _msg(3, "node", "file is missing", "nodes WHERE r % 7 = 0", **_NODE_AT),
+])})"""
+
 QUERIES = {
     "base_paths": q_base_paths, "find_base": q_find_base, "terminal_nodes": q_terminals, "ancestor_edges": q_ancestor_edges, "paths_to_finals": q_paths,
     "donor_base_tuples": q_donor_bases, "terminal_base_tuples": q_terminal_bases, "has_ancestor_op": q_has_ancestor_op, "common_parent": q_common_parent,
@@ -291,7 +314,7 @@ QUERIES = {
     "probe_designation": q_designate, "probe_donors": q_donors, "link_colors": q_colors, "detect_probes": q_detect,
     "rule_rollups": q_rollups, "final_node_properties": q_final_properties, "project_properties": q_project_properties, "unit_count": q_units,
     "provenance": q_provenance, "composite_size": q_composite_size, "create_time": q_create_time, "edge_bounds": q_edge_bounds,
-    "graph_rules": q_graph_rules, "node_rules": q_node_rules, "dictionary_rules": q_dictionary, "media_rules": q_media_rules, "length_rules": q_length_rules,
+    "graph_rules": q_graph_rules, "node_rules": q_node_rules, "node_messages": q_node_messages, "dictionary_rules": q_dictionary, "media_rules": q_media_rules, "length_rules": q_length_rules,
     "time_rules": q_time_rules, "donor_rules": q_donor_rules, "type_rules": q_type_rules, "registry_rules": q_registry, "user_rules": q_users,
 }
 
@@ -407,7 +430,9 @@ v AS (SELECT project_id, final, bool_or({_HAS['blurred']}) AS blurred, bool_or({
     "create_time": _sql("", "SELECT project_id, CAST(min(ctime) AS VARCHAR) AS createtime FROM nodes GROUP BY 1", "nodes"),
     "edge_bounds": _sql("", "SELECT set_id, type, min(startframe) AS start, max(endframe) AS stop FROM segments GROUP BY 1, 2", "segments"),
     "graph_rules": _sql(
-        f"""edges AS (SELECT * FROM edges_ WHERE op <> 'OutputPng'), {DEG}, both_ AS (SELECT project_id, src AS a, dst AS b FROM edges UNION SELECT project_id, dst, src FROM edges),
+        f"""first_ AS (SELECT project_id, arg_min(ROW(src, dst), ROW(dst, src)) AS x FROM edges_ WHERE project_id % 10 = 0 AND op <> 'OutputPng' GROUP BY 1),
+edges AS (SELECT project_id, src, dst, op FROM edges_ WHERE op <> 'OutputPng' UNION ALL SELECT project_id, x[2], x[1], 'Blur' FROM first_), {DEG},
+cy AS (SELECT project_id, src AS a, dst AS b FROM edges UNION SELECT r.project_id, r.a, e.dst FROM cy r JOIN edges e ON e.project_id = r.project_id AND e.src = r.b), both_ AS (SELECT project_id, src AS a, dst AS b FROM edges UNION SELECT project_id, dst, src FROM edges),
 rc AS (SELECT project_id, node_id, node_id AS at FROM nodes UNION SELECT r.project_id, r.node_id, b.b FROM rc r JOIN both_ b ON b.project_id = r.project_id AND b.a = r.at),
 comp AS (SELECT project_id, node_id, min(rc.at) AS c FROM rc GROUP BY 1, 2), main AS (SELECT project_id, min(c) AS m FROM comp GROUP BY 1),
 dup AS (SELECT n.project_id, n.node_id, count(*) OVER (PARTITION BY n.project_id, n.file) AS k FROM nodes n JOIN deg d ON d.project_id = n.project_id AND d.node_id = n.node_id WHERE d.n_out = 0)""",
@@ -416,14 +441,11 @@ dup AS (SELECT n.project_id, n.node_id, count(*) OVER (PARTITION BY n.project_id
             _msg(3, "graph", "has a donor but no other predecessor", "deg WHERE n_in = 1 AND n_in_plain = 0", **_NODE_AT),
             _msg(3, "graph", "is part of a separate graph", "(SELECT comp.project_id, node_id FROM comp JOIN main ON main.project_id = comp.project_id WHERE c = node_id AND c <> m)", **_NODE_AT),
             _msg(3, "graph", "repeats another final file", "dup WHERE k > 1", **_NODE_AT),
+            _msg(4, "graph", "lies on a cycle", "(SELECT DISTINCT project_id, a AS node_id FROM cy WHERE a = b)", **_NODE_AT),
         ]),
     ).replace("edges AS (\nSELECT b.project_id", "edges_ AS (\nSELECT b.project_id", 1),
-    "node_rules": _sql(
-        f"""{DEG}, lab AS (SELECT n.*, d.n_in, d.n_out, CASE WHEN n_in = 0 AND n_out_plain = 0 AND n_out > 0 THEN 'donor' WHEN n_in = 0 THEN 'base' WHEN n_out = 0 THEN 'final' ELSE 'interim' END AS label
-  FROM nodes n JOIN deg d ON d.project_id = n.project_id AND d.node_id = n.node_id), b AS (SELECT project_id, count(*) OVER (PARTITION BY project_id) AS k FROM lab WHERE label = 'base'),
-m AS (SELECT project_id, 2 AS sev FROM lab WHERE label = 'final' UNION ALL SELECT project_id, 3 FROM b WHERE k > 1 UNION ALL SELECT project_id, 3 FROM nodes WHERE r % 7 = 0)""",
-        "SELECT project_id, bool_or(sev >= 3) AS has_error, count(*) FILTER (WHERE sev >= 3) AS n_error, count(*) FILTER (WHERE sev = 2) AS n_warning FROM m GROUP BY 1",
-    ),
+    "node_rules": _sql(_NODE_MESSAGES, "SELECT project_id, bool_or(severity >= 3) AS has_error, count(*) FILTER (WHERE severity >= 3) AS n_error, count(*) FILTER (WHERE severity = 2) AS n_warning FROM m GROUP BY 1"),
+    "node_messages": _sql(_NODE_MESSAGES, "SELECT * FROM m"),
     "dictionary_rules": _sql("", _msg(3, "dictionary", "concat('unknown operation ', op)", "edges WHERE op IN ('AddAudio', 'DeleteAudio', 'AudioSample')")),
     "media_rules": _sql(
         _EM,

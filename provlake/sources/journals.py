@@ -14,14 +14,16 @@ GRAPH = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "projec
 JOURNAL = T.StructType([T.StructField("graph", GRAPH), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("links", T.ArrayType(LINK))])
 
 
-def read_journals(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """IO1: node-link JSON files as (journals, nodes, edges, errors). Link ends are positions or ids; an end that is neither is an error row."""
-    raw = spark.read.schema(JOURNAL).json(path, multiLine=True).withColumn("path", F.input_file_name())
+def read_journals(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """IO1: node-link JSON files (or one journal a line) as (journals, nodes, edges, errors). Link ends are ids or positions (an
+    end that could be both is an id); an end that is neither is an error row."""
+    raw = spark.read.schema(JOURNAL).json(path, multiLine=multi_line).withColumn("path", F.input_file_name())
     raw = raw.withColumn("project_id", F.coalesce("graph.name", "path"))
     journals = raw.select("project_id", "path", "graph.*")
     nodes = raw.select("project_id", F.posexplode("nodes").alias("pos", "n")).select("project_id", "pos", F.col("n.id").alias("node_id"), "n.file", "n.nodetype", "n.filetype", F.to_timestamp("n.ctime").alias("ctime"))
     links = raw.select("project_id", F.posexplode("links").alias("link_no", "l")).select("project_id", "link_no", "l.*")
-    keys = nodes.select("project_id", F.col("pos").cast("string").alias("k"), "node_id").unionByName(nodes.select("project_id", F.col("node_id").alias("k"), "node_id")).dropDuplicates(["project_id", "k"])
+    ids, places = nodes.select("project_id", F.col("node_id").alias("k"), "node_id", F.lit(0).alias("_r")), nodes.select("project_id", F.col("pos").cast("string").alias("k"), "node_id", F.lit(1).alias("_r"))
+    keys = ids.unionByName(places).groupBy("project_id", "k").agg(F.min_by("node_id", F.struct("_r", "node_id")).alias("node_id"))
     edges = links.join(keys.toDF("project_id", "source", "src"), ["project_id", "source"], "left").join(keys.toDF("project_id", "target", "dst"), ["project_id", "target"], "left")
     bad = (F.col("src").isNull()) | (F.col("dst").isNull())
     errors = edges.where(bad).select("project_id", "link_no", F.lit("link end is not a node").alias("message"))
@@ -127,14 +129,20 @@ def read_properties(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("operations", F.coalesce("operations", one)).drop("operation").na.fill({"node": False, "includedonors": False})
 
 
+def properties_to_csv(properties: DataFrame, path: str) -> None:
+    """IO11: name, level (node or project), operations (blank-separated), parameter, value, rule, includedonors."""
+    level = F.when(F.col("node"), "node").otherwise("project")
+    properties.select("name", level.alias("level"), F.array_join("operations", " ").alias("operations"), "parameter", "value", "rule", "includedonors").write.csv(path)
+
+
 def frame_hashes(frames: DataFrame) -> DataFrame:
     """IO12: (media_id, frame_no, hash)."""
     return frames.select("media_id", "frame_no", F.sha2("pixels", 256).alias("hash"))
 
 
-def read_qtables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """IO13: texts of 16 rows by 8 numbers as (file, make, model, luma, chroma), and the files of another size."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.transform(F.regexp_extract_all("value", F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("n"))
+def read_qtables(spark: SparkSession, path: str, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """IO13: texts of 16 rows by 8 numbers as (path, file, make, model, luma, chroma), and the files of another size (path, file, n)."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive).select(F.input_file_name().alias("path"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.transform(F.regexp_extract_all("value", F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("n"))
     good = F.size("n") == 128
     parts = F.split("file", "-")
-    return raw.where(good).select("file", F.get(parts, F.lit(0)).alias("make"), F.get(parts, F.lit(1)).alias("model"), F.slice("n", 1, 64).alias("luma"), F.slice("n", 65, 64).alias("chroma")), raw.where(~good).select("file", F.size("n").alias("n"))
+    return raw.where(good).select("path", "file", F.get(parts, F.lit(0)).alias("make"), F.get(parts, F.lit(1)).alias("model"), F.slice("n", 1, 64).alias("luma"), F.slice("n", 65, 64).alias("chroma")), raw.where(~good).select("path", "file", F.size("n").alias("n"))
