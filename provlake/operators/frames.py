@@ -10,12 +10,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Order numbers in a block: a long medium is cut into blocks, so that no task sorts the whole of it.
+BLOCK = 1 << 16
+
+
+def in_blocks(df: DataFrame, order: str, before: int = 0, after: int = 0) -> DataFrame:
+    """df with `_block`, the block of each row, and `_own`: true, or false for a copy that another block sees beyond its border: the
+    last `before` order numbers of the block before and the first `after` of the next."""
+    if max(before, after) > BLOCK:
+        raise ValueError(f"a window may span {BLOCK} order numbers at most")
+    at, place = F.floor(F.col(order) / BLOCK), F.pmod(F.col(order), F.lit(BLOCK))
+    copies = F.array(
+        F.struct(at.alias("_block"), F.lit(True).alias("_own")),
+        F.when(place >= BLOCK - before, F.struct((at + 1).alias("_block"), F.lit(False).alias("_own"))),
+        F.when(place < after, F.struct((at - 1).alias("_block"), F.lit(False).alias("_own"))),
+    )
+    return df.withColumn("_c", F.explode(F.array_compact(copies))).select(*df.columns, "_c._block", "_c._own")
+
+
 def islands(df: DataFrame, keys: list[str], order: str, flag: Column, step: int = 1) -> DataFrame:
-    """(keys, start, stop, n): runs of rows with the flag whose order numbers are at most `step` apart."""
+    """(keys, start, stop, n): runs of rows with the flag whose order numbers are at most `step` apart.
+
+    Runs are found in blocks of order numbers first; only runs, not rows, meet over the borders of blocks.
+    """
     by = ", ".join(keys)
-    hit = df.where(flag).withColumn("_new", F.expr(f"case when {order} - lag({order}) over (partition by {by} order by {order}) <= {step} then 0 else 1 end"))
-    hit = hit.withColumn("_run", F.expr(f"sum(_new) over (partition by {by} order by {order} rows unbounded preceding)"))
-    return hit.groupBy(*keys, "_run").agg(F.min(order).alias("start"), F.max(order).alias("stop"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+    def merged(rows: DataFrame, within: str, start: str, stop: str, n: Column) -> DataFrame:
+        over = f"over (partition by {within} order by {start})"
+        rows = rows.withColumn("_new", F.expr(f"case when {start} - lag({stop}) {over} <= {step} then 0 else 1 end"))
+        rows = rows.withColumn("_run", F.expr(f"sum(_new) over (partition by {within} order by {start} rows unbounded preceding)"))
+        return rows.groupBy(*within.split(", "), "_run").agg(F.min(start).alias("_start"), F.max(stop).alias("_stop"), n.alias("_n"))
+
+    parts = merged(in_blocks(df.where(flag), order), f"{by}, _block", order, order, F.count(F.lit(1)))
+    parts = parts.select(*keys, F.col("_start").alias("_s"), F.col("_stop").alias("_e"), F.col("_n").alias("_m"))
+    return merged(parts, by, "_s", "_e", F.sum("_m")).select(*keys, F.col("_start").alias("start"), F.col("_stop").alias("stop"), F.col("_n").alias("n"))
 
 
 def change_ranges(frames: DataFrame) -> DataFrame:
@@ -31,10 +59,10 @@ def cut_ranges(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def silences(samples: DataFrame, least: int, threshold: int) -> DataFrame:
-    """(media_id, start, stop, n): runs of windows of `least` samples that all stay within the threshold."""
-    quiet = samples.withColumn("_max", F.expr(f"max(abs(value)) over (partition by media_id order by sample_no rows between current row and {least - 1} following)"))
-    quiet = quiet.withColumn("_left", F.expr("count(*) over (partition by media_id) - row_number() over (partition by media_id order by sample_no) + 1"))
-    return islands(quiet, ["media_id"], "sample_no", (F.col("_max") <= threshold) & (F.col("_left") >= least), least).select(
+    """(media_id, start, stop, n): runs of windows of `least` samples, numbered one by one, that all stay within the threshold."""
+    over = f"over (partition by media_id, _block order by sample_no range between current row and {least - 1} following)"
+    quiet = in_blocks(samples, "sample_no", after=least - 1).withColumns({"_max": F.expr(f"max(abs(value)) {over}"), "_there": F.expr(f"count(*) {over}")}).where("_own")
+    return islands(quiet.drop("_block", "_own"), ["media_id"], "sample_no", (F.col("_max") <= threshold) & (F.col("_there") == least), least).select(
         "media_id", "start", (F.col("stop") + least - 1).alias("stop"), "n"
     )
 
@@ -53,13 +81,18 @@ def silence_pairs(ranges: DataFrame, least: int, most: int) -> DataFrame:
 def audio_changes(a: DataFrame, b: DataFrame, window: int = 32, threshold: float = 3, gap: int = 44_100) -> DataFrame:
     """(media_id, start, stop, n): where the moving average of the sample difference passes the threshold; a gap starts a new range."""
     diff = a.join(b.select("media_id", "sample_no", F.col("value").alias("_v")), ["media_id", "sample_no"]).withColumn("_d", F.abs(F.col("value") - F.col("_v")))
-    diff = diff.withColumn("_avg", F.expr(f"avg(_d) over (partition by media_id order by sample_no rows between {window - 1} preceding and current row)"))
-    return islands(diff, ["media_id"], "sample_no", F.col("_avg") > threshold, gap)
+    return islands(_averaged(diff, "_d", "_avg", window), ["media_id"], "sample_no", F.col("_avg") > threshold, gap)
+
+
+def _averaged(samples: DataFrame, value: str, out: str, n: int) -> DataFrame:
+    """samples with the mean of each sample and the n - 1 before it, numbered one by one."""
+    over = f"over (partition by media_id, _block order by sample_no range between {n - 1} preceding and current row)"
+    return in_blocks(samples, "sample_no", before=n - 1).withColumn(out, F.expr(f"avg({value}) {over}")).where("_own").drop("_block", "_own")
 
 
 def moving_average(samples: DataFrame, n: int) -> DataFrame:
     """Mean of each sample and the n - 1 before it."""
-    return samples.withColumn("mean", F.round(F.expr(f"avg(value) over (partition by media_id order by sample_no rows between {n - 1} preceding and current row)"), 6))
+    return _averaged(samples, "value", "mean", n).withColumn("mean", F.round("mean", 6))
 
 
 def equalize(histogram: DataFrame, levels: int = 256) -> DataFrame:
@@ -70,18 +103,20 @@ def equalize(histogram: DataFrame, levels: int = 256) -> DataFrame:
 
 def time_bounds(frames: DataFrame, start_ms: float, start_frames: int, stop_ms: float, stop_frames: int) -> DataFrame:
     """(media_id, startframe, endframe): the frame that is `frames` frames after a time, for start and stop."""
-    out = frames.withColumns({name: F.sum((F.col("time_ms") > ms).cast("int")).over(_by_frame()) for name, ms in (("_a", start_ms), ("_z", stop_ms))})
-    first = F.min(F.when(F.col("_a") >= max(start_frames, 1), F.col("frame_no")))
-    last = F.min(F.when(F.col("_z") >= max(stop_frames, 1), F.col("frame_no")))
+    late = {"_a": F.col("time_ms") > start_ms, "_z": F.col("time_ms") > stop_ms}
+    rows = in_blocks(frames, "frame_no")
+    # What the blocks before have counted; one row a block.
+    sums = rows.groupBy("media_id", "_block").agg(*(F.count_if(c).alias(f"{k}n") for k, c in late.items()))
+    before = "over (partition by media_id order by _block rows between unbounded preceding and 1 preceding)"
+    sums = sums.select("media_id", "_block", *(F.expr(f"coalesce(sum({k}n) {before}, 0)").alias(f"{k}0") for k in late))
+    rows = rows.withColumns({k: c.cast("int") for k, c in late.items()}).join(sums, ["media_id", "_block"])
+    over = "over (partition by media_id, _block order by frame_no rows unbounded preceding)"
+    out = rows.withColumns({f"{k}r": F.expr(f"{k}0 + sum({k}) {over}") for k in late})
+    first = F.min(F.when(F.col("_ar") >= max(start_frames, 1), F.col("frame_no")))
+    last = F.min(F.when(F.col("_zr") >= max(stop_frames, 1), F.col("frame_no")))
     return out.groupBy("media_id").agg(first.alias("startframe"), last.alias("endframe"))
 
 
-def _by_frame():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("media_id").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
-
-
 def std_of_difference(a: Column, b: Column) -> Column:
     """Population standard deviation of the element-wise difference of two arrays of doubles."""
     d = F.zip_with(a, b, lambda x, y: (x - y).cast("double"))

@@ -37,15 +37,16 @@ def _completed(some: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
     return some.select(P, "src", "dst", "op").join(finals, [P, "dst"]).join(bases, [P, "src"], "left").select(P, "src", "dst", "op", "final", "base", "level")
 
 
-def _carry(segs: DataFrame) -> DataFrame:
-    """One step over an edge (op, b_start, b_end): frames shift, split or vanish."""
+def _carry(segs: DataFrame, inverse: bool = False) -> DataFrame:
+    """One step over an edge (op, b_start, b_end): frames shift, split or vanish. Against an edge's direction cuts and inserts change places."""
+    cuts, inserts = (INSERTS, CUTS) if inverse else (CUTS, INSERTS)
     b, e = F.col("b_start"), F.col("b_end")
     n = e - b + 1
     part = lambda s, t: F.struct(s.alias("s"), t.alias("e"))
     s, t = F.col("startframe"), F.col("endframe")
     cut = F.array(part(s, F.least(t, b - 1)), part(F.greatest(s, e + 1) - n, t - n))
     room = F.array(part(s, F.least(t, b - 1)), part(F.greatest(s, b) + n, t + n))
-    parts = F.when(F.col("op").isin(*CUTS) & b.isNotNull(), cut).when(F.col("op").isin(*INSERTS) & b.isNotNull(), room).otherwise(F.array(part(s, t)))
+    parts = F.when(F.col("op").isin(*cuts) & b.isNotNull(), cut).when(F.col("op").isin(*inserts) & b.isNotNull(), room).otherwise(F.array(part(s, t)))
     return segs.withColumn("_p", F.explode(F.filter(parts, lambda p: p.s <= p.e)))
 
 
@@ -74,6 +75,24 @@ def construct_donors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lineage.donor_base_tuples(nodes, edges).select(P, F.col("donor_dst").alias("dst"), F.col("base").alias("donor_base")).distinct()
 
 
+def donor_segments(nodes: DataFrame, edges: DataFrame, segments: DataFrame, bounds: DataFrame) -> DataFrame:
+    """B2: (project_id, src, dst, base, seg_no, type, startframe, endframe): the segments of each donor edge (set_id: its dst), carried
+    back over the edges above its source to every base. A branch ends where all is cut away; equal parts of several paths count once."""
+    edges = written(edges.select(P, "src", "dst", "op"))
+    steps = edges.where("op <> 'Donor'").select(P, F.col("dst").alias("at"), F.col("src").alias("_to"), "op")
+    steps = written(steps.join(bounds.select(F.col("set_id").alias("at"), F.col("startframe").alias("b_start"), F.col("endframe").alias("b_end")), "at", "left"))
+    keys = [P, "src", "dst", "at", "seg_no", *SEG]
+    frontier = written(edges.where("op = 'Donor'").join(segments.withColumnRenamed("set_id", "dst"), "dst").withColumn("at", F.col("src")).select(*keys))
+    found = frontier
+    while not frontier.isEmpty():
+        moved = _carry(frontier.join(steps, [P, "at"]), inverse=True)
+        moved = moved.select(P, "src", "dst", F.col("_to").alias("at"), "seg_no", "type", F.col("_p.s").alias("startframe"), F.col("_p.e").alias("endframe"))
+        frontier = written(moved.distinct())
+        found = found.unionByName(frontier)
+    tops = lineage.tops(nodes, edges).withColumnRenamed("node_id", "at")
+    return found.join(tops, [P, "at"], "left_semi").withColumnRenamed("at", "base").select(P, "src", "dst", "base", "seg_no", *SEG).distinct()
+
+
 def attach_donors(probes: DataFrame, donors: DataFrame) -> DataFrame:
     """Probes with one row for each donor base of their edge's end, else null."""
     return probes.join(donors, [P, "dst"], "left")

@@ -207,12 +207,20 @@ def clamp_to_end(segs: DataFrame, media: DataFrame) -> DataFrame:
     return out.withColumn("endframe", F.coalesce(F.least("endframe", "_last"), F.col("endframe"))).select(segs.columns)
 
 
-def entire_stream(media: DataFrame, type_: str = "video") -> DataFrame:
-    """One segment over a medium's whole stream at a constant rate."""
-    return media.select(
-        "set_id", F.lit(1).cast("long").alias("seg_no"), F.lit(type_).alias("type"), "rate", F.lit(1).cast("long").alias("startframe"), F.col("frames").alias("endframe"),
-        F.lit(0.0).alias("starttime"), F.round(time_of(F.col("frames"), F.col("rate")), 6).alias("endtime"),
-    )
+def entire_stream(media: DataFrame, types: list[str] | None = None, bounds: DataFrame | None = None) -> DataFrame:
+    """One segment over each stream (set_id, type, channel, rate, frames) of the wanted types at a constant rate; with bounds (set_id,
+    start, stop: struct(ms, frames), null: open) over the part of it that they leave, none if nothing is left. seg_no numbers a set's streams."""
+    m = media if types is None else media.where(F.col("type").isin(types))
+    m = m.withColumn("seg_no", F.expr("cast(row_number() over (partition by set_id order by type, channel) as bigint)"))
+    one = F.struct(F.lit(0.0).alias("ms"), F.lit(1).cast("long").alias("frames"))
+    if bounds is not None:
+        m = m.join(bounds.select("set_id", F.col("start").alias("_s"), F.col("stop").alias("_e")), "set_id", "left")
+        cut = from_constraints(F.coalesce("_s", one), F.col("_e"), F.col("rate"))
+        m = m.withColumn("_cut", cut).withColumns({"startframe": F.col("_cut.startframe"), "endframe": F.least(F.when(F.col("_e").isNotNull(), F.col("_cut.endframe")), "frames")})
+    else:
+        m = m.withColumns({"startframe": F.lit(1).cast("long"), "endframe": F.col("frames")})
+    times = {f"{e}time": F.round(time_of(F.col(f"{e}frame"), F.col("rate")), 6) for e in ("start", "end")}
+    return m.where("startframe <= endframe").withColumns(times).select("set_id", "seg_no", "type", "channel", "rate", "startframe", "endframe", "starttime", "endtime")
 
 
 def apply_audio_op(segs: DataFrame, bounds: DataFrame, op: Column | str = "op") -> DataFrame:

@@ -125,8 +125,15 @@ def q_probe_order_base(spark, d):
 
 
 def q_video_bits(spark, d):
-    p = q_probe_order_base(spark, d)
-    return probes.assign_video_bits(p, ["shape"]).select("project_id", "src", "dst", "final", "bit_number")
+    """Groups of equal rate, frames, end time, width and height, which the final media have."""
+    m = view(spark, d, "media").selectExpr("project_id", "node_id as final", "rate", "frames % 3 as frames", "frames % 3 * 1000 / rate as endtime", "640 + node_id % 2 as width", "480 as height")
+    p = q_probe_order_base(spark, d).join(m, ["project_id", "final"], "left")
+    return probes.assign_video_bits(p, ["rate", "frames", "endtime", "width", "height"]).select("project_id", "src", "dst", "final", "bit_number")
+
+
+def q_donor_segments(spark, d):
+    n, e = _ne(spark, d)
+    return probes.donor_segments(n, e, view(spark, d, "segments"), view(spark, d, "bounds"))
 
 
 def q_designate(spark, d):
@@ -310,7 +317,7 @@ QUERIES = {
     "base_paths": q_base_paths, "find_base": q_find_base, "terminal_nodes": q_terminals, "ancestor_edges": q_ancestor_edges, "paths_to_finals": q_paths,
     "donor_base_tuples": q_donor_bases, "terminal_base_tuples": q_terminal_bases, "has_ancestor_op": q_has_ancestor_op, "common_parent": q_common_parent,
     "components": q_components, "cycle_nodes": q_cycles, "label_nodes": q_labels, "subgraph": q_subgraph, "qa_invalidate": q_qa,
-    "probe_summary": q_probe_summary, "generate_probes": q_probes, "probe_order": q_probe_order, "probe_bits": q_probe_bits, "probe_video_bits": q_video_bits,
+    "probe_summary": q_probe_summary, "generate_probes": q_probes, "probe_order": q_probe_order, "probe_bits": q_probe_bits, "probe_video_bits": q_video_bits, "donor_segments": q_donor_segments,
     "probe_designation": q_designate, "probe_donors": q_donors, "link_colors": q_colors, "detect_probes": q_detect,
     "rule_rollups": q_rollups, "final_node_properties": q_final_properties, "project_properties": q_project_properties, "unit_count": q_units,
     "provenance": q_provenance, "composite_size": q_composite_size, "create_time": q_create_time, "edge_bounds": q_edge_bounds,
@@ -386,7 +393,22 @@ b AS (SELECT *, row_number() OVER (PARTITION BY project_id, base, shape ORDER BY
 g AS (SELECT project_id, base, shape, row_number() OVER (PARTITION BY project_id ORDER BY min(fst)) AS group_id FROM f GROUP BY 1, 2, 3)""",
         "SELECT o.project_id, o.src, o.dst, o.final, g.group_id, b.bit_number FROM ord o JOIN b USING (project_id, base, shape, src, dst, mask_hash) JOIN g USING (project_id, base, shape)", *PV,
     ),
-    "probe_video_bits": _sql(ORD, "SELECT project_id, src, dst, final, row_number() OVER (PARTITION BY project_id, shape ORDER BY probe_no) AS bit_number FROM ord", *PV),
+    "probe_video_bits": _sql(
+        f"{ORD}, vm AS (SELECT project_id, node_id, rate, frames % 3 AS f3, node_id % 2 AS w FROM media)",
+        "SELECT o.project_id, src, dst, final, row_number() OVER (PARTITION BY o.project_id, rate, f3, w ORDER BY probe_no) AS bit_number FROM ord o LEFT JOIN vm ON vm.project_id = o.project_id AND vm.node_id = o.final", *PV, "media",
+    ),
+    "donor_segments": _sql(
+        """st AS (SELECT e.project_id, e.src, e.dst, e.op, b.startframe AS bs, b.endframe AS be, b.endframe - b.startframe + 1 AS bn FROM edges e LEFT JOIN bounds b ON b.set_id = e.dst WHERE e.op <> 'Donor'),
+walk AS (SELECT e.project_id, e.src, e.dst, e.src AS at, g.seg_no, g.type, g.startframe, g.endframe FROM edges e JOIN segments g ON g.set_id = e.dst WHERE e.op = 'Donor'
+  UNION SELECT project_id, src, dst, to_, seg_no, type, p.s, p.e FROM (
+    SELECT w.project_id, w.src, w.dst, st.src AS to_, w.seg_no, w.type, unnest(
+      CASE WHEN st.op IN ('InsertFrames', 'PasteFrames') AND bs IS NOT NULL THEN [{'s': w.startframe, 'e': least(w.endframe, bs - 1)}, {'s': greatest(w.startframe, be + 1) - bn, 'e': w.endframe - bn}]
+           WHEN st.op = 'DeleteFrames' AND bs IS NOT NULL THEN [{'s': w.startframe, 'e': least(w.endframe, bs - 1)}, {'s': greatest(w.startframe, bs) + bn, 'e': w.endframe + bn}]
+           ELSE [{'s': w.startframe, 'e': w.endframe}] END) AS p
+    FROM walk w JOIN st ON st.project_id = w.project_id AND st.dst = w.at) x WHERE p.s <= p.e)""",
+        "SELECT w.project_id, w.src, w.dst, w.at AS base, w.seg_no, w.type, w.startframe, w.endframe FROM walk w WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.project_id = w.project_id AND e.dst = w.at)",
+        *NE, "segments", "bounds",
+    ),
     "probe_designation": _sql(
         PSUM,
         """SELECT CASE WHEN op = 'PasteSampled' THEN 'detect' WHEN op IN ('Blur', 'PasteSplice') AND dst % 2 = 0 THEN 'spatial-temporal' WHEN op IN ('Blur', 'PasteSplice') THEN 'spatial'

@@ -77,8 +77,19 @@ def q_clamp(spark, d):
     return segments.clamp_to_end(_segs(spark, d), view(spark, d, "media").withColumnRenamed("node_id", "set_id")).select(SEG)
 
 
+def _streams(spark, d):
+    m = view(spark, d, "media").withColumnRenamed("node_id", "set_id")
+    kinds = F.expr("filter(array(named_struct('type', 'video', 'channel', 1), if(set_id % 2 = 0, named_struct('type', 'audio', 'channel', 1), null), if(set_id % 4 = 0, named_struct('type', 'audio', 'channel', 2), null)), x -> x is not null)")
+    return m.select("set_id", F.explode(kinds).alias("k"), "rate", "frames").select("set_id", "k.*", "rate", "frames")
+
+
 def q_stream(spark, d):
-    return segments.entire_stream(view(spark, d, "media").withColumnRenamed("node_id", "set_id"))
+    return segments.entire_stream(_streams(spark, d))
+
+
+def q_stream_part(spark, d):
+    b = view(spark, d, "media").selectExpr("node_id as set_id", "if(node_id % 3 = 0, null, named_struct('ms', cast(node_id % 4 * 500 as double), 'frames', node_id % 9)) as start", "if(node_id % 5 = 0, null, named_struct('ms', 0D, 'frames', 20 + node_id % 80)) as stop")
+    return segments.entire_stream(_streams(spark, d), ["audio"], b)
 
 
 def q_match(spark, d):
@@ -272,7 +283,7 @@ _DOCS = "p AS (SELECT doc_id AS node_id, md5(text) AS md5 FROM documents)"
 QUERIES = {
     "drop_frames": q_drop, "punch_frames": q_hole, "insert_frames": q_insert, "crop_frames": q_crop, "reverse_segments": q_reverse, "drop_two_bounds": q_fold,
     "intersect_segments": q_intersect, "subtract_union": q_subtract, "complete_segments": q_complete, "warp_segments": q_warp, "segment_span": q_span,
-    "clamp_segments": q_clamp, "entire_stream": q_stream, "match_segments": q_match, "audio_ops": q_audio_op, "asof_audio_video": q_asof, "position_segments": q_positions,
+    "clamp_segments": q_clamp, "entire_stream": q_stream, "bounded_streams": q_stream_part, "match_segments": q_match, "audio_ops": q_audio_op, "asof_audio_video": q_asof, "position_segments": q_positions,
     "change_ranges": q_changes, "silences": q_silence, "silence_pairs": q_silence_pairs, "audio_changes": q_audio_changes, "moving_average": q_average, "equalize": q_equalize,
     "otsu": q_otsu, "time_bounds": q_time_bounds, "duplicate_frames": q_dup_frames, "neighbour_diffs": q_neighbours, "best_frame_pairs": q_pairs,
     "pick_projects": q_pick, "merge_journals": q_merge, "merge_groups": q_merge_groups, "pick_paired": q_pick_paired, "new_media": q_new_media, "file_index": q_file_index,
@@ -309,7 +320,11 @@ k AS (SELECT *, CAST(least(greatest(round(ex), 1), f1) AS BIGINT) AS ns FROM j)
 SELECT set_id, seg_no, type, ns AS startframe, CAST(least(greatest(round(endframe * (CAST(f1 AS DOUBLE) / f0)), ns), f1) AS BIGINT) AS endframe, r1 AS rate, (floor(error * 1e6 + 0.5::DOUBLE) + floor(abs(ex - round(ex)) * 1e9 / r1 + 0.5::DOUBLE)) / 1e6 AS error FROM k""",
     "segment_span": f"{_S} SELECT set_id, max(endframe) AS last_frame, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM segments GROUP BY 1",
     "clamp_segments": f"{with_views('segments', 'media')} SELECT s.set_id, s.seg_no, s.type, s.startframe, coalesce(least(s.endframe, m.frames), s.endframe) AS endframe FROM segments s LEFT JOIN media m ON m.node_id = s.set_id WHERE m.frames IS NULL OR s.startframe <= m.frames",
-    "entire_stream": f"{with_views('media')} SELECT node_id AS set_id, CAST(1 AS BIGINT) AS seg_no, 'video' AS type, rate, CAST(1 AS BIGINT) AS startframe, frames AS endframe, CAST(0 AS DOUBLE) AS starttime, round((frames - 1) * 1000 / rate, 6) AS endtime FROM media",
+    "entire_stream": f"""{with_views('media')}, k AS (SELECT * FROM (VALUES ('video', 1), ('audio', 1), ('audio', 2)) t(type, channel)), x AS (SELECT m.*, k.* FROM media m JOIN k ON type = 'video' OR node_id % (2 * channel) = 0)
+SELECT node_id AS set_id, row_number() OVER (PARTITION BY node_id ORDER BY type, channel) AS seg_no, type, channel, rate, CAST(1 AS BIGINT) AS startframe, frames AS endframe, CAST(0 AS DOUBLE) AS starttime, round((frames - 1) * 1000 / rate, 6) AS endtime FROM x""",
+    "bounded_streams": f"""{with_views('media')}, k AS (SELECT * FROM (VALUES (1), (2)) t(channel)), x AS (SELECT m.*, k.*, CASE WHEN node_id % 3 = 0 THEN 1 WHEN node_id % 4 > 0 THEN floor(round(node_id % 4 * 500 * rate / 1000, 6))::BIGINT + 1 + node_id % 9 ELSE greatest(node_id % 9, 1) END AS s,
+  CASE WHEN node_id % 5 = 0 THEN frames ELSE least(frames, 20 + node_id % 80) END AS e FROM media m JOIN k ON node_id % (2 * channel) = 0)
+SELECT node_id AS set_id, channel::BIGINT AS seg_no, 'audio' AS type, channel, rate, s AS startframe, e AS endframe, round((s - 1) * 1000 / rate, 6) AS starttime, round((e - 1) * 1000 / rate, 6) AS endtime FROM x WHERE s <= e""",
     "match_segments": f"""{_S}, x AS (SELECT set_id, type, startframe, max(endframe) AS e FROM segments GROUP BY 1, 2, 3),
 y AS (SELECT set_id, type, startframe, max(endframe + CASE WHEN seg_no % 3 = 0 THEN 5 ELSE 0 END) AS e FROM segments WHERE seg_no % 4 <> 0 GROUP BY 1, 2, 3)
 SELECT coalesce(x.set_id, y.set_id) AS set_id, coalesce(x.type, y.type) AS type, coalesce(x.startframe, y.startframe) AS startframe,
