@@ -102,7 +102,7 @@ def _emit_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 KEYS = ("head", "right", "left", "doc_id", "at")
 SUFFIX = "head long, right binary, left binary, doc_id long, at int"
-#: Spans have no head; suffixes at a partition's ends have no stop; windows have both, the window's hash as head.
+#: Spans have no head; windows have the window's hash as head.
 FOUND = f"{SUFFIX}, stop int"
 
 
@@ -136,15 +136,14 @@ def _windows(head: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
 WINDOW_ROWS = 1 << 14
 
 
-def _compare(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare each sorted suffix with its nearest neighbours of other documents, before and after it, that share its head.
 
-    Yields (doc_id, at, stop) for passages, other columns null. With edges, also the suffixes at both ends of the partition,
-    with stop null, so that they can be compared over partition borders, and the windows (hash as head, doc_id, at, stop) of
-    heads that other batches may hold too; at is null if the batch itself has settled the window's rows.
+    Yields (doc_id, at, stop) for passages, other columns null, and the windows (hash as head, doc_id, at, stop) of heads that
+    other batches or partitions may hold too; at is null if the batch itself has settled the window's rows.
     """
     schema = pa.schema([("head", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32())])
-    carry, first, done = schema.empty_table(), True, 0  # done: rows of carry that have had their turn
+    carry, done = schema.empty_table(), 0  # done: rows of carry that have had their turn
 
     def turn(t: pa.Table, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         if hi <= lo:
@@ -174,9 +173,8 @@ def _compare(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.Reco
             long = before + HEAD + after >= MIN_WORDS
             np.minimum.at(begin_, mine[long], at[mine[long]] - before[long])
             np.maximum.at(stop_, mine[long], at[mine[long]] + HEAD + after[long])
-        if edges:
-            for a in range(lo, hi, WINDOW_ROWS):
-                yield from windows(a, min(a + WINDOW_ROWS, hi), head, at, doc, known, left, right, most, shared, begin_, stop_)
+        for a in range(lo, hi, WINDOW_ROWS):
+            yield from windows(a, min(a + WINDOW_ROWS, hi), head, at, doc, known, left, right, most, shared, begin_, stop_)
         hit = np.flatnonzero(stop_ >= 0)
         if len(hit):
             yield rows_of(None, doc[hit], known[hit], pa.array(begin_[hit], pa.int32()), stop_[hit])
@@ -229,9 +227,6 @@ def _compare(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.Reco
             row, r, key, met = row[told], r[told], key[told], (many | met)[told]
             yield rows_of(key, doc[row], known[row], pa.array(at[row] - (SIDE - r), pa.int32(), mask=met), at[row] + HEAD + r)
 
-    def edge(t: pa.Table) -> pa.RecordBatch:
-        return t.append_column("stop", pa.nulls(len(t), pa.int32())).combine_chunks().to_batches()[0]
-
     def runs(t: pa.Table) -> np.ndarray:
         head, doc = t["head"].to_numpy(), t["doc_id"].fill_null(-(1 << 63)).to_numpy()
         return np.append(np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (doc[1:] != doc[:-1])))), len(head))
@@ -240,19 +235,11 @@ def _compare(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.Reco
         if not len(b):
             continue
         t = pa.concat_tables([carry, pa.Table.from_batches([b]).cast(schema)])
-        at = runs(t)
-        if first and len(at) > 2:  # the first run is over: it and the row after it are the front edge
-            if edges:
-                yield edge(t[: at[1] + 1])
-            first = False
-        last = int(at[-2])
+        last = int(runs(t)[-2])
         yield from turn(t, done, last)
         keep = max(last - 1, 0)
         carry, done = t[keep:], max(last, done) - keep
-    if len(carry):
-        yield from turn(carry, done, len(carry))
-        if edges:
-            yield edge(carry)
+    yield from turn(carry, done, len(carry))
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,15 +254,13 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_emit_suffixes, SUFFIX)
     ordered = rows.repartitionByRange(n, *KEYS).sortWithinPartitions(*KEYS)
-    found = materialize(ordered.mapInArrow(lambda b: _compare(b, True), FOUND), "suffixes")
-    # A few rows for each partition.
-    borders = found.where("stop is null").drop("stop").repartition(1).sortWithinPartitions(*KEYS).mapInArrow(lambda b: _compare(b, False), FOUND)
-    windows = found.where("head is not null and stop is not null").select("head", "doc_id", "at", "stop")
+    found = materialize(ordered.mapInArrow(_compare, FOUND), "suffixes")
+    windows = found.where("head is not null").select("head", "doc_id", "at", "stop")
     # A missing id is a document of its own.
     named = F.coalesce("doc_id", F.lit(-(1 << 63)))
     common = windows.groupBy("head").agg(F.min(named).alias("_least"), F.max(named).alias("_most")).where("_least < _most").select("head")
     windows = windows.where("at is not null").join(common, "head").select("doc_id", "at", "stop")
-    spans = found.where("head is null").select("doc_id", "at", "stop").unionByName(borders.select("doc_id", "at", "stop")).unionByName(windows)
+    spans = found.where("head is null").select("doc_id", "at", "stop").unionByName(windows)
     spans = spans.withColumn("reach", F.expr("max(stop) over (partition by doc_id order by at, stop rows between unbounded preceding and 1 preceding)"))
     spans = spans.withColumn("island", F.expr("sum(case when at <= reach then 0 else 1 end) over (partition by doc_id order by at, stop rows unbounded preceding)"))
     merged = spans.groupBy("doc_id", "island").agg(F.min("at").alias("start_word"), F.max("stop").alias("end_word"))

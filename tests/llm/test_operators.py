@@ -141,6 +141,25 @@ def test_short_matches_around_a_common_line(spark, batch):
     assert {x for x in got if x[0] is not None} == want and len(want) == 24
 
 
+@pytest.mark.parametrize("partitions", [3, 23])
+def test_passages_over_partition_borders(spark, partitions):
+    """Few heads over many partitions: one line repeated within a document and by many rows without an id, and random sharers."""
+    rng = random.Random(partitions)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    line, pool = words(60), [words(30) for _ in range(4)]
+    texts = [(i, " ".join(w for _ in range(rng.randint(1, 6)) for w in [*words(rng.choice([0, 3, 9])), *rng.choice(pool), *rng.choice(pool)[: rng.randint(10, 30)]])) for i in range(60)]
+    texts += [(100, " ".join(line * 40)), (101, " ".join(words(3) + line[5:58])), (102, " ".join(line[:55] + words(5)))] + [(None, " ".join(line)) for _ in range(30)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        got = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(docs(spark, texts).repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = repeated(texts)
+    assert got == want and len(want) > 20
+
+
 # --- 3 ---
 
 
