@@ -143,6 +143,18 @@ def exif_turn(code: Column) -> Column:
     return F.struct(flip.alias("flip"), turn.alias("rotation"))
 
 
+def exif_dimensions(exif: Column) -> Column:
+    """the sizes that an EXIF map (text to text) may give, as 'width x height', each once, in the order of the tags; a turned
+    picture (orientation 5 to 8) gives each turned as well."""
+    tags = (("Image Width", "Image Height"), ("Exif Image Width", "Exif Image Height"), ("Cropped Image Width", "Cropped Image Height"))
+    number = lambda k: F.try_element_at(exif, F.lit(k)).try_cast("int")
+    pairs = F.array(*(F.struct(number(w).alias("w"), number(h).alias("h")) for w, h in tags))
+    known = F.filter(pairs, lambda p: (p.w > 0) & (p.h > 0))
+    turned = F.coalesce(F.try_element_at(exif, F.lit("Orientation")).try_cast("int").between(5, 8), F.lit(False))
+    text = lambda p: F.concat_ws(" x ", p.w, p.h)
+    return F.array_distinct(F.concat(F.transform(known, text), F.when(turned, F.transform(known, lambda p: F.concat_ws(" x ", p.h, p.w))).otherwise(F.array().cast("array<string>"))))
+
+
 def zigzag_places(n: int = 8) -> list[int]:
     """For each cell of an n x n table, row by row, its place in the zigzag scan along the diagonals."""
     cells = sorted(((r, c) for r in range(n) for c in range(n)), key=lambda x: (sum(x), x[0] if sum(x) % 2 else x[1]))

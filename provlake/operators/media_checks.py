@@ -38,6 +38,35 @@ def size_rules(edges: DataFrame) -> DataFrame:
     return union(found)
 
 
+@register("homography")
+def homography_rules(edges: DataFrame) -> DataFrame:
+    """Edges with `homography`, an array of three arrays of three numbers: one of another shape, one that mirrors or flattens (its
+    determinant is not above 0), or one that carries a corner of the source (src_w, src_h) behind the picture. None raises nothing."""
+    m = F.col("homography")
+    whole = (F.size(m) == 3) & F.forall(m, lambda r: F.size(r) == 3)
+    at = lambda i, j: F.get(F.get(m, F.lit(i)), F.lit(j))
+    minor = lambda i, j: at(1, i) * at(2, j) - at(1, j) * at(2, i)
+    det = at(0, 0) * minor(1, 2) - at(0, 1) * minor(0, 2) + at(0, 2) * minor(0, 1)
+    depth = [at(2, 0) * x + at(2, 1) * y + at(2, 2) for x in (F.lit(0), F.col("src_w")) for y in (F.lit(0), F.col("src_h"))]
+    behind = depth[0] <= 0
+    for d in depth[1:]:
+        behind |= d <= 0
+    given = edges.where(m.isNotNull()).withColumns({"_whole": whole, "_det": F.when(whole, det), "_behind": F.when(whole, behind)})
+    return union([
+        messages(given.where("not _whole"), ERROR, "homography", "homography is not three by three"),
+        messages(given.where("_det <= 0"), ERROR, "homography", "homography mirrors or flattens the image"),
+        messages(given.where("_behind"), WARNING, "homography", "homography carries a corner behind the image"),
+    ])
+
+
+@register("png_size")
+def png_size_rules(edges: DataFrame) -> DataFrame:
+    """An output as PNG may differ from its source (a raw picture has a border) by one percent of a side, turned or not, else its size changed."""
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.01 * F.col(a)
+    fits = (near("src_w", "dst_w") & near("src_h", "dst_h")) | (near("src_w", "dst_h") & near("src_h", "dst_w"))
+    return messages(edges.where((F.col("op") == "OutputPng") & ~fits), ERROR, "png_size", "size of the image has changed by more than the border of a raw picture")
+
+
 @register("mask_rules")
 def mask_rules(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Edges carry maskname, inputmask, n_videomasks, generate, src_type, dst_type; files (project_id, file, width, height).

@@ -79,6 +79,22 @@ def edge_dictionary_rules(edges: DataFrame, operations: DataFrame, software: Dat
     return union(out)
 
 
+def version_approvals(edges: DataFrame, software: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """edges (softwareName, softwareVersion) with approved: the version, by the mapping (name, found, version: what a version text
+    contains and stands for) if one fits, else by its first two numbers, is one of the software's (name, version)."""
+    from provlake.functions.scalars import version_stem
+
+    e = edges.withColumn("_v", version_stem(F.col("softwareVersion")))
+    if mapping is not None:
+        # A software's few entries are one list.
+        known = mapping.groupBy(F.col("name").alias("softwareName")).agg(F.array_sort(F.collect_list(F.struct("found", "version"))).alias("_m"))
+        e = e.join(known, "softwareName", "left")
+        fits = F.get(F.filter("_m", lambda m: F.col("softwareVersion").contains(m.found)), F.lit(0)).version
+        e = e.withColumn("_v", F.coalesce(fits, F.col("_v"))).drop("_m")
+    ok = software.select(F.col("name").alias("softwareName"), version_stem(F.col("version")).alias("_v"), F.lit(True).alias("approved")).distinct()
+    return e.join(ok, ["softwareName", "_v"], "left").withColumn("approved", F.coalesce("approved", F.lit(False))).drop("_v")
+
+
 def mandatory_rules(edges: DataFrame, params: DataFrame) -> DataFrame:
     """Params (op, name, mandatory, source, needed_by, needed_value): arguments that an edge (arguments, src_type, inputmaskname) lacks.
 

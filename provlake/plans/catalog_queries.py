@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provlake.functions import scalars
-from provlake.operators import catalog, metadata, rollups, segments
+from provlake.operators import catalog, media_checks, metadata, rollups, rules, segments
 
 from .fixture import view, wide_edges, with_views
 
@@ -266,7 +266,39 @@ def q_resample(spark, d):
     return segments.resample_mask_frames(_masks(spark, d), n.select("segment_id", "frames")).select("segment_id", "frame_no", "new_no")
 
 
+def q_dictionary(spark, d):
+    """R3 with recorded errors and software that is not approved."""
+    e = wide_edges(spark, d).withColumns({"errors": F.expr("case when dst % 6 = 1 then array('lost', concat('e', src % 3)) when dst % 6 = 2 then array() end"), "softwareVersion": F.expr("concat(src % 3, '.0')"), "softwareName": F.expr("if(dst % 9 = 0, null, softwareName)")})
+    return rules.edge_dictionary_rules(e, view(spark, d, "operations").where("category <> 'Audio'"), _software(spark, d))
+
+
+def _software(spark, d):
+    return view(spark, d, "wide").selectExpr("software as name", "concat(src % 2, '.0') as version").distinct()
+
+
+def q_approvals(spark, d):
+    e = wide_edges(spark, d).withColumn("softwareVersion", F.expr("case src % 4 when 0 then concat('CC 20', src % 30, ' x') else concat('v', src % 3, '.0.', dst % 5) end"))
+    mapping = view(spark, d, "wide").selectExpr("software as name", "concat('20', src % 10) as found", "concat(src % 2, '.0') as version").groupBy("name", "found").agg(F.min("version").alias("version"))
+    return rules.version_approvals(e, _software(spark, d), mapping).select("project_id", "src", "dst", "op", "approved")
+
+
+def q_dimensions(spark, d):
+    p = _read(spark, d, "part").selectExpr("p_partkey", "map_filter(map('Image Width', cast(p_size as string), 'Image Height', if(p_size % 5 = 0, 'x', cast(p_partkey % 9 as string)), 'Exif Image Width', if(p_size % 2 = 0, cast(p_size * 2 as string), null), 'Exif Image Height', '7', 'Orientation', cast(p_size % 9 as string)), (k, v) -> v is not null) as exif")
+    return p.select("p_partkey", _join(scalars.exif_dimensions(F.col("exif")), ";").alias("sizes"))
+
+
+def q_homography(spark, d):
+    e = view(spark, d, "wide").selectExpr("project_id", "src", "dst", "op", "100 as src_w", "50 as src_h", "case dst % 5 when 0 then null when 1 then array(array(1D, 0D), array(0D, 1D)) else array(array(cast(src % 3 as double) - 0.5D, 0D, 5D), array(0D, 1D, 0D), array(if(dst % 4 = 0, -0.02D, 0D), 0D, 1D)) end as homography")
+    return media_checks.homography_rules(e)
+
+
+def q_png(spark, d):
+    e = view(spark, d, "edges").selectExpr("project_id", "src", "dst", "op", "100 + src % 3 as src_w", "200 + src % 9 as src_h", "if(dst % 2 = 0, 101, 202) as dst_w", "if(dst % 2 = 0, 202, 101) as dst_h")
+    return media_checks.png_size_rules(e)
+
+
 QUERIES = {
+    "dictionary_errors": q_dictionary, "version_approvals": q_approvals, "exif_dimensions": q_dimensions, "homography_rules": q_homography, "png_size": q_png,
     "pending_journals": q_pending, "reduce_listing": q_reduce, "camera_sizes": q_cameras, "coco_subset": q_coco, "color_classes": q_classes, "given_arguments": q_given, "missing_files": q_missing, "permutations": q_permute,
     "spec_values": q_specs, "best_qtable": q_qtable, "exif_sheet": q_exif, "sheet_checks": q_sheet, "resolution_checks": q_resolutions, "not_in_sheet": q_not_in_sheet, "keyword_rows": q_keywords, "ingest_columns": q_ingest,
     "attached_seeds": q_seeds, "needed_fixes": q_fixes, "rename_ops": q_rename_ops, "journal_flags": q_flags, "rename_keys": q_rename_keys, "rotation_flags": q_rotation, "replace_value": q_replace, "backfill_segments": q_backfill,
@@ -289,7 +321,23 @@ p AS (SELECT 'target' AS side, set_id, seg_no, type, unnest(CASE WHEN b IS NULL
   UNION ALL SELECT 'donor', set_id, seg_no, type, unnest(CASE WHEN b IS NULL OR op > 1 THEN [{{'s': startframe, 'e': endframe}}] WHEN op = 1 THEN [{_LEFT}, {_SLIDE}] ELSE [{_LEFT}, {_ROOM}] END) FROM j)"""
 _META = "map_from_entries(list_filter([{'k': 'k', 'v': json_extract_string(props, '$.k')}, {'k': 'c', 'v': CASE WHEN changed THEN 'yes' END}], lambda x: x.v IS NOT NULL))"
 
+_MSG = 'project_id, {} AS severity, src AS start, dst AS "end", \'{}\' AS module, {} AS message'
+_H = "(src % 3 - 0.5)"
+
 ORACLES = {
+    "dictionary_errors": f"""{with_views('wide', 'operations')}, sw AS (SELECT DISTINCT software, src % 2 AS v FROM wide), o AS (SELECT op FROM operations WHERE category <> 'Audio')
+SELECT {_MSG.format(3, 'dictionary', "concat('unknown operation ', op)")} FROM wide WHERE op NOT IN (SELECT op FROM o) UNION ALL SELECT {_MSG.format(3, 'dictionary', "concat('recorded: lost; e', src % 3)")} FROM wide WHERE dst % 6 = 1
+UNION ALL SELECT {_MSG.format(2, 'dictionary', "'version is not approved'")} FROM wide w WHERE dst % 9 > 0 AND NOT EXISTS (SELECT 1 FROM sw WHERE sw.software = w.software AND sw.v = w.src % 3)""",
+    "version_approvals": f"""{with_views('wide')}, sw AS (SELECT DISTINCT software, concat(src % 2, '.0') AS v FROM wide), mp AS (SELECT software, concat('20', src % 10) AS found, min(concat(src % 2, '.0')) AS v FROM wide GROUP BY 1, 2),
+x AS (SELECT *, row_number() OVER () AS rn, CASE src % 4 WHEN 0 THEN concat('CC 20', src % 30, ' x') ELSE concat('v', src % 3, '.0.', dst % 5) END AS t FROM wide),
+b AS (SELECT x.*, (SELECT arg_min(mp.v, mp.found) FROM mp WHERE mp.software = x.software AND contains(x.t, mp.found)) AS m, CASE src % 4 WHEN 0 THEN concat('20', src % 30) ELSE concat(src % 3, '.0') END AS own FROM x)
+SELECT project_id, src, dst, op, EXISTS (SELECT 1 FROM sw WHERE sw.software = b.software AND sw.v = coalesce(b.m, b.own)) AS approved FROM b""",
+    "exif_dimensions": """WITH x AS (SELECT p_partkey, p_size % 9 >= 5 AS turned, CASE WHEN p_size > 0 AND p_size % 5 > 0 AND p_partkey % 9 > 0 THEN ROW(p_size, p_partkey % 9) END AS a, CASE WHEN p_size % 2 = 0 AND p_size > 0 THEN ROW(p_size * 2, 7) END AS b FROM part),
+y AS (SELECT p_partkey, list_filter([CASE WHEN a IS NOT NULL THEN concat(a[1], ' x ', a[2]) END, CASE WHEN b IS NOT NULL THEN concat(b[1], ' x ', b[2]) END, CASE WHEN turned AND a IS NOT NULL THEN concat(a[2], ' x ', a[1]) END, CASE WHEN turned AND b IS NOT NULL THEN concat(b[2], ' x ', b[1]) END], lambda z: z IS NOT NULL) AS l FROM x)
+SELECT p_partkey, array_to_string(list_filter(l, lambda z, i: list_position(l, z) = i), ';') AS sizes FROM y""",
+    "homography_rules": f"""{with_views('wide')} SELECT {_MSG.format(3, 'homography', "'homography is not three by three'")} FROM wide WHERE dst % 5 = 1 UNION ALL SELECT {_MSG.format(3, 'homography', "'homography mirrors or flattens the image'")} FROM wide WHERE dst % 5 > 1 AND {_H} + CASE WHEN dst % 4 = 0 THEN 0.1 ELSE 0 END <= 0
+UNION ALL SELECT {_MSG.format(2, 'homography', "'homography carries a corner behind the image'")} FROM wide WHERE dst % 5 > 1 AND dst % 4 = 0""",
+    "png_size": f"""{with_views('edges')}, x AS (SELECT *, 100 + src % 3 AS a, 200 + src % 9 AS b FROM edges WHERE op = 'OutputPng') SELECT {_MSG.format(3, 'png_size', "'size of the image has changed by more than the border of a raw picture'")} FROM x WHERE NOT (abs(a - 101) <= 0.01 * a AND abs(b - 202) <= 0.01 * b)""",
     "pending_journals": f"{with_views('journals')} SELECT project_id FROM journals WHERE project_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0)",
     "reduce_listing": "SELECT o_orderkey AS project_id, CASE WHEN o_custkey % 3 = 0 THEN 'missing' ELSE 'old' END AS status FROM orders WHERE o_custkey % 3 = 0 OR o_orderdate::TIMESTAMP < '1996-01-01'",
     "camera_sizes": """WITH c AS (SELECT DISTINCT p_brand AS make, lower(split_part(p_type, ' ', 1)) AS camera, CASE WHEN p_size % 3 = 0 THEN 'jpg' ELSE 'png' END AS format, p_size AS width, p_size % 7 AS height FROM part)
