@@ -19,12 +19,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of this process's tables.
+_PATHS: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete the tables that this process has written. Results that read them must have been used or saved before."""
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage is cut, its size is known to the optimizer, and lost
     executors cost nothing. What was written already is returned as it is."""
     if hasattr(df, "_written_at"):
         return df
     path = f"{shared_dir(df.sparkSession)}/steps/{uuid.uuid4().hex}"
+    _PATHS.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path

@@ -388,7 +388,7 @@ u AS (SELECT file, stream, 'k' AS key, x[1] AS old, y[1] AS new FROM j UNION ALL
 SELECT file, stream, key, CASE WHEN old IS NULL THEN 'add' WHEN new IS NULL THEN 'delete' ELSE 'change' END AS action, old, new FROM u WHERE old IS DISTINCT FROM new""",
     "rate_change": f"""{with_views('edges')} SELECT project_id, src, dst, op, (src % 100)::DOUBLE AS old_frames, (dst % 100)::DOUBLE AS new_frames, CASE WHEN src % 2 = 0 THEN src % 9 * 1000 ELSE -1 END::DOUBLE AS old_ms, CASE WHEN src % 2 = 0 THEN dst % 9 * 1000 ELSE -1 END::DOUBLE AS new_ms,
   CASE WHEN dst % 3 = 0 THEN 30 ELSE -1 END::DOUBLE AS rate FROM edges""",
-    "frame_rates": "SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 1 THEN round(p_size / 2.0::DOUBLE, 4) WHEN p_size % 4 > 0 THEN round(p_partkey / (p_size % 4)::DOUBLE, 4) END, -1)::DOUBLE AS rate FROM part".replace("p_size % 4", "CAST(p_size % 4 AS INTEGER)"),
+    "frame_rates": "SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 1 THEN round(p_size / 2.0::DOUBLE, 4) WHEN p_size % 4 > 0 AND p_partkey > 0 THEN round(p_partkey / (p_size % 4)::DOUBLE, 4) END, -1)::DOUBLE AS rate FROM part".replace("p_size % 4", "CAST(p_size % 4 AS INTEGER)"),
     "text_scalars": """SELECT p_partkey, true AS is_time, true AS is_place, false AS is_not, concat(p_size, ',', p_partkey % 9) AS ints,
   concat(md5(concat(p_name, p_brand)), '_', array_to_string(list_transform(string_split(p_name, ' '), lambda w: concat(w[1], w[-1])), '')) AS short, concat(p_size, '.', p_partkey % 7) AS version FROM part""",
     "nested_paths": """SELECT l_orderkey, arg_min(l_quantity::INT, ROW(l_linenumber, l_partkey, l_quantity::INT)) AS first, -1 AS none, (count(*) FILTER (l_partkey % 2 = 0))::INT AS n_flags, 'x' AS named FROM lineitem GROUP BY 1""",

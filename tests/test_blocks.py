@@ -88,3 +88,13 @@ def test_intake_again_writes_each_message_once(spark, tmp_path):
     # The same batch number from the start, as after a failure: its folder is written over.
     run(1)
     assert spark.read.parquet(f"{tmp_path}/report").count() == 2
+
+
+def test_written_tables_can_be_cleared(spark):
+    from provlake.functions import storage
+
+    df = storage.written(spark.range(3))
+    assert storage.written(df) is df and df.count() == 3
+    storage.clear_written(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) and not storage._PATHS
