@@ -40,6 +40,17 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Folders of this process's tables.
+_PATHS: list[str] = []
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete the tables that materialize() has written in this process. Results that read them must have been used or saved before."""
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
@@ -48,6 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
