@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,18 @@ from . import lineage
 P = "project_id"
 SEG = ["type", "startframe", "endframe"]
 
-# What an operation does to frames that lie downstream: cut and slide back, make room, or nothing.
-CUTS, INSERTS = ("DeleteFrames",), ("InsertFrames", "PasteFrames")
+#: What an operation does to frames that lie downstream: cut and slide back, or insert and make room; others leave them alone.
+#: Against an edge's direction, as donors are carried, the two change places.
+TRANSFORMS = {"DeleteFrames": "cut", "InsertFrames": "insert", "PasteFrames": "insert"}
+
+
+def register_transform(op: str, kind: str | None) -> None:
+    """Let an operation cut or insert frames, or (None) leave them alone."""
+    if kind not in ("cut", "insert", None):
+        raise ValueError(f"no such transform: {kind}")
+    TRANSFORMS.pop(op, None)
+    if kind:
+        TRANSFORMS[op] = kind
 
 
 def is_localized(operations: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -39,7 +50,8 @@ def _completed(some: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
 
 def _carry(segs: DataFrame, inverse: bool = False) -> DataFrame:
     """One step over an edge (op, b_start, b_end): frames shift, split or vanish. Against an edge's direction cuts and inserts change places."""
-    cuts, inserts = (INSERTS, CUTS) if inverse else (CUTS, INSERTS)
+    kinds = ("insert", "cut") if inverse else ("cut", "insert")
+    cuts, inserts = ([op for op, k in TRANSFORMS.items() if k == kind] for kind in kinds)
     b, e = F.col("b_start"), F.col("b_end")
     n = e - b + 1
     part = lambda s, t: F.struct(s.alias("s"), t.alias("e"))
@@ -50,11 +62,11 @@ def _carry(segs: DataFrame, inverse: bool = False) -> DataFrame:
     return segs.withColumn("_p", F.explode(F.filter(parts, lambda p: p.s <= p.e)))
 
 
-def generate_probes(edges: DataFrame, segments: DataFrame, bounds: DataFrame, include: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def generate_probes(edges: DataFrame, segments: DataFrame, bounds: DataFrame, include: Callable[[DataFrame], DataFrame], processors: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
     """B1: (project_id, src, dst, final, seg_no, type, startframe, endframe): segments of each included edge at every final.
 
     segments: set_id is the edge's dst; bounds (set_id, startframe, endframe) are the frames that an edge cuts or adds.
-    Edges other than donors are followed; a probe whose segments are all cut away ends. Equal parts of several paths count once.
+    E3: `include` picks the edges, `processors` are applied to the probes in order. Edges other than donors are followed; a probe whose segments are all cut away ends. Equal parts of several paths count once.
     """
     steps = edges.where("op <> 'Donor'").select(P, F.col("src").alias("at"), F.col("dst").alias("_to"), "op")
     steps = written(steps.join(bounds.select(F.col("set_id").alias("_to"), F.col("startframe").alias("b_start"), F.col("endframe").alias("b_end")), "_to", "left"))
@@ -67,7 +79,8 @@ def generate_probes(edges: DataFrame, segments: DataFrame, bounds: DataFrame, in
         moved = moved.select(P, "src", "dst", F.col("_to").alias("at"), "seg_no", "type", F.col("_p.s").alias("startframe"), F.col("_p.e").alias("endframe"))
         frontier = written(moved.distinct())
         found = found.unionByName(frontier)
-    return found.join(steps.select(P, "at"), [P, "at"], "left_anti").withColumnRenamed("at", "final").select(P, "src", "dst", "final", "seg_no", *SEG)
+    out = found.join(steps.select(P, "at"), [P, "at"], "left_anti").withColumnRenamed("at", "final").select(P, "src", "dst", "final", "seg_no", *SEG)
+    return reduce(lambda df, f: f(df), processors, out)
 
 
 def construct_donors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
