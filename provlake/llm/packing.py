@@ -17,8 +17,8 @@ from .tokens import END, default_path, encoder, ids_crc32
 CAPACITY = 4096
 #: Tokens that a task packs at once when it writes id matrices.
 BLOCK_TOKENS = 1 << 23
-#: Pieces that one group packs.
-GROUP_PIECES = 30_000
+#: Pieces that one group packs; steps of the rounding functions among the bounds.
+GROUP_PIECES, STEPS = 30_000, 100
 
 
 class CapacityTree:
@@ -77,7 +77,8 @@ def dual_feasible_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """The least number of bins that any packing needs, by dual-feasible functions.
 
     For each threshold k up to half the capacity, items above capacity - k count as whole bins, items below k as nothing,
-    the rest by length; the best threshold counts. k = 0 gives the sum of lengths over the capacity.
+    the rest by length; k = 0 gives the sum of lengths over the capacity. For each number of steps k an item of x bins counts as
+    x where (k + 1) x is whole, else as floor((k + 1) x) / k: of items above a third, two fill a bin. The best of all counts.
     """
     return _bound(np.bincount(lengths, minlength=capacity + 1).astype("i8"), capacity)
 
@@ -96,7 +97,14 @@ def _bound(count: np.ndarray, capacity: int) -> int:
     k = np.arange(capacity // 2 + 1)
     large = counts[capacity + 1] - counts[capacity - k + 1]
     middle = sums[capacity - k + 1] - sums[k]
-    return int((large + -(-middle // capacity)).max())
+    best = int((large + -(-middle // capacity)).max())
+    for k in range(1, STEPS + 1):
+        times = np.arange(capacity + 1) * (k + 1)
+        whole = times % capacity == 0
+        # In parts of k * capacity, so that no rounding can raise the bound.
+        parts = capacity * int((count * (times // capacity))[~whole].sum()) + k * int(size[whole].sum())
+        best = max(best, -(-parts // (k * capacity)))
+    return best
 
 
 # --- token pieces ---------------------------------------------------------------------------------------------------
@@ -142,14 +150,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
     Pieces are dealt into groups of about `group_pieces` in order of length, one to each group in turn, so that no group gets
     more long pieces than its share; each group is packed best-fit decreasing. Full sequences are settled. While the number
     of sequences is above the bound and there are several groups, the pieces of all other sequences are dealt anew into fewer
-    groups and packed again; a round counts only if it lowers the number. It ends when the bound is met, one group held all
-    that was left, or a round gained nothing.
+    groups and packed again; a round counts only if it lowers the number. When a round gains nothing, only sequences that are
+    half empty or more, of which a group leaves one at most, go on in the same way. It ends when the bound is met, one group
+    held all that was left, or again nothing was gained.
     """
     columns = pieces.columns
-    sequence, offset, full, group = unused(pieces, "sequence_id", "offset", "full", "group")
+    sequence, offset, fill, group = unused(pieces, "sequence_id", "offset", "fill", "group")
     if (sequence, offset) != ("sequence_id", "offset"):
         raise ValueError("pieces must not have the columns sequence_id and offset")
-    schema = pieces.withColumns({sequence: F.lit(0).cast("long"), offset: F.lit(0).cast("long"), full: F.lit(True)}).schema
+    schema = pieces.withColumns({sequence: F.lit(0).cast("long"), offset: F.lit(0).cast("long"), fill: F.lit(0).cast("long")}).schema
     # At most `capacity` rows.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     bound = counted_bound(counts, capacity)
@@ -162,37 +171,39 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
         first = np.zeros(n, "i8")
         first[bins[at == 0]] = row[at == 0]
         frame[sequence], frame[offset] = first[bins], at
-        frame[full] = (np.bincount(bins, lengths, n) == capacity)[bins]
+        frame[fill] = np.bincount(bins, lengths, n).astype("i8")[bins]
         return frame
 
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = [pieces.where(F.col("length") == capacity).withColumns({sequence: F.col("row"), offset: F.lit(0).cast("long")})]
-    settled, pool = counts.get(capacity, 0), pieces.where(F.col("length") < capacity)
-    left, total, packed, turn = sum(counts.values()) - settled, None, None, 0
+    settled, pool, current = counts.get(capacity, 0), pieces.where(F.col("length") < capacity), None
+    left, open_, keep, turn = sum(counts.values()) - settled, 0, capacity, 0
     while left:
         groups = -(-left // group_pieces)
         # The row's place in its range partition; each partition starts with another group.
         place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.xxhash64(F.spark_partition_id(), F.lit(turn)).bitwiseAND(0xFFFFFFFF)
         ordered = pool.repartitionByRange(n, "length", F.xxhash64("row", F.lit(turn)), "row").sortWithinPartitions("length", F.xxhash64("row", F.lit(turn)), "row")
-        dealt = ordered.withColumn(group, F.pmod(place, F.lit(groups)))
-        after = materialize(dealt.groupBy(group).applyInPandas(pack, schema), "packed")
-        starts = F.col(offset) == 0
-        now = after.agg(F.count_if(starts).alias("open"), F.count_if(starts & F.col(full)).alias("full"), F.count_if(F.col(full)).alias("pieces")).first()
-        if total is not None and settled + now["open"] >= total:
+        after = materialize(ordered.withColumn(group, F.pmod(place, F.lit(groups))).groupBy(group).applyInPandas(pack, schema), "packed")
+        number, turn = after.where(F.col(offset) == 0).count(), turn + 1
+        gain = current is None or number < open_
+        if gain:
+            current, open_ = after, number
+        if settled + open_ <= bound or groups == 1 or (not gain and keep < capacity):
             break
-        if packed is not None:
-            parts.append(packed.where(full).drop(full))
-        total, packed, turn = settled + now["open"], after, turn + 1
-        settled, left = settled + now["full"], left - now["pieces"]
-        if total <= bound or groups == 1:
-            break
-        pool = packed.where(~F.col(full)).select(columns)
-    if packed is not None:
-        parts.append(packed.drop(full))
+        if not gain:
+            keep = capacity // 2 + 1
+        done = F.col(fill) >= keep
+        moved = current.agg(F.count_if(done & (F.col(offset) == 0)).alias("sequences"), F.count_if(done).alias("pieces")).first()
+        parts.append(current.where(done).drop(fill))
+        current = current.where(~done)
+        settled, open_, left = settled + moved["sequences"], open_ - moved["sequences"], left - moved["pieces"]
+        pool = current.select(columns)
+    if current is not None:
+        parts.append(current.drop(fill))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumns({"n_sequences": F.lit(total if total is not None else settled).cast("long"), "bound": F.lit(bound).cast("long")})
+    return out.withColumns({"n_sequences": F.lit(settled + open_).cast("long"), "bound": F.lit(bound).cast("long")})
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, ids: bool = False) -> DataFrame:

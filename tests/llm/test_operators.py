@@ -304,6 +304,18 @@ def test_exchange_between_groups(spark):
     assert n <= packing.dual_feasible_bound(np.array(lengths), 100) + 4
 
 
+def test_many_groups_meet_the_bound(spark):
+    """Token lengths as texts have them, many groups; then lengths that never fill a sequence, and one length alone."""
+    rng = np.random.default_rng(3)
+    cases = [np.clip(rng.lognormal(5.5, 1.2, 9000), 1, 4096).astype(int), rng.integers(1400, 4096, 3000), np.full(2500, 1500), np.full(10, 4096)]
+    for lengths, slack in zip(cases, (1, 6, 0, 0)):
+        pieces = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths.tolist())], "row long, length long, full string")
+        rows = packing.pack_pieces(pieces, group_pieces=1000).collect()
+        n = check_places(rows)
+        assert len(rows) == len(lengths) and {(r.n_sequences, r.bound) for r in rows} == {(n, packing.dual_feasible_bound(lengths))} and n <= rows[0].bound + slack
+    assert packing.pack_pieces(pieces.limit(0)).count() == 0
+
+
 def test_bound_and_best_fit():
     rng = random.Random(1)
     for _ in range(60):
@@ -311,6 +323,7 @@ def test_bound_and_best_fit():
         bins, offset, n = packing.best_fit_decreasing(x, 30)
         assert packing.dual_feasible_bound(x, 30) <= n and np.bincount(bins, x).max() <= 30
     assert packing.dual_feasible_bound(np.array([16, 16, 16]), 30) == 3
+    assert packing.dual_feasible_bound(np.array([11] * 9), 30) == 5
     tree = packing.CapacityTree(8)
     for f in (3, 5, 8):
         tree.add(f, f)
