@@ -1,4 +1,4 @@
-"""DuckDB SQL for the corpus queries that SQL can express: op1, op5 and op7."""
+"""DuckDB SQL for the corpus queries that SQL can express: op1, op5, op7, op11 and op13."""
 
 from __future__ import annotations
 
@@ -132,4 +132,63 @@ SELECT doc_id, n::BIGINT AS n_chars, sha256(et) AS edited_sha256,
 FROM made
 """
 
-ORACLES = {"op1_secret_scan": OP1, "op5_merkle_fingerprints": OP5, "op7_pii": OP7}
+# Every phrase is counted directly here.
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: w[i:i + k - 1])) AS g FROM words, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY lang, k, g HAVING count(*) >= 30),
+held AS (SELECT lang, a, n, unnest(list_transform(generate_series(1, k - n + 1), lambda i: g[i:i + n - 1])) AS g FROM f, (VALUES (2), (3)) AS v(n) WHERE n < k),
+longest AS (SELECT lang, g, max(a) AS longer FROM held GROUP BY lang, g),
+kept AS (SELECT f.* FROM f LEFT JOIN longest USING (lang, g) WHERE k > 1 AND (longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)),
+cuts AS (SELECT kept.lang, kept.k, kept.g, kept.a, c, x.a AS l, y.a AS r, (2000000::HUGEINT * kept.a // (x.a + y.a))::BIGINT AS score
+  FROM kept, (VALUES (1), (2), (3)) AS v(c), f x, f y
+  WHERE c < kept.k AND x.lang = kept.lang AND x.g = kept.g[1:c] AND y.lang = kept.lang AND y.g = kept.g[c + 1:kept.k]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+_FIELD = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR END"
+_LEAF = lambda n: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", n, "text"))) + ")"
+# DuckDB has no CRC-32: the remainders' table, folded over the id's digits.
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: xor(a >> 8, crcs[(xor(a, c) & 255) + 1]))"
+_ROUNDS = "list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+
+# Levels by recursion, each node with its group, place and the level's nodes; then each leaf's path, folded level by level.
+OP13 = f"""
+WITH RECURSIVE remainders AS (SELECT list({_ROUNDS} ORDER BY i) AS crcs FROM range(256) t(i)),
+d AS (SELECT row_number() OVER () AS rn, *, {_LEAF('n_chars')} AS leaf, CASE WHEN xor({_CRC}, 4294967295) % 7 = 0 THEN {_LEAF('(n_chars + 1)')} ELSE {_LEAF('n_chars')} END AS changed FROM documents, remainders),
+placed AS (SELECT *, coalesce('+' || lang, '-') AS grp, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rn) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+inner_levels(grp, level, pos, n, h) AS (
+  SELECT grp, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT grp, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM inner_levels WHERE n > 1 GROUP BY grp, level, pos // 2, n),
+subroots AS (SELECT grp, h AS subroot FROM inner_levels WHERE n = 1),
+tops AS (SELECT grp, subroot, row_number() OVER (ORDER BY grp = '-' DESC, encode(grp)) - 1 AS pos, count(*) OVER () AS n FROM subroots),
+outer_levels(level, pos, n, h) AS (
+  SELECT 0, pos, n, subroot FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM outer_levels WHERE n > 1 GROUP BY level, pos // 2, n),
+steps AS (
+  SELECT rn, 0 AS part, i.level, p.pos >> i.level AS node, s.h AS sibling
+  FROM placed p JOIN inner_levels i ON i.grp = p.grp AND i.pos = p.pos >> i.level AND i.n > 1
+  LEFT JOIN inner_levels s ON s.grp = i.grp AND s.level = i.level AND s.pos = xor(i.pos, 1)
+  UNION ALL
+  SELECT rn, 1, o.level, t.pos >> o.level, s.h
+  FROM placed p JOIN tops t USING (grp) JOIN outer_levels o ON o.pos = t.pos >> o.level AND o.n > 1
+  LEFT JOIN outer_levels s ON s.level = o.level AND s.pos = xor(o.pos, 1)),
+paths AS (SELECT rn, row_number() OVER (PARTITION BY rn ORDER BY part, level) AS i, node % 2 = 1 AS is_right, coalesce(sibling, '') AS sibling FROM steps),
+proofs AS (SELECT rn, string_agg(sibling, '' ORDER BY i) AS proof, count(*) AS high FROM paths GROUP BY rn),
+folded(rn, i, h) AS (
+  SELECT rn, 0::BIGINT, changed FROM placed
+  UNION ALL
+  SELECT f.rn, f.i + 1, sha256(CASE WHEN is_right THEN sibling || h ELSE h || sibling END) FROM folded f JOIN paths p ON p.rn = f.rn AND p.i = f.i + 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM placed JOIN subroots USING (grp) LEFT JOIN proofs USING (rn) JOIN folded f ON f.rn = placed.rn AND f.i = coalesce(high, 0),
+     (SELECT h AS root FROM outer_levels WHERE n = 1) r
+"""
+
+ORACLES = {"op1_secret_scan": OP1, "op5_merkle_fingerprints": OP5, "op7_pii": OP7, "op11_collocations": OP11, "op13_merkle_manifest": OP13}

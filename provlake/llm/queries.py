@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, merkle, packing, pii, secret_scan, simhash, suffix_dedup, toxicity
+from . import collocations, decontam, langid, manifest, merkle, packing, pii, secret_scan, sharding, simhash, suffix_dedup, toxicity
 from .common import joined_spans, read_table
 
 
@@ -65,7 +65,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
+def op12_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")
+    records = _documents(spark, sf_dir).select("doc_id", sharding.text_size(text).alias("size"), crc, sharding.text_group(text).alias("group"))
+    return sharding.place(records).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.document_manifest(_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_suffix_array_dedup, op3_simhash_bk_tree, op4_packed_matrices, op5_merkle_fingerprints, op6_toxic_segments, op7_pii, op8_decontaminate, op9_best_fit_packing, op10_language_id)
-}
+    for f in (
+        op1_secret_scan, op2_suffix_array_dedup, op3_simhash_bk_tree, op4_packed_matrices, op5_merkle_fingerprints, op6_toxic_segments, op7_pii, op8_decontaminate, op9_best_fit_packing,
+        op10_language_id, op11_collocations, op12_sampled_shards, op13_merkle_manifest,
+    )
+}
