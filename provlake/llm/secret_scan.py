@@ -78,7 +78,8 @@ def scan(
     blobs = held.groupBy("blob").agg(F.first("_text").alias("_text"))
     known = None
     if ledger is not None:
-        known = ledger.where(F.col("rule_version") == version).select("blob", "findings")
+        # Two runs at once, or one that was repeated, may have added a blob twice.
+        known = ledger.where(F.col("rule_version") == version).select("blob", "findings").dropDuplicates(["blob"])
         blobs = blobs.join(known.select("blob"), "blob", "left_anti")
     new = materialize(scan_text(blobs, "_text", rules).select("blob", F.lit(version).alias("rule_version"), "findings"), "ledger")
     every = new.select("blob", "findings")
@@ -94,8 +95,8 @@ def scan(
 def scan_into(versions: DataFrame, path: str, folder: str, text: str = "text", rules: tuple[Rule, ...] = RULES + MORE_RULES) -> DataFrame:
     """Findings by path, as scan() gives them, against the ledger that is kept as Parquet in `folder` (none at first).
 
-    Only what the ledger lacks is scanned, and is appended to it in one commit, after which the findings are read from it: a
-    run that fails before leaves the ledger as it was, one that is repeated scans nothing.
+    Only what the ledger lacks is scanned, and is appended to it in one commit: a run that fails before leaves the ledger as it was,
+    one that is repeated scans nothing. The findings come from the ledger as it was and from the table of new ones.
     """
     spark = versions.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
