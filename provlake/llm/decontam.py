@@ -7,7 +7,7 @@ Exact piece hits come from one automaton over all pieces; around each hit Myers'
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 #: Edits allowed for each character of an item, and characters of items in one automaton.
 ERROR_RATE, BLOCK_CHARS = 0.05, 1 << 23
-#: Items shorter than this must stand unchanged, as whole words, and are no evidence for drop_contaminated().
-MIN_CHARS = 40
+#: Items shorter than this match as whole words only, since short strings stand inside words by chance.
+SHORT = 40
+#: Items shorter than this (an answer, a name) are no evidence for drop_contaminated(), whose parameter it is.
+LEAST_CHARS = 20
 
 
 def normalize(text: str | None) -> str:
@@ -26,7 +28,7 @@ def normalize(text: str | None) -> str:
 
 
 def budget(item: str) -> int:
-    return int(len(item) * ERROR_RATE) if len(item) >= MIN_CHARS else 0
+    return int(len(item) * ERROR_RATE)
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -36,9 +38,9 @@ def pieces(item: str) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def myers(pattern_bits: dict[str, int], m: int, text: str, limit: int, anchored: bool = False) -> tuple[int, int] | None:
-    """(distance, end) of the best match of a pattern anywhere in text, or with `anchored` from its start on; the earliest end
-    on ties, None above limit."""
+def myers(pattern_bits: dict[str, int], m: int, text: str, limit: int, anchored: bool = False, ends: Callable[[int], bool] | None = None) -> tuple[int, int] | None:
+    """(distance, end) of the best match of a pattern anywhere in text, or with `anchored` from its start on, among the ends that
+    `ends` allows; the earliest end on ties, None above limit."""
     mask, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best = mask, 0, m, None
     for j, c in enumerate(text):
@@ -53,7 +55,7 @@ def myers(pattern_bits: dict[str, int], m: int, text: str, limit: int, anchored:
         # An anchored match pays for each character of the text before the pattern begins.
         ph, mh = (ph << 1 | anchored) & mask, (mh << 1) & mask
         pv, mv = mh | ~(xv | ph) & mask, ph & xv
-        if score <= limit and (best is None or score < best[0]):
+        if score <= limit and (best is None or score < best[0]) and (ends is None or ends(j + 1)):
             best = (score, j + 1)
     return best
 
@@ -65,66 +67,97 @@ def bits(pattern: str) -> dict[str, int]:
     return out
 
 
+def edge(text: str, at: int) -> bool:
+    """Does no word run over this place?"""
+    return not (text[at - 1 : at].isalnum() and text[at : at + 1].isalnum()) if at else True
+
+
 class Matcher:
-    """All items of one block, ready for any number of texts."""
+    """All items of one block, ready for any number of texts; those of `least` characters or more are evidence."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items = [(i, n) for i, t in items if (n := normalize(t))]
+    def __init__(self, items: list[tuple[int, str]], least: int = 0) -> None:
+        self.items, self.least = [(i, n) for i, t in items if (n := normalize(t))], least
         self.bits = [(bits(t), bits(t[::-1])) for _, t in self.items]
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(self.items):
             for at, piece in pieces(t):
                 where.setdefault(piece, []).append((k, at))
-        self.long = {i for i, t in self.items if len(t) >= MIN_CHARS}
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
         if where:
             self.automaton.make_automaton()
 
+    def hits(self, text: str) -> dict[int, list[tuple[int, int, int]]]:
+        """For each item the hits of its pieces, in order: where the item would begin, where the piece does, where it ends."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        if self.items:
+            for last, (n, places) in self.automaton.iter(text):
+                for k, at in places:
+                    found.setdefault(k, []).append((last + 1 - n - at, last + 1 - n, last + 1))
+        return {k: sorted(v) for k, v in found.items()}
+
+    def best(self, k: int, text: str, hits: list[tuple[int, int, int]], lo: int, hi: int) -> tuple[int, int, int] | None:
+        """(distance, end, start) of the best match of item k in text[lo:hi]: the least distance, of these the earliest end, of these
+        the shortest. Every match has a piece unchanged, so the hits inside lead to it."""
+        t, best, tried = self.items[k][1], None, set()
+        m, limit = len(t), budget(t)
+        step = max(1, limit)
+        for begin, a, z in hits:
+            if a < lo or z > hi:
+                continue
+            if m < SHORT:
+                for start in range(max(lo, begin - limit), min(begin + limit, hi) + 1):
+                    if start not in tried and edge(text, start):
+                        tried.add(start)
+                        found = myers(self.bits[k][0], m, text[start : min(hi, start + m + limit)], limit, True, lambda j: edge(text, start + j))  # noqa: B023
+                        if found and (best is None or (found[0], start + found[1], -start) < (*best[:2], -best[2])):
+                            best = (found[0], start + found[1], start)
+                continue
+            if begin // step in tried:
+                continue
+            # One window serves all hits that lie within a few characters of one diagonal.
+            tried.add(begin // step)
+            left = max(lo, begin - 2 * step - limit)
+            found = myers(self.bits[k][0], m, text[left : min(hi, begin + m + 2 * step + limit)], limit)
+            if found and (best is None or (found[0], left + found[1]) < best[:2]):
+                best = (found[0], left + found[1], -1)
+                if not found[0]:
+                    break
+        if best and best[2] < 0:
+            d, end, _ = best
+            back = myers(self.bits[k][1], m, text[max(lo, end - m - d) : end][::-1], d, anchored=True)
+            best = (d, end, end - back[1])
+        return best
+
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, distance) of the best match of each item, in normalized characters: the least distance, of
-        these the earliest end, of these the shortest."""
-        if not self.items:
-            return []
-        text, best, tried = normalize(text), {}, set()
-        for last, (n, places) in self.automaton.iter(text):
-            for k, at in places:
-                item, t = self.items[k]
-                limit, begin = budget(t), last + 1 - n - at
-                # One window serves all hits that lie within a few characters of one diagonal.
-                step = max(1, limit)
-                if (k, begin // step) in tried or best.get(k, (1,))[0] == 0:
-                    continue
-                if len(t) < MIN_CHARS:
-                    if not (text[begin - 1 : begin].isalnum() or text[last + 1 : last + 2].isalnum()):
-                        best[k] = (0, last + 1)
-                    continue
-                tried.add((k, begin // step))
-                lo, hi = max(0, begin - 2 * step - limit), begin + len(t) + 2 * step + limit
-                found = myers(self.bits[k][0], len(t), text[lo:hi], limit)
-                if found and (k not in best or (found[0], lo + found[1]) < best[k]):
-                    best[k] = (found[0], lo + found[1])
-        out = []
-        for k, (d, end) in best.items():
-            m = len(self.items[k][1])
-            back = myers(self.bits[k][1], m, text[max(0, end - m - d) : end][::-1], d, anchored=True)
-            out.append((self.items[k][0], end - back[1], end, d))
+        """(item_id, start, end, distance) of all matches, in normalized characters: of each item the best match in the text, then those
+        in what lies before and after it, so no two of an item overlap."""
+        text, out = normalize(text), []
+        for k, hits in self.hits(text).items():
+            parts = [(0, len(text))]
+            while parts:
+                lo, hi = parts.pop()
+                if found := self.best(k, text, hits, lo, hi):
+                    d, end, start = found
+                    out.append((self.items[k][0], start, end, d))
+                    parts += [(lo, start), (end, hi)]
         return sorted(out)
 
     def evidence(self, text: str | None) -> bool:
-        """Does the text hold an item of MIN_CHARS characters or more?"""
-        return any(m[0] in self.long for m in self.matches(text))
+        """Does the text hold an item that is evidence?"""
+        text = normalize(text)
+        return any(len(self.items[k][1]) >= self.least and self.best(k, text, hits, 0, len(text)) for k, hits in self.hits(text).items())
 
 
 #: The last block's matcher, kept by a worker process between tasks.
 _kept: dict[str, Matcher] = {}
 
 
-def _matcher(key: str, items: list[tuple[int, str]]) -> Matcher:
+def _matcher(key: str, items: list[tuple[int, str]], least: int = 0) -> Matcher:
     if key not in _kept:
         _kept.clear()
-        _kept[key] = Matcher(items)
+        _kept[key] = Matcher(items, least)
     return _kept[key]
 
 
@@ -143,10 +176,11 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Rows (doc_id, item_id, start, end, distance): the best match of every item in every text, within 5 % edits.
+    """Rows (doc_id, item_id, start, end, distance): the matches of every item in every text, within 5 % edits.
 
-    Positions are in the normalized text (lower case, single blanks). Items under MIN_CHARS characters match where they stand
-    unchanged and no letter or digit comes right before or after. Texts and items that are null or empty match nothing.
+    Positions are in the normalized text (lower case, single blanks). An item's best match comes first, then the best ones before
+    and after it, so its matches do not overlap; those of different items may. Items under SHORT characters begin and end
+    at the edges of words. Texts and items that are null or empty, and items longer than a text and its edits, match nothing.
     Repeated rows are matched each. The items are a stated query set: they are read in blocks of about BLOCK_CHARS characters,
     one pass over the documents for each, so no block grows with the benchmark.
     """
@@ -173,10 +207,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows whose text holds an item of MIN_CHARS characters or more, within 5 % edits.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """docs without the rows whose text holds an item of least_chars characters or more, within 5 % edits.
 
-    Shorter items, such as one word, are found by contaminated() but are no evidence against a document. Each row is judged by
+    Shorter items, such as one word, are found by contaminated() but are no evidence against a document; short_items() tells how
+    many a benchmark has. Each row is judged by
     its own text alone, whatever its id: a filter without a shuffle, one for each block of items. Null and empty texts stay.
     """
     spark, at = docs.sparkSession, docs.columns.index(text)
@@ -185,7 +220,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
         shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(key, shared.value)
+            matcher = _matcher(key, shared.value, least_chars)
             for b in batches:
                 yield b.filter(pa.array([not matcher.evidence(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
@@ -195,3 +230,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     for block in _blocks(benchmark, item_id, item_text):
         out = without(out, block)
     return out
+
+
+def short_items(benchmark: DataFrame, item_text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """One row (items, short): the items with a text, and those that drop_contaminated() takes for no evidence."""
+    size = F.length(F.trim(F.regexp_replace(F.lower(item_text), r"\s+", " ")))
+    return benchmark.where(F.length(F.trim(item_text)) > 0).agg(F.count(F.lit(1)).alias("items"), F.count_if(size < least_chars).alias("short"))

@@ -84,6 +84,13 @@ def test_ledger_scans_only_the_unseen(spark, tmp_path):
     assert found == {1: 0, 2: 1, 3: 1}
 
 
+def test_a_ledger_may_hold_a_blob_twice(spark):
+    table = docs(spark, [(1, "token=abcdefghijklmn"), (2, "x")])
+    _, ledger = secret_scan.scan(table, "doc_id")
+    found, new = secret_scan.scan(table, "doc_id", ledger=ledger.unionByName(ledger))
+    assert new.count() == 0 and sorted((r.path, len(r.findings)) for r in found.collect()) == [(1, 1), (2, 0)]
+
+
 def test_more_secrets(spark):
     jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
     texts = {"pem": "é -----BEGIN RSA PRIVATE KEY-----", "jwt": f"x {jwt}", "prefixed": "ghp_" + "a1B2" * 9, "address": "see ftp://bob:pa55@host"}
@@ -550,6 +557,47 @@ def test_short_items(spark):
     assert decontam.drop_contaminated(d, bench).count() == 5
 
 
+def test_all_places_by_brute_force():
+    """The best match, then the best ones before and after it; items on either side of SHORT, with their edits."""
+    rng = random.Random(12)
+    for round_ in range(40):
+        n = rng.choice([22, 30, 44])
+        item = " ".join("".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(n))[:n].strip() + "z"
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            s = list(item)
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(s))
+                s[k : k + 1] = rng.choice([[], ["x"], [s[k], "y"]])
+            parts += ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 12))), "".join(s)]
+        text, p = decontam.normalize(rng.choice([" ", "", ". "]).join([*parts, "end"])), decontam.normalize(item)
+        limit, short, want = int(len(p) * 0.05), len(p) < 40, []
+        edge = lambda i: i in (0, len(text)) or not (text[i - 1].isalnum() and text[i].isalnum())
+        todo = [(0, len(text))]
+        while todo:
+            lo, hi = todo.pop()
+            spans = ((a, b) for a in range(lo, hi) for b in range(max(a + 1, a + len(p) - limit), min(a + len(p) + limit, hi) + 1) if not short or edge(a) and edge(b))
+            best = min(((whole(p, text[a:b]), b, b - a) for a, b in spans), default=None)
+            if best and best[0] <= limit:
+                d, b, size = best
+                want.append((1, b - size, b, d))
+                todo += [(lo, b - size), (b, hi)]
+        assert decontam.Matcher([(1, item)]).matches(text) == sorted(want), (round_, item, text)
+
+
+def test_items_of_any_length_are_evidence(spark):
+    """36 characters, word for word twice or with one edit; an item longer than the text; two items on one place; a very long text."""
+    item = "is a whale a fish or is it a mammal?"
+    bench = spark.createDataFrame([(1, item), (2, f"so {item} it is asked"), (3, item), (4, "no text of the table is as long as this " * 20), (5, "nineteen characters")], "item_id long, text string")
+    texts = [f"{item} and again: {item}", item.replace("fish", "fisk"), "nineteen characters", "a whale", None, "", f"{'other words ' * 9000}{item}"]
+    d = docs(spark, list(enumerate(texts)))
+    got = sorted((r.doc_id, r.item_id, r.start, r.distance) for r in decontam.contaminated(d, bench).collect())
+    assert got == [(0, 1, 0, 0), (0, 1, 48, 0), (0, 3, 0, 0), (0, 3, 48, 0), (1, 1, 0, 1), (1, 3, 0, 1), (2, 5, 0, 0), (6, 1, 108_000, 0), (6, 3, 108_000, 0)]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(d, bench).collect()) == [2, 3, 4, 5]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(d, bench, least_chars=37).collect()) == [0, 1, 2, 3, 4, 5, 6]
+    assert decontam.short_items(bench).first() == (5, 1)
+
+
 # --- 10 ---
 
 
@@ -612,5 +660,5 @@ def test_languages(spark):
     assert kept.columns == d.columns and {500, 501}.isdisjoint(r.doc_id for r in kept.collect()) and kept.count() == 182
 
 
-def test_queries_are_ten():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_queries_are_thirteen():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
