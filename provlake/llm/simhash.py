@@ -6,9 +6,10 @@ also holds the shard's queries, which follow only edges within the radius. So no
 the corpus holds. A shard above SHARD_MAX fingerprints is split by the bits that it leaves free: in three parts, of which two
 fingerprints within distance 2 share one at least, so that the smaller shards link all that the large one would.
 
-keep_one() goes further, as a corpus should not hold a text twice with a few words changed: fingerprints of similarity 0.8 or
-more (the cosine of their angle, so 13 differing bits at most) are linked too. No block index serves at that distance; there
-the shards hold documents that share four minima in a row of their five-word shingles' hashes.
+keep_one() goes further, as a corpus should not hold a text twice with a few words changed: texts whose five-word shingles have
+a Jaccard similarity of 0.8 or more are linked too. Candidates are fingerprints of 13 differing bits at most (a cosine of 0.8)
+of documents that share four minima in a row of their five-word shingles' hashes; a link counts only if the shingles say so,
+by the least SKETCH hashes of either text: exact up to that many shingles, within about 0.025 above.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from .components import components
 
 RADIUS = 2
 SHINGLE = 3
-#: Similarity of near copies for keep_one(), and the distance that it means.
+#: Similarity of near copies for keep_one(), and the distance of fingerprints that are candidates.
 SIMILARITY = 0.8
 NEAR = math.floor(64 / math.pi * math.acos(SIMILARITY))
 #: Bins of the shingles' minima, and bins in a band: at a similarity of 0.8 one of the bands agrees in 98 of 100 pairs.
 BINS, BAND = 32, 4
+#: Shingle hashes in a text's sketch.
+SKETCH = 256
 #: Fingerprints in a shard that one BK-tree takes.
 SHARD_MAX = 4096
 SEED = 42
@@ -70,12 +73,33 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def bands(values: np.ndarray) -> np.ndarray:
-    """Keys of the bands of BAND minima over the five-word shingles, from the hashes of three-word shingles; none of an empty text."""
-    if not len(values):
+def five_words(values: np.ndarray) -> np.ndarray:
+    """The distinct five-word shingles' hashes in order, from the hashes of three-word shingles; of shorter texts those that there are."""
+    # Words i..i+4 are the shingles at i and at i+2.
+    return np.unique(_mix(values[:-2] * np.uint64(3) + values[2:]) if len(values) > 2 else values)
+
+
+def sketch(five: np.ndarray) -> np.ndarray:
+    """The least SKETCH hashes, their upper halves."""
+    return np.unique((five[:SKETCH] >> np.uint64(32)).astype("u4"))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of shingles by their sketches."""
+    both = np.sort(np.concatenate((a, b)))
+    twice = both[1:] == both[:-1]
+    least = both[np.concatenate(([True], ~twice))]
+    if max(len(a), len(b)) < SKETCH:
+        return float(twice.sum() / max(1, len(least)))
+    # Only what either sketch would hold counts.
+    last = least[: min(SKETCH, len(least))][-1]
+    return float((both[1:][twice] <= last).sum() / (least <= last).sum())
+
+
+def bands(five: np.ndarray) -> np.ndarray:
+    """Keys of the bands of BAND minima over the hashes of five-word shingles; none of an empty text."""
+    if not len(five):
         return np.zeros(0, "i8")
-    # Words i..i+4 are the shingles at i and at i+2; of shorter texts those that there are.
-    five = np.unique(_mix(values[:-2] * np.uint64(3) + values[2:]) if len(values) > 2 else values)
     bin_ = (five >> np.uint64(64 - int(math.log2(BINS)))).astype("i8")
     first = np.flatnonzero(np.concatenate(([True], bin_[1:] != bin_[:-1])))
     # An empty bin takes the minimum of the next that is not, marked by the distance.
@@ -131,10 +155,11 @@ class BKTree:
             children[d] = (x, {})
 
 
-def shard_links(members: list[int], radius: int = RADIUS, leaders: bool = False) -> list[tuple[int, int]]:
+def shard_links(members: list[int], radius: int = RADIUS, sketches: dict[int, np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that join all members which a chain of steps within the radius joins: at most one for each member and group.
 
-    With `leaders` only members without a leader in reach become nodes of the tree; the others are tied to all their leaders.
+    With sketches a step must have SIMILARITY by them too, and only members that no leader is so near become leaders, nodes of the
+    tree; the others are tied to all their leaders.
     """
     tree, head, links = BKTree(), {}, []
 
@@ -146,32 +171,38 @@ def shard_links(members: list[int], radius: int = RADIUS, leaders: bool = False)
     for x in members:
         head[x] = x
         found = tree.near(x, radius)
+        if sketches is not None:
+            found = [y for y in found if jaccard(sketches[x], sketches[y]) >= SIMILARITY]
         for y in found:
             if (a := root(x)) != (b := root(y)):
                 head[a] = b
                 links.append((x, y))
-        if not (leaders and found):
+        if sketches is None or not found:
             tree.add(x)
     return links
 
 
-def _link_shards(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, leaders: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, value, fp) come sorted by shard (mask, value); a shard may go on in the next batch."""
-    key, members, out = None, [], []
+def _link_shards(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, verified: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (mask, value, fp[, sketch]) come sorted by shard (mask, value); a shard may go on in the next batch."""
+    key, members, sketches, out = None, [], {}, []
+
+    def links() -> list[tuple[int, int]]:
+        return shard_links(members, radius, sketches if verified else None) if len(members) > 1 else []
+
     for b in batches:
         fps = b.column(2).to_numpy(zero_copy_only=False).view("u8").tolist()
-        for s, f in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), fps):
+        held = b.column(3).to_pylist() if verified else fps
+        for s, f, h in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), fps, held):
             if s != key:
-                if len(members) > 1:
-                    out += shard_links(members, radius, leaders)
-                key, members = s, []
+                out += links()
+                key, members, sketches = s, [], {}
             members.append(f)
+            if verified:
+                sketches[f] = np.frombuffer(h, "<u4")
         if len(out) > 50_000:
             yield _links_batch(out)
             out = []
-    if len(members) > 1:
-        out += shard_links(members, radius, leaders)
-    yield _links_batch(out)
+    yield _links_batch(out + links())
 
 
 def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -189,10 +220,11 @@ def _thirds(mask: int) -> list[int]:
     return [mask | sum(1 << i for i in free[k :: RADIUS + 1]) for k in range(RADIUS + 1)]
 
 
-def _linked(shards: DataFrame, radius: int, leaders: bool) -> DataFrame:
+def _linked(shards: DataFrame, radius: int, verified: bool) -> DataFrame:
     n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = shards.select("mask", "value", "fp").repartition(n, "mask", "value").sortWithinPartitions("mask", "value", "fp")
-    return ordered.mapInArrow(lambda b: _link_shards(b, radius, leaders), "a long, b long")
+    columns = ["mask", "value", "fp", *(["sketch"] if verified else [])]
+    ordered = shards.select(*columns).repartition(n, "mask", "value").sortWithinPartitions("mask", "value", "fp")
+    return ordered.mapInArrow(lambda b: _link_shards(b, radius, verified), "a long, b long")
 
 
 def near_links(fps: DataFrame, shard_max: int = SHARD_MAX) -> DataFrame:
@@ -236,23 +268,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, digest, text) to (doc_id, digest, fp, bands)."""
+    """(doc_id, digest, text) to (doc_id, digest, fp, bands, sketch)."""
     for b in batches:
-        fps, keys = [], []
+        fps, keys, sketches = [], [], []
         for t in b.column(2).to_pylist():
             values = shingle_hashes(t)
+            five = five_words(values)
             fps.append(majority(values))
-            keys.append(bands(values))
+            keys.append(bands(five))
+            sketches.append(sketch(five).tobytes())
         ends = np.cumsum([0, *map(len, keys)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, "u8").view("i8"), pa.int64()), lists], names=["doc_id", "digest", "fp", "bands"])
+        fps = pa.array(np.array(fps, "u8").view("i8"), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, lists, pa.array(sketches, pa.binary())], names=["doc_id", "digest", "fp", "bands", "sketch"])
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near-duplicates: one row of each group stays.
 
-    A group is what chains of links join: fingerprints within distance 2, and fingerprints of SIMILARITY or more of documents
-    that share a band (in a band's shard each is compared with those that have no such one before them). The row that
+    A group is what chains of links join: fingerprints within distance 2, and texts of SIMILARITY or more by their five-word shingles
+    among documents that share a band (in a band's shard each is compared with those that have no such one before them). Texts of one
+    fingerprint count as one. The row that
     stays is the one with the smallest id (null ids last), of these the one with the least hash of all its columns, so the result is
     the same in every run; of rows that are alike in every column one stays. Null and empty texts are one group. Each row is
     judged by its own text: where rows share an id but not their text, they are different documents.
@@ -260,10 +296,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     (digest,) = unused(docs, "digest")
     named = docs.withColumn(digest, F.sha2(F.to_json(F.struct("*")), 256))
     rows = named.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(digest).alias("digest"), F.col(text).alias("text"))
-    marked = materialize(rows.mapInArrow(_marked, "doc_id long, digest string, fp long, bands array<long>"), "fingerprints")
-    shards = materialize(marked.select("fp", F.posexplode("bands").alias("mask", "value")).distinct(), "bands")
-    shared = shards.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mask", "value")
-    links = near_links(marked.select("fp").distinct()).unionByName(_linked(shards.join(shared, ["mask", "value"], "left_semi"), NEAR, True))
+    marked = materialize(rows.mapInArrow(_marked, "doc_id long, digest string, fp long, bands array<long>, sketch binary"), "fingerprints")
+    # Of texts with one fingerprint, one speaks for all.
+    texts = materialize(marked.groupBy("fp").agg(F.min_by(F.struct("bands", "sketch"), "digest").alias("t")).select("fp", "t.*"), "texts")
+    shards = texts.select("fp", F.posexplode("bands").alias("mask", "value"))
+    shared = materialize(shards.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mask", "value"), "bands")
+    # Only texts that share a band send their sketches.
+    candidates = shards.join(shared, ["mask", "value"], "left_semi").join(texts.select("fp", "sketch"), "fp")
+    links = near_links(texts.select("fp")).unionByName(_linked(candidates, NEAR, True))
     roots = components(links).withColumnRenamed("node", "fp")
     classed = marked.select("doc_id", "digest", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")).alias("f"))

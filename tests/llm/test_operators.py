@@ -215,16 +215,45 @@ def test_shards_link_what_a_chain_links():
     assert len(set(heads.values())) == 2
 
 
+def similar(a, b):
+    """Jaccard similarity of the five-word shingles."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_sketches():
+    rng = random.Random(3)
+    for n, change in ((100, 1), (100, 10), (200, 4), (900, 20), (900, 3), (3000, 60)):
+        words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        other = ["new" if rng.randrange(n) < change else w for w in words]
+        a, b = (simhash.sketch(simhash.five_words(simhash.shingle_hashes(" ".join(w)))) for w in (words, other))
+        want = similar(" ".join(words), " ".join(other))
+        assert simhash.jaccard(a, b) == pytest.approx(want, abs=1e-9 if n < 250 else 0.12)
+
+
+def test_keep_one_leaves_texts_of_a_template(spark):
+    """Half of the words are a template's; texts of 0.3 or so are not copies, those of one word changed are."""
+    rng = random.Random(2)
+    template = [f"t{i}" for i in range(60)]
+    own = lambda k: [f"o{k}x{i}" for i in range(60)]
+    rows = [(k, " ".join([*template, *own(k)])) for k in range(1500)]
+    rows += [(5000 + k, " ".join([*template, *own(k)][:-1] + ["last"])) for k in range(0, 1500, 50)]
+    rng.shuffle(rows)
+    kept = {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()}
+    assert set(range(1500)) == kept
+
+
 def test_keep_one(spark, corpus):
     rng = random.Random(8)
     long = [f"w{rng.randrange(900)}" for _ in range(150)]
-    changed = [set(rng.sample(range(150), 3)) for _ in range(6)]
+    changed = [set(range(k, k + 3)) for k in (0, 1, 2, 3, 4, 5)]
     edited = lambda k: " ".join("new" if i in changed[k] else w for i, w in enumerate(long))
     # Rows that share an id: one text has a copy with a smaller id, the other is of its own.
     rows = corpus + [(200 + i, edited(i)) for i in range(6)] + [(302, corpus[7][1]), (305, corpus[7][1]), (305, "a text of its own " * 9), (None, "nameless text here"), (None, "nameless text here")]
     d = docs(spark, rows).withColumn("digest", F.lit("x"))
     kept = simhash.keep_one(d)
-    fps, keys = [fingerprint(t) for _, t in rows], [set(enumerate(simhash.bands(simhash.shingle_hashes(t)).tolist())) for _, t in rows]
+    fps = [fingerprint(t) for _, t in rows]
+    keys = [set(enumerate(simhash.bands(simhash.five_words(simhash.shingle_hashes(t))).tolist())) for _, t in rows]
     head = list(range(len(rows)))
 
     def root(x):
@@ -234,7 +263,7 @@ def test_keep_one(spark, corpus):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (n := (fps[i] ^ fps[j]).bit_count()) <= 2 or (n <= simhash.NEAR and keys[i] & keys[j]):
+            if (n := (fps[i] ^ fps[j]).bit_count()) <= 2 or (n <= simhash.NEAR and keys[i] & keys[j] and similar(rows[i][1], rows[j][1]) >= 0.8):
                 head[root(i)] = root(j)
     groups = defaultdict(list)
     for i, (k, t) in enumerate(rows):
