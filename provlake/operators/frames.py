@@ -9,23 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-#: Order numbers in a block: a long medium is cut into blocks, so that no task sorts the whole of it.
-BLOCK = 1 << 16
-
-
-def in_blocks(df: DataFrame, order: str, before: int = 0, after: int = 0) -> DataFrame:
-    """df with `_block`, the block of each row, and `_own`: true, or false for a copy that another block sees beyond its border: the
-    last `before` order numbers of the block before and the first `after` of the next."""
-    if max(before, after) > BLOCK:
-        raise ValueError(f"a window may span {BLOCK} order numbers at most")
-    at, place = F.floor(F.col(order) / BLOCK), F.pmod(F.col(order), F.lit(BLOCK))
-    copies = F.array(
-        F.struct(at.alias("_block"), F.lit(True).alias("_own")),
-        F.when(place >= BLOCK - before, F.struct((at + 1).alias("_block"), F.lit(False).alias("_own"))),
-        F.when(place < after, F.struct((at - 1).alias("_block"), F.lit(False).alias("_own"))),
-    )
-    return df.withColumn("_c", F.explode(F.array_compact(copies))).select(*df.columns, "_c._block", "_c._own")
+from provlake.functions.blocks import in_blocks, previous, ranked, running_sums
 
 
 def islands(df: DataFrame, keys: list[str], order: str, flag: Column, step: int = 1) -> DataFrame:
@@ -59,12 +43,12 @@ def cut_ranges(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def silences(samples: DataFrame, least: int, threshold: int) -> DataFrame:
-    """(media_id, start, stop, n): runs of windows of `least` samples, numbered one by one, that all stay within the threshold."""
-    over = f"over (partition by media_id, _block order by sample_no range between current row and {least - 1} following)"
-    quiet = in_blocks(samples, "sample_no", after=least - 1).withColumns({"_max": F.expr(f"max(abs(value)) {over}"), "_there": F.expr(f"count(*) {over}")}).where("_own")
-    return islands(quiet.drop("_block", "_own"), ["media_id"], "sample_no", (F.col("_max") <= threshold) & (F.col("_there") == least), least).select(
-        "media_id", "start", (F.col("stop") + least - 1).alias("stop"), "n"
-    )
+    """(media_id, start, stop, n): runs of n windows of `least` samples, numbered one by one, that all stay within the threshold.
+
+    Windows that are quiet follow one another in a run of quiet samples, so only runs of at least one window are looked for.
+    """
+    quiet = islands(samples, ["media_id"], "sample_no", F.abs("value") <= threshold)
+    return quiet.where(F.col("n") >= least).withColumn("n", F.col("n") - least + 1)
 
 
 def silence_pairs(ranges: DataFrame, least: int, most: int) -> DataFrame:
@@ -85,9 +69,15 @@ def audio_changes(a: DataFrame, b: DataFrame, window: int = 32, threshold: float
 
 
 def _averaged(samples: DataFrame, value: str, out: str, n: int) -> DataFrame:
-    """samples with the mean of each sample and the n - 1 before it, numbered one by one."""
-    over = f"over (partition by media_id, _block order by sample_no range between {n - 1} preceding and current row)"
-    return in_blocks(samples, "sample_no", before=n - 1).withColumn(out, F.expr(f"avg({value}) {over}")).where("_own").drop("_block", "_own")
+    """samples with the mean of each sample and of those among the n - 1 order numbers before it, for a window of any length.
+
+    A sample enters the running sum at its number and leaves it n later, so the work does not grow with the window.
+    """
+    number = F.col("sample_no")
+    enter = samples.withColumns({"_at": number, "_v": F.col(value), "_c": F.lit(1).cast("long"), "_own": F.lit(True)})
+    leave = samples.withColumns({"_at": number + n, "_v": -F.col(value), "_c": F.lit(-1).cast("long"), "_own": F.lit(False)})
+    both = running_sums(in_blocks(enter.unionByName(leave), "_at"), ["media_id"], "_at, _own", {"_s": "_v", "_k": "_c"})
+    return both.where("_own").withColumn(out, F.col("_s") / F.col("_k")).select(*samples.columns, out)
 
 
 def moving_average(samples: DataFrame, n: int) -> DataFrame:
@@ -104,14 +94,8 @@ def equalize(histogram: DataFrame, levels: int = 256) -> DataFrame:
 def time_bounds(frames: DataFrame, start_ms: float, start_frames: int, stop_ms: float, stop_frames: int) -> DataFrame:
     """(media_id, startframe, endframe): the frame that is `frames` frames after a time, for start and stop."""
     late = {"_a": F.col("time_ms") > start_ms, "_z": F.col("time_ms") > stop_ms}
-    rows = in_blocks(frames, "frame_no")
-    # What the blocks before have counted; one row a block.
-    sums = rows.groupBy("media_id", "_block").agg(*(F.count_if(c).alias(f"{k}n") for k, c in late.items()))
-    before = "over (partition by media_id order by _block rows between unbounded preceding and 1 preceding)"
-    sums = sums.select("media_id", "_block", *(F.expr(f"coalesce(sum({k}n) {before}, 0)").alias(f"{k}0") for k in late))
-    rows = rows.withColumns({k: c.cast("int") for k, c in late.items()}).join(sums, ["media_id", "_block"])
-    over = "over (partition by media_id, _block order by frame_no rows unbounded preceding)"
-    out = rows.withColumns({f"{k}r": F.expr(f"{k}0 + sum({k}) {over}") for k in late})
+    rows = in_blocks(frames, "frame_no").withColumns({k: c.cast("int") for k, c in late.items()})
+    out = running_sums(rows, ["media_id"], "frame_no", {f"{k}r": k for k in late})
     first = F.min(F.when(F.col("_ar") >= max(start_frames, 1), F.col("frame_no")))
     last = F.min(F.when(F.col("_zr") >= max(stop_frames, 1), F.col("frame_no")))
     return out.groupBy("media_id").agg(first.alias("startframe"), last.alias("endframe"))
@@ -127,13 +111,13 @@ def std_of_difference(a: Column, b: Column) -> Column:
 
 def drop_duplicate_frames(frames: DataFrame, threshold: int) -> DataFrame:
     """Frames (media_id, frame_no, gray array) whose rounded std of the difference to the frame read before passes the threshold; first frames stay."""
-    prev = frames.withColumn("_p", F.expr("lag(gray) over (partition by media_id order by frame_no)"))
+    prev = previous(frames, ["media_id"], "frame_no", "gray", "_p")
     return prev.where(F.col("_p").isNull() | (F.round(std_of_difference(F.col("gray"), F.col("_p"))) > threshold)).drop("_p")
 
 
 def neighbour_diffs(frames: DataFrame, first: int) -> DataFrame:
     """(media_id, mean, std) of the std of neighbouring histogram differences over the first frames."""
-    prev = frames.where(F.col("frame_no") <= first).withColumn("_p", F.expr("lag(gray) over (partition by media_id order by frame_no)"))
+    prev = previous(frames.where(F.col("frame_no") <= first), ["media_id"], "frame_no", "gray", "_p")
     d = prev.where("_p is not null").withColumn("_d", std_of_difference(F.col("gray"), F.col("_p")))
     return d.groupBy("media_id").agg(F.round(F.avg("_d"), 4).alias("mean"), F.round(F.stddev_pop("_d"), 4).alias("std"))
 
@@ -263,8 +247,8 @@ def compare_masks(pairs: DataFrame) -> DataFrame:
 
 def mean_image(frames: DataFrame, sample: int) -> DataFrame:
     """(media_id, pixels array<double>): mean over an even sample of at most `sample` frames."""
-    n = frames.withColumn("_n", F.expr("count(*) over (partition by media_id)")).withColumn("_i", F.expr("row_number() over (partition by media_id order by frame_no)"))
-    step = F.greatest(F.floor(F.col("_n") / sample), F.lit(1))
+    n = ranked(frames, ["media_id"], "frame_no")
+    step = F.greatest(F.ceil(F.col("_n") / sample), F.lit(1))
     kept = n.where((F.col("_i") - 1) % step == 0).select("media_id", F.posexplode("gray").alias("_p", "_v"))
     means = kept.groupBy("media_id", "_p").agg(F.round(F.avg("_v"), 6).alias("_m"))
     return means.groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"]).alias("pixels"))
@@ -272,7 +256,7 @@ def mean_image(frames: DataFrame, sample: int) -> DataFrame:
 
 def median_image(frames: DataFrame, sample: int) -> DataFrame:
     """(media_id, pixels array<double>): median of each pixel over an even sample of at most `sample` aligned frames."""
-    n = frames.withColumn("_n", F.expr("count(*) over (partition by media_id)")).withColumn("_i", F.expr("row_number() over (partition by media_id order by frame_no)"))
+    n = ranked(frames, ["media_id"], "frame_no")
     step = F.greatest(F.ceil(F.col("_n") / sample), F.lit(1))
     kept = n.where((F.col("_i") - 1) % step == 0).select("media_id", F.posexplode("gray").alias("_p", "_v"))
     medians = kept.groupBy("media_id", "_p").agg(F.median("_v").alias("_m"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provlake.functions.blocks import in_blocks, last_known, ranked
+
 KEYS = ["set_id", "type"]
 
 
@@ -252,8 +254,7 @@ def mask_at(mask_frames: DataFrame, ms: Column) -> DataFrame:
 
 def resample_mask_frames(mask_frames: DataFrame, wanted: DataFrame) -> DataFrame:
     """Mask frames of a segment spread over `wanted` (segment_id, frames): every n-th goes or comes twice, the last fills up."""
-    have = mask_frames.withColumn("_i", F.expr("row_number() over (partition by segment_id order by frame_no)")).withColumn("_n", F.expr("count(*) over (partition by segment_id)"))
-    have = have.join(wanted.select("segment_id", F.col("frames").alias("_m")), "segment_id")
+    have = ranked(mask_frames, ["segment_id"], "frame_no").join(wanted.select("segment_id", F.col("frames").alias("_m")), "segment_id")
     lo, hi = F.ceil((F.col("_i") - 1) * F.col("_m") / F.col("_n")), F.ceil(F.col("_i") * F.col("_m") / F.col("_n")) - 1
     return have.where(lo <= hi).withColumn("new_no", F.explode(F.sequence(lo + 1, hi + 1))).drop("_i", "_n", "_m")
 
@@ -270,9 +271,8 @@ def audio_to_video(segs: DataFrame, frames: DataFrame) -> DataFrame:
     """As-of: the first video frame at or after each segment's time (set_id, ms); segs (set_id, seg_no, ms), frames (set_id, frame_no, time_ms)."""
     rows = segs.select("set_id", F.col("ms").alias("t"), F.lit(0).alias("_k"), "seg_no", F.lit(None).cast("long").alias("frame_no"))
     rows = rows.unionByName(frames.select("set_id", F.col("time_ms").alias("t"), F.lit(1).alias("_k"), F.lit(None).cast("long").alias("seg_no"), "frame_no"))
-    # Backwards with a growing frame, which is linear; a shrinking frame would be summed anew for each row.
-    at = F.expr("last(frame_no, true) over (partition by set_id order by t desc, _k desc, frame_no desc rows between unbounded preceding and current row)")
-    return rows.withColumn("frame", at).where("_k = 0").select("set_id", "seg_no", F.col("frame").alias("frame_no"))
+    found = last_known(in_blocks(rows, "t"), ["set_id"], ["t", "_k", "frame_no"], {"frame": "frame_no"}, backwards=True)
+    return found.where("_k = 0").select("set_id", "seg_no", F.col("frame").alias("frame_no"))
 
 
 def position_segments(positions: DataFrame, start: float, end: float, fps: float) -> DataFrame:
@@ -311,15 +311,9 @@ def snap_to_frames(segs: DataFrame, frames: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     rows = hits.select("set_id", "seg_no", "end", "t", F.lit(1).alias("_k"), none("long").alias("frame_no"), none("double").alias("time_ms"))
     rows = rows.unionByName(frames.select("set_id", none("long").alias("seg_no"), none("int").alias("end"), F.col("time_ms").alias("t"), F.lit(0).alias("_k"), "frame_no", "time_ms"))
-    # Both ways with a growing frame, which is linear; a shrinking frame would be summed anew for each row.
-    before, after = (f"over (partition by set_id order by t {way}, _k {way}, frame_no {way} rows between unbounded preceding and current row)" for way in ("asc", "desc"))
-    rows = rows.withColumns(
-        {
-            "_frame": F.expr(f"last(frame_no, true) {before}"),
-            "_last": F.expr(f"last(time_ms, true) {before}"),
-            "_next": F.expr(f"last(time_ms, true) {after}"),
-        }
-    ).where("_k = 1")
+    order = ["t", "_k", "frame_no"]
+    rows = last_known(in_blocks(rows, "t"), ["set_id"], order, {"_frame": "frame_no", "_last": "time_ms"})
+    rows = last_known(rows, ["set_id"], order, {"_next": "time_ms"}, backwards=True).where("_k = 1")
     moved = F.col("_next").isNotNull()
     pick = lambda e, c: F.max(F.when(F.col("end") == e, c))
     at = {"frame": F.when(moved, F.coalesce("_frame", F.lit(0).cast("long"))), "time": F.when(moved, F.coalesce("_last", F.lit(0.0))), "gap": F.col("_next") - F.col("t")}

@@ -190,13 +190,13 @@ def _maps(spark, d, extra):
 
 
 def q_stream_diff(spark, d):
-    one = _maps(spark, d, "0").where("frame_no % 7 = 0").groupBy(F.col("media_id").alias("file"), "stream").agg(F.max_by("meta", "frame_no").alias("meta"))
-    two = _maps(spark, d, "0").where("frame_no % 7 = 1").groupBy(F.col("media_id").alias("file"), "stream").agg(F.max_by("meta", "frame_no").alias("meta"))
+    """The last frame of a stream in either half of a medium's frames, told by odd and even numbers."""
+    one, two = (_maps(spark, d, "0").where(f"frame_no % 2 = {k}").groupBy(F.col("media_id").alias("file"), "stream").agg(F.max_by("meta", "frame_no").alias("meta")) for k in (0, 1))
     return metadata.diff_rows(metadata.stream_diff(one, two), "diff")
 
 
 def q_packets(spark, d):
-    one = _maps(spark, d, "0").where("frame_no % 5 > 0 and frame_no < 60")
+    one = _maps(spark, d, "0").where("frame_no % 5 > 0")
     two = _maps(spark, d, "if(frame_no % 3 = 0, 15, if(frame_no % 11 = 0, 40, 0))").where("frame_no % 7 > 0")
     a, b = (x.groupBy("media_id", F.lit("video").alias("stream"), "time_ms").agg(F.max_by("meta", "frame_no").alias("meta")) for x in (one, two))
     out = metadata.packet_diff(a, b, 20.0)
@@ -382,7 +382,7 @@ SELECT project_id, dn.at AS node_id FROM dn""",
     "stream_ids": f"""{_N}, s AS (SELECT project_id AS file, r AS stream_pos, CASE WHEN node_id % 3 = 0 THEN 'video' ELSE CASE node_id % 4 WHEN 0 THEN 'mono' WHEN 1 THEN 'stereo' ELSE 'audio' END END AS s FROM nodes),
 k AS (SELECT *, row_number() OVER (PARTITION BY file, s ORDER BY stream_pos) AS k FROM s) SELECT file, stream_pos, CASE WHEN k = 1 THEN s ELSE concat(s, k - 1) END AS stream FROM k""",
     "stream_diff": f"""{_F}, m AS (SELECT media_id, event_type, frame_no, json_extract_string(props, '$.k') AS k, CASE WHEN changed THEN 'yes' END AS c FROM frames),
-a AS (SELECT media_id, event_type, arg_max(ROW(k, c), frame_no) AS m FROM m WHERE frame_no % 7 = 0 GROUP BY 1, 2), b AS (SELECT media_id, event_type, arg_max(ROW(k, c), frame_no) AS m FROM m WHERE frame_no % 7 = 1 GROUP BY 1, 2),
+a AS (SELECT media_id, event_type, arg_max(ROW(k, c), frame_no) AS m FROM m WHERE frame_no % 2 = 0 GROUP BY 1, 2), b AS (SELECT media_id, event_type, arg_max(ROW(k, c), frame_no) AS m FROM m WHERE frame_no % 2 = 1 GROUP BY 1, 2),
 j AS (SELECT coalesce(a.media_id, b.media_id) AS file, coalesce(a.event_type, b.event_type) AS stream, a.m AS x, b.m AS y FROM a FULL JOIN b ON a.media_id = b.media_id AND a.event_type = b.event_type),
 u AS (SELECT file, stream, 'k' AS key, x[1] AS old, y[1] AS new FROM j UNION ALL SELECT file, stream, 'c', x[2], y[2] FROM j)
 SELECT file, stream, key, CASE WHEN old IS NULL THEN 'add' WHEN new IS NULL THEN 'delete' ELSE 'change' END AS action, old, new FROM u WHERE old IS DISTINCT FROM new""",
@@ -401,7 +401,7 @@ SELECT file, stream, key, CASE WHEN old IS NULL THEN 'add' WHEN new IS NULL THEN
     "resampled_masks": f"""{_F}, n AS (SELECT media_id, count(*) AS n FROM frames GROUP BY 1), w AS (SELECT *, CASE media_id % 3 WHEN 0 THEN n * 2 WHEN 1 THEN n // 2 + 1 ELSE n + 5 END AS m FROM n),
 g AS (SELECT *, unnest(generate_series(0, m - 1)) AS j FROM w) SELECT media_id AS segment_id, floor(j * n::DOUBLE / m)::BIGINT + 1 AS frame_no, j + 1 AS new_no FROM g""",
     "packet_diff": f"""{_F}, x AS (SELECT media_id, frame_no, frame_no * 40 AS t, json_extract_string(props, '$.k') AS k, CASE WHEN changed THEN 'yes' END AS c FROM frames),
-a AS (SELECT media_id, t, k, c FROM x WHERE frame_no % 5 > 0 AND frame_no < 60),
+a AS (SELECT media_id, t, k, c FROM x WHERE frame_no % 5 > 0),
 b AS (SELECT media_id, t, arg_max(ROW(k, c), frame_no) AS m FROM (SELECT media_id, frame_no, k, c, t + CASE WHEN frame_no % 3 = 0 THEN 15 WHEN frame_no % 11 = 0 THEN 40 ELSE 0 END AS t FROM x WHERE frame_no % 7 > 0) GROUP BY 1, 2),
 j AS (SELECT coalesce(a.media_id, b.media_id) AS media_id, coalesce(a.t, b.t) AS t, a.t IS NOT NULL AS ha, b.t IS NOT NULL AS hb, a.k, a.c, b.m[1] AS k2, b.m[2] AS c2 FROM a FULL JOIN b ON a.media_id = b.media_id AND a.t = b.t),
 la AS (SELECT media_id, max(t) FILTER (ha) AS la, max(t) FILTER (hb) AS lb FROM j GROUP BY 1),

@@ -149,11 +149,12 @@ SELECT set_id, seg_no, CASE WHEN cut THEN 'cut' ELSE 'crop' END AS op, CASE WHEN
     "snap_to_frames": f"""{with_views('segments')}, f AS (SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY startframe, seg_no) AS n, startframe * 9.0::DOUBLE AS t FROM segments WHERE type = 'video'),
 h AS (SELECT set_id, seg_no, error, 0 AS e, startframe * 7.0::DOUBLE AS ms FROM segments UNION ALL SELECT set_id, seg_no, error, 1, endframe * 7.0::DOUBLE FROM segments),
 g AS (SELECT set_id, t, max(n) AS n FROM f GROUP BY 1, 2),
-i AS (SELECT h.*, g.n, g.t AS l FROM h ASOF LEFT JOIN g ON g.set_id = h.set_id AND h.ms >= g.t),
-j AS (SELECT i.*, g.t AS x FROM i ASOF LEFT JOIN g ON g.set_id = i.set_id AND i.ms < g.t),
-k AS (SELECT *, CASE WHEN x IS NULL THEN -1 ELSE coalesce(n, 0) END AS fr, CASE WHEN x IS NULL THEN ms ELSE coalesce(l, 0) END AS tm FROM j)
-SELECT a.set_id, a.seg_no, a.fr AS startframe, b.fr AS endframe, a.tm AS starttime, b.tm AS endtime, round(a.error + coalesce(a.x - a.ms, b.x - b.ms, 0), 4) AS error
-FROM k a JOIN k b ON a.set_id = b.set_id AND a.seg_no = b.seg_no AND a.e = 0 AND b.e = 1""",
+u AS (SELECT set_id, seg_no, error, e, ms AS t, 1 AS k, NULL::BIGINT AS n, NULL::DOUBLE AS ft FROM h UNION ALL SELECT set_id, NULL, NULL, NULL, t, 0, n, t FROM g),
+w AS MATERIALIZED (SELECT *, last_value(n IGNORE NULLS) OVER b AS l, last_value(ft IGNORE NULLS) OVER b AS lt, first_value(ft IGNORE NULLS) OVER (PARTITION BY set_id ORDER BY t, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x
+  FROM u WINDOW b AS (PARTITION BY set_id ORDER BY t, k ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT set_id, seg_no, error, e, CASE WHEN x IS NULL THEN -1 ELSE coalesce(l, 0) END AS fr, CASE WHEN x IS NULL THEN t ELSE coalesce(lt, 0) END AS tm, x - t AS gap FROM w WHERE k = 1)
+SELECT set_id, seg_no, max(fr) FILTER (e = 0) AS startframe, max(fr) FILTER (e = 1) AS endframe, max(tm) FILTER (e = 0) AS starttime, max(tm) FILTER (e = 1) AS endtime,
+  round(max(error) + coalesce(max(gap) FILTER (e = 0), max(gap) FILTER (e = 1), 0), 4) AS error FROM m GROUP BY set_id, seg_no""",
     "exif_turns": """SELECT p_partkey, CASE p_size % 10 WHEN 2 THEN 'horizontal' WHEN 7 THEN 'horizontal' WHEN 4 THEN 'vertical' ELSE '-' END AS flip,
   CAST(CASE p_size % 10 WHEN 3 THEN 180 WHEN 6 THEN 90 WHEN 7 THEN 90 WHEN 8 THEN 270 ELSE 0 END AS DOUBLE) AS rotation FROM part""",
     "jpeg_quality": f"""WITH v AS (SELECT vec_id, vec_id % 4 AS k, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 100)::BIGINT + 1) AS t FROM embeddings),

@@ -162,7 +162,7 @@ SELECT group_id, frame_no, plane, string_agg(printf('%02X', v), '' ORDER BY i) A
     "color_composite": f"""{_X}, l AS (SELECT media_id AS project_id, frame_no % 3 AS final, i, max(frame_no) FILTER (m = 0) AS n FROM px GROUP BY 1, 2, 3), c AS (SELECT project_id, final, count(n) AS changed, string_agg(CASE WHEN n IS NULL THEN 'FFFFFF' ELSE printf('%02X%02X05', n % 200, n % 77) END, '' ORDER BY i) AS pixels FROM l GROUP BY 1, 2)
 SELECT *, round(changed / 64.0::DOUBLE, 6) AS ratio, 'small' AS category, changed / 64.0 > 0.75 AS is_global FROM c""",
     "mean_images": f"""{_X}, n AS (SELECT *, dense_rank() OVER (PARTITION BY media_id ORDER BY frame_no) - 1 AS k FROM px), c AS (SELECT media_id, count(DISTINCT frame_no) AS n FROM px GROUP BY 1),
-a AS (SELECT n.media_id, i, avg(v) AS v FROM n JOIN c ON c.media_id = n.media_id WHERE k % greatest(c.n // 10, 1) = 0 GROUP BY 1, 2) SELECT media_id, string_agg(round(round(v, 6) * 100)::BIGINT::VARCHAR, ',' ORDER BY i) AS pixels FROM a GROUP BY 1""",
+a AS (SELECT n.media_id, i, avg(v) AS v FROM n JOIN c ON c.media_id = n.media_id WHERE k % greatest((c.n + 9) // 10, 1) = 0 GROUP BY 1, 2) SELECT media_id, string_agg(round(round(v, 6) * 100)::BIGINT::VARCHAR, ',' ORDER BY i) AS pixels FROM a GROUP BY 1""",
     "median_images": f"""{_X}, n AS (SELECT *, dense_rank() OVER (PARTITION BY media_id ORDER BY frame_no) - 1 AS k FROM px), c AS (SELECT media_id, count(DISTINCT frame_no) AS n FROM px GROUP BY 1),
 a AS (SELECT n.media_id, i, median(v) AS v FROM n JOIN c ON c.media_id = n.media_id WHERE k % greatest(ceil(c.n / 7)::BIGINT, 1) = 0 GROUP BY 1, 2) SELECT media_id, string_agg((v * 2)::BIGINT::VARCHAR, ',' ORDER BY i) AS pixels FROM a GROUP BY 1""",
     "frame_hashes": f"{with_views('frames')} SELECT media_id, frame_no, sha256(concat(event_type, '-', frame_no % 40)) AS hash FROM frames",

@@ -5,12 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from provlake.functions import blocks
 from provlake.operators import catalog, frames, lineage, metadata, segments
 
 
 @pytest.fixture
 def samples(spark, monkeypatch):
-    monkeypatch.setattr(frames, "BLOCK", 8)
+    monkeypatch.setattr(blocks, "BLOCK", 8)
     rng = random.Random(3)
     rows = [(m, i, rng.choice([0, 0, 1, 9])) for m in (1, 2) for i in range(1, 61)]
     return rows, spark.createDataFrame(rows, "media_id long, sample_no long, value int")
@@ -45,6 +46,41 @@ def test_windows_over_blocks(samples):
     assert {(r.startframe, r.endframe) for r in frames.time_bounds(f, 55, 7, 300, 12).collect()} == {(12, 42)}
 
 
+def test_windows_longer_than_blocks(spark, monkeypatch):
+    """Windows of three blocks and more: two seconds of silence at 44.1 kHz, and means over gaps in the numbers, as without blocks."""
+    rows = [(1, i, 9 if i in (5, 70_010) or i > 160_000 else 0) for i in range(1, 160_100)]
+    df = spark.createDataFrame(rows, "media_id long, sample_no long, value int").repartition(4)
+    got = [tuple(r) for r in frames.silences(df, 70_000, 1).collect()]
+    assert sorted(got) == [(1, 6, 70_009, 5), (1, 70_011, 160_000, 19_991)]
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    rng = random.Random(5)
+    rows = [(m, i, rng.randint(-9, 9)) for m in (1, 2, None) for i in range(1, 90) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "media_id long, sample_no long, value int")
+    for n in (1, 25, 300):
+        got = {(r.media_id, r.sample_no): r["mean"] for r in frames.moving_average(df, n).collect()}
+        held = {(m, i): [v for k, j, v in rows if k == m and i - n < j <= i] for m, i, _ in rows}
+        assert got == {k: pytest.approx(sum(w) / len(w), abs=1e-6) for k, w in held.items()}
+
+
+def test_one_long_medium_spreads_over_tasks(spark, monkeypatch):
+    """Ranks, the row before and the last known value over blocks of one medium, null keys included, against plain Python."""
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    rng = random.Random(6)
+    rows = [(m, i, rng.choice([None, i * 2])) for m in (1, None) for i in rng.sample(range(200), 120)]
+    df = spark.createDataFrame(rows, "media_id long, frame_no long, v long").repartition(3)
+    by = {m: sorted((i, v) for k, i, v in rows if k == m) for m in (1, None)}
+    got = {(r.media_id, r.frame_no): (r["_i"], r["_n"]) for r in blocks.ranked(df, ["media_id"], "frame_no").collect()}
+    assert got == {(m, i): (k, 120) for m, held in by.items() for k, (i, _) in enumerate(held, 1)}
+    got = {(r.media_id, r.frame_no): r.p for r in blocks.previous(df, ["media_id"], "frame_no", "v", "p").collect()}
+    assert got == {(m, i): held[k - 1][1] if k else None for m, held in by.items() for k, (i, _) in enumerate(held)}
+    for back in (False, True):
+        got = {(r.media_id, r.frame_no): r.x for r in blocks.last_known(blocks.in_blocks(df, "frame_no"), ["media_id"], ["frame_no"], {"x": "v"}, back).collect()}
+        known = lambda held, i: [v for j, v in held if v is not None and (j >= i if back else j <= i)]
+        assert got == {(m, i): (known(held, i) or [None])[0 if back else -1] for m, held in by.items() for i, _ in held}
+    plan = blocks.ranked(df, ["media_id"], "frame_no")._jdf.queryExecution().executedPlan().toString()
+    assert "_block" in plan
+
+
 def test_overlaps_of_long_segments(spark):
     rng = random.Random(4)
     rows = [(1, "video", 30.0, i, (a := rng.randint(1, 2000)), a + rng.choice([0, 5, 700])) for i in range(80)]
