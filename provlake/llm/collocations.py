@@ -5,8 +5,8 @@ edges are counted over the corpus, and the last three, two and one words of ever
 as often as the phrases that it begins, and once more for each piece that ends with it. Chains of edges whose nodes have no other
 flow are compacted to paths, which hold the counts of their inner nodes.
 
-A first pass counts words: a word under the least count is part of no candidate, nor is it a part of a cut, so pieces break at it.
-The others are marked in a bit table of fixed size; what it marks by mistake costs rows, not results.
+A first pass counts hashes of word pairs: a pair under the least count is part of no candidate, so pieces break between its words.
+The others are marked in a bit table of fixed size; what it marks by mistake, or counts with another pair, costs rows, not results.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import discard, materialize
 
 #: Least count of a phrase, percentage of a phrase's count at which a longer one replaces it, phrases kept for each language.
 LEAST, REPLACED, TOP = 30, 80, 2000
-#: Bytes of texts that are counted at once, and the binary logarithm of the bits of the word table.
+#: Bytes of texts that are counted at once, and the binary logarithm of the bits of the pair table.
 SLICE_BYTES, TABLE_BITS = 1 << 23, 26
 NONE = "und"
 #: The contract's delimiters, all but the first mapped to it; no word holds one.
@@ -53,29 +53,36 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Dictiona
     yield from ((k, tokens(v)) for k, v in held.items())
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, found in slices(batches):
-        counts = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
-        kept = pc.not_equal(found.dictionary, _MARK)
-        words = found.dictionary.filter(kept).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array(counts[kept.to_numpy(zero_copy_only=False)])], names=["lang", "word", "c"])
-
+def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], "u8")
 
-def _place(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang)) >> (64 - TABLE_BITS)
 
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashed words."""
+    h = first * np.uint64(0x9E3779B97F4A7C15) + second
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word) to (byte, bit) of the table."""
-    for b in batches:
-        at = np.array([_place(g, w.encode()) for g, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], "i8")
-        yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], names=["at", "bit"])
 
-
-def word_table(frequent: DataFrame) -> np.ndarray:
-    """A bit for each place of a word of (lang, word); 2 ** TABLE_BITS bits, whatever the vocabulary."""
-    rows = frequent.select("lang", "word").mapInArrow(_places, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    found = rows.toArrow()
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted pair hashes (null, key, c), and each language's words (lang, null, c)."""
+    for lang, found in slices(batches):
+        words, ids = found.dictionary.to_pylist(), found.indices.to_numpy()
+        good = np.array([w != _MARK for w in words], bool)[ids]
+        at = np.flatnonzero(good[1:] & good[:-1])
+        h = _hashes(lang, words)
+        keys, counts = np.unique(_mixed(h[ids[at]], h[ids[at + 1]]), return_counts=True)
+        langs = pa.concat_arrays([pa.array([lang], pa.string()), pa.nulls(len(keys), pa.string())])
+        keys = pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(keys.view("i8"))])
+        yield pa.RecordBatch.from_arrays([langs, keys, pa.array(np.append(good.sum(), counts).astype("i8"))], names=["lang", "key", "c"])
+
+
+def pair_table(keys: DataFrame) -> np.ndarray:
+    """A bit for each place of a (key); 2 ** TABLE_BITS bits, whatever the corpus."""
+    place = F.shiftrightunsigned("key", 64 - TABLE_BITS)
+    bit = F.expr("shiftleft(1L, cast(place % 32 as int))")
+    found = keys.select(place.alias("place")).groupBy(F.shiftright("place", 5).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
     table = np.zeros(1 << (TABLE_BITS - 5), "u4")
     table[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype("u4")
     return table
@@ -113,17 +120,19 @@ def _grams(ids: np.ndarray, run: np.ndarray, size: int, most: int) -> tuple[np.n
 
 
 def edges_of(lang: str, found: pa.DictionaryArray, table: np.ndarray | None = None) -> pa.RecordBatch:
-    """Counted edges (pair, third, next) and piece ends, whose missing words are null; a run breaks at marks and unmarked words."""
-    words = found.dictionary.to_pylist()
+    """Counted edges (pair, third, next) and ends of runs, whose missing words are null; a run breaks at marks and between the words of
+    an unmarked pair."""
+    words, ids = found.dictionary.to_pylist(), found.indices.to_numpy()
     good = np.array([w != _MARK for w in words], bool)
-    if table is not None:
-        at = np.array([_place(lang, w) for w in words], "i8")
-        good &= (table[at >> 5] >> (at & 31).astype("u4")) & 1 == 1
-    ids = found.indices.to_numpy()
-    stop = np.append(~good[ids], True)
-    # The next place at or after each where a run stops.
-    ends = np.flatnonzero(stop)
-    run = ends[np.searchsorted(ends, np.arange(len(ids)))] - np.arange(len(ids))
+    there = good[ids]
+    goes_on = there[:-1] & there[1:]
+    if table is not None and len(ids):
+        h = _hashes(lang, words)
+        place = (_mixed(h[ids[:-1]], h[ids[1:]]) >> np.uint64(64 - TABLE_BITS)).astype("i8")
+        goes_on &= (table[place >> 5] >> (place & 31).astype("u4")) & 1 == 1
+    # The last place of each place's run.
+    ends = np.flatnonzero(~np.append(goes_on, False))
+    run = np.where(there, ends[np.searchsorted(ends, np.arange(len(ids)))] - np.arange(len(ids)) + 1, 0)
     # Numbers of the good words alone, so that four of them fit one number more often.
     number = np.cumsum(good) - 1
     firsts, lengths, counts = _grams(number[ids], run, 4, max(1, int(good.sum())))
@@ -194,16 +203,17 @@ def _phrase(*columns: str) -> Column:
 
 
 class Graph:
-    """The frequent part of the graph as written tables: words(lang, word, c), all of them; edges(lang, pair, third, next, c),
+    """The frequent part of the graph as written tables: sizes(lang, n), the words of each language; edges(lang, pair, third, next, c),
     nodes(lang, pair, third, c), and pairs and singles (lang, phrase, c), all of the least count or more."""
 
     def __init__(self, docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST) -> None:
         spark = docs.sparkSession
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-        counted = rows.mapInArrow(_words, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
-        self.words = materialize(counted, "words")
-        table = spark.sparkContext.broadcast(word_table(self.words.where(F.col("c") >= least)))
+        counted = rows.mapInArrow(_pairs, "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
+        counted = materialize(counted.where((F.col("c") >= least) | F.col("key").isNull()), "pair-counts")
+        self.sizes = counted.where("key is null").select("lang", F.col("c").alias("n"))
+        table = spark.sparkContext.broadcast(pair_table(counted.where("key is not null")))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, found in slices(batches):
@@ -292,5 +302,4 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     best = looked.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", F.col("fl").alias("l"), F.col("fr").alias("r"))).alias("b"))
     order = Window.partitionBy("lang").orderBy(F.col("b.score").desc(), F.col("a").desc(), "phrase")
     ranked = best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    sizes = graph.words.groupBy("lang").agg(F.sum("c").alias("n"))
-    return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "b.l", "b.r", "n", "b.score")
+    return ranked.join(graph.sizes, "lang").select("lang", "rank", "phrase", "a", "b.l", "b.r", "n", "b.score")

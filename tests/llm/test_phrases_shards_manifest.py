@@ -59,7 +59,7 @@ def test_phrases(spark, corpus, least, top):
 
 
 def test_phrases_in_small_slices(spark, corpus, monkeypatch):
-    """Counts of an edge meet from many slices; the bit table is so small that it marks nearly every word."""
+    """Counts of an edge meet from many slices."""
     want = phrases(corpus, 3, 2000)
     graph = lambda: collocations.Graph(docs(spark, corpus), least=3)
     held = graph()
@@ -83,8 +83,15 @@ def test_phrases_in_small_slices(spark, corpus, monkeypatch):
 
 def test_counts_of_words_follow_from_the_flow(spark, corpus):
     graph = collocations.Graph(docs(spark, corpus), least=2)
-    words = {(r.lang, r.word): r.c for r in graph.words.collect()}
+    words = Counter()
+    for _, t, g in corpus:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        words.update(("und" if g is None else g, w) for w in re.findall(r"[^\x20\x09]+", re.sub(r"[.,;:!?\x0A-\x0D]", " ", low)))
     assert {(r.lang, r.phrase): r.c for r in graph.singles.collect()} == {k: c for k, c in words.items() if c >= 2}
+    sizes = Counter()
+    for (lang, _), c in words.items():
+        sizes[lang] += c
+    assert {r.lang: r.n for r in graph.sizes.collect() if r.n} == sizes
 
 
 def test_many_words_in_a_slice():
