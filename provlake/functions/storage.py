@@ -41,3 +41,24 @@ def written(df: DataFrame) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
+
+
+class Rounds:
+    """The rounds of a loop as partitions of one table, so that what all rounds have found is one scan, whatever the depth."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.spark, self.schema, self.count = first.sparkSession, first.schema, 0
+        self.path = f"{shared_dir(self.spark)}/steps/{uuid.uuid4().hex}"
+        _PATHS.append(self.path)
+        self.last = self.add(first)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write one more round, and read it again."""
+        path = f"{self.path}/round={self.count}"
+        df.write.parquet(path)
+        self.count += 1
+        self.last = self.spark.read.schema(self.schema).parquet(path)
+        return self.last
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).select(self.schema.names)

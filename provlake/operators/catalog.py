@@ -173,7 +173,7 @@ def empty_mask_edges(edges: DataFrame, operations: DataFrame) -> DataFrame:
 
     asked = operations.where("rule = 'checkEmpty'").select("op").distinct()
     heads = edges.where("empty_mask = 'yes'").join(asked, "op", "left_semi").select(P, F.col("dst").alias("node_id")).distinct()
-    return lineage.reach(edges, heads).select(P, "node_id").distinct()
+    return lineage.reached(edges, heads)
 
 
 def remove_duplicates(finals: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.functions.storage import written
+from provlake.functions.storage import Rounds, written
 
 P = "project_id"
 
@@ -23,14 +23,25 @@ def reach(edges: DataFrame, seeds: DataFrame, upward: bool = False) -> DataFrame
 
     seeds has project_id and node_id. Cycles end by themselves, as no node is visited twice from one seed.
     """
+    return _spread(edges, seeds.select(P, F.col("node_id").alias("seed"), "node_id"), upward)
+
+
+def reached(edges: DataFrame, seeds: DataFrame, upward: bool = False) -> DataFrame:
+    """(project_id, node_id) of all nodes that any of the seeds reaches, the seeds included: one frontier for all of them, so each node and
+    edge is looked at once, however many seeds there are."""
+    return _spread(edges, seeds.select(P, F.lit(None).cast("long").alias("seed"), "node_id"), upward).select(P, "node_id")
+
+
+def _spread(edges: DataFrame, seeds: DataFrame, upward: bool) -> DataFrame:
     here, there = ("dst", "src") if upward else ("src", "dst")
     steps = written(edges.select(P, F.col(here).alias("node_id"), F.col(there).alias("_next")).distinct())
-    seen = frontier = written(seeds.select(P, F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("depth")).distinct())
-    while not frontier.isEmpty():
-        found = frontier.join(steps, [P, "node_id"]).select(P, "seed", F.col("_next").alias("node_id"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = written(found.join(seen.select(P, "seed", "node_id"), [P, "seed", "node_id"], "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
+    rounds = Rounds(seeds.distinct().withColumn("depth", F.lit(0)))
+    while not rounds.last.isEmpty():
+        found = rounds.last.join(steps, [P, "node_id"]).select(P, "seed", F.col("_next").alias("node_id"), (F.col("depth") + 1).alias("depth")).distinct()
+        seen = rounds.all().select(P, F.col("seed").alias("_s"), F.col("node_id").alias("_n"), F.lit(True).alias("_seen")).withColumnRenamed(P, "_p")
+        same = (F.col(P) == F.col("_p")) & F.col("seed").eqNullSafe(F.col("_s")) & (F.col("node_id") == F.col("_n"))
+        rounds.add(found.join(seen, same, "left_anti"))
+    return rounds.all()
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -48,13 +59,11 @@ def base_paths(nodes: DataFrame, edges: DataFrame, exclude_donor: bool = True) -
     A node whose only predecessors are donors yields no base if donors are left out. Cycles end a path.
     """
     steps = written(_plain(edges, exclude_donor).select(P, F.col("dst").alias("at"), F.col("src").alias("_up")))
-    frontier = written(nodes.select(P, "node_id", F.col("node_id").alias("at"), F.array("node_id").alias("path")))
-    found = frontier
-    while not frontier.isEmpty():
-        up = frontier.join(steps, [P, "at"]).where(~F.expr("array_contains(path, _up)"))
-        frontier = written(up.select(P, "node_id", F.col("_up").alias("at"), F.array_append("path", F.col("_up")).alias("path")))
-        found = found.unionByName(frontier)
-    ended = found.join(tops(nodes, edges).withColumnRenamed("node_id", "at"), [P, "at"], "left_semi")
+    rounds = Rounds(nodes.select(P, "node_id", F.col("node_id").alias("at"), F.array("node_id").alias("path")))
+    while not rounds.last.isEmpty():
+        up = rounds.last.join(steps, [P, "at"]).where(~F.expr("array_contains(path, _up)"))
+        rounds.add(up.select(P, "node_id", F.col("_up").alias("at"), F.array_append("path", F.col("_up")).alias("path")))
+    ended = rounds.all().join(tops(nodes, edges).withColumnRenamed("node_id", "at"), [P, "at"], "left_semi")
     return ended.select(P, "node_id", F.col("at").alias("base"), (F.size("path") - 1).cast("long").alias("level"), "path")
 
 
@@ -75,13 +84,11 @@ def nearest_bases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     the parents that were reached in the round before. No path is listed.
     """
     steps = written(_plain(edges, True).select(P, F.col("src").alias("node_id"), F.col("dst").alias("_to")))
-    frontier = written(tops(nodes, edges).distinct().select(P, "node_id", F.col("node_id").alias("base"), F.lit(0).cast("long").alias("level")))
-    seen = frontier
-    while not frontier.isEmpty():
-        found = frontier.join(steps, [P, "node_id"]).groupBy(P, F.col("_to").alias("node_id")).agg(F.min("base").alias("base"), (F.min("level") + 1).alias("level"))
-        frontier = written(found.join(seen.select(P, "node_id"), [P, "node_id"], "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
+    rounds = Rounds(tops(nodes, edges).distinct().select(P, "node_id", F.col("node_id").alias("base"), F.lit(0).cast("long").alias("level")))
+    while not rounds.last.isEmpty():
+        found = rounds.last.join(steps, [P, "node_id"]).groupBy(P, F.col("_to").alias("node_id")).agg(F.min("base").alias("base"), (F.min("level") + 1).alias("level"))
+        rounds.add(found.join(rounds.all().select(P, "node_id"), [P, "node_id"], "left_anti"))
+    return rounds.all()
 
 
 def bases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -139,7 +146,7 @@ def terminal_base_tuples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def has_ancestor_op(nodes: DataFrame, edges: DataFrame, op: str) -> DataFrame:
     """Nodes with an edge of this operation among their ancestors' edges: everything downstream of such an edge."""
     heads = edges.where(F.col("op") == op).select(P, F.col("dst").alias("node_id")).distinct()
-    return reach(edges, heads).select(P, "node_id").distinct()
+    return reached(edges, heads)
 
 
 def common_parent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -169,15 +176,48 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project_id, node_id) of the nodes between which a cycle runs: both ends are trimmed until nothing more falls off."""
-    left = written(edges.select(P, "src", "dst").distinct())
+    """(project_id, node_id) of the nodes that lie on a cycle, not of those between two cycles.
+
+    Strong components by colour: after a trim of both ends each node takes the smallest node that reaches it; what reaches that node
+    back within its colour is its component, and leaves. Every round settles at least one component of each journal.
+    """
+    left = _trimmed(written(edges.select(P, "src", "dst").distinct()))
+    loops = left.where("src = dst").select(P, F.col("src").alias("node_id"))
+    found = [loops]
+    while not left.isEmpty():
+        color = _least_above(left)
+        of = lambda end: color.select(P, F.col("node_id").alias(end), F.col("color").alias(f"_{end}"))
+        alike = written(left.join(of("src"), [P, "src"]).join(of("dst"), [P, "dst"]).where("_src = _dst").select(P, "src", "dst"))
+        back = written(reached(alike, color.where("node_id = color"), upward=True))
+        # A component of one node is on no cycle but its own.
+        inner = alike.join(back.withColumnRenamed("node_id", "src"), [P, "src"], "left_semi").join(back.withColumnRenamed("node_id", "dst"), [P, "dst"], "left_semi")
+        found.append(written(inner.where("src <> dst").select(P, F.col("src").alias("node_id")).distinct()))
+        rest = left.join(back.withColumnRenamed("node_id", "src"), [P, "src"], "left_anti").join(back.withColumnRenamed("node_id", "dst"), [P, "dst"], "left_anti")
+        left = _trimmed(written(rest))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def _trimmed(left: DataFrame) -> DataFrame:
+    """The edges without those that a node without predecessors or successors ends, one layer only."""
+    ins, outs = left.select(P, F.col("dst").alias("src")), left.select(P, F.col("src").alias("dst"))
+    return written(left.join(ins, [P, "src"], "left_semi").join(outs, [P, "dst"], "left_semi"))
+
+
+def _least_above(edges: DataFrame) -> DataFrame:
+    """(project_id, node_id, color): the smallest node from which each node is reached, itself included. Colours jump to their colour's
+    colour, so rounds grow with the logarithm of a path's length."""
+    color = written(edges.select(P, F.col("src").alias("node_id")).unionByName(edges.select(P, F.col("dst").alias("node_id"))).distinct().withColumn("color", F.col("node_id")))
     while True:
-        ins = left.select(P, F.col("dst").alias("src")).distinct()
-        outs = left.select(P, F.col("src").alias("dst")).distinct()
-        after = written(left.join(ins, [P, "src"], "left_semi").join(outs, [P, "dst"], "left_semi").select(P, "src", "dst"))
-        if after.count() == left.count():
-            return after.select(P, F.col("src").alias("node_id")).unionByName(after.select(P, F.col("dst").alias("node_id"))).distinct()
-        left = after
+        sent = color.withColumnRenamed("node_id", "src").join(edges, [P, "src"]).select(P, F.col("dst").alias("node_id"), "color")
+        far = color.select(P, F.col("node_id").alias("color"), F.col("color").alias("_far"))
+        jumped = color.join(far, [P, "color"]).select(P, "node_id", F.col("_far").alias("color"))
+        after = written(jumped.unionByName(sent).groupBy(P, "node_id").agg(F.min("color").alias("color")))
+        if after.join(color, [P, "node_id", "color"], "left_anti").isEmpty():
+            return after
+        color = after
 
 
 def label_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -197,8 +237,8 @@ def subgraph(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataF
 def qa_invalidate(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(project_id, src, dst): links up- and downstream of changed links (project_id, src, dst), whose QA mark must be reset."""
     edges = written(edges.select(P, "src", "dst"))
-    up = reach(edges, changed.select(P, F.col("src").alias("node_id")), upward=True).select(P, F.col("node_id").alias("dst")).distinct()
-    down = reach(edges, changed.select(P, F.col("dst").alias("node_id"))).select(P, F.col("node_id").alias("src")).distinct()
+    up = reached(edges, changed.select(P, F.col("src").alias("node_id")), upward=True).withColumnRenamed("node_id", "dst")
+    down = reached(edges, changed.select(P, F.col("dst").alias("node_id"))).withColumnRenamed("node_id", "src")
     hit = edges.join(up, [P, "dst"], "left_semi").select(P, "src", "dst").unionByName(edges.join(down, [P, "src"], "left_semi").select(P, "src", "dst"))
     return hit.unionByName(changed.select(P, "src", "dst")).distinct()
 
@@ -206,11 +246,9 @@ def qa_invalidate(edges: DataFrame, changed: DataFrame) -> DataFrame:
 def paths_to_finals(nodes: DataFrame, edges: DataFrame, cond: str = "false") -> DataFrame:
     """(project_id, node_id, final, path, hit): all paths to nodes without successors; hit: an edge on it meets `cond`."""
     steps = written(edges.select(P, F.col("src").alias("at"), F.col("dst").alias("_to"), F.coalesce(F.expr(cond), F.lit(False)).alias("_c")))
-    frontier = written(nodes.select(P, "node_id", F.col("node_id").alias("at"), F.array("node_id").alias("path"), F.lit(False).alias("hit")))
-    found = frontier
-    while not frontier.isEmpty():
-        down = frontier.join(steps, [P, "at"]).where(~F.expr("array_contains(path, _to)"))
-        frontier = written(down.select(P, "node_id", F.col("_to").alias("at"), F.array_append("path", F.col("_to")).alias("path"), (F.col("hit") | F.col("_c")).alias("hit")))
-        found = found.unionByName(frontier)
-    last = found.join(steps.select(P, "at"), [P, "at"], "left_anti")
+    rounds = Rounds(nodes.select(P, "node_id", F.col("node_id").alias("at"), F.array("node_id").alias("path"), F.lit(False).alias("hit")))
+    while not rounds.last.isEmpty():
+        down = rounds.last.join(steps, [P, "at"]).where(~F.expr("array_contains(path, _to)"))
+        rounds.add(down.select(P, "node_id", F.col("_to").alias("at"), F.array_append("path", F.col("_to")).alias("path"), (F.col("hit") | F.col("_c")).alias("hit")))
+    last = rounds.all().join(steps.select(P, "at"), [P, "at"], "left_anti")
     return last.select(P, "node_id", F.col("at").alias("final"), "path", "hit")

@@ -8,27 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.functions.storage import written
+from provlake.functions.storage import Rounds, written
 
-from . import lineage
+from . import lineage, transforms
+from .transforms import register_transform  # noqa: F401
 
 P = "project_id"
 SEG = ["type", "startframe", "endframe"]
 
-#: What an operation does to frames that lie downstream: cut and slide back, or insert and make room; others leave them alone.
-#: Against an edge's direction, as donors are carried, the two change places.
-TRANSFORMS = {"DeleteFrames": "cut", "InsertFrames": "insert", "PasteFrames": "insert"}
-
-
-def register_transform(op: str, kind: str | None) -> None:
-    """Let an operation cut or insert frames, or (None) leave them alone."""
-    if kind not in ("cut", "insert", None):
-        raise ValueError(f"no such transform: {kind}")
-    TRANSFORMS.pop(op, None)
-    if kind:
-        TRANSFORMS[op] = kind
-
-
 def is_localized(operations: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """The edges of localized operations."""
     ops = operations.where("scope = 'localized'").select("op")
@@ -48,39 +35,44 @@ def _completed(some: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
     return some.select(P, "src", "dst", "op").join(finals, [P, "dst"]).join(bases, [P, "src"], "left").select(P, "src", "dst", "op", "final", "base", "level")
 
 
-def _carry(segs: DataFrame, inverse: bool = False) -> DataFrame:
-    """One step over an edge (op, b_start, b_end): frames shift, split or vanish. Against an edge's direction cuts and inserts change places."""
-    kinds = ("insert", "cut") if inverse else ("cut", "insert")
-    cuts, inserts = ([op for op, k in TRANSFORMS.items() if k == kind] for kind in kinds)
-    b, e = F.col("b_start"), F.col("b_end")
-    n = e - b + 1
-    part = lambda s, t: F.struct(s.alias("s"), t.alias("e"))
-    s, t = F.col("startframe"), F.col("endframe")
-    cut = F.array(part(s, F.least(t, b - 1)), part(F.greatest(s, e + 1) - n, t - n))
-    room = F.array(part(s, F.least(t, b - 1)), part(F.greatest(s, b) + n, t + n))
-    parts = F.when(F.col("op").isin(*cuts) & b.isNotNull(), cut).when(F.col("op").isin(*inserts) & b.isNotNull(), room).otherwise(F.array(part(s, t)))
-    return segs.withColumn("_p", F.explode(F.filter(parts, lambda p: p.s <= p.e)))
-
-
-def generate_probes(edges: DataFrame, segments: DataFrame, bounds: DataFrame, include: Callable[[DataFrame], DataFrame], processors: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+def _programs(edges: DataFrame, bounds: DataFrame, media: DataFrame | None) -> DataFrame:
+    """The edges that are not donors with their programs."""
+    plain = edges.where("op <> 'Donor'")
+    bounds = bounds.withColumnsRenamed({"set_id": "dst", "startframe": "b_start", "endframe": "b_end"})
+    out = plain.join(bounds.select("dst", *(c for c in ("b_start", "b_end", "to_start", "to_end") if c in bounds.columns)), "dst", "left")
+    if media is not None:
+        for end, name in (("src", "from_frames"), ("dst", "to_frames")):
+            out = out.join(media.select(P, F.col("node_id").alias(end), F.col("frames").alias(name)), [P, end], "left")
+    return transforms.compiled(out).select(P, "src", "dst", "program")
+
+
+def _walked(seeds: DataFrame, steps: DataFrame) -> DataFrame:
+    """All that seeds (project_id, src, dst, at, seg_no, type, startframe, endframe) become on their way over steps (project_id, at, _to, program)."""
+    keys, kinds = [P, "src", "dst", "at", "seg_no", *SEG], ["seg_no", "startframe", "endframe"]
+    rounds = Rounds(seeds.select(*(F.col(c).cast("long") if c in kinds else c for c in keys)).distinct())
+    while not rounds.last.isEmpty():
+        parts = transforms.run(F.col("program"), F.col("type"), F.col("seg_no"), F.col("startframe"), F.col("endframe"))
+        moved = rounds.last.join(steps, [P, "at"]).withColumn("_p", F.explode(parts))
+        rounds.add(moved.select(P, "src", "dst", F.col("_to").alias("at"), F.col("_p.n").alias("seg_no"), "type", F.col("_p.s").alias("startframe"), F.col("_p.e").alias("endframe")).distinct())
+    return rounds.all()
+
+
+def generate_probes(
+    edges: DataFrame, segments: DataFrame, bounds: DataFrame, include: Callable[[DataFrame], DataFrame],
+    processors: Sequence[Callable[[DataFrame], DataFrame]] = (), media: DataFrame | None = None,
+) -> DataFrame:
     """B1: (project_id, src, dst, final, seg_no, type, startframe, endframe): segments of each included edge at every final.
 
-    segments: set_id is the edge's dst; bounds (set_id, startframe, endframe) are the frames that an edge cuts or adds.
-    E3: `include` picks the edges, `processors` are applied to the probes in order. Edges other than donors are followed; a probe whose segments are all cut away ends. Equal parts of several paths count once.
+    edges: op, and media_type (of the source) and add_type where there are such columns. segments: set_id is the edge's dst; bounds (set_id, startframe,
+    endframe) are the frames that an edge cuts, adds or lays over, to_start and to_end those that a copy was taken from; media
+    (project_id, node_id, frames) gives the lengths for changes of rate. E3: `include` picks the edges, `processors` are applied to the
+    probes in order. Edges other than donors are followed, each by its program (E4); a probe whose segments are all cut away
+    ends. Equal parts of several paths count once.
     """
-    steps = edges.where("op <> 'Donor'").select(P, F.col("src").alias("at"), F.col("dst").alias("_to"), "op")
-    steps = written(steps.join(bounds.select(F.col("set_id").alias("_to"), F.col("startframe").alias("b_start"), F.col("endframe").alias("b_end")), "_to", "left"))
-    seeds = include(edges).select(P, "src", "dst").distinct()
-    keys = [P, "src", "dst", "at", "seg_no", *SEG]
-    frontier = written(seeds.join(segments.withColumnRenamed("set_id", "dst"), "dst").withColumn("at", F.col("dst")).select(*keys))
-    found = frontier
-    while not frontier.isEmpty():
-        moved = _carry(frontier.join(steps, [P, "at"]))
-        moved = moved.select(P, "src", "dst", F.col("_to").alias("at"), "seg_no", "type", F.col("_p.s").alias("startframe"), F.col("_p.e").alias("endframe"))
-        frontier = written(moved.distinct())
-        found = found.unionByName(frontier)
-    out = found.join(steps.select(P, "at"), [P, "at"], "left_anti").withColumnRenamed("at", "final").select(P, "src", "dst", "final", "seg_no", *SEG)
-    return reduce(lambda df, f: f(df), processors, out)
+    steps = written(_programs(edges, bounds, media).select(P, F.col("src").alias("at"), F.col("dst").alias("_to"), "program"))
+    seeds = include(edges).select(P, "src", "dst").distinct().join(segments.withColumnRenamed("set_id", "dst"), "dst").withColumn("at", F.col("dst"))
+    out = _walked(seeds, steps).join(steps.select(P, "at"), [P, "at"], "left_anti").withColumnRenamed("at", "final").select(P, "src", "dst", "final", "seg_no", *SEG)
+    return reduce(lambda df, f: f(df), processors, out.distinct())
 
 
 def construct_donors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,22 +80,15 @@ def construct_donors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lineage.donor_base_tuples(nodes, edges).select(P, F.col("donor_dst").alias("dst"), F.col("base").alias("donor_base")).distinct()
 
 
-def donor_segments(nodes: DataFrame, edges: DataFrame, segments: DataFrame, bounds: DataFrame) -> DataFrame:
-    """B2: (project_id, src, dst, base, seg_no, type, startframe, endframe): the segments of each donor edge (set_id: its dst), carried
-    back over the edges above its source to every base. A branch ends where all is cut away; equal parts of several paths count once."""
-    edges = written(edges.select(P, "src", "dst", "op"))
-    steps = edges.where("op <> 'Donor'").select(P, F.col("dst").alias("at"), F.col("src").alias("_to"), "op")
-    steps = written(steps.join(bounds.select(F.col("set_id").alias("at"), F.col("startframe").alias("b_start"), F.col("endframe").alias("b_end")), "at", "left"))
-    keys = [P, "src", "dst", "at", "seg_no", *SEG]
-    frontier = written(edges.where("op = 'Donor'").join(segments.withColumnRenamed("set_id", "dst"), "dst").withColumn("at", F.col("src")).select(*keys))
-    found = frontier
-    while not frontier.isEmpty():
-        moved = _carry(frontier.join(steps, [P, "at"]), inverse=True)
-        moved = moved.select(P, "src", "dst", F.col("_to").alias("at"), "seg_no", "type", F.col("_p.s").alias("startframe"), F.col("_p.e").alias("endframe"))
-        frontier = written(moved.distinct())
-        found = found.unionByName(frontier)
+def donor_segments(nodes: DataFrame, edges: DataFrame, segments: DataFrame, bounds: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """B2: (project_id, src, dst, base, seg_no, type, startframe, endframe): the segments of each donor edge (set_id: its dst), carried back over the
+    edges above its source to every base by the inverse of their programs; tables as for generate_probes(). Frames that an edge laid over are
+    taken out, and those that it took them from belong to the donor, as segment 0. A branch ends where all is cut away; equal parts
+    of several paths count once."""
+    steps = written(_programs(edges, bounds, media).select(P, F.col("dst").alias("at"), F.col("src").alias("_to"), transforms.inverse(F.col("program")).alias("program")))
+    seeds = edges.where("op = 'Donor'").select(P, "src", "dst").join(segments.withColumnRenamed("set_id", "dst"), "dst").withColumn("at", F.col("src"))
     tops = lineage.tops(nodes, edges).withColumnRenamed("node_id", "at")
-    return found.join(tops, [P, "at"], "left_semi").withColumnRenamed("at", "base").select(P, "src", "dst", "base", "seg_no", *SEG).distinct()
+    return _walked(seeds, steps).join(tops, [P, "at"], "left_semi").withColumnRenamed("at", "base").select(P, "src", "dst", "base", "seg_no", *SEG).distinct()
 
 
 def attach_donors(probes: DataFrame, donors: DataFrame) -> DataFrame:

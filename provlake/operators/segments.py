@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from provlake.functions.blocks import in_blocks, last_known, ranked
 
+from . import transforms
+
 KEYS = ["set_id", "type"]
 
 
@@ -238,11 +240,23 @@ def apply_audio_op(segs: DataFrame, bounds: DataFrame, op: Column | str = "op")
 
 
 def apply_frame_op(segs: DataFrame, bounds: DataFrame, donor: bool = False) -> DataFrame:
-    """Bounds carry `op`: cuts slide back, inserts slide forward, overlays punch a hole; the donor direction undoes cuts and inserts."""
-    cut, paste = ("InsertFrames", "DeleteFrames") if donor else ("DeleteFrames", "InsertFrames")
-    out = drop_frames(segs, bounds.where(F.col("op") == cut))
-    out = insert_frames(out, bounds.where(F.col("op") == paste))
-    return out if donor else drop_frames(out, bounds.where("op = 'PasteFrames'"), keep_time=True)
+    """Segments after the operation of their set's bound, by its program; with `donor` before it, by the inverse.
+
+    bounds: set_id, op, media_type, and as far as they apply startframe, endframe, add_type, to_start and to_end (where a copy was
+    taken), from_frames and to_frames. In the donor direction what a copy laid over goes and what it was taken from is given
+    back, as segment 0, once for each set and type. Sets without a bound pass.
+    """
+    edges = transforms.compiled(bounds.withColumnsRenamed({"startframe": "b_start", "endframe": "b_end"}))
+    program = transforms.inverse(F.col("program")) if donor else F.col("program")
+    out = segs.join(edges.select("set_id", program.alias("_program")), "set_id", "left")
+    parts = transforms.run(F.coalesce("_program", F.array().cast(transforms.PROGRAM)), F.col("type"), F.col("seg_no"), F.col("startframe"), F.col("endframe"))
+    out = out.withColumn("_p", F.explode(parts)).withColumn("_given", F.col("_p.n") == 0)
+    own = {"seg_no": F.col("_p.n"), "startframe": F.col("_p.s"), "endframe": F.col("_p.e")}
+    moved = out.select(*(own[c].alias(c) if c in own else F.col(c) for c in segs.columns), "_given")
+    kept = moved.where("not _given").drop("_given")
+    if not donor:
+        return kept
+    return kept.unionByName(moved.where("_given").drop("_given").dropDuplicates(["set_id", "type", "startframe", "endframe"]))
 
 
 def mask_at(mask_frames: DataFrame, ms: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from provlake.functions import scalars
 from provlake.operators import catalog, media_checks, metadata, rollups, rules, segments
 
+from . import program_sql
 from .fixture import view, wide_edges, with_views
 
 
@@ -247,7 +248,12 @@ def q_recalc(spark, d):
 
 
 def q_frame_ops(spark, d):
-    b = view(spark, d, "bounds").withColumn("op", F.expr("element_at(array('DeleteFrames', 'InsertFrames', 'PasteFrames', 'Blur'), cast(set_id % 4 as int) + 1)"))
+    """Every frame operation, on video and on sound, both ways."""
+    names = "array('DeleteFrames', 'InsertFrames', 'PasteFrames', 'Blur', 'CopyPaste', 'CropFrames', 'Reverse', 'AddAudio', 'DeleteAudio', 'ReplaceAudio', 'OutputMp4')"
+    b = view(spark, d, "bounds").withColumns({
+        "op": F.expr(f"element_at({names}, cast(set_id % 11 as int) + 1)"), "media_type": F.expr("if(set_id % 5 = 0, 'audio', 'video')"), "add_type": F.expr("element_at(array('insert', 'overlay', null), cast(set_id % 3 as int) + 1)"),
+        "to_start": 10 + F.col("set_id") % 40, "to_end": 10 + F.col("set_id") % 40 + F.col("endframe") - F.col("startframe"), "from_frames": 200 + F.col("set_id") % 100, "to_frames": 150 + F.col("set_id") % 130,
+    })
     s = view(spark, d, "segments")
     out = segments.apply_frame_op(s, b).withColumn("side", F.lit("target")).unionByName(segments.apply_frame_op(s, b, donor=True).withColumn("side", F.lit("donor")))
     return out.select("side", "set_id", "seg_no", "type", "startframe", "endframe")
@@ -314,11 +320,10 @@ def _cut(op: str, cond: str, left: str, right: str) -> str:
     return f"WHEN {cond} THEN [{left}, {right}]"
 
 
-_LEFT = "{'s': startframe, 'e': least(endframe, b - 1)}"
-_SLIDE, _ROOM, _HOLE = "{'s': greatest(startframe, e + 1) - n, 'e': endframe - n}", "{'s': greatest(startframe, b) + n, 'e': endframe + n}", "{'s': greatest(startframe, e + 1), 'e': endframe}"
-_OPS = f"""j AS (SELECT s.*, s.set_id % 4 AS op, b.startframe AS b, b.endframe AS e, b.endframe - b.startframe + 1 AS n FROM segments s LEFT JOIN bounds b ON b.set_id = s.set_id),
-p AS (SELECT 'target' AS side, set_id, seg_no, type, unnest(CASE WHEN b IS NULL OR op = 3 THEN [{{'s': startframe, 'e': endframe}}] WHEN op = 0 THEN [{_LEFT}, {_SLIDE}] WHEN op = 1 THEN [{_LEFT}, {_ROOM}] ELSE [{_LEFT}, {_HOLE}] END) AS p FROM j
-  UNION ALL SELECT 'donor', set_id, seg_no, type, unnest(CASE WHEN b IS NULL OR op > 1 THEN [{{'s': startframe, 'e': endframe}}] WHEN op = 1 THEN [{_LEFT}, {_SLIDE}] ELSE [{_LEFT}, {_ROOM}] END) FROM j)"""
+_KIND = "(" + program_sql.verb("['DeleteFrames', 'InsertFrames', 'PasteFrames', 'Blur', 'CopyPaste', 'CropFrames', 'Reverse', 'AddAudio', 'DeleteAudio', 'ReplaceAudio', 'OutputMp4'][s.set_id % 11 + 1]", "CASE WHEN s.set_id % 5 = 0 THEN 'audio' ELSE 'video' END", "['insert', 'overlay', NULL][s.set_id % 3 + 1]", "s.type") + ")"
+_MOVED = lambda back: program_sql.parts("v", back, "seg_no", "startframe", "endframe", "b", "e", "n", "(10 + set_id % 40)", "(10 + set_id % 40 + e - b)", "(200 + set_id % 100)", "(150 + set_id % 130)")
+_OPS = f"""j AS (SELECT s.*, {_KIND} AS v, b.startframe AS b, b.endframe AS e, b.endframe - b.startframe + 1 AS n FROM segments s JOIN bounds b ON b.set_id = s.set_id),
+p AS (SELECT 'target' AS side, set_id, type, unnest({_MOVED(False)}) AS p FROM j UNION ALL SELECT 'donor', set_id, type, unnest({_MOVED(True)}) FROM j)"""
 _META = "map_from_entries(list_filter([{'k': 'k', 'v': json_extract_string(props, '$.k')}, {'k': 'c', 'v': CASE WHEN changed THEN 'yes' END}], lambda x: x.v IS NOT NULL))"
 
 _MSG = 'project_id, {} AS severity, src AS start, dst AS "end", \'{}\' AS module, {} AS message'
@@ -396,7 +401,8 @@ SELECT file, stream, key, CASE WHEN old IS NULL THEN 'add' WHEN new IS NULL THEN
     "group_work": "SELECT l_orderkey AS project_id, count(*) AS n, string_agg(concat('u', l_suppkey, '/f', l_partkey), ',' ORDER BY concat('u', l_suppkey), concat('f', l_partkey)) AS items FROM lineitem GROUP BY 1",
     "recalculated": f"""{_SB} SELECT set_id, seg_no, floor(round(startframe * 17.5::DOUBLE * 30 / 1000, 6))::BIGINT + 1 AS startframe, floor(round(endframe * 17.5::DOUBLE * 30 / 1000, 6))::BIGINT + 1 AS endframe,
   floor(round(endframe * 17.5::DOUBLE * 30 / 1000, 6))::BIGINT - floor(round(startframe * 17.5::DOUBLE * 30 / 1000, 6))::BIGINT + 1 AS frames, round((startframe - 1) * 1000 / 30.0::DOUBLE, 4) AS starttime, round((endframe - 1) * 1000 / 30.0::DOUBLE, 4) AS endtime FROM segments""",
-    "frame_ops": f"{_SB}, {_OPS} SELECT side, set_id, seg_no, type, p.s AS startframe, p.e AS endframe FROM p WHERE p.s <= p.e",
+    "frame_ops": f"""{_SB}, {_OPS}, q AS (SELECT side, set_id, p.n AS seg_no, type, p.s AS startframe, p.e AS endframe FROM p WHERE p.s <= p.e)
+SELECT * FROM q WHERE seg_no > 0 UNION ALL (SELECT DISTINCT * FROM q WHERE seg_no = 0)""",
     "mask_at": f"""{_F} SELECT media_id AS segment_id, arg_min(frame_no, ROW(frame_no * 40 > media_id % 9 * 150, abs(frame_no * 40 - media_id % 9 * 150))) AS frame_no, arg_min(frame_no * 40.0::DOUBLE, ROW(frame_no * 40 > media_id % 9 * 150, abs(frame_no * 40 - media_id % 9 * 150))) AS time_ms FROM frames GROUP BY 1""",
     "resampled_masks": f"""{_F}, n AS (SELECT media_id, count(*) AS n FROM frames GROUP BY 1), w AS (SELECT *, CASE media_id % 3 WHEN 0 THEN n * 2 WHEN 1 THEN n // 2 + 1 ELSE n + 5 END AS m FROM n),
 g AS (SELECT *, unnest(generate_series(0, m - 1)) AS j FROM w) SELECT media_id AS segment_id, floor(j * n::DOUBLE / m)::BIGINT + 1 AS frame_no, j + 1 AS new_no FROM g""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provlake.operators import lineage, probes, rollups, rules
 
+from . import program_sql
 from .fixture import view, wide_edges, with_views
 
 
@@ -105,9 +106,14 @@ def q_probe_summary(spark, d):
 
 
 def q_probes(spark, d):
-    n, e = _ne(spark, d)
+    e = view(spark, d, "wide")
     segs, ops = view(spark, d, "segments"), view(spark, d, "operations")
-    return probes.generate_probes(e, segs, view(spark, d, "bounds"), probes.is_localized(ops))
+    return probes.generate_probes(e, segs, _places(spark, d), probes.is_localized(ops), media=view(spark, d, "media"))
+
+
+def _places(spark, d):
+    """Bounds with the frames from which a paste may have been copied."""
+    return view(spark, d, "bounds").withColumns({"to_start": F.expr("if(set_id % 3 > 0, 10 + set_id % 40, null)"), "to_end": F.expr("10 + set_id % 40 + endframe - startframe")})
 
 
 def q_probe_order(spark, d):
@@ -132,8 +138,7 @@ def q_video_bits(spark, d):
 
 
 def q_donor_segments(spark, d):
-    n, e = _ne(spark, d)
-    return probes.donor_segments(n, e, view(spark, d, "segments"), view(spark, d, "bounds"))
+    return probes.donor_segments(view(spark, d, "nodes"), view(spark, d, "wide"), view(spark, d, "segments"), _places(spark, d), view(spark, d, "media"))
 
 
 def q_designate(spark, d):
@@ -325,6 +330,17 @@ QUERIES = {
     "time_rules": q_time_rules, "donor_rules": q_donor_rules, "type_rules": q_type_rules, "registry_rules": q_registry, "user_rules": q_users,
 }
 
+#: Edges with what their programs need, and a segment after or before one.
+_ST = """st AS (SELECT w.project_id, w.src, w.dst, w.op, w.media_type, w.add_type, b.startframe AS bs, b.endframe AS be, b.endframe - b.startframe + 1 AS bn,
+  CASE WHEN w.dst % 3 > 0 THEN 10 + w.dst % 40 END AS ts, 10 + w.dst % 40 + b.endframe - b.startframe AS te, f.frames AS f0, t.frames AS f1
+  FROM wide w LEFT JOIN bounds b ON b.set_id = w.dst LEFT JOIN media f ON f.project_id = w.project_id AND f.node_id = w.src LEFT JOIN media t ON t.project_id = w.project_id AND t.node_id = w.dst WHERE w.op <> 'Donor')"""
+
+
+def _moved(back: bool) -> str:
+    kind = f"({program_sql.verb('st.op', 'st.media_type', 'st.add_type', 'w.type')})"
+    return program_sql.parts(kind, back, "w.seg_no", "w.startframe", "w.endframe", "bs", "be", "bn", "ts", "te", "f0", "f1")
+
+
 ORACLES = {
     "base_paths": _sql(BASES, "SELECT project_id, node_id, base, level FROM bases"),
     "find_base": _sql(
@@ -374,17 +390,13 @@ UNION SELECT e.project_id, e.src, e.dst FROM edges e JOIN w ON w.project_id = e.
     ),
     "probe_summary": _sql(PSUM, "SELECT * FROM ps", *PV),
     "generate_probes": _sql(
-        """st AS (SELECT e.project_id, e.src, e.dst, e.op, b.startframe AS bs, b.endframe AS be, b.endframe - b.startframe + 1 AS bn FROM edges e LEFT JOIN bounds b ON b.set_id = e.dst WHERE e.op <> 'Donor'),
+        f"""{_ST},
 seed AS (SELECT DISTINCT e.project_id, e.src, e.dst FROM edges e JOIN operations o ON o.op = e.op WHERE o.scope = 'localized'),
 walk AS (SELECT s.project_id, s.src, s.dst, s.dst AS at, g.seg_no, g.type, g.startframe, g.endframe FROM seed s JOIN segments g ON g.set_id = s.dst
-  UNION SELECT project_id, src, dst, to_, seg_no, type, p.s, p.e FROM (
-    SELECT w.project_id, w.src, w.dst, st.dst AS to_, w.seg_no, w.type, unnest(
-      CASE WHEN st.op = 'DeleteFrames' AND bs IS NOT NULL THEN [{'s': w.startframe, 'e': least(w.endframe, bs - 1)}, {'s': greatest(w.startframe, be + 1) - bn, 'e': w.endframe - bn}]
-           WHEN st.op IN ('InsertFrames', 'PasteFrames') AND bs IS NOT NULL THEN [{'s': w.startframe, 'e': least(w.endframe, bs - 1)}, {'s': greatest(w.startframe, bs) + bn, 'e': w.endframe + bn}]
-           ELSE [{'s': w.startframe, 'e': w.endframe}] END) AS p
-    FROM walk w JOIN st ON st.project_id = w.project_id AND st.src = w.at) x WHERE p.s <= p.e)""",
+  UNION SELECT project_id, src, dst, to_, p.n, type, p.s, p.e FROM (
+    SELECT w.project_id, w.src, w.dst, st.dst AS to_, w.type, unnest({_moved(False)}) AS p FROM walk w JOIN st ON st.project_id = w.project_id AND st.src = w.at) x WHERE p.s <= p.e)""",
         "SELECT w.project_id, w.src, w.dst, w.at AS final, w.seg_no, w.type, w.startframe, w.endframe FROM walk w WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.project_id = w.project_id AND st.src = w.at)",
-        *PV, "segments", "bounds",
+        *PV, "wide", "segments", "bounds", "media",
     ),
     "probe_order": _sql(ORD, "SELECT project_id, src, dst, final, level, probe_no FROM ord", *PV),
     "probe_bits": _sql(
@@ -398,16 +410,12 @@ g AS (SELECT project_id, base, shape, row_number() OVER (PARTITION BY project_id
         "SELECT o.project_id, src, dst, final, row_number() OVER (PARTITION BY o.project_id, rate, f3, w ORDER BY probe_no) AS bit_number FROM ord o LEFT JOIN vm ON vm.project_id = o.project_id AND vm.node_id = o.final", *PV, "media",
     ),
     "donor_segments": _sql(
-        """st AS (SELECT e.project_id, e.src, e.dst, e.op, b.startframe AS bs, b.endframe AS be, b.endframe - b.startframe + 1 AS bn FROM edges e LEFT JOIN bounds b ON b.set_id = e.dst WHERE e.op <> 'Donor'),
+        f"""{_ST},
 walk AS (SELECT e.project_id, e.src, e.dst, e.src AS at, g.seg_no, g.type, g.startframe, g.endframe FROM edges e JOIN segments g ON g.set_id = e.dst WHERE e.op = 'Donor'
-  UNION SELECT project_id, src, dst, to_, seg_no, type, p.s, p.e FROM (
-    SELECT w.project_id, w.src, w.dst, st.src AS to_, w.seg_no, w.type, unnest(
-      CASE WHEN st.op IN ('InsertFrames', 'PasteFrames') AND bs IS NOT NULL THEN [{'s': w.startframe, 'e': least(w.endframe, bs - 1)}, {'s': greatest(w.startframe, be + 1) - bn, 'e': w.endframe - bn}]
-           WHEN st.op = 'DeleteFrames' AND bs IS NOT NULL THEN [{'s': w.startframe, 'e': least(w.endframe, bs - 1)}, {'s': greatest(w.startframe, bs) + bn, 'e': w.endframe + bn}]
-           ELSE [{'s': w.startframe, 'e': w.endframe}] END) AS p
-    FROM walk w JOIN st ON st.project_id = w.project_id AND st.dst = w.at) x WHERE p.s <= p.e)""",
+  UNION SELECT project_id, src, dst, to_, p.n, type, p.s, p.e FROM (
+    SELECT w.project_id, w.src, w.dst, st.src AS to_, w.type, unnest({_moved(True)}) AS p FROM walk w JOIN st ON st.project_id = w.project_id AND st.dst = w.at) x WHERE p.s <= p.e)""",
         "SELECT w.project_id, w.src, w.dst, w.at AS base, w.seg_no, w.type, w.startframe, w.endframe FROM walk w WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.project_id = w.project_id AND e.dst = w.at)",
-        *NE, "segments", "bounds",
+        *NE, "wide", "segments", "bounds", "media",
     ),
     "probe_designation": _sql(
         PSUM,

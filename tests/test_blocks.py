@@ -139,15 +139,15 @@ def test_written_tables_can_be_cleared(spark):
 def test_registered_transforms_and_processors(spark):
     from provlake.operators import probes
 
-    e = spark.createDataFrame([(1, 1, 2, "Blur"), (1, 2, 3, "Shorten")], "project_id long, src long, dst long, op string")
+    e = spark.createDataFrame([(1, 1, 2, "Blur", "video"), (1, 2, 3, "Shorten", "video")], "project_id long, src long, dst long, op string, media_type string")
     segs = spark.createDataFrame([(2, 1, "video", 1, 40)], "set_id long, seg_no long, type string, startframe long, endframe long")
     bounds = spark.createDataFrame([(3, 11, 20)], "set_id long, startframe long, endframe long")
     run = lambda *f: sorted((r.startframe, r.endframe) for r in probes.generate_probes(e, segs, bounds, lambda x: x.where("op = 'Blur'"), f).collect())
     assert run() == [(1, 40)]
-    probes.register_transform("Shorten", "cut")
+    probes.register_transform("Shorten", {"video": [("cut", None)]})
     try:
         assert run() == [(1, 10), (11, 30)] and run(lambda p: p.where("startframe > 10")) == [(11, 30)]
     finally:
         probes.register_transform("Shorten", None)
     with pytest.raises(ValueError):
-        probes.register_transform("Shorten", "melt")
+        probes.register_transform("Shorten", {"video": [("melt", None)]})
