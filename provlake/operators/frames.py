@@ -173,14 +173,17 @@ _ARROW = {"binary": pa.binary(), "double": pa.float64(), "long": pa.int64(), "bo
 
 
 def diff_mask(pairs: DataFrame, tolerance: float) -> DataFrame:
-    """Pairs (a, b: bytes of equal shape) with mask (0 changed, 255 unchanged), changed (count) and psnr (null if equal)."""
+    """Pairs (a, b: bytes of equal shape) with mask (0 changed, 255 unchanged), changed (count), psnr (null if equal) and local_psnr,
+    that of the changed pixels alone (0 if there is none)."""
     def one(a: bytes, b: bytes) -> tuple:
         x, y = np.frombuffer(a, "u1").astype("i4"), np.frombuffer(b, "u1").astype("i4")
         hit = np.abs(x - y) > tolerance * 255
         mse = float(((x - y) ** 2).mean()) if len(x) else 0.0
-        return np.where(hit, 0, 255).astype("u1").tobytes(), int(hit.sum()), None if mse == 0 else float(20 * np.log10(255 / np.sqrt(mse)))
+        near = float(((x - y)[hit] ** 2).mean()) if hit.any() else 0.0
+        of = lambda m: float(20 * np.log10(255 / np.sqrt(m)))
+        return np.where(hit, 0, 255).astype("u1").tobytes(), int(hit.sum()), None if mse == 0 else of(mse), 0.0 if near == 0 else of(near)
 
-    return _per_row(pairs, ["a", "b"], "mask binary, changed long, psnr double", one)
+    return _per_row(pairs, ["a", "b"], "mask binary, changed long, psnr double, local_psnr double", one)
 
 
 def change_stats(changed: Column, total: Column) -> Column:
@@ -203,11 +206,27 @@ def histograms(frames: DataFrame) -> DataFrame:
     return frames.select(F.col("media_id").cast("long"), F.col("frame_no").cast("long"), "pixels").mapInArrow(count, "media_id long, frame_no long, value int, n long")
 
 
-def first_minimum(histogram: DataFrame) -> DataFrame:
-    """(media_id, threshold): the first value after which a histogram (media_id, value 0..255, n) rises again, else the last value."""
-    h = histogram.withColumn("_next", F.expr("lead(n) over (partition by media_id order by value)")).withColumn("_prev", F.expr("lag(n) over (partition by media_id order by value)"))
-    low = F.min(F.when((F.col("_next") > F.col("n")) & (F.coalesce("_prev", F.col("n")) >= F.col("n")), F.col("value")))
-    return h.groupBy("media_id").agg(F.coalesce(low, F.max("value")).alias("threshold"))
+def first_minimum(histogram: DataFrame, smoothing: int = 3, least: int = 0, most: int = 255, gain: int = 0, bins: int = 256) -> DataFrame:
+    """(media_id, threshold): the first value where the smoothed histogram (media_id, value below `bins`, n) is lower than on either side.
+
+    Smoothed is the mean of `smoothing` values from each on. Without such a value, or with one in the upper half, `least`; else the value
+    between least and most. The gain is added to either.
+    """
+    counts = histogram.groupBy("media_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("value").cast("int").alias("k"), F.col("n").cast("double").alias("v")))).alias("_m"))
+    at = lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))
+    flat = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: at(i.cast("int")))
+    counts = counts.withColumn("_h", flat)
+    if smoothing > 0:
+        # Sums do as well as means, and are exact.
+        sums = F.transform(F.sequence(F.lit(1), F.lit(bins - smoothing + 1)), lambda i: F.aggregate(F.slice("_h", i, smoothing), F.lit(0.0), lambda a, x: a + x))
+        counts = counts.withColumn("_s", sums)
+        s = lambda i: F.get("_s", i)
+        lows = F.filter(F.sequence(F.lit(1), F.lit(bins - smoothing - 1)), lambda i: (s(i) < s(i - 1)) & (s(i) < s(i + 1)))
+        low = F.get(lows, F.lit(0))
+    else:
+        low = F.lit(None).cast("int")
+    found = F.when(low.isNull() | (low > bins // 2), F.lit(least)).otherwise(F.greatest(F.lit(least), F.least(low, F.lit(most))))
+    return counts.select("media_id", (found + gain).alias("threshold"))
 
 
 def otsu(histogram: DataFrame) -> DataFrame:
@@ -236,6 +255,17 @@ def bitplanes(mask_frames: DataFrame, bits: DataFrame) -> DataFrame:
     return rows.select("group_id", "frame_no", "plane", "bit_number", "pixels").groupBy("group_id", "frame_no", "plane").applyInArrow(merge, "group_id long, frame_no long, plane int, pixels binary")
 
 
+def last_bitplanes(mask_frames: DataFrame, bits: DataFrame) -> DataFrame:
+    """B9, use last: (group_id, frame_no, plane, pixels): each byte plane holds the bit of its last probe (the largest probe_no, then bit) alone."""
+    rows = mask_frames.join(bits.select("probe_id", "group_id", "bit_number", "probe_no"), "probe_id").withColumn("plane", F.floor((F.col("bit_number") - 1) / 8).cast("int"))
+    last = rows.groupBy("group_id", "frame_no", "plane").agg(F.max_by(F.struct("bit_number", F.col("pixels").alias("mask")), F.struct("probe_no", "bit_number")).alias("_l")).select("group_id", "frame_no", "plane", "_l.*")
+
+    def one(bit: int, mask: bytes) -> tuple:
+        return (np.where(np.frombuffer(mask, "u1") == 0, 1 << ((bit - 1) % 8), 0).astype("u1").tobytes(),)
+
+    return _per_row(last, ["bit_number", "mask"], "pixels binary", one).drop("bit_number", "mask")
+
+
 def compare_masks(pairs: DataFrame) -> DataFrame:
     """Pairs (expected, actual) with `same`: differing pixels are at most 5 % of the expected changed ones."""
     def one(a: bytes, b: bytes) -> tuple:

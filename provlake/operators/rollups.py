@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provlake.functions.storage import written
 
 from . import lineage
+from .groups import expand_groups
 
 P = "project_id"
 
@@ -86,20 +87,23 @@ NO_ENHANCEMENTS = ("Blur", "Sharpening", "TransformResize", "TransformCrop", "Tr
 PLACED = ("PasteSampled", "PasteOverlay", "PasteImageSpliceToFrame")
 
 
-def rule_predicates() -> dict[str, Column]:
+def rule_predicates(grouped: bool = False) -> dict[str, Column]:
     """A3: yes/no rules over an edge (op, category, arguments, is_global: yes, no or null, media_type of its source, common_parent: its
-    end's two predecessors share a base, is_gan)."""
+    end's two predecessors share a base, is_gan; with `grouped` members, null but for groups: rules on categories look into these too)."""
     op, video = F.col("op"), F.coalesce(F.col("media_type") == "video", F.lit(False))
     arg = lambda k: F.coalesce(F.try_element_at("arguments", F.lit(k)), F.lit(""))
     added = (F.size(F.map_keys("arguments")) == 0) | (arg("purpose") == "add")
     common = F.coalesce("common_parent", F.lit(False))
-    other = F.coalesce(F.col("category").isin(*ENHANCEMENTS), F.lit(False)) & ~op.isin(*NO_ENHANCEMENTS)
+    inside = lambda cond: F.coalesce(F.exists("members", cond), F.lit(False)) if grouped else F.lit(False)
+    enhances = lambda name, category: F.coalesce(category.isin(*ENHANCEMENTS), F.lit(False)) & ~name.isin(*NO_ENHANCEMENTS)
+    other = enhances(op, F.col("category")) | inside(lambda m: enhances(m.op, m.category))
+    of = lambda name: F.coalesce(F.col("category") == name, F.lit(False)) | inside(lambda m: m.category == name)
     widely = F.coalesce(F.col("is_global"), F.lit("yes")) == "yes"
     return {
         "blur_local": (op == "Blur") & (F.coalesce(F.col("is_global"), F.lit("no")) == "no"),
         "histogram_global": (op == "Normalization") & widely,
         "contrast_global": (op == "Contrast") & widely,
-        "color": F.coalesce(F.col("category") == "Color", F.lit(False)),
+        "color": of("Color"),
         "clone": ((op == "PasteSplice") & common) | ((op == "PasteSampled") & (arg("purpose") == "clone")),
         "spatial_clone": video & (((op == "PasteOverlay") & common & added) | ((op == "PasteSampled") & (arg("purpose") == "clone"))),
         "spatial_splice": video & (((op == "PasteOverlay") & ~common & added) | ((op == "PasteImageSpliceToFrame") & (arg("purpose") == "clone"))),
@@ -108,7 +112,7 @@ def rule_predicates() -> dict[str, Column]:
         "voice_overlay": (arg("voice") == "yes") & (arg("add type") == "overlay"),
         "voice_swap": (arg("voice") == "yes") & (arg("add type") == "replace"),
         "median_smoothing": (op == "Blur") & (arg("Blur Type") == "Median Smoothing"),
-        "audio_activity": F.coalesce(F.col("category") == "Audio", F.lit(False)),
+        "audio_activity": of("Audio"),
         "other_enhancement": F.coalesce(F.col("media_type") == "image", F.lit(False)) & other,
         "video_other_enhancement": video & other,
         "gan_component": F.col("is_gan"),
@@ -117,7 +121,7 @@ def rule_predicates() -> dict[str, Column]:
 
 def property_rules(closure: DataFrame) -> DataFrame:
     """A3: (project_id, final, and one yes/no column a rule): does any edge above the final meet the rule? In one aggregate."""
-    return closure.groupBy(P, "final").agg(*(F.bool_or(c).alias(k) for k, c in rule_predicates().items()))
+    return closure.groupBy(P, "final").agg(*(F.bool_or(c).alias(k) for k, c in rule_predicates("members" in closure.columns).items()))
 
 
 def format_changes(finals: DataFrame, media: DataFrame) -> DataFrame:
@@ -182,17 +186,29 @@ def packet_summary(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy("stream", "key").agg(F.sum("delta").alias("total"), F.count("delta").alias("n"), F.round(F.avg("delta"), 6).alias("mean"))
 
 
+def generated_media(finals: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A3: (project_id, final, gan_generated, cgi_generated): what the base of a final says of itself; of several bases the smallest counts.
+
+    finals: project_id, final, base. nodes: project_id, node_id, is_gan, cgi (yes, no or null, which is no).
+    """
+    first = finals.groupBy(P, "final").agg(F.min("base").alias("node_id")).join(nodes.select(P, "node_id", "is_gan", "cgi"), [P, "node_id"], "left")
+    yes = lambda c: F.coalesce(F.col(c) == "yes", F.lit(False))
+    return first.select(P, "final", yes("is_gan").alias("gan_generated"), yes("cgi").alias("cgi_generated"))
+
+
 def combine_ops(groups: DataFrame, operations: DataFrame) -> DataFrame:
-    """Groups (group_name, pos, op) over operations (op, category, rule, transitions) to (group_name, categories, rules, first_op,
-    last_op, transitions), lists sorted and distinct; a transition leads from a start of the first operation to an end of the last."""
-    j = groups.join(operations, "op")
-    out = j.groupBy("group_name").agg(
+    """Groups (group_name, pos, op; a member may be a group) over operations (op, category, rule, transitions) to (group_name, categories,
+    rules, first_op, last_op, transitions), lists sorted and distinct; a transition leads from a start of the first operation to an
+    end of the last. Where operations have mandatory and optional (arrays of parameter names), their unions follow."""
+    j = expand_groups(groups).where("not is_cycle").withColumnRenamed("path", "pos").join(operations, "op")
+    named = [c for c in ("mandatory", "optional") if c in operations.columns]
+    out = j.groupBy("group_name").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in named), 
         F.array_sort(F.collect_set("category")).alias("categories"), F.array_sort(F.collect_set("rule")).alias("rules"),
         F.min_by(F.struct("op", "transitions"), "pos").alias("_f"), F.max_by(F.struct("op", "transitions"), "pos").alias("_l"),
     )
     side = lambda c, i: F.array_distinct(F.transform(c, lambda t: F.split_part(t, F.lit("."), F.lit(i))))
     led = F.flatten(F.transform(side(F.col("_f.transitions"), 1), lambda a: F.transform(side(F.col("_l.transitions"), 2), lambda b: F.concat_ws(".", a, b))))
-    return out.select("group_name", "categories", "rules", F.col("_f.op").alias("first_op"), F.col("_l.op").alias("last_op"), F.array_sort(led).alias("transitions"))
+    return out.select("group_name", "categories", "rules", F.col("_f.op").alias("first_op"), F.col("_l.op").alias("last_op"), F.array_sort(led).alias("transitions"), *named)
 
 
 def create_time(nodes: DataFrame) -> DataFrame:

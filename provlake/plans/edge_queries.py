@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provlake.operators import edge_rules, edge_sets, lineage, rollups, rules
+from provlake.operators import edge_rules, edge_sets, groups, lineage, rollups, rules
 
 from .fixture import view, wide_edges, with_views
 
@@ -148,10 +148,44 @@ def q_project_groups(spark, d):
     return rollups.project_groups(_grouped(spark, d)).select("project_id", F.array_join("groups", ",").alias("groups"))
 
 
-def q_combine(spark, d):
+def _nested(spark, d):
+    """Groups of operations by journal, groups of four of those, one group of these, and two groups that hold each other."""
     g = view(spark, d, "edges").where("op <> 'Donor'").groupBy(F.concat(F.lit("g"), F.pmod("project_id", F.lit(20))).alias("group_name"), "op").agg(F.min(F.col("src") * 1000 + F.pmod("dst", F.lit(1000))).alias("pos"))
-    out = rollups.combine_ops(g, _operations(spark, d))
-    return out.select("group_name", "first_op", "last_op", *(F.array_join(c, ",").alias(c) for c in ("categories", "rules", "transitions")))
+    names = view(spark, d, "edges").where("op <> 'Donor'").select(F.pmod("project_id", F.lit(20)).alias("k")).distinct()
+    four = names.selectExpr("concat('h', k div 4) as group_name", "concat('g', k) as op", "20 - k as pos")
+    all_ = names.selectExpr("'i' as group_name", "concat('h', k div 4) as op", "k div 4 as pos").distinct()
+    round_ = names.where("k < 2").selectExpr("explode(array(named_struct('g', concat('c', k), 'op', concat('c', 1 - k), 'pos', 1), named_struct('g', concat('c', k), 'op', if(k = 0, 'Blur', 'TimeWarp'), 'pos', 2))) as x")
+    return g.unionByName(four).unionByName(all_).unionByName(round_.select(F.col("x.g").alias("group_name"), "x.op", F.col("x.pos").cast("long").alias("pos")))
+
+
+def q_combine(spark, d):
+    o = _operations(spark, d).withColumns({"mandatory": F.expr("array(category, substring(op, 1, 4))"), "optional": F.expr("array(rule)")})
+    out = rollups.combine_ops(_nested(spark, d), o)
+    return out.select("group_name", "first_op", "last_op", *(F.array_join(c, ",").alias(c) for c in ("categories", "rules", "transitions", "mandatory", "optional")))
+
+
+def q_expanded(spark, d):
+    out = groups.expand_groups(_nested(spark, d))
+    return out.select("group_name", F.array_join("path", "/").alias("path"), "op", "is_cycle")
+
+
+def q_group_rules(spark, d):
+    """An edge of every twelfth end is of a group: of one, two or three levels."""
+    levels = view(spark, d, "operations").where("op in ('Blur', 'ColorColorBalance', 'AddAudio', 'TransformWarp', 'TimeWarp')").selectExpr(
+        "explode(case op when 'Blur' then array('g0', 'g2') when 'ColorColorBalance' then array('g0') when 'AddAudio' then array('g1') else array('g2') end) as group_name", "op", "cast(length(op) as bigint) as pos"
+    )
+    held = levels.select("group_name").distinct().where("group_name <> 'g0'").selectExpr("group_name", "if(group_name = 'g1', 'g0', 'g1') as op", "cast(0 as bigint) as pos")
+    members = groups.group_members(levels.unionByName(held), view(spark, d, "operations"))
+    grouped = F.pmod("dst", F.lit(12)) == 0
+    c = _closure(spark, d).withColumns({"category": F.when(grouped, "Groups").otherwise(F.col("category")), "op": F.when(grouped, F.concat(F.lit("g"), F.pmod("src", F.lit(3)))).otherwise(F.col("op"))})
+    return rollups.property_rules(c.join(members, "op", "left")).select("project_id", "final", "color", "audio_activity", "other_enhancement", "video_other_enhancement", "median_smoothing")
+
+
+def q_generated(spark, d):
+    n = view(spark, d, "nodes")
+    finals = lineage.terminal_base_tuples(n, view(spark, d, "edges"))
+    marks = n.selectExpr("project_id", "node_id", "case when node_id % 3 = 0 then 'yes' when node_id % 3 = 1 then 'no' end as is_gan", "if(node_id % 5 = 0, 'yes', 'no') as cgi")
+    return rollups.generated_media(finals, marks)
 
 
 def q_stats(spark, d):
@@ -161,7 +195,7 @@ def q_stats(spark, d):
 QUERIES = {
     "edge_predicates": q_predicates, "donor_eligible": q_eligible, "gan_edges": q_gan, "ops_by_category": q_ops_by_category, "nodes_to_extend": q_extend, "recorded_lengths": q_recorded, "media_amounts": q_amounts,
     "donor_paths": q_donor_paths, "stream_rules": q_streams, "composite_flags": q_composite, "mandatory_rules": q_mandatory, "argument_rules": q_arguments, "journal_properties": q_journal_properties, "run_rules": q_run,
-    "property_rules": q_property_rules, "format_changes": q_formats, "best_of": q_best, "edges_by_group": q_groups, "project_groups": q_project_groups, "combine_ops": q_combine, "media_stats": q_stats,
+    "property_rules": q_property_rules, "format_changes": q_formats, "best_of": q_best, "edges_by_group": q_groups, "project_groups": q_project_groups, "combine_ops": q_combine, "expanded_groups": q_expanded, "group_property_rules": q_group_rules, "generated_media": q_generated, "media_stats": q_stats,
 }
 
 
@@ -199,6 +233,16 @@ _RULES = {
     "median_smoothing": "op = 'Blur' AND blur_type = 'Median Smoothing'", "audio_activity": "category = 'Audio'", "other_enhancement": "false", "video_other_enhancement": "false", "gan_component": _GANW,
 }
 
+#: Groups as _nested() has them, and their members.
+_EXPANDED = """gr AS (SELECT concat('g', project_id % 20) AS group_name, op, min(src * 1000 + dst % 1000) AS pos FROM edges WHERE op <> 'Donor' GROUP BY 1, 2),
+ks AS (SELECT DISTINCT project_id % 20 AS k FROM edges WHERE op <> 'Donor'),
+raw AS (SELECT * FROM gr UNION ALL SELECT concat('h', k // 4), concat('g', k), 20 - k FROM ks UNION ALL SELECT DISTINCT 'i', concat('h', k // 4), k // 4 FROM ks
+  UNION ALL SELECT concat('c', k), concat('c', 1 - k), 1 FROM ks WHERE k < 2 UNION ALL SELECT concat('c', k), CASE k WHEN 0 THEN 'Blur' ELSE 'TimeWarp' END, 2 FROM ks WHERE k < 2),
+opened AS (SELECT group_name, [pos] AS path, op, [group_name] AS above FROM raw
+  UNION ALL SELECT o.group_name, list_append(path, r.pos), r.op, list_append(above, r.group_name) FROM opened o JOIN raw r ON r.group_name = o.op WHERE NOT list_contains(above, o.op)),
+ex AS (SELECT group_name, path, op, list_contains(above, op) AS is_cycle FROM opened WHERE list_contains(above, op) OR op NOT IN (SELECT group_name FROM raw))"""
+_OTHER = f"category IN ({', '.join(map(repr, rollups.ENHANCEMENTS))}) AND op NOT IN ({', '.join(map(repr, rollups.NO_ENHANCEMENTS))})"
+
 ORACLES = {
     "edge_predicates": f"""{_W} SELECT project_id, src, dst, w.op, w.op <> 'Donor' AS not_donor, w.op <> 'Donor' AND coalesce(empty_mask, 'no') = 'no' AS not_donor_not_empty, coalesce(record_mask, 'no') = 'yes' AS composite,
   (coalesce(record_mask, 'no') = 'yes' OR (w.op NOT IN ({_L}) AND coalesce(empty_mask, 'no') = 'no' AND coalesce(is_global, 'no') <> 'yes')) AND category NOT IN ('Output', 'AntiForensic', 'PostProcessing', 'Laundering', 'TimeAlteration') AS localized,
@@ -267,9 +311,19 @@ SELECT project_id, final, base, coalesce(CASE WHEN base % 4 > 0 THEN base % 3 EN
     "edges_by_group": f"""{_W}, g AS (SELECT *, unnest(list_filter([CASE WHEN dst % 3 = 0 THEN 'face' END, CASE WHEN src % 2 = 0 THEN 'body' END], lambda x: x IS NOT NULL)) AS grp FROM wide)
 SELECT project_id, grp AS "group", count(*) AS n, string_agg(concat(src, '-', dst), ',' ORDER BY src, dst) AS edges FROM g GROUP BY 1, 2""",
     "project_groups": f"{_W} SELECT project_id, concat_ws(',', CASE WHEN bool_or(src % 2 = 0) THEN 'body' END, CASE WHEN bool_or(dst % 3 = 0) THEN 'face' END) AS groups FROM wide GROUP BY 1 HAVING bool_or(src % 2 = 0 OR dst % 3 = 0)",
-    "combine_ops": f"""{_W}, g AS (SELECT concat('g', project_id % 20) AS group_name, e.op, min(src * 1000 + dst % 1000) AS pos FROM edges e WHERE e.op <> 'Donor' GROUP BY 1, 2), j AS (SELECT g.*, o.category, o.rule, {_TRANS} AS t FROM g JOIN operations o ON o.op = g.op),
+    "combine_ops": f"""{with_views('wide', 'operations', recursive=True)}, {_EXPANDED}, j AS (SELECT x.group_name, x.path AS pos, x.op, o.category, o.rule, {_TRANS} AS t FROM ex x JOIN operations o ON o.op = x.op WHERE NOT is_cycle),
 x AS (SELECT group_name, arg_min(op, pos) AS first_op, arg_max(op, pos) AS last_op, arg_min(t, pos) AS ft, arg_max(t, pos) AS lt, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories, array_to_string(list_sort(list(DISTINCT rule)), ',') AS rules FROM j GROUP BY 1),
-tr AS (SELECT DISTINCT group_name, split_part(a, '.', 1) || '.' || split_part(b, '.', 2) AS t FROM (SELECT group_name, a, unnest(lt) AS b FROM (SELECT group_name, lt, unnest(ft) AS a FROM x)))
-SELECT x.group_name, first_op, last_op, categories, rules, (SELECT string_agg(t, ',' ORDER BY t) FROM tr WHERE tr.group_name = x.group_name) AS transitions FROM x""",
+tr AS (SELECT DISTINCT group_name, split_part(a, '.', 1) || '.' || split_part(b, '.', 2) AS t FROM (SELECT group_name, a, unnest(lt) AS b FROM (SELECT group_name, lt, unnest(ft) AS a FROM x))),
+mm AS (SELECT group_name, string_agg(m, ',' ORDER BY m) AS mandatory FROM (SELECT group_name, category AS m FROM j UNION SELECT group_name, op[1:4] FROM j) GROUP BY 1)
+SELECT x.group_name, first_op, last_op, categories, rules, (SELECT string_agg(t, ',' ORDER BY t) FROM tr WHERE tr.group_name = x.group_name) AS transitions, mandatory, rules AS optional FROM x JOIN mm USING (group_name)""",
+    "expanded_groups": f"""{with_views('edges', recursive=True)}, {_EXPANDED} SELECT group_name, array_to_string(path, '/') AS path, op, is_cycle FROM ex""",
+    "group_property_rules": f"""{_RW}, {_UPALL}, c AS (SELECT DISTINCT u.node_id AS final, w.*, o.category FROM upall u JOIN ends n ON n.project_id = u.project_id AND n.node_id = u.node_id JOIN wide w ON w.project_id = u.project_id AND w.dst = u.at JOIN operations o ON o.op = w.op),
+k AS (SELECT *, CASE WHEN dst % 12 = 0 THEN src % 3 END AS g FROM c)
+SELECT project_id, final, bool_or(CASE WHEN g IS NULL THEN category = 'Color' ELSE true END) AS color, bool_or(CASE WHEN g IS NULL THEN category = 'Audio' ELSE g > 0 END) AS audio_activity,
+  bool_or(media_type = 'image' AND g IS NULL AND {_OTHER}) AS other_enhancement, bool_or(media_type = 'video' AND g IS NULL AND {_OTHER}) AS video_other_enhancement,
+  bool_or(coalesce(g IS NULL AND op = 'Blur' AND blur_type = 'Median Smoothing', false)) AS median_smoothing FROM k GROUP BY 1, 2""",
+    "generated_media": f"""{_RW}, {_UPALL}, up AS (SELECT project_id, node_id, node_id AS at FROM ends UNION SELECT u.project_id, u.node_id, e.src FROM up u JOIN edges e ON e.project_id = u.project_id AND e.dst = u.at WHERE e.op <> 'Donor'),
+b AS (SELECT u.project_id, u.node_id AS final, min(u.at) AS base FROM up u WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.project_id = u.project_id AND e.dst = u.at) GROUP BY 1, 2)
+SELECT project_id, final, base % 3 = 0 AS gan_generated, base % 5 = 0 AS cgi_generated FROM b""",
     "media_stats": f"{_W} SELECT media_type AS type, count(*) AS n FROM wide GROUP BY 1",
 }
