@@ -25,7 +25,7 @@ def test_groups_on_three_levels(spark):
     edges = spark.createDataFrame([(1, 9, "outer", "Groups", "image"), (2, 9, "inner", "Groups", "video"), (3, 9, "Blur", "Filter", "image"), (4, 9, "loop", "Groups", "image")], "project_id long, final long, op string, category string, media_type string")
     closure = edges.withColumns({"arguments": F.create_map().cast("map<string,string>"), "is_global": F.lit("no"), "common_parent": F.lit(False), "is_gan": F.lit(False)}).join(members, "op", "left")
     got = {r.project_id: (r.color, r.blur_local, r.other_enhancement) for r in rollups.property_rules(closure).collect()}
-    assert got == {1: (True, False, False), 2: (True, False, False), 3: (False, True, False), 4: (False, False, False)}
+    assert got == {1: (True, False, True), 2: (True, False, False), 3: (False, True, False), 4: (False, False, False)}
     added = spark.createDataFrame([("fill", 1, "Fill")], "group_name string, pos long, op string")
     closure = closure.drop("members").withColumn("op", F.lit("fill")).join(groups.group_members(added, spark.createDataFrame([("Fill", "Fill", "x", [])], OPS)), "op", "left")
     assert all(r.other_enhancement == (r.project_id != 2) for r in rollups.property_rules(closure).collect())
