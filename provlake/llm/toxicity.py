@@ -121,13 +121,13 @@ def fit_k(tops: np.ndarray, sizes: np.ndarray, lam: float) -> float:
     return max(float((tops > 0).sum()), 1.0) / chance if chance > 0 else 1.0
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method with a small ridge; the slope is not negative."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and intercept of weighted rows by Newton's method with a small ridge; the slope is not negative."""
     a, b = 0.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((y - p) * x).sum() - 1e-2 * a, (y - p).sum() - 1e-2 * b])
+        w = weights * p * (1 - p) + 1e-9
+        g = np.array([(weights * (y - p) * x).sum() - 1e-2 * a, (weights * (y - p)).sum() - 1e-2 * b])
         h = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
         step = np.linalg.solve(h, g)
         a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -2, 2))
@@ -193,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     words.unpersist()
     rows.unpersist()
     if len(seen):
-        scorer.curve = fit_logistic(seen["evidence"].to_numpy(float), seen["y"].to_numpy(float))
+        y = seen["y"].to_numpy(float)
+        # Both kinds weigh alike, so that 0.5 parts them however rare one is.
+        weights = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) if 0 < y.mean() < 1 else 1.0
+        scorer.curve = fit_logistic(seen["evidence"].to_numpy(float), y, weights)
     return scorer
 
 
