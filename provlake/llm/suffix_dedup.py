@@ -93,15 +93,16 @@ def suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def _emit_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, texts = b.column(0), [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+        ids, numbers, texts = b.column(0), b.column(2), [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
         sums = np.cumsum([len(t) + 1 for t in texts]) // BLOCK
         for block in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sums)) + 1):
             doc, at, heads, left, right = suffixes([texts[i] for i in block])
-            yield pa.RecordBatch.from_arrays([pa.array(heads.view("i8")), _binary(right), _binary(left), ids.take(pa.array(block[doc])), pa.array(at, pa.int32())], names=[*KEYS])
+            of = pa.array(block[doc])
+            yield pa.RecordBatch.from_arrays([pa.array(heads.view("i8")), _binary(right), _binary(left), ids.take(of), pa.array(at, pa.int32()), numbers.take(of)], names=[*KEYS, "row"])
 
 
 KEYS = ("head", "right", "left", "doc_id", "at")
-SUFFIX = "head long, right binary, left binary, doc_id long, at int"
+SUFFIX = "head long, right binary, left binary, doc_id long, at int, row long"
 #: Spans have no head; windows have the window's hash as head.
 FOUND = f"{SUFFIX}, stop int"
 
@@ -139,17 +140,17 @@ WINDOW_ROWS = 1 << 14
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare each sorted suffix with its nearest neighbours of other documents, before and after it, that share its head.
 
-    Yields (doc_id, at, stop) for passages, other columns null, and the windows (hash as head, doc_id, at, stop) of heads that
+    Yields (doc_id, at, row, stop) for passages, other columns null, and the windows (hash as head, doc_id, at, row, stop) of heads that
     other batches or partitions may hold too; at is null if the batch itself has settled the window's rows.
     """
-    schema = pa.schema([("head", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32())])
+    schema = pa.schema([("head", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32()), ("row", pa.int64())])
     carry, done = schema.empty_table(), 0  # done: rows of carry that have had their turn
 
     def turn(t: pa.Table, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         if hi <= lo:
             return
         t = t.combine_chunks()
-        head, at = t["head"].to_numpy(), t["at"].to_numpy()
+        head, at, row_no = t["head"].to_numpy(), t["at"].to_numpy(), t["row"].to_numpy()
         doc, known = t["doc_id"].fill_null(-(1 << 63)).to_numpy(), t["doc_id"].is_valid().to_numpy()
         n = len(head)
         new = np.concatenate(([True], (head[1:] != head[:-1]) | (doc[1:] != doc[:-1])))
@@ -174,17 +175,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.minimum.at(begin_, mine[long], at[mine[long]] - before[long])
             np.maximum.at(stop_, mine[long], at[mine[long]] + HEAD + after[long])
         for a in range(lo, hi, WINDOW_ROWS):
-            yield from windows(a, min(a + WINDOW_ROWS, hi), head, at, doc, known, left, right, most, shared, begin_, stop_)
+            yield from windows(a, min(a + WINDOW_ROWS, hi), head, at, row_no, doc, known, left, right, most, shared, begin_, stop_)
         hit = np.flatnonzero(stop_ >= 0)
         if len(hit):
-            yield rows_of(None, doc[hit], known[hit], pa.array(begin_[hit], pa.int32()), stop_[hit])
+            yield rows_of(None, doc[hit], known[hit], pa.array(begin_[hit], pa.int32()), row_no[hit], stop_[hit])
 
-    def rows_of(head: np.ndarray | None, doc: np.ndarray, known: np.ndarray, at: pa.Array, stop: np.ndarray) -> pa.RecordBatch:
+    def rows_of(head: np.ndarray | None, doc: np.ndarray, known: np.ndarray, at: pa.Array, row_no: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(doc))
         first = none.cast(pa.int64()) if head is None else pa.array(head)
-        return pa.RecordBatch.from_arrays([first, none.cast(pa.binary()), none.cast(pa.binary()), pa.array(doc, mask=~known), at, pa.array(stop, pa.int32())], names=[*KEYS, "stop"])
+        return pa.RecordBatch.from_arrays([first, none.cast(pa.binary()), none.cast(pa.binary()), pa.array(doc, mask=~known), at, pa.array(row_no), pa.array(stop, pa.int32())], names=[*KEYS, "row", "stop"])
 
-    def windows(lo: int, hi: int, head, at, doc, known, left, right, most, shared, begin_, stop_) -> Iterator[pa.RecordBatch]:
+    def windows(lo: int, hi: int, head, at, row_no, doc, known, left, right, most, shared, begin_, stop_) -> Iterator[pa.RecordBatch]:
         """Widen begin_ and stop_ of the rows lo..hi by the windows that documents among them share; yield the windows of heads that may go on elsewhere."""
         here = head[lo:hi]
         group = np.cumsum(np.concatenate(([0], here[1:] != here[:-1])))
@@ -225,7 +226,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told &= ~whole[group[row - lo]]
         if told.any():
             row, r, key, met = row[told], r[told], key[told], (many | met)[told]
-            yield rows_of(key, doc[row], known[row], pa.array(at[row] - (SIDE - r), pa.int32(), mask=met), at[row] + HEAD + r)
+            yield rows_of(key, doc[row], known[row], pa.array(at[row] - (SIDE - r), pa.int32(), mask=met), row_no[row], at[row] + HEAD + r)
 
     def runs(t: pa.Table) -> np.ndarray:
         head, doc = t["head"].to_numpy(), t["doc_id"].fill_null(-(1 << 63)).to_numpy()
@@ -248,20 +249,20 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Words are separated by ASCII white space and compared byte by byte; positions count words from 0, the end exclusive;
     overlapping and touching passages of a document are one row. Documents without such a passage, null and shorter texts
     have no row. Rows that share an id, and all rows without an id, count as one document each, so that what repeats only
-    inside it is not reported. Boundaries rest on 16-bit word hashes: one in 65,536 may lie a word too far,
+    inside it is not reported; each row's passages are its own, in the words of its text. Boundaries rest on 16-bit word hashes: one in 65,536 may lie a word too far,
     so that 49 words which many documents share may count as 50 in some.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_emit_suffixes, SUFFIX)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")).mapInArrow(_emit_suffixes, SUFFIX)
     ordered = rows.repartitionByRange(n, *KEYS).sortWithinPartitions(*KEYS)
     found = materialize(ordered.mapInArrow(_compare, FOUND), "suffixes")
-    windows = found.where("head is not null").select("head", "doc_id", "at", "stop")
+    windows = found.where("head is not null").select("head", "doc_id", "at", "row", "stop")
     # A missing id is a document of its own.
     named = F.coalesce("doc_id", F.lit(-(1 << 63)))
     common = windows.groupBy("head").agg(F.min(named).alias("_least"), F.max(named).alias("_most")).where("_least < _most").select("head")
-    windows = windows.where("at is not null").join(common, "head").select("doc_id", "at", "stop")
-    spans = found.where("head is null").select("doc_id", "at", "stop").unionByName(windows)
-    spans = spans.withColumn("reach", F.expr("max(stop) over (partition by doc_id order by at, stop rows between unbounded preceding and 1 preceding)"))
-    spans = spans.withColumn("island", F.expr("sum(case when at <= reach then 0 else 1 end) over (partition by doc_id order by at, stop rows unbounded preceding)"))
-    merged = spans.groupBy("doc_id", "island").agg(F.min("at").alias("start_word"), F.max("stop").alias("end_word"))
+    windows = windows.where("at is not null").join(common, "head").select("doc_id", "at", "row", "stop")
+    spans = found.where("head is null").select("doc_id", "at", "row", "stop").unionByName(windows)
+    spans = spans.withColumn("reach", F.expr("max(stop) over (partition by row order by at, stop rows between unbounded preceding and 1 preceding)"))
+    spans = spans.withColumn("island", F.expr("sum(case when at <= reach then 0 else 1 end) over (partition by row order by at, stop rows unbounded preceding)"))
+    merged = spans.groupBy("row", "island").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("start_word"), F.max("stop").alias("end_word"))
     return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))

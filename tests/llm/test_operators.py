@@ -121,6 +121,14 @@ def repeated(rows, least=50):
     return out
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    """Texts without an id, or with one id, keep passages of their own: never a span over both texts' words."""
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(None, f"{words('a', 60)} {words('x', 60)}"), (None, f"{words('y', 40)} {words('b', 60)}"), (1, words("a", 60)), (2, words("b", 60)), (3, words("c", 55)), (3, f"{words('z', 9)} {words('d', 55)}"), (4, f"{words('c', 55)} {words('d', 55)}")]
+    got = sorted((r.doc_id or 0, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(docs(spark, rows).repartition(3)).collect())
+    assert got == [(0, 0, 60), (0, 40, 100), (1, 0, 60), (2, 0, 60), (3, 0, 55), (3, 9, 64), (4, 0, 110)]
+
+
 def test_repeated_passages(spark, corpus):
     got = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(docs(spark, corpus).repartition(5)).collect()}
     assert got == repeated(corpus) and len(got) > 6
