@@ -48,10 +48,11 @@ def with_tree(docs: DataFrame, text: str, prefix: str) -> DataFrame:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Likeness of two trees, 0 to 1: 1 if the roots are equal, else distinct leaves in both over those of the larger."""
+    """Likeness of two fingerprints, 0 to 1: 1 if the roots are equal, else distinct leaves in both over those of the larger, n; at most
+    n / (n + 1), as the same leaves may stand in another order."""
     x, y = F.array_distinct(f"{a}_leaves"), F.array_distinct(f"{b}_leaves")
     most = F.greatest(F.size(x), F.size(y))
-    return F.when(F.col(f"{a}_root") == F.col(f"{b}_root"), 1.0).when(most == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(x, y)) / most, 6))
+    return F.when(F.col(f"{a}_root") == F.col(f"{b}_root"), 1.0).when(most == 0, 0.0).otherwise(F.round(F.least(F.size(F.array_intersect(x, y)) / most, most / (most + 1)), 6))
 
 
 def same_start(x: str, y: str) -> Column:
@@ -150,5 +151,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def serialized(prefix: str) -> Column:
-    """The root and the sections below it: enough to tell equal texts and to find the sections that differ."""
-    return F.concat(F.col(f"{prefix}_root"), F.lit(":"), F.array_join(F.transform(f"{prefix}_sections", lambda h: F.substring(h, 1, SECTION_DIGITS)), "."))
+    """The root, the sections below it and the leaves, apart by colons: enough to tell equal texts, to find the sections that differ and to
+    compute the likeness of two fingerprints from them alone."""
+    sections = F.array_join(F.transform(f"{prefix}_sections", lambda h: F.substring(h, 1, SECTION_DIGITS)), ".")
+    return F.concat_ws(":", f"{prefix}_root", sections, F.array_join(f"{prefix}_leaves", "."))

@@ -97,7 +97,8 @@ def _tree(text: str) -> str:
 
 _LIKE = """CASE WHEN {a}.root = {b}.root THEN 1.0
      WHEN greatest(len(list_distinct({a}.leaves)), len(list_distinct({b}.leaves))) = 0 THEN 0.0
-     ELSE round(len(list_intersect(list_distinct({a}.leaves), list_distinct({b}.leaves)))::DOUBLE / greatest(len(list_distinct({a}.leaves)), len(list_distinct({b}.leaves))), 6) END::DOUBLE"""
+     ELSE round(least(len(list_intersect(list_distinct({a}.leaves), list_distinct({b}.leaves)))::DOUBLE / greatest(len(list_distinct({a}.leaves)), len(list_distinct({b}.leaves))),
+       1 - 1::DOUBLE / (1 + greatest(len(list_distinct({a}.leaves)), len(list_distinct({b}.leaves))))), 6) END::DOUBLE"""
 
 
 def _sections(tree: str) -> str:
@@ -124,8 +125,8 @@ cut AS (SELECT *, {_sections('o_tree')} AS os, {_sections('e_tree')} AS es, {_se
 made AS (SELECT *, {_struct('o')} AS a, {_struct('e')} AS b, {_struct('n')} AS c,
   list_filter(generate_series(1, least(len(ot), len(ett)) + 1), lambda i: i > least(len(ot), len(ett)) OR ot[i] <> ett[i])[1] AS place FROM cut)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(et) AS edited_sha256,
-       a.root || ':' || array_to_string(list_transform(os, lambda h: h[1:{merkle.SECTION_DIGITS}]), '.') AS fingerprint,
-       b.root || ':' || array_to_string(list_transform(es, lambda h: h[1:{merkle.SECTION_DIGITS}]), '.') AS edited_fingerprint,
+       a.root || ':' || array_to_string(list_transform(os, lambda h: h[1:{merkle.SECTION_DIGITS}]), '.') || ':' || array_to_string(a.leaves, '.') AS fingerprint,
+       b.root || ':' || array_to_string(list_transform(es, lambda h: h[1:{merkle.SECTION_DIGITS}]), '.') || ':' || array_to_string(b.leaves, '.') AS edited_fingerprint,
        {_LIKE.format(a='a', b='b')} AS near_edited, {_LIKE.format(a='a', b='c')} AS near_next,
        len(list_distinct(list_filter(es, lambda s: NOT list_contains(os, s))))::BIGINT AS edit_sections,
        CASE WHEN t <> et THEN coalesce(list_sum(list_transform(ot[1:place - 1], lambda x: length(x))), 0)::BIGINT END AS edit_start

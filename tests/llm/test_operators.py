@@ -404,6 +404,24 @@ def test_difference_is_located(spark):
     assert 1 <= got[1].edit_sections <= 2 and 1 <= got[2].edit_sections <= 2
 
 
+def test_likeness_is_that_of_the_fingerprints(spark, corpus):
+    """Computed again from the two strings; the same leaves in another order are alike, not equal."""
+    rows = [(i, t) for i, t in corpus if i is not None] + [(900, "one.two.three."), (901, "two.one.three.")]
+    got = {r.doc_id: r for r in merkle.fingerprint_edits(docs(spark, list({i: (i, t) for i, t in rows}.values()))).collect()}
+
+    def like(a, b):
+        (ra, _, la), (rb, _, lb) = (x.split(":") for x in (a, b))
+        la, lb = (set(filter(None, x.split("."))) for x in (la, lb))
+        most = max(len(la), len(lb))
+        return 1.0 if ra == rb else 0.0 if not most else round(min(len(la & lb) / most, most / (most + 1)), 6)
+
+    ids = sorted(got)
+    for i, after in zip(ids, [*ids[1:], ids[0]]):
+        assert got[i].near_edited == pytest.approx(like(got[i].fingerprint, got[i].edited_fingerprint), abs=1e-6)
+        assert got[i].near_next == pytest.approx(like(got[i].fingerprint, got[after].fingerprint), abs=1e-6)
+    assert got[900].near_next == 0.75 and got[900].fingerprint != got[901].fingerprint
+
+
 # --- 6 ---
 
 
