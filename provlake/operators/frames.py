@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlake.functions.blocks import in_blocks, previous, ranked, running_sums
+from provlake.functions.storage import written
 
 
 def islands(df: DataFrame, keys: list[str], order: str, flag: Column, step: int = 1) -> DataFrame:
@@ -122,16 +123,43 @@ def neighbour_diffs(frames: DataFrame, first: int) -> DataFrame:
     return d.groupBy("media_id").agg(F.round(F.avg("_d"), 4).alias("mean"), F.round(F.stddev_pop("_d"), 4).alias("std"))
 
 
+#: Stretches of a frame whose means bound differences from below, and pairs of blocks of a medium that are searched first.
+PARTS, FIRST_PAIRS = 4, 8
+
+
+def _summaries(f: DataFrame) -> DataFrame:
+    """(media_id, _b, least, most: the range of each stretch's mean about the frame's mean, of the block's frames)."""
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x.cast("double")) / F.size(c)
+    cut = lambda j: F.floor(F.size("gray") * j / PARTS).cast("int")
+    rows = f.withColumn("_mean", mean(F.col("gray")))
+    share = [F.sqrt((cut(j + 1) - cut(j)) / F.size("gray")) for j in range(PARTS)]
+    parts = [F.when(cut(j + 1) > cut(j), share[j] * (mean(F.slice("gray", cut(j) + 1, F.greatest(cut(j + 1) - cut(j), F.lit(1)))) - F.col("_mean"))).otherwise(0.0) for j in range(PARTS)]
+    rows = rows.select("media_id", "_b", *(c.alias(f"_p{j}") for j, c in enumerate(parts)))
+    of = lambda agg: F.array(*(agg(f"_p{j}") for j in range(PARTS)))
+    return rows.groupBy("media_id", "_b").agg(of(F.min).alias("least"), of(F.max).alias("most"))
+
+
+def block_pairs(frames: DataFrame) -> DataFrame:
+    """(media_id, _a, _b, bound): all pairs of a medium's blocks, from one row a block, with a bound that no std of a difference of their
+    frames falls below: the distance of their boxes of stretch means, which are a projection of the frames."""
+    s = written(_summaries(frames))
+    side = lambda x: s.select("media_id", F.col("_b").alias(f"_{x}"), F.col("least").alias(f"lo_{x}"), F.col("most").alias(f"hi_{x}"))
+    pairs = side("a").join(side("b"), "media_id").where("_a <= _b")
+    gaps = F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    return pairs.select("media_id", "_a", "_b", F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda t, x: t + x * x)).alias("bound"))
+
+
 def best_frame_pairs(frames: DataFrame, distance: int, offset: int = 0, k: int = 50, block: int = 256) -> DataFrame:
     """(media_id, frame_a, frame_b, score): of all pairs at least `distance` apart the k with the lowest std of difference.
 
-    Frames are cut into blocks; each pair of blocks is one row of work that keeps its own k best, so a long medium's pairs
-    spread over tasks and only k rows of each meet.
+    Frames are cut into blocks, and pairs of blocks are the rows of work: dealt by (medium, a, b), each fetches its two blocks
+    and keeps its own k best. The pairs with the least bounds are searched first; what their k-th score rules out by its
+    bound is not searched at all.
     """
-    f = frames.where(F.col("frame_no") > offset).withColumn("_b", F.floor(F.col("frame_no") / block))
-    blocks = f.groupBy("media_id", "_b").agg(F.collect_list(F.struct("frame_no", "gray")).alias("rows"))
-    a, b = (blocks.select("media_id", F.col("_b").alias(f"_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
-    work = a.join(b, "media_id").where("_a <= _b").select("media_id", "rows_a", "rows_b")
+    f = written(frames.where(F.col("frame_no") > offset).select("media_id", "frame_no", "gray").withColumn("_b", F.floor(F.col("frame_no") / block)))
+    # A block of frames is one row.
+    blocks = written(f.groupBy("media_id", "_b").agg(F.collect_list(F.struct("frame_no", "gray")).alias("rows")))
+    pairs = written(block_pairs(f).withColumn("_k", F.expr("row_number() over (partition by media_id order by bound, _b - _a, _a)")))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +175,18 @@ def best_frame_pairs(frames: DataFrame, distance: int, offset: int = 0, k: int =
                 i, j = i[order], j[order]
                 yield pa.RecordBatch.from_arrays([pa.array([m] * len(i), pa.int64()), pa.array(fa[i], pa.int64()), pa.array(fb[j], pa.int64()), pa.array(score[i, j])], names=["media_id", "frame_a", "frame_b", "score"])
 
-    found = work.mapInArrow(best, "media_id long, frame_a long, frame_b long, score long")
-    return found.withColumn("_k", F.expr("row_number() over (partition by media_id order by score, frame_a, frame_b)")).where(F.col("_k") <= k).drop("_k")
+    def searched(work: DataFrame) -> DataFrame:
+        for x in "ab":
+            work = work.join(blocks.select("media_id", F.col("_b").alias(f"_{x}"), F.col("rows").alias(f"rows_{x}")), ["media_id", f"_{x}"])
+        found = work.select("media_id", "rows_a", "rows_b").mapInArrow(best, "media_id long, frame_a long, frame_b long, score long")
+        return found.withColumn("_k", F.expr("row_number() over (partition by media_id order by score, frame_a, frame_b)")).where(F.col("_k") <= k)
+
+    first = written(searched(pairs.where(F.col("_k") <= FIRST_PAIRS)))
+    reach = first.where(F.col("_k") == k).select("media_id", F.col("score").alias("_most"))
+    # A score is the std in thousandths, rounded down.
+    rest = pairs.where(F.col("_k") > FIRST_PAIRS).join(reach, "media_id", "left").where(F.col("_most").isNull() | (F.floor(F.col("bound") * 1000 - 1e-6) <= F.col("_most")))
+    both = first.drop("_k").unionByName(searched(rest).drop("_k"))
+    return both.withColumn("_k", F.expr("row_number() over (partition by media_id order by score, frame_a, frame_b)")).where(F.col("_k") <= k).drop("_k")
 
 
 # --- pixels: one row a picture; bytes stay out of shuffles -----------------------------------------------------------

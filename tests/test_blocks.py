@@ -81,6 +81,24 @@ def test_one_long_medium_spreads_over_tasks(spark, monkeypatch):
     assert "_block" in plan
 
 
+def test_pairs_that_a_bound_rules_out(spark):
+    """The k best pairs of all, bounds below every score, and blocks far apart that nobody searches."""
+    rng = random.Random(7)
+    base = [[rng.gauss(0, 1) * s for _ in range(12)] for s in (1, 300, 900)]
+    rows = [(m, i, [float(round(x + rng.gauss(0, 5))) for x in base[i // 20 % 3]]) for m, n in ((1, 120), (2, 30)) for i in range(1, n + 1)]
+    f = spark.createDataFrame(rows, "media_id long, frame_no long, gray array<double>")
+    std = lambda a, b: (sum(((x - y) - sum(p - q for p, q in zip(a, b)) / len(a)) ** 2 for x, y in zip(a, b)) / len(a)) ** 0.5
+    pairs = sorted((m, int(std(a, b) * 1000 + 1e-9), i, j) for m, i, a in rows for k, j, b in rows if m == k and j - i >= 5)
+    want = [(m, i, j, s) for x in (1, 2) for m, s, i, j in [p for p in pairs if p[0] == x][:9]]
+    got = sorted(((r.media_id, r.frame_a, r.frame_b, r.score) for r in frames.best_frame_pairs(f, 5, 0, 9, block=10).collect()), key=lambda r: (r[0], r[3], r[1], r[2]))
+    assert got == want
+    bounds = {(r.media_id, r["_a"], r["_b"]): r.bound for r in frames.block_pairs(f.withColumn("_b", F.floor(F.col("frame_no") / 10))).collect()}
+    for m, s, i, j in pairs:
+        assert bounds[m, i // 10, j // 10] * 1000 <= s + 1.001
+    most = max(r[3] for r in want if r[0] == 1)
+    assert sum(b * 1000 > most + 1 for (m, *_), b in bounds.items() if m == 1) > len([1 for m, *_ in bounds if m == 1]) / 3
+
+
 def test_overlaps_of_long_segments(spark):
     rng = random.Random(4)
     rows = [(1, "video", 30.0, i, (a := rng.randint(1, 2000)), a + rng.choice([0, 5, 700])) for i in range(80)]
