@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provlake.functions import scalars
-from provlake.operators import catalog, media_checks, metadata, rollups, rules, segments
+from provlake.operators import catalog, media_checks, metadata, rollups, rules, segments, upgrades
 
 from . import program_sql
 from .fixture import view, wide_edges, with_views
@@ -247,6 +247,25 @@ def q_recalc(spark, d):
     return a.join(b, ["set_id", "seg_no"])
 
 
+def q_upgraded(spark, d):
+    """Journals of four ages; operations and arguments by old names."""
+    j = view(spark, d, "journals").withColumn("jt_upgrades", F.expr("case project_id % 4 when 1 then array('04.0810.9381e76724') when 2 then array('x', '0.5.0918.b14aff2910') when 3 then array('0.6.0531.ce60889744') end"))
+    names = "array('ColorBlendDissolve', 'SelectRemoveFromFrames', 'TransformContentAwareScale', 'BlurMotion', 'ColorColorBalance', 'OutputPng', 'AudioPan', 'TransformSeamCarving')"
+    times = "map('Insertion Start Time', concat('00:00:', 10 + src % 50, ':', dst % 30), 'Left', cast(dst as string), 'Blur Type', if(src % 2 = 0, 'Motion', 'Gaussian'))"
+    e = view(spark, d, "wide").withColumns({
+        "op": F.expr(f"element_at({names}, cast(dst % 8 as int) + 1)"), "arguments": F.expr(f"map_filter({times}, (k, v) -> k <> 'Left' or src % 3 = 0)"), "filetype": F.col("media_type"), "rate": F.expr("if(src % 5 > 0, 25D, null)"),
+        "description": F.expr("case dst % 3 when 0 then concat('angle ', 10 + dst % 80, ' and distance ', 1 + src % 50) when 1 then concat('a radius of ', dst % 10, ' pixels') end"), "recordMaskInComposite": F.expr("if(dst % 2 = 0, 'true', 'no')"),
+        "global": F.expr("if(src % 2 = 0, 'yes', 'no')"), "change_category": F.lit("large"), "change_ratio": F.expr("cast(dst % 10 as double) / 10"), "mask_pixels": F.expr("cast(1000 * (src % 20) as bigint)"),
+        "softwareName": F.expr("if(dst % 4 = 0, if(dst % 8 = 0, '', 'No Software'), software)"), "category": F.expr("if(dst % 8 = 5, 'Output', 'Other')"), "flatdiff": F.expr("if(dst % 2 = 0, map('0:codec', cast(src as string), '1:rate', cast(dst as string), 'x', 'y'), null)"),
+    })
+    out = upgrades.upgraded(e.select("project_id", "src", "dst", *(c for c in upgrades.COLUMNS if c in e.columns)), j)
+    arg = lambda k, name: F.coalesce(F.try_element_at("arguments", F.lit(k)), F.lit("-")).alias(name)
+    return out.select(
+        "project_id", "src", "dst", "op", arg("mode", "mode"), arg("Start Time", "start"), arg("Left Pan", "pan"), arg("purpose", "purpose"), arg("inputmasktype", "masktype"), arg("Blur Radius", "radius"), arg("Blur Angle", "angle"), arg("Lens Distortion Applied", "lens"),
+        "recordMaskInComposite", F.col("global").alias("widely"), "change_category", F.coalesce("softwareName", F.lit("-")).alias("software"), F.coalesce(F.try_element_at("metadatadiff", F.lit("1"))["rate"], F.lit("-")).alias("rate"), F.coalesce(F.size("applied"), F.lit(0)).alias("fixes"),
+    )
+
+
 def q_frame_ops(spark, d):
     """Every frame operation, on video and on sound, both ways."""
     names = "array('DeleteFrames', 'InsertFrames', 'PasteFrames', 'Blur', 'CopyPaste', 'CropFrames', 'Reverse', 'AddAudio', 'DeleteAudio', 'ReplaceAudio', 'OutputMp4')"
@@ -309,7 +328,7 @@ QUERIES = {
     "spec_values": q_specs, "best_qtable": q_qtable, "exif_sheet": q_exif, "sheet_checks": q_sheet, "resolution_checks": q_resolutions, "not_in_sheet": q_not_in_sheet, "keyword_rows": q_keywords, "ingest_columns": q_ingest,
     "attached_seeds": q_seeds, "needed_fixes": q_fixes, "rename_ops": q_rename_ops, "journal_flags": q_flags, "rename_keys": q_rename_keys, "rotation_flags": q_rotation, "replace_value": q_replace, "backfill_segments": q_backfill,
     "plain_times": q_plain_times, "md5_names": q_md5, "list_check": q_list_check, "empty_mask_edges": q_empty_masks, "stream_ids": q_streams, "stream_diff": q_stream_diff, "packet_diff": q_packets, "rate_change": q_rates,
-    "frame_rates": q_frame_rates, "text_scalars": q_scalars, "nested_paths": q_paths, "packet_summary": q_packet_summary, "group_work": q_work, "recalculated": q_recalc, "frame_ops": q_frame_ops, "mask_at": q_mask_at, "resampled_masks": q_resample,
+    "frame_rates": q_frame_rates, "text_scalars": q_scalars, "nested_paths": q_paths, "packet_summary": q_packet_summary, "group_work": q_work, "recalculated": q_recalc, "frame_ops": q_frame_ops, "upgraded_journals": q_upgraded, "mask_at": q_mask_at, "resampled_masks": q_resample,
 }
 
 _N, _F, _SB = with_views("nodes"), with_views("frames"), with_views("segments", "bounds")
@@ -403,6 +422,23 @@ SELECT file, stream, key, CASE WHEN old IS NULL THEN 'add' WHEN new IS NULL THEN
   floor(round(endframe * 17.5::DOUBLE * 30 / 1000, 6))::BIGINT - floor(round(startframe * 17.5::DOUBLE * 30 / 1000, 6))::BIGINT + 1 AS frames, round((startframe - 1) * 1000 / 30.0::DOUBLE, 4) AS starttime, round((endframe - 1) * 1000 / 30.0::DOUBLE, 4) AS endtime FROM segments""",
     "frame_ops": f"""{_SB}, {_OPS}, q AS (SELECT side, set_id, p.n AS seg_no, type, p.s AS startframe, p.e AS endframe FROM p WHERE p.s <= p.e)
 SELECT * FROM q WHERE seg_no > 0 UNION ALL (SELECT DISTINCT * FROM q WHERE seg_no = 0)""",
+    "upgraded_journals": f"""{with_views('wide')}, a AS (SELECT project_id, src, dst, media_type, CASE project_id % 4 WHEN 1 THEN 4 WHEN 2 THEN 7 WHEN 3 THEN 9 ELSE 0 END AS l,
+  ['ColorBlendDissolve', 'SelectRemoveFromFrames', 'TransformContentAwareScale', 'BlurMotion', 'ColorColorBalance', 'OutputPng', 'AudioPan', 'TransformSeamCarving'][dst % 8 + 1] AS o, src % 3 = 0 AS lefty,
+  CASE dst % 4 WHEN 0 THEN '' ELSE software END AS sw, CASE WHEN dst % 8 = 0 THEN '' WHEN dst % 4 = 0 THEN 'No Software' ELSE software END AS soft, concat('00:00:', 10 + src % 50, ':', dst % 30) AS t, dst % 8 AS k FROM wide),
+u AS (SELECT project_id, arg_min(sw, ROW(-n, sw)) AS used FROM (SELECT project_id, sw, count(*) AS n FROM a WHERE sw <> '' GROUP BY 1, 2) GROUP BY 1),
+b AS (SELECT a.*, used, CASE WHEN l < 1 AND k = 0 THEN 'Blend' WHEN l < 1 AND k = 4 THEN 'ColorBalance' WHEN l < 3 AND k = 6 THEN 'AudioAmplify' WHEN l < 3 AND k = 1 THEN 'ContentAwareFill' ELSE o END AS o1 FROM a LEFT JOIN u USING (project_id)),
+c AS (SELECT *, CASE WHEN l < 8 AND media_type = 'video' AND o1 IN ('TransformContentAwareScale', 'ContentAwareFill') THEN 'PasteSampled' WHEN l < 8 AND o1 = 'TransformContentAwareScale' THEN 'TransformSeamCarving' ELSE o1 END AS o2,
+  CASE WHEN dst % 3 = 0 THEN concat(10 + dst % 80, '') END AS ang, CASE WHEN dst % 3 = 0 THEN concat(1 + src % 50, '') END AS dist, CASE WHEN dst % 3 = 1 THEN concat(dst % 10, '') END AS rad,
+  (10 + src % 50) * 1000000 + CASE WHEN src % 5 > 0 THEN floor(dst % 30 * 1000.0 / 25)::BIGINT * 1000 ELSE 0 END AS us FROM b)
+SELECT project_id, src, dst, o2 AS op, CASE WHEN l < 1 AND k = 0 THEN 'Dissolve' ELSE '-' END AS mode,
+  CASE WHEN l >= 2 THEN '-' ELSE concat('00:', printf('%02d', us // 60000000), ':', printf('%02d', us // 1000000 % 60), '.', printf('%06d', us % 1000000)) END AS start,
+  CASE WHEN l < 3 AND k IN (1, 6) AND lefty THEN dst::VARCHAR ELSE '-' END AS pan, CASE WHEN l < 3 AND k = 1 THEN 'remove' ELSE '-' END AS purpose,
+  CASE WHEN l < 8 AND k = 2 AND media_type <> 'video' THEN 'keep' WHEN l < 8 AND k = 7 THEN 'color' ELSE '-' END AS masktype,
+  CASE WHEN l >= 9 OR o2 NOT LIKE 'Blur%' THEN '-' WHEN src % 2 = 0 THEN coalesce(dist, '0') ELSE coalesce(rad, '0') END AS radius, CASE WHEN l >= 9 OR o2 NOT LIKE 'Blur%' THEN '-' WHEN src % 2 = 0 THEN coalesce(ang, '0') ELSE '0' END AS angle,
+  CASE WHEN l < 8 AND k = 5 THEN 'no' ELSE '-' END AS lens, CASE WHEN l < 5 AND k = 5 THEN 'no' WHEN dst % 2 = 1 THEN 'no' WHEN l < 5 THEN 'yes' ELSE 'true' END AS "recordMaskInComposite",
+  CASE WHEN src % 2 = 1 OR (l < 9 AND o2 LIKE '%Color%') THEN 'no' ELSE 'yes' END AS widely,
+  CASE WHEN l < 9 AND src % 2 = 1 AND dst % 10 > 0 THEN CASE WHEN dst % 10 / 10.0::DOUBLE * (1000 * (src % 20)) < 2500 THEN 'small' WHEN dst % 10 / 10.0::DOUBLE * (1000 * (src % 20)) < 10000 THEN 'medium' ELSE 'large' END ELSE 'large' END AS change_category,
+  coalesce(CASE WHEN l < 7 AND sw = '' THEN coalesce(used, soft) ELSE soft END, '-') AS software, CASE WHEN l < 7 AND dst % 2 = 0 THEN dst::VARCHAR ELSE '-' END AS rate, 9 - l AS fixes FROM c""",
     "mask_at": f"""{_F} SELECT media_id AS segment_id, arg_min(frame_no, ROW(frame_no * 40 > media_id % 9 * 150, abs(frame_no * 40 - media_id % 9 * 150))) AS frame_no, arg_min(frame_no * 40.0::DOUBLE, ROW(frame_no * 40 > media_id % 9 * 150, abs(frame_no * 40 - media_id % 9 * 150))) AS time_ms FROM frames GROUP BY 1""",
     "resampled_masks": f"""{_F}, n AS (SELECT media_id, count(*) AS n FROM frames GROUP BY 1), w AS (SELECT *, CASE media_id % 3 WHEN 0 THEN n * 2 WHEN 1 THEN n // 2 + 1 ELSE n + 5 END AS m FROM n),
 g AS (SELECT *, unnest(generate_series(0, m - 1)) AS j FROM w) SELECT media_id AS segment_id, floor(j * n::DOUBLE / m)::BIGINT + 1 AS frame_no, j + 1 AS new_no FROM g""",
