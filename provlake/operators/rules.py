@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.functions.scalars import file_type, suffix, valid_coordinates, valid_time
+from provlake.functions.scalars import file_type, suffix, time_to_ms, valid_coordinates, valid_time
 
 from . import lineage
+from .segments import from_constraints
 
 P = "project_id"
 INFO, WARNING, ERROR, CRITICAL = 1, 2, 3, 4
@@ -35,8 +36,10 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def graph_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Isolated nodes, nodes with a donor as their only predecessor, parts apart from the rest, cycles, repeated final files."""
+def graph_rules(nodes: DataFrame, edges: DataFrame, journals: DataFrame | None = None, current: str | None = None) -> DataFrame:
+    """Isolated nodes, nodes with a donor as their only predecessor, parts apart from the rest, a journal's cycles (at the smallest node that
+    lies on one), repeated final files; with journals (project_id, version, jt_upgrades) those of another version than the current one or
+    not upgraded to their own, without a node."""
     d = lineage.degrees(nodes, edges)
     at = {"start": "node_id", "end": "node_id"}
     isolated = messages(d.where("n_in + n_out = 0"), ERROR, "graph", "is not connected to other nodes", **at)
@@ -44,14 +47,19 @@ def graph_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parts = lineage.components(nodes, edges)
     many = parts.groupBy(P).agg(F.min("component").alias("_main"), F.count_distinct("component").alias("_n")).where("_n > 1")
     apart = parts.where("component = node_id").join(many, P).where("component <> _main").select(P, "node_id")
-    cycle = messages(lineage.cycle_nodes(nodes, edges), CRITICAL, "graph", "lies on a cycle", **at)
+    cycle = messages(lineage.cycle_nodes(nodes, edges).groupBy(P).agg(F.min("node_id").alias("node_id")), ERROR, "graph", "has a cycle", **at)
     finals = nodes.join(d.where("n_out = 0").select(P, "node_id"), [P, "node_id"], "left_semi")
     twice = finals.withColumn("_k", F.expr("count(*) over (partition by project_id, file)")).where("_k > 1")
-    return union([isolated, donor, messages(apart, ERROR, "graph", "is part of a separate graph", **at), cycle, messages(twice, ERROR, "graph", "repeats another final file", **at)])
+    found = [isolated, donor, messages(apart, ERROR, "graph", "is part of a separate graph", **at), cycle, messages(twice, ERROR, "graph", "repeats another final file", **at)]
+    if journals is not None:
+        fresh = F.coalesce(F.array_contains("jt_upgrades", F.col("version")), F.lit(False)) & F.col("version").eqNullSafe(F.lit(current))
+        found.append(messages(journals.where(~fresh).withColumn("node_id", F.lit(None).cast(nodes.schema["node_id"].dataType)), ERROR, "graph", "journal is not upgraded", **at))
+    return union(found)
 
 
 def node_rules(nodes: DataFrame, edges: DataFrame, listing: DataFrame | None = None, provenance: bool = False) -> DataFrame:
-    """R2: bad characters in a file name, suffix not lower case, final not named by its MD5, more than one base, file not in the listing."""
+    """R2: bad characters in a file name, suffix not lower case, final not named by its MD5 or hidden by a proxy (where nodes have a
+    proxyfile), more than one base, file not in the listing."""
     at = {"start": "node_id", "end": "node_id"}
     out = [
         messages(nodes.where(F.col("file").rlike(r"[^A-Za-z0-9_.\-/ ]")), ERROR, "node", "file name has bad characters", **at),
@@ -60,6 +68,8 @@ def node_rules(nodes: DataFrame, edges: DataFrame, listing: DataFrame | None = N
     labels = lineage.label_nodes(nodes, edges)
     finals = nodes.join(labels.where("label = 'final'"), [P, "node_id"], "left_semi")
     out.append(messages(finals.where(~F.col("file").rlike(r"(^|/)[0-9a-f]{32}\.[^.]+$")), WARNING, "node", "final is not named by its MD5", **at))
+    if "proxyfile" in nodes.columns:
+        out.append(messages(finals.where("proxyfile is not null"), ERROR, "node", "final is hidden by a proxy", **at))
     if not provenance:
         bases = labels.where("label = 'base'").withColumn("_k", F.expr("count(*) over (partition by project_id)"))
         out.append(messages(bases.where("_k > 1"), ERROR, "node", "is one of several bases", **at))
@@ -176,6 +186,39 @@ def time_rules(edges: DataFrame, bounds: DataFrame, recorded: DataFrame, toleran
     return union(out)
 
 
+def _entered(name: str) -> Column:
+    """The time argument whose name ends so, the first by name."""
+    keys = F.array_sort(F.filter(F.map_keys("arguments"), lambda k: k.endswith(name)))
+    return time_to_ms(F.try_element_at("arguments", F.get(keys, F.lit(0))))
+
+
+@register("entered_times")
+def entered_time_rules(edges: DataFrame, recorded: DataFrame, frames: int = 1, ms: float = 100.0, compat: bool = False) -> DataFrame:
+    """Times that were entered (arguments that end with Start Time or End Time) against the recorded segments: of video in frames,
+    of sound in milliseconds; a start without any segment. edges: project_id, src, dst, media_type, rate, arguments; recorded: dst, type, start
+    and stop (the least and the greatest frame). Only edges of sound and video count. compat: the start is never compared.
+    """
+    e = edges.where("media_type in ('audio', 'video')").withColumns({"_s": _entered("Start Time"), "_e": _entered("End Time")})
+    bound = from_constraints(F.col("_s"), F.col("_e"), F.col("rate"))
+    e = e.withColumns({"_b": bound}).withColumns({"_start": F.when(F.col("_s").isNotNull(), F.col("_b.startframe")), "_stop": F.when(F.col("_e").isNotNull(), F.col("_b.endframe"))})
+    none = e.where("_s is not null").join(recorded.select("dst").distinct(), "dst", "left_anti")
+    j = e.join(recorded.select("dst", "type", "start", "stop"), "dst")
+    off = lambda entered, found: F.when(F.col("type") == "audio", F.abs(F.col(entered) - F.col(found)) * 1000 / F.col("rate") > ms).otherwise(F.abs(F.col(entered) - F.col(found)) > frames)
+    what = F.when(F.col("type") == "audio", "time").otherwise("frame")
+    out = [messages(none, ERROR, "entered_times", "change masks are missing"), messages(j.where(off("_stop", "stop")), WARNING, "entered_times", F.concat(F.lit("end "), what, F.lit(" differs from the detected end")))]
+    if not compat:
+        out.append(messages(j.where(off("_start", "start")), WARNING, "entered_times", F.concat(F.lit("start "), what, F.lit(" differs from the detected start"))))
+    return union(out)
+
+
+@register("audio_time_format")
+def audio_time_format_rules(edges: DataFrame) -> DataFrame:
+    """Start Time and End Time of sound that count frames; the end is told first, and alone."""
+    frames = lambda name: F.coalesce(time_to_ms(F.try_element_at("arguments", F.lit(name))).frames, F.lit(0)) > 1
+    e = edges.withColumns({"_e": frames("End Time"), "_s": frames("Start Time")})
+    return union([messages(e.where("_e"), ERROR, "audio_time_format", "end time has a frame number"), messages(e.where("_s and not _e"), ERROR, "audio_time_format", "start time has a frame number")])
+
+
 @register("donor")
 def donor_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Paste operations without a donor edge into their result."""

@@ -223,7 +223,9 @@ def q_graph_rules(spark, d):
     # A link back from the last to the first node of a plain edge in some journals makes cycles.
     back = e.where("project_id % 10 = 0 and op <> 'OutputPng'").groupBy("project_id").agg(F.min_by(F.struct("src", "dst"), F.struct("dst", "src")).alias("x"))
     back = back.select("project_id", F.col("x.dst").alias("src"), F.col("x.src").alias("dst"), F.lit("Blur").alias("op"))
-    return rules.graph_rules(n, e.where("op <> 'OutputPng'").unionByName(back))
+    j = view(spark, d, "journals").selectExpr("project_id", "if(project_id % 3 > 0, '0.6', '0.5') as version", "case project_id % 4 when 0 then array('0.5', '0.6') when 1 then array('0.6') when 2 then array('0.5') end as jt_upgrades")
+    out = rules.graph_rules(n, e.where("op <> 'OutputPng'").unionByName(back), j, "0.6")
+    return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("start", "end")})
 
 
 def q_node_rules_messages(spark, d):
@@ -233,6 +235,7 @@ def q_node_rules_messages(spark, d):
     named = n.join(listing.withColumn("_l", F.lit(True)), "file", "left")
     file = F.expr("case node_id % 10 when 0 then concat('x~', file) when 1 then concat(substring_index(file, '.', 1), '.', upper(substring_index(file, '.', -1))) when 2 then concat(md5(file), '.', substring_index(file, '.', -1)) else file end")
     named = named.withColumn("file", file).withColumn("_l", F.when(F.col("_l"), F.col("file")))
+    named = named.withColumn("proxyfile", F.expr("if(node_id % 6 = 0, 'p', null)"))
     return rules.node_rules(named.drop("_l"), e, named.where("_l is not null").select("file"))
 
 
@@ -263,6 +266,14 @@ def q_time_rules(spark, d):
     return rules.time_rules(e, view(spark, d, "bounds"), b)
 
 
+def q_entered(spark, d):
+    """Entered times of all edges, some with frames, against the segments of their end; some of sound told with frame numbers."""
+    times = "map('Insertion Start Time', concat('00:00:0', 2 + dst % 7, '.', 100 + src % 900, if(dst % 3 = 0, concat(':', 1 + dst % 5), '')), 'End Time', concat('00:00:1', src % 3, if(dst % 4 = 0, concat(':', dst % 6), '.5')))"
+    e = view(spark, d, "wide").withColumns({"arguments": F.expr(times), "rate": F.lit(30.0)})
+    found = view(spark, d, "segments").where("set_id % 5 > 0").groupBy(F.col("set_id").alias("dst"), "type").agg(F.min("startframe").alias("start"), F.max("endframe").alias("stop"))
+    return rules.entered_time_rules(e, found).unionByName(rules.audio_time_format_rules(e.where("media_type = 'audio'")))
+
+
 def q_donor_rules(spark, d):
     return rules.donor_rules(*_ne(spark, d))
 
@@ -315,7 +326,7 @@ _NODE_MESSAGES = f"""{DEG}, lab AS (SELECT n.*, d.n_out, CASE WHEN n_in = 0 AND
   FROM nodes n JOIN deg d ON d.project_id = n.project_id AND d.node_id = n.node_id), b AS (SELECT *, count(*) OVER (PARTITION BY project_id) AS k FROM lab WHERE label = 'base'),
 m AS ({' UNION ALL '.join([
     _msg(3, "node", "file name has bad characters", "nodes WHERE node_id % 10 = 0", **_NODE_AT), _msg(2, "node", "suffix is not lower case", "nodes WHERE node_id % 10 = 1", **_NODE_AT),
-    _msg(2, "node", "final is not named by its MD5", "lab WHERE label = 'final' AND node_id % 10 <> 2", **_NODE_AT), _msg(3, "node", "is one of several bases", "b WHERE k > 1", **_NODE_AT), _msg(3, "node", "file is missing", "nodes WHERE r % 7 = 0", **_NODE_AT),
+    _msg(2, "node", "final is not named by its MD5", "lab WHERE label = 'final' AND node_id % 10 <> 2", **_NODE_AT), _msg(3, "node", "is one of several bases", "b WHERE k > 1", **_NODE_AT), _msg(3, "node", "final is hidden by a proxy", "lab WHERE label = 'final' AND node_id % 6 = 0", **_NODE_AT), _msg(3, "node", "file is missing", "nodes WHERE r % 7 = 0", **_NODE_AT),
 ])})"""
 
 QUERIES = {
@@ -327,7 +338,7 @@ QUERIES = {
     "rule_rollups": q_rollups, "final_node_properties": q_final_properties, "project_properties": q_project_properties, "unit_count": q_units,
     "provenance": q_provenance, "composite_size": q_composite_size, "create_time": q_create_time, "edge_bounds": q_edge_bounds,
     "graph_rules": q_graph_rules, "node_rules": q_node_rules, "node_messages": q_node_messages, "dictionary_rules": q_dictionary, "media_rules": q_media_rules, "length_rules": q_length_rules,
-    "time_rules": q_time_rules, "donor_rules": q_donor_rules, "type_rules": q_type_rules, "registry_rules": q_registry, "user_rules": q_users,
+    "time_rules": q_time_rules, "entered_times": q_entered, "donor_rules": q_donor_rules, "type_rules": q_type_rules, "registry_rules": q_registry, "user_rules": q_users,
 }
 
 #: Edges with what their programs need, and a segment after or before one.
@@ -459,6 +470,18 @@ v AS (SELECT project_id, final, bool_or({_HAS['blurred']}) AS blurred, bool_or({
     "composite_size": _sql(CLOSURE, "SELECT project_id, final, ['', 'small', 'medium', 'large'][max(CASE op WHEN 'PasteSplice' THEN 3 WHEN 'TimeWarp' THEN 2 WHEN 'Blur' THEN 1 ELSE 0 END) + 1] AS size FROM closure GROUP BY 1, 2"),
     "create_time": _sql("", "SELECT project_id, CAST(min(ctime) AS VARCHAR) AS createtime FROM nodes GROUP BY 1", "nodes"),
     "edge_bounds": _sql("", "SELECT set_id, type, min(startframe) AS start, max(endframe) AS stop FROM segments GROUP BY 1, 2", "segments"),
+    "entered_times": _sql(
+        """t AS (SELECT *, (2 + dst % 7) * 1000 + 100 + src % 900 AS s_ms, CASE WHEN dst % 3 = 0 THEN 1 + dst % 5 ELSE 0 END AS s_f, (10 + src % 3) * 1000 + CASE WHEN dst % 4 = 0 THEN 0 ELSE 500 END AS e_ms, CASE WHEN dst % 4 = 0 THEN dst % 6 ELSE 0 END AS e_f
+  FROM wide WHERE media_type IN ('audio', 'video')),
+f AS (SELECT *, floor(round(s_ms * 30 / 1000.0::DOUBLE, 6))::BIGINT + 1 + s_f AS s0, floor(round(e_ms * 30 / 1000.0::DOUBLE, 6))::BIGINT + 1 + e_f AS e0 FROM t),
+r AS (SELECT set_id, type, min(startframe) AS a, max(endframe) AS z FROM segments WHERE set_id % 5 > 0 GROUP BY 1, 2),
+j AS (SELECT f.*, r.type, r.a, r.z, CASE WHEN r.type = 'audio' THEN 'time' ELSE 'frame' END AS what, CASE WHEN r.type = 'audio' THEN abs(s0 - a) * 1000 / 30.0::DOUBLE > 100 ELSE abs(s0 - a) > 1 END AS soff,
+  CASE WHEN r.type = 'audio' THEN abs(e0 - z) * 1000 / 30.0::DOUBLE > 100 ELSE abs(e0 - z) > 1 END AS eoff FROM f JOIN r ON r.set_id = f.dst)""",
+        """SELECT project_id, 3 AS severity, src AS start, dst AS "end", 'entered_times' AS module, 'change masks are missing' AS message FROM f WHERE dst NOT IN (SELECT set_id FROM r)
+UNION ALL SELECT project_id, 2, src, dst, 'entered_times', concat('end ', what, ' differs from the detected end') FROM j WHERE eoff UNION ALL SELECT project_id, 2, src, dst, 'entered_times', concat('start ', what, ' differs from the detected start') FROM j WHERE soff
+UNION ALL SELECT project_id, 3, src, dst, 'audio_time_format', 'end time has a frame number' FROM t WHERE media_type = 'audio' AND e_f > 1""",
+        "wide", "segments",
+    ),
     "graph_rules": _sql(
         f"""first_ AS (SELECT project_id, arg_min(ROW(src, dst), ROW(dst, src)) AS x FROM edges_ WHERE project_id % 10 = 0 AND op <> 'OutputPng' GROUP BY 1),
 edges AS (SELECT project_id, src, dst, op FROM edges_ WHERE op <> 'OutputPng' UNION ALL SELECT project_id, x[2], x[1], 'Blur' FROM first_), {DEG},
@@ -471,7 +494,8 @@ dup AS (SELECT n.project_id, n.node_id, count(*) OVER (PARTITION BY n.project_id
             _msg(3, "graph", "has a donor but no other predecessor", "deg WHERE n_in = 1 AND n_in_plain = 0", **_NODE_AT),
             _msg(3, "graph", "is part of a separate graph", "(SELECT comp.project_id, node_id FROM comp JOIN main ON main.project_id = comp.project_id WHERE c = node_id AND c <> m)", **_NODE_AT),
             _msg(3, "graph", "repeats another final file", "dup WHERE k > 1", **_NODE_AT),
-            _msg(4, "graph", "lies on a cycle", "(SELECT DISTINCT project_id, a AS node_id FROM cy WHERE a = b)", **_NODE_AT),
+            _msg(3, "graph", "has a cycle", "(SELECT project_id, min(a) AS node_id FROM cy WHERE a = b GROUP BY 1)", **_NODE_AT),
+            _msg(3, "graph", "journal is not upgraded", "(SELECT c_custkey AS project_id, -1 AS node_id FROM customer WHERE NOT (c_custkey % 3 > 0 AND c_custkey % 4 < 2))", **_NODE_AT),
         ]),
     ).replace("edges AS (\nSELECT b.project_id", "edges_ AS (\nSELECT b.project_id", 1),
     "node_rules": _sql(_NODE_MESSAGES, "SELECT project_id, bool_or(severity >= 3) AS has_error, count(*) FILTER (WHERE severity >= 3) AS n_error, count(*) FILTER (WHERE severity = 2) AS n_warning FROM m GROUP BY 1"),
