@@ -9,6 +9,8 @@ holds more than a block, however large a group is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +80,12 @@ def climb(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return out.drop(*inner).withColumnRenamed(f"_d{bits}", "_top")
 
 
-def tree(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """nodes(grp, pos, n, digest, ...) with `path` and `subroot`, by rounds of blocks; grp is not null."""
+def tree(nodes: DataFrame, bits: int = BITS, above: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """nodes(grp, pos, n, digest, ...) with `path` and `subroot`, by rounds of blocks; grp is not null.
+
+    above: adds to the groups' (grp, subroot) columns, of which `outer` is a path that goes on from the subroot. They are joined where a group is
+    one block, and come down block by block, so no join deals rows by group alone.
+    """
     kept, rounds = [], nodes
     while True:
         climbed = materialize(climb(rounds, bits), "blocks")
@@ -92,11 +98,12 @@ def tree(nodes: DataFrame, bits: int = BITS) -> DataFrame:
         rounds = heads.select("grp", F.col("_block").alias("pos"), count.alias("n"), F.col("_top").alias("digest"))
     last = kept.pop()
     tops = last.where(F.col("_top").isNotNull()).select("grp", F.col("_top").alias("subroot"))
-    done = last.join(tops, "grp").withColumnRenamed("_path", "path").drop("_block", "_top")
+    tops = above(tops) if above else tops.withColumn("outer", F.array().cast("array<string>"))
+    done = last.join(tops, "grp").withColumn("path", F.concat("_path", "outer")).drop("_path", "_block", "_top", "outer")
+    more = [c for c in tops.columns if c not in ("grp", "outer")]
     while kept:
-        below = kept.pop()
-        above = done.select("grp", F.col("pos").alias("_block"), F.col("path").alias("_above"), "subroot")
-        joined = below.join(above, ["grp", "_block"])
+        upper = done.select("grp", F.col("pos").alias("_block"), F.col("path").alias("_above"), *more)
+        joined = kept.pop().join(upper, ["grp", "_block"])
         done = joined.withColumn("path", F.concat("_path", "_above")).drop("_path", "_above", "_block", "_top")
     return done
 
@@ -119,16 +126,18 @@ def manifest(leaves: DataFrame, group: str, order: str, leaf: str = "leaf", bits
     places without a change of any digest but their paths). Groups stand in ascending byte order, null first; a null group is
     a group of its own. Other columns stay. An empty table gives no rows.
     """
-    # A null group is told from every text by the mark before the name.
-    name = F.coalesce(F.concat(F.lit("+"), F.col(group).cast("string")), F.lit("-"))
-    held = leaves.select(F.struct("*").alias("row"), name.alias("grp"), F.col(group).alias("name"), F.col(order).alias("key"), F.col(leaf).alias("digest"), F.monotonically_increasing_id().alias("tie"))
-    inner = tree(numbered(materialize(held, "leaves"), "name", "key", "digest", "tie"), bits)
-    tops = inner.where("pos = 0").select("grp", "name", F.col("subroot").alias("digest"), F.lit(0).alias("all"))
-    top = numbered(materialize(tops, "subroots"), "all", "name").withColumnRenamed("grp", "of").withColumn("grp", F.lit("all"))
-    outer = tree(top.select("of", "pos", "n", "digest", "grp"), bits).select(F.col("of").alias("grp"), F.col("path").alias("outer"), F.col("subroot").alias("root"))
+    # A null group stands before every text, the empty one too.
+    name = F.coalesce(F.concat(F.lit("+"), F.col(group).cast("string")), F.lit(""))
+    held = leaves.select(F.struct("*").alias("row"), name.alias("grp"), F.col(order).alias("key"), F.col(leaf).alias("digest"), F.monotonically_increasing_id().alias("tie"))
+
+    def over_all(tops: DataFrame) -> DataFrame:
+        named = materialize(tops.select("grp", F.col("subroot").alias("digest"), F.lit(0).alias("all")), "subroots")
+        top = numbered(named, "all", "grp").select(F.col("grp").alias("of"), "pos", "n", "digest", F.lit("all").alias("grp"))
+        return tree(top, bits).select(F.col("of").alias("grp"), F.col("digest").alias("subroot"), F.col("path").alias("outer"), F.col("subroot").alias("root"))
+
+    inner = tree(numbered(materialize(held, "leaves"), "grp", "key", "digest", "tie"), bits, over_all)
     path, subroot, root = unused(leaves, "path", "subroot", "root")
-    joined = inner.join(outer, "grp")
-    return joined.select("row.*", F.concat("path", "outer").alias(path), F.col("subroot").alias(subroot), F.col("root").alias(root))
+    return inner.select("row.*", F.col("path").alias(path), F.col("subroot").alias(subroot), F.col("root").alias(root))
 
 
 def document_manifest(docs: DataFrame, tampered: Column | None = None, bits: int = BITS) -> DataFrame:
