@@ -143,16 +143,17 @@ def exif_turn(code: Column) -> Column:
     return F.struct(flip.alias("flip"), turn.alias("rotation"))
 
 
-def exif_dimensions(exif: Column) -> Column:
-    """the sizes that an EXIF map (text to text) may give, as 'width x height', each once, in the order of the tags; a turned
-    picture (orientation 5 to 8) gives each turned as well."""
-    tags = (("Image Width", "Image Height"), ("Exif Image Width", "Exif Image Height"), ("Cropped Image Width", "Cropped Image Height"))
+def exif_dimensions(exif: Column, crop: bool = False) -> Column:
+    """array of struct(height, width) that an EXIF map (text to text) gives, in the order of the tags, repeats kept: the picture's own and
+    the EXIF size, with crop the cropped and the autofocus size before them; last a PNG header's `width,height`. A tag without a whole
+    number, or without its partner, gives none; a null map gives null."""
+    names = ("Cropped Image", "AF Image", "Image", "Exif Image") if crop else ("Image", "Exif Image")
     number = lambda k: F.try_element_at(exif, F.lit(k)).try_cast("int")
-    pairs = F.array(*(F.struct(number(w).alias("w"), number(h).alias("h")) for w, h in tags))
-    known = F.filter(pairs, lambda p: (p.w > 0) & (p.h > 0))
-    turned = F.coalesce(F.try_element_at(exif, F.lit("Orientation")).try_cast("int").between(5, 8), F.lit(False))
-    text = lambda p: F.concat_ws(" x ", p.w, p.h)
-    return F.array_distinct(F.concat(F.transform(known, text), F.when(turned, F.transform(known, lambda p: F.concat_ws(" x ", p.h, p.w))).otherwise(F.array().cast("array<string>"))))
+    pair = lambda h, w: F.struct(h.alias("height"), w.alias("width"))
+    header = F.split(F.try_element_at(exif, F.lit("png:IHDR.width,height")), ",")
+    part = lambda i: F.when(F.size(header) == 2, F.trim(F.get(header, F.lit(i))).try_cast("int"))
+    pairs = F.array(*(pair(number(f"{n} Height"), number(f"{n} Width")) for n in names), pair(part(1), part(0)))
+    return F.when(exif.isNotNull(), F.filter(pairs, lambda p: p.height.isNotNull() & p.width.isNotNull()))
 
 
 def zigzag_places(n: int = 8) -> list[int]:

@@ -118,18 +118,67 @@ def permute(lists: dict[str, list], chained: bool = True, spark=None) -> DataFra
     return out.select("row_no", *names)
 
 
-def spec_values(specs: DataFrame) -> DataFrame:
-    """Specs (name, spec) to (name, pos, value): int[a:b:s], float[a:b:s], list:x,y, yesno."""
-    lo, hi, st = (F.regexp_extract("spec", r"\[([-\d.]+):([-\d.]+)(?::([-\d.]+))?\]", i).try_cast("double") for i in (1, 2, 3))
-    st = F.coalesce(st, F.lit(1.0))
-    run = F.transform(F.sequence(F.lit(0), F.floor((hi - lo) / st).cast("int")), lambda i: lo + i * st)
-    values = (
-        F.when(F.col("spec").startswith("int"), F.transform(run, lambda x: x.cast("long").cast("string")))
-        .when(F.col("spec").startswith("float"), F.transform(run, lambda x: F.round(x, 6).cast("string")))
-        .when(F.col("spec") == "yesno", F.array(F.lit("yes"), F.lit("no")))
-        .otherwise(F.split(F.regexp_replace("spec", "^list:", ""), ","))
+def _sections(specs: DataFrame) -> DataFrame:
+    """Specs with _kind (int, float, yesno, list) and _parts, the sections of a range as struct(lo, hi, step): a missing end is one step
+    past the start, a missing step is one."""
+    inner = F.regexp_extract("spec", r"\[(.*?)\]", 1)
+    number = lambda x, i: F.get(F.split(x, ":"), F.lit(i)).try_cast("double")
+    part = lambda x: F.struct(number(x, 0).alias("lo"), F.coalesce(number(x, 1), number(x, 0) + 1.0).alias("hi"), F.coalesce(number(x, 2), F.lit(1.0)).alias("step"))
+    kind = F.when(F.col("spec").startswith("int"), "int").when(F.col("spec").startswith("float"), "float").when(F.col("spec") == "yesno", "yesno").otherwise("list")
+    return specs.withColumns({"_kind": kind, "_parts": F.transform(F.split(inner, ","), part)})
+
+
+def _values(kind: Column, part: Column, spec: Column) -> Column:
+    """All values of a spec, as text: an int range holds its end, a float range does not."""
+    steps = F.when(kind == "int", F.floor((part.hi - part.lo) / part.step) + 1).otherwise(F.ceil((part.hi - part.lo) / part.step))
+    run = F.when(steps > 0, F.transform(F.sequence(F.lit(0).cast("long"), steps - 1), lambda i: part.lo + i * part.step)).otherwise(F.array().cast("array<double>"))
+    return (
+        F.when(kind == "int", F.transform(run, lambda x: x.cast("long").cast("string")))
+        .when(kind == "float", F.transform(run, lambda x: F.round(x, 6).cast("string")))
+        .when(kind == "yesno", F.array(F.lit("yes"), F.lit("no")))
+        .otherwise(F.split(F.regexp_replace(spec, "^list:", ""), ","))
     )
-    return specs.select("name", F.posexplode(values).alias("pos", "value"))
+
+
+def _drawn(seed: int, *keys: Column) -> Column:
+    """A whole number below 2^32 that seed and keys fix, so that a task that runs again draws the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *keys)), 1, 8), 16, 10).cast("long")
+
+
+def spec_values(specs: DataFrame, seed: int = 0) -> DataFrame:
+    """Specs (name, spec) to (name, pos, value): int[a:b:s], float[a:b:s], list:x,y, yesno. Of the sections of a range (`[a:b,c:d]`) one
+    counts, which seed and name draw. An int range holds its end, a float range does not; an empty range gives no row."""
+    s = _sections(specs).withColumn("_part", F.get("_parts", (_drawn(seed, F.col("name"), F.lit("section")) % F.size("_parts")).cast("int")))
+    return s.select("name", F.posexplode(_values(F.col("_kind"), F.col("_part"), F.col("spec"))).alias("pos", "value"))
+
+
+def random_values(specs: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(name, draw, value): draws values of each spec with repeats, each draw of a section of its own; the same seed draws the same values,
+    whatever the partitions. Int ranges, lists and yesno draw one of their values; so do float ranges with a step other than one, which
+    else draw any number from the start up to the end. A spec without values draws null."""
+    s = _sections(specs).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    keys = (F.col("name"), F.col("draw").cast("string"))
+    s = s.withColumn("_part", F.get("_parts", (_drawn(seed, *keys, F.lit("section")) % F.size("_parts")).cast("int"))).withColumn("_u", _drawn(seed, *keys, F.lit("value")))
+    part, u = F.col("_part"), F.col("_u")
+    steps = F.floor((part.hi - part.lo) / part.step) + 1
+    # Ranges are drawn from by number, without their list.
+    ranged = F.when(F.col("_kind") == "int", F.when(steps > 0, (part.lo + u % steps * part.step).cast("long").cast("string")))
+    count = F.ceil((part.hi - part.lo) / part.step)
+    stepped = F.when(count > 0, F.round(part.lo + u % count * part.step, 6))
+    any_ = F.round(part.lo + u / F.lit(float(2**32)) * (part.hi - part.lo), 6)
+    listed = F.when(F.col("_kind") == "yesno", F.array(F.lit("yes"), F.lit("no"))).otherwise(F.split(F.regexp_replace("spec", "^list:", ""), ","))
+    value = (
+        F.when(F.col("_kind") == "int", ranged)
+        .when(F.col("_kind") == "float", F.when(F.abs(part.step - 1.0) > 1e-9, stepped).otherwise(any_).cast("string"))
+        .otherwise(F.get(listed, (u % F.size(listed)).cast("int")))
+    )
+    return s.select("name", "draw", value.alias("value"))
+
+
+def random_donors(bases: DataFrame, seed: int) -> DataFrame:
+    """Of each journal's bases (project_id, node_id) one that the seed draws; the smallest id on equal draws."""
+    drawn = F.struct(_drawn(seed, F.col(P).cast("string"), F.col("node_id").cast("string")), "node_id")
+    return bases.groupBy(P).agg(F.min_by("node_id", drawn).alias("node_id"))
 
 
 def best_qtable(tables: DataFrame, keywords: list[str]) -> DataFrame:
@@ -138,16 +187,19 @@ def best_qtable(tables: DataFrame, keywords: list[str]) -> DataFrame:
     return tables.withColumn("hits", hits).orderBy(F.col("hits").desc(), F.length("file"), "file").limit(1)
 
 
-def best_name(users: DataFrame, names: DataFrame) -> DataFrame:
-    """(username, best): for user names that the list (pos, name) lacks the nearest by Levenshtein, the first on ties.
+def best_name(users: DataFrame, names: DataFrame, block: int = 1000) -> DataFrame:
+    """(username, best): for user names that the list (pos, name) lacks the nearest by Levenshtein, case not counted, the least pos on ties.
 
-    Distinct names meet the list, a dimension of code names.
+    The list is the stated query set. It is dealt in blocks of about `block` names; each lost name meets every block in a row of its own
+    and keeps the block's nearest, the nearest of all blocks is one aggregate more. A list without names gives no row.
     """
-    lost = users.select("username").distinct().join(names.select(F.col("name").alias("username")), "username", "left_anti")
-    # The list of code names is one array, so that each name meets it in its own row.
-    listed = names.agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("_all")).withColumn("_one", F.lit(1))
-    j = lost.withColumn("_one", F.lit(1)).join(listed, "_one").select("username", F.inline("_all")).withColumn("_d", F.levenshtein(F.lower("username"), F.lower("name")))
-    return j.groupBy("username").agg(F.min_by("name", F.struct("_d", "pos")).alias("best"))
+    lost = users.select("username").where("username is not null").distinct().join(names.select(F.col("name").alias("username")), "username", "left_anti")
+    named = names.where("name is not null")
+    n_blocks = named.count() // block + 1
+    blocks = named.groupBy(F.pmod(F.xxhash64("pos"), F.lit(n_blocks)).alias("_b")).agg(F.collect_list(F.struct("pos", "name")).alias("_names"))
+    dealt = lost.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    near = F.array_min(F.transform("_names", lambda n: F.struct(F.levenshtein(F.lower("username"), F.lower(n["name"])).alias("d"), n["pos"].alias("pos"), n["name"].alias("name"))))
+    return dealt.join(blocks, "_b").select("username", near.alias("_near")).groupBy("username").agg(F.min("_near").alias("_near")).select("username", F.col("_near.name").alias("best"))
 
 
 def file_md5(files: DataFrame) -> DataFrame:
@@ -195,17 +247,30 @@ def sheet_names(media: DataFrame, date: str, org: str, user: str, partitions: in
     return out.withColumn("new_name", F.concat(F.lit(f"{date}-{org}-{user}-"), F.lpad((F.col("_o") + F.col("_i")).cast("string"), 5, "0"))).drop("_p", "_i", "_o")
 
 
-def sheet_checks(sheet: DataFrame, models: DataFrame, kinematics: list[str], collections: list[str]) -> DataFrame:
-    """HP3: (file, problem): wrong primary/secondary, kinematics of a video, collection or camera model."""
-    known = models.select("model", F.lit(True).alias("_known")).distinct()
-    s = sheet.join(known, "model", "left")
-    tests = F.array_compact(F.array(
-        F.when(~F.lower("primary_secondary").isin("primary", "secondary"), "primary/secondary"),
-        F.when((F.col("type") == "video") & ~F.col("kinematics").isin(*kinematics), "kinematics"),
-        F.when((F.col("collection") != "") & ~F.col("collection").isin(*collections), "collection"),
-        F.when(F.col("_known").isNull(), "model"),
-    ))
-    return s.select("file", F.explode(tests).alias("problem"))
+def sheet_checks(sheet: DataFrame, models: DataFrame, kinematics: list[str], collections: list[str], local_ids: DataFrame | None = None, flags: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """HP3: (file, problem), one row for each problem of a row of the sheet.
+
+    primary/secondary must be one of both, as written; a video needs its kinematics (case not counted); a collection, if given, must be known;
+    a camera model must be given, but for three-dimensional models, and known; so must a local id, where local_ids (local_id) is given.
+    flags: columns that hold true or false, each with the media types that must fill it. Empty text counts as null.
+    """
+    filled = lambda c: F.nullif(c, F.lit(""))
+    unknown = lambda c, known: c.isNotNull() & ~F.lower(c).isin(*map(str.lower, known))
+    s = sheet.join(models.select("model", F.lit(True).alias("_known")).distinct(), "model", "left")
+    video, kin, model = F.lower("type") == "video", filled(F.col("kinematics")), filled(F.col("model"))
+    tests = [
+        F.when(~F.coalesce(F.col("primary_secondary").isin("primary", "secondary"), F.lit(False)), "primary/secondary"),
+        F.when(video & kin.isNull(), "no kinematics").when(video & unknown(kin, kinematics), "kinematics"),
+        F.when(filled(F.col("collection")).isNotNull() & ~F.col("collection").isin(*collections), "collection"),
+        F.when(model.isNull(), F.when(~F.col("type").eqNullSafe(F.lit("model")), "no model")).when(F.col("_known").isNull(), "model"),
+    ]
+    if local_ids is not None:
+        s = s.join(local_ids.select("local_id", F.lit(True).alias("_local")).distinct(), "local_id", "left")
+        tests.append(F.when(filled(F.col("local_id")).isNull(), "no local id").when(F.col("_local").isNull(), "local id"))
+    for name, kinds in (flags or {}).items():
+        bad = ~F.coalesce(F.lower(F.col(name).cast("string")).isin("true", "false"), F.lit(False))
+        tests.append(F.when(bad & F.col("type").isin(*kinds), name))
+    return s.select("file", F.explode(F.array_compact(F.array(*tests))).alias("problem"))
 
 
 def device_checks(sheet: DataFrame, configs: DataFrame) -> DataFrame:
@@ -295,6 +360,19 @@ def fill_software(edges: DataFrame) -> DataFrame:
     return edges.join(top, P, "left").withColumn("softwareName", name).drop("_top")
 
 
+def mend_users(edges: DataFrame, journals: DataFrame, names: DataFrame) -> DataFrame:
+    """M6: edges whose username the list (username) lacks take it in lower case where the list holds that, else their journal's creator
+    (project_id, creator); journals whose creator is not in the list, in lower case, stay as they are. Edges without a user stay."""
+    known = names.select(F.col("username").alias("_name")).distinct()
+    creators = journals.select(P, F.lower("creator").alias("_name")).join(known, "_name").select(P, F.col("_name").alias("_creator")).dropDuplicates([P])
+    own = known.select(F.col("_name").alias("username"), F.lit(True).alias("_own"))
+    low = known.select(F.col("_name").alias("_low"), F.lit(True).alias("_lower"))
+    e = edges.join(own, "username", "left").withColumn("_low", F.lower("username")).join(low, "_low", "left").join(creators, P, "left")
+    stays = F.col("_own").isNotNull() | F.col("_creator").isNull() | F.col("username").isNull()
+    name = F.when(stays, F.col("username")).when(F.col("_lower").isNotNull(), F.col("_low")).otherwise(F.col("_creator"))
+    return e.withColumn("username", name).drop("_own", "_low", "_lower", "_creator")
+
+
 def rename_keys(df: DataFrame, column: str, renames: dict[str, str]) -> DataFrame:
     """M7: keys of a map column by their new name."""
     pairs = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv])
@@ -302,11 +380,18 @@ def rename_keys(df: DataFrame, column: str, renames: dict[str, str]) -> DataFram
 
 
 def rotation_flag(edges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """M8: outputs whose width and height swap against their source have rotated = yes; sizes (project_id, node_id, width, height)."""
+    """M8: outputs as PNG or TIFF whose arguments lack `Image Rotated` get it: yes where the recorded change of size (shape_change) is not
+    (0,0), or, without one, where the sizes of both ends (project_id, node_id, width, height) differ; else no. Without any size they stay.
+    An argument that was given stays, and so do other operations."""
     a, b = sizes.toDF(P, "src", "_w0", "_h0"), sizes.toDF(P, "dst", "_w1", "_h1")
     j = edges.join(a, [P, "src"], "left").join(b, [P, "dst"], "left")
-    turned = F.col("op").startswith("Output") & (F.col("_w0") == F.col("_h1")) & (F.col("_h0") == F.col("_w1")) & (F.col("_w0") != F.col("_h0"))
-    return j.withColumn("rotated", F.when(turned, "yes").otherwise("no")).drop("_w0", "_h0", "_w1", "_h1")
+    given = F.coalesce("arguments", F.create_map().cast("map<string,string>"))
+    wanted = F.col("op").isin("OutputPng", "OutputTif") & ~F.map_contains_key(given, "Image Rotated")
+    change = F.nullif(F.regexp_replace("shape_change", r"\s", ""), F.lit(""))
+    turned = F.coalesce(change != "(0,0)", (F.col("_w0") != F.col("_w1")) | (F.col("_h0") != F.col("_h1")))
+    flag = F.create_map(F.lit("Image Rotated"), F.when(turned, "yes").otherwise("no"))
+    out = j.withColumn("arguments", F.when(wanted & turned.isNotNull(), F.map_concat(given, flag)).otherwise(F.col("arguments")))
+    return out.drop("_w0", "_h0", "_w1", "_h1")
 
 
 def backfill_segments(segs: DataFrame, streams: DataFrame) -> DataFrame:

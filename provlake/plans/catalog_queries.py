@@ -88,10 +88,13 @@ def q_exif(spark, d):
 
 def q_sheet(spark, d):
     s = _read(spark, d, "part").selectExpr(
-        "p_partkey as file", "case p_partkey % 4 when 0 then 'Primary' when 1 then 'secondary' else 'other' end as primary_secondary", "if(p_size % 3 = 0, 'video', 'image') as type", "case p_size % 5 when 0 then 'still' else 'pan' end as kinematics",
-        "case p_size % 4 when 0 then '' when 1 then 'c1' else 'c2' end as collection", "p_brand as model",
+        "p_partkey as file", "case p_partkey % 4 when 0 then 'Primary' when 1 then 'secondary' when 2 then 'primary' else 'other' end as primary_secondary", "case p_size % 3 when 0 then 'Video' when 1 then 'image' else 'model' end as type",
+        "case p_size % 5 when 0 then 'still' when 1 then null when 2 then '' else 'Pan' end as kinematics", "case p_size % 4 when 0 then '' when 1 then 'c1' else 'c2' end as collection", "if(p_partkey % 10 = 0, null, p_brand) as model",
+        "case p_size % 6 when 0 then '' when 1 then null else concat('d', p_partkey % 9) end as local_id", "case p_partkey % 5 when 0 then 'TRUE' when 1 then 'false' when 2 then 'maybe' end as reflection",
     )
-    return catalog.sheet_checks(s, _read(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_brand").alias("model")), ["pan", "zoom"], ["c1"])
+    models = _read(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_brand").alias("model"))
+    local = _read(spark, d, "part").selectExpr("concat('d', p_partkey % 7) as local_id")
+    return catalog.sheet_checks(s, models, ["pan", "zoom"], ["c1"], local, {"reflection": ("image", "model")})
 
 
 def q_resolutions(spark, d):
@@ -142,8 +145,9 @@ def q_rename_keys(spark, d):
 
 
 def q_rotation(spark, d):
-    sizes = view(spark, d, "nodes").selectExpr("project_id", "node_id", "100 + 50 * (node_id % 2) as width", "150 - 50 * (node_id % 2) as height")
-    return catalog.rotation_flag(view(spark, d, "edges").select("project_id", "src", "dst", "op"), sizes)
+    sizes = view(spark, d, "nodes").selectExpr("project_id", "node_id", "100 + 50 * (node_id % 2) as width", "if(node_id % 9 = 0, null, 150) as height")
+    e = view(spark, d, "edges").selectExpr("project_id", "src", "dst", "if(op = 'OutputMp4', 'OutputTif', op) as op", "if(dst % 7 = 0, map('Image Rotated', 'no'), null) as arguments", "case dst % 5 when 0 then '(0, 0)' when 1 then '(50,-50)' when 2 then '' end as shape_change")
+    return catalog.rotation_flag(e, sizes).select("project_id", "src", "dst", "op", F.coalesce(F.try_element_at("arguments", F.lit("Image Rotated")), F.lit("-")).alias("rotated"))
 
 
 def q_replace(spark, d):
@@ -308,8 +312,12 @@ def q_approvals(spark, d):
 
 
 def q_dimensions(spark, d):
-    p = _read(spark, d, "part").selectExpr("p_partkey", "map_filter(map('Image Width', cast(p_size as string), 'Image Height', if(p_size % 5 = 0, 'x', cast(p_partkey % 9 as string)), 'Exif Image Width', if(p_size % 2 = 0, cast(p_size * 2 as string), null), 'Exif Image Height', '7', 'Orientation', cast(p_size % 9 as string)), (k, v) -> v is not null) as exif")
-    return p.select("p_partkey", _join(scalars.exif_dimensions(F.col("exif")), ";").alias("sizes"))
+    p = _read(spark, d, "part").selectExpr(
+        "p_partkey",
+        "map_filter(map('Image Width', cast(p_size as string), 'Image Height', if(p_size % 5 = 0, 'x', cast(p_partkey % 9 as string)), 'Exif Image Width', if(p_size % 2 = 0, cast(p_size * 2 as string), null), 'Exif Image Height', '7', 'AF Image Width', if(p_size % 3 = 0, '5', null), 'AF Image Height', cast(p_partkey % 4 as string), 'Cropped Image Height', '3', 'png:IHDR.width,height', if(p_size % 7 = 0, concat(p_size, ', 4'), null)), (k, v) -> v is not null) as exif",
+    )
+    text = lambda crop: _join(F.transform(scalars.exif_dimensions(F.col("exif"), crop), lambda s: F.concat_ws(" x ", s.height, s.width)), ";")
+    return p.select("p_partkey", text(False).alias("sizes"), text(True).alias("cropped"))
 
 
 def q_homography(spark, d):
@@ -356,9 +364,8 @@ UNION ALL SELECT {_MSG.format(2, 'dictionary', "'version is not approved'")} FRO
 x AS (SELECT *, row_number() OVER () AS rn, CASE src % 4 WHEN 0 THEN concat('CC 20', src % 30, ' x') ELSE concat('v', src % 3, '.0.', dst % 5) END AS t FROM wide),
 b AS (SELECT x.*, (SELECT arg_min(mp.v, mp.found) FROM mp WHERE mp.software = x.software AND contains(x.t, mp.found)) AS m, CASE src % 4 WHEN 0 THEN concat('20', src % 30) ELSE concat(src % 3, '.0') END AS own FROM x)
 SELECT project_id, src, dst, op, EXISTS (SELECT 1 FROM sw WHERE sw.software = b.software AND sw.v = coalesce(b.m, b.own)) AS approved FROM b""",
-    "exif_dimensions": """WITH x AS (SELECT p_partkey, p_size % 9 >= 5 AS turned, CASE WHEN p_size > 0 AND p_size % 5 > 0 AND p_partkey % 9 > 0 THEN ROW(p_size, p_partkey % 9) END AS a, CASE WHEN p_size % 2 = 0 AND p_size > 0 THEN ROW(p_size * 2, 7) END AS b FROM part),
-y AS (SELECT p_partkey, list_filter([CASE WHEN a IS NOT NULL THEN concat(a[1], ' x ', a[2]) END, CASE WHEN b IS NOT NULL THEN concat(b[1], ' x ', b[2]) END, CASE WHEN turned AND a IS NOT NULL THEN concat(a[2], ' x ', a[1]) END, CASE WHEN turned AND b IS NOT NULL THEN concat(b[2], ' x ', b[1]) END], lambda z: z IS NOT NULL) AS l FROM x)
-SELECT p_partkey, array_to_string(list_filter(l, lambda z, i: list_position(l, z) = i), ';') AS sizes FROM y""",
+    "exif_dimensions": """WITH x AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN concat(p_partkey % 4, ' x 5') END AS af, CASE WHEN p_size % 5 > 0 THEN concat(p_partkey % 9, ' x ', p_size) END AS own, CASE WHEN p_size % 2 = 0 THEN concat('7 x ', p_size * 2) END AS exif, CASE WHEN p_size % 7 = 0 THEN concat('4 x ', p_size) END AS png FROM part)
+SELECT p_partkey, concat_ws(';', own, exif, png) AS sizes, concat_ws(';', af, own, exif, png) AS cropped FROM x""",
     "homography_rules": f"""{with_views('wide')} SELECT {_MSG.format(3, 'homography', "'homography is not three by three'")} FROM wide WHERE dst % 5 = 1 UNION ALL SELECT {_MSG.format(3, 'homography', "'homography mirrors or flattens the image'")} FROM wide WHERE dst % 5 > 1 AND {_H} + CASE WHEN dst % 4 = 0 THEN 0.1 ELSE 0 END <= 0
 UNION ALL SELECT {_MSG.format(2, 'homography', "'homography carries a corner behind the image'")} FROM wide WHERE dst % 5 > 1 AND dst % 4 = 0""",
     "png_size": f"""{with_views('edges')}, x AS (SELECT *, 100 + src % 3 AS a, 200 + src % 9 AS b FROM edges WHERE op = 'OutputPng') SELECT {_MSG.format(3, 'png_size', "'size of the image has changed by more than the border of a raw picture'")} FROM x WHERE NOT (abs(a - 101) <= 0.01 * a AND abs(b - 202) <= 0.01 * b)""",
@@ -373,12 +380,16 @@ SELECT p_partkey AS file, camera, width, height FROM part JOIN c ON lower(c.make
     "permutations": """WITH s AS (SELECT DISTINCT c_mktsegment FROM customer), a AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS i FROM region), b AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS j, count(*) OVER () AS n FROM s)
 SELECT a.i * b.n + b.j AS row_no, r_name, c_mktsegment, 'chained' AS kind FROM a CROSS JOIN b UNION ALL SELECT i, r_name, c_mktsegment, 'together' FROM a JOIN b ON b.j = a.i % 3""",
     "spec_values": """SELECT concat('p', p_partkey) AS name, i::INT AS pos, CASE p_partkey % 4 WHEN 0 THEN (1 + i * 7)::VARCHAR WHEN 1 THEN (i * 20.5)::DOUBLE::VARCHAR WHEN 2 THEN CASE i WHEN 0 THEN 'yes' ELSE 'no' END ELSE CASE i WHEN 0 THEN p_brand ELSE p_size::VARCHAR END END AS value
-FROM (SELECT *, unnest(generate_series(0, CASE p_partkey % 4 WHEN 0 THEN (p_size - 1) // 7 WHEN 1 THEN floor(p_size / 20.5)::BIGINT ELSE 1 END)) AS i FROM part)""",
+FROM (SELECT *, unnest(generate_series(0, CASE p_partkey % 4 WHEN 0 THEN (p_size - 1) // 7 WHEN 1 THEN ceil(p_size / 20.5)::BIGINT - 1 ELSE 1 END)) AS i FROM part)""",
     "best_qtable": """SELECT p_name || '-' || p_brand AS file, (contains(lower(p_name || '-' || p_brand), 'green'))::INT + (contains(p_name || '-' || p_brand, '23'))::INT + (contains(lower(p_name || '-' || p_brand), 'lace'))::INT AS hits FROM part
 ORDER BY hits DESC, length(file), file LIMIT 1""",
     "exif_sheet": """SELECT concat('f', p_partkey, '.jpg') AS file, p_brand AS "CameraMake", CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type END AS "CameraModel", CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS "LensModel" FROM part""",
-    "sheet_checks": """SELECT p_partkey AS file, 'primary/secondary' AS problem FROM part WHERE p_partkey % 4 > 1 UNION ALL SELECT p_partkey, 'kinematics' FROM part WHERE p_size % 3 = 0 AND p_size % 5 = 0
-UNION ALL SELECT p_partkey, 'collection' FROM part WHERE p_size % 4 > 1 UNION ALL SELECT p_partkey, 'model' FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 3 = 0)""",
+    "sheet_checks": """SELECT p_partkey AS file, 'primary/secondary' AS problem FROM part WHERE p_partkey % 4 IN (0, 3)
+UNION ALL SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'kinematics' ELSE 'no kinematics' END FROM part WHERE p_size % 3 = 0 AND p_size % 5 < 3
+UNION ALL SELECT p_partkey, 'collection' FROM part WHERE p_size % 4 > 1 UNION ALL SELECT p_partkey, 'no model' FROM part WHERE p_partkey % 10 = 0 AND p_size % 3 < 2
+UNION ALL SELECT p_partkey, 'model' FROM part WHERE p_partkey % 10 > 0 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 3 = 0)
+UNION ALL SELECT p_partkey, 'no local id' FROM part WHERE p_size % 6 < 2 UNION ALL SELECT p_partkey, 'local id' FROM part WHERE p_size % 6 > 1 AND p_partkey % 9 > 6
+UNION ALL SELECT p_partkey, 'reflection' FROM part WHERE p_size % 3 > 0 AND p_partkey % 5 > 1""",
     "resolution_checks": """WITH s AS (SELECT p_partkey AS file, p_brand AS device, p_size AS width, p_partkey % 3 AS height, p_partkey % 2 AS camera FROM part)
 SELECT a.file, CASE WHEN NOT EXISTS (SELECT 1 FROM s b WHERE b.file % 5 = 0 AND b.device = a.device AND b.width = a.width AND b.height = a.height) THEN 'new resolution' ELSE 'opposite camera' END AS problem FROM s a
 WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.file % 5 = 0 AND b.device = a.device AND b.width = a.width AND b.height = a.height AND b.camera = a.camera)""",
@@ -392,7 +403,8 @@ SELECT file, string_agg(w.keyword, chr(9) ORDER BY pos, w.keyword) AS keywords,
     "journal_flags": f"{with_views('edges', 'operations')} SELECT project_id, src, dst, e.op, CASE WHEN category <> 'Output' AND dst % 4 < 2 THEN 'yes' ELSE 'no' END AS \"recordMaskInComposite\" FROM edges e JOIN operations o ON o.op = e.op",
     "rename_keys": f"""{with_views('wide')} SELECT project_id, src, dst, op, concat_ws(',', CASE WHEN blur_type IS NOT NULL THEN 'Blur Type' END, CASE WHEN direct IS NOT NULL THEN 'Direct from PC' END, CASE WHEN purpose IS NOT NULL THEN 'Purpose' END, CASE WHEN voice IS NOT NULL THEN 'Voice' END,
   CASE WHEN add_type IS NOT NULL THEN 'add type' END, CASE WHEN resolution IS NOT NULL THEN 'resolution' END, CASE WHEN subject IS NOT NULL THEN 'subject' END) AS keys FROM wide""",
-    "rotation_flags": f"{with_views('edges')} SELECT project_id, src, dst, op, CASE WHEN op LIKE 'Output%' AND src % 2 <> dst % 2 THEN 'yes' ELSE 'no' END AS rotated FROM edges",
+    "rotation_flags": f"""{with_views('edges')} SELECT project_id, src, dst, CASE op WHEN 'OutputMp4' THEN 'OutputTif' ELSE op END AS op, CASE WHEN dst % 7 = 0 THEN 'no' WHEN op NOT LIKE 'Output%' THEN '-' WHEN dst % 5 = 0 THEN 'no' WHEN dst % 5 = 1 THEN 'yes'
+  WHEN src % 2 <> dst % 2 THEN 'yes' WHEN src % 9 = 0 OR dst % 9 = 0 THEN '-' ELSE 'no' END AS rotated FROM edges""",
     "replace_value": f"{with_views('journals')} SELECT project_id, username, CASE WHEN projecttype = 'video' THEN 'film' ELSE projecttype END AS projecttype FROM journals",
     "backfill_segments": f"""{_SB}, st AS (SELECT set_id, type, max(endframe) + set_id % 3 - 1 AS last FROM segments WHERE set_id % 3 > 0 GROUP BY 1, 2),
 s AS (SELECT s.* REPLACE (CASE WHEN seg_no % 3 > 0 THEN type WHEN set_id % 2 = 0 THEN 'audio' ELSE 'video' END AS type) FROM segments s), j AS (SELECT s.*, st.last, seg_no % 2 > 0 AND st.last > s.endframe AS longer FROM s LEFT JOIN st ON st.set_id = s.set_id AND st.type = s.type),

@@ -139,7 +139,7 @@ def q_sessions(spark, d):
     path, out = _folder(spark), _folder(spark)
     f = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("media_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").isin("error", "click").alias("changed"))
     # A last row far later lets the watermark pass every session.
-    f.repartition(1).write.parquet(path)
+    f.write.parquet(path)
     f.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(F.lit(-1).cast("long").alias("media_id"), "ts", F.lit(True).alias("changed")).write.mode("append").parquet(path)
     stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(path)
     query = streaming.change_sessions(stream.select(F.col("media_id").cast("long"), "ts", "changed"), "6 hours", "20 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
