@@ -53,13 +53,24 @@ def previous(rows: DataFrame, keys: list[str], order: str, column: str, out: str
     return _joined(blocked, last, keys).withColumn("_v", F.coalesce(local, "_l")).withColumn(out, F.col("_v.v")).drop("_l", "_v", "_block")
 
 
-def last_known(rows: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], backwards: bool = False) -> DataFrame:
-    """rows (with `_block`) and for each name the last value of a column that is not null up to and with the row; backwards the first
-    from the row on. order: columns that tell rows apart, the blocks' first."""
-    way, pick = ("desc", F.min_by) if backwards else ("asc", F.max_by)
+def last_known(rows: DataFrame, keys: list[str], order: list[str], before: dict[str, str], after: dict[str, str] | None = None) -> DataFrame:
+    """rows (with `_block`) and for each name of `before` the last value of a column that is not null up to and with the row, for each of `after`
+    the first from the row on. order: columns that tell rows apart, the blocks' first; each dict names a column once.
+
+    What the blocks before (after) a block carry joins its rows as one row more, so that both ways share one exchange of the rows.
+    """
+    after = after or {}
     place = F.struct(*order)
-    parts = rows.groupBy(*keys, "_block").agg(*(pick(c, F.when(F.col(c).isNotNull(), place)).alias(f"{name}_0") for name, c in columns.items()))
-    parts = parts.withColumns({f"{name}_0": F.expr(f"last({name}_0, true) {_over(keys, f'_block {way}')} 1 preceding)") for name in columns})
-    # A growing frame in either direction, which is linear; a shrinking one would be summed anew for each row.
-    local = _over(keys, ", ".join(f"{c} {way}" for c in order), "_block")
-    return _joined(rows, parts, keys).withColumns({name: F.expr(f"coalesce(last({c}, true) {local} current row), {name}_0)") for name, c in columns.items()}).drop(*(f"{name}_0" for name in columns))
+    ways = ((0, "asc", F.max_by, before), (2, "desc", F.min_by, after))
+    told = [pick(c, F.when(F.col(c).isNotNull(), place)).alias(f"_{side}_{c}") for side, _, pick, columns in ways for c in columns.values()]
+    parts = rows.groupBy(*keys, "_block").agg(*told)
+    out = rows.withColumn("_side", F.lit(1))
+    for side, way, _, columns in ways:
+        if columns:
+            carried = {c: F.expr(f"last(_{side}_{c}, true) {_over(keys, f'_block {way}')} 1 preceding)").alias(c) for c in columns.values()}
+            out = out.unionByName(parts.select(*keys, "_block", *carried.values(), F.lit(side).alias("_side")), allowMissingColumns=True)
+    for _, way, _, columns in ways:
+        # A growing frame in either direction, which is linear; a shrinking one would be summed anew for each row.
+        local = _over(keys, ", ".join(f"{c} {way}" for c in ["_side", *order]), "_block")
+        out = out.withColumns({name: F.expr(f"last({c}, true) {local} current row)") for name, c in columns.items()})
+    return out.where("_side = 1").drop("_side")

@@ -285,7 +285,7 @@ def audio_to_video(segs: DataFrame, frames: DataFrame) -> DataFrame:
     """As-of: the first video frame at or after each segment's time (set_id, ms); segs (set_id, seg_no, ms), frames (set_id, frame_no, time_ms)."""
     rows = segs.select("set_id", F.col("ms").alias("t"), F.lit(0).alias("_k"), "seg_no", F.lit(None).cast("long").alias("frame_no"))
     rows = rows.unionByName(frames.select("set_id", F.col("time_ms").alias("t"), F.lit(1).alias("_k"), F.lit(None).cast("long").alias("seg_no"), "frame_no"))
-    found = last_known(in_blocks(rows, "t"), ["set_id"], ["t", "_k", "frame_no"], {"frame": "frame_no"}, backwards=True)
+    found = last_known(in_blocks(rows, "t"), ["set_id"], ["t", "_k", "frame_no"], {}, {"frame": "frame_no"})
     return found.where("_k = 0").select("set_id", "seg_no", F.col("frame").alias("frame_no"))
 
 
@@ -321,18 +321,16 @@ def snap_to_frames(segs: DataFrame, frames: DataFrame) -> DataFrame:
     no frame comes stays, its frame null; before the first frame it is frame 0 at 0 ms. The error grows by the distance from the start, or
     if only the end was moved from the end, to the next frame.
     """
-    hits = segs.select("set_id", "seg_no", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("starttime").alias("t")), F.struct(F.lit(1).alias("end"), F.col("endtime").alias("t")))).alias("h")).select("set_id", "seg_no", "h.*")
+    hits = segs.select("set_id", "seg_no", "error", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("starttime").alias("t")), F.struct(F.lit(1).alias("end"), F.col("endtime").alias("t")))).alias("h")).select("set_id", "seg_no", "error", "h.*")
     none = lambda kind: F.lit(None).cast(kind)
-    rows = hits.select("set_id", "seg_no", "end", "t", F.lit(1).alias("_k"), none("long").alias("frame_no"), none("double").alias("time_ms"))
-    rows = rows.unionByName(frames.select("set_id", none("long").alias("seg_no"), none("int").alias("end"), F.col("time_ms").alias("t"), F.lit(0).alias("_k"), "frame_no", "time_ms"))
-    order = ["t", "_k", "frame_no"]
-    rows = last_known(in_blocks(rows, "t"), ["set_id"], order, {"_frame": "frame_no", "_last": "time_ms"})
-    rows = last_known(rows, ["set_id"], order, {"_next": "time_ms"}, backwards=True).where("_k = 1")
+    rows = hits.select("set_id", "seg_no", "error", "end", "t", F.lit(1).alias("_k"), none("long").alias("frame_no"), none("double").alias("time_ms"))
+    rows = rows.unionByName(frames.select("set_id", none("long").alias("seg_no"), none("double").alias("error"), none("int").alias("end"), F.col("time_ms").alias("t"), F.lit(0).alias("_k"), "frame_no", "time_ms"))
+    rows = last_known(in_blocks(rows, "t"), ["set_id"], ["t", "_k", "frame_no"], {"_frame": "frame_no", "_last": "time_ms"}, {"_next": "time_ms"}).where("_k = 1")
     moved = F.col("_next").isNotNull()
     pick = lambda e, c: F.max(F.when(F.col("end") == e, c))
     at = {"frame": F.when(moved, F.coalesce("_frame", F.lit(0).cast("long"))), "time": F.when(moved, F.coalesce("_last", F.lit(0.0))), "gap": F.col("_next") - F.col("t")}
-    found = rows.groupBy("set_id", "seg_no").agg(*(pick(e, c).alias(f"{side}{name}") for name, c in at.items() for e, side in enumerate(("start", "end"))))
-    out = segs.select("set_id", "seg_no", F.col("starttime").alias("_s"), F.col("endtime").alias("_e"), "error").join(found, ["set_id", "seg_no"])
+    own = [pick(0, F.col("t")).alias("_s"), pick(1, F.col("t")).alias("_e"), F.max("error").alias("error")]
+    out = rows.groupBy("set_id", "seg_no").agg(*own, *(pick(e, c).alias(f"{side}{name}") for name, c in at.items() for e, side in enumerate(("start", "end"))))
     return out.select(
         "set_id", "seg_no", "startframe", "endframe", F.coalesce("starttime", "_s").alias("starttime"), F.coalesce("endtime", "_e").alias("endtime"),
         (F.coalesce("error", F.lit(0.0)) + F.coalesce("startgap", "endgap", F.lit(0.0))).alias("error"),

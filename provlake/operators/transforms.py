@@ -64,19 +64,18 @@ def compiled(edges: DataFrame) -> DataFrame:
     none = F.lit(None).cast("struct<b:bigint,e:bigint>")
     taken = F.when(c["to_start"].isNotNull(), F.struct(c["to_start"].alias("b"), c["to_end"].alias("e"))).otherwise(none)
 
-    def one(verb: str, type_: str | None) -> Column:
-        kind = F.lit(type_).cast("string")
-        if verb == "rerate":
-            return _step(F.lit(verb), kind, c["from_frames"], c["to_frames"], none)
-        if verb in ("paste", "copy"):
-            inserted = F.coalesce(c["add_type"], F.lit("insert" if verb == "copy" else "overlay")) == "insert"
-            return _step(F.when(inserted, "insert").otherwise("hole"), kind, c["b_start"], c["b_end"], F.when(~inserted, taken))
-        return _step(F.lit(verb), kind, c["b_start"], c["b_end"], none)
-
-    program = F.array().cast(PROGRAM)
-    for op, by_media in PROGRAMS.items():
-        for media, steps in by_media.items():
-            program = F.when((F.col("op") == op) & (c["media_type"] == media), F.array(*(one(*s) for s in steps)).cast(PROGRAM)).otherwise(program)
+    def one(x: Column) -> Column:
+        rate, placed = x.verb == "rerate", x.verb.isin("paste", "copy")
+        inserted = F.coalesce(c["add_type"], F.when(x.verb == "copy", "insert").otherwise("overlay")) == "insert"
+        verb = F.when(placed & inserted, "insert").when(placed, "hole").otherwise(x.verb)
+        return _step(verb, x.type, F.when(rate, c["from_frames"]).otherwise(c["b_start"]), F.when(rate, c["to_frames"]).otherwise(c["b_end"]), F.when(placed & ~inserted, taken))
+
+    # The programs without their frames, by operation and media type: one constant.
+    entry = lambda verb, type_: F.struct(F.lit(verb).alias("verb"), F.lit(type_).cast("string").alias("type"))
+    pairs = [(f"{op}|{media}", steps) for op, by_media in PROGRAMS.items() for media, steps in by_media.items()]
+    known = F.create_map(*(x for key, steps in pairs for x in (F.lit(key), F.array(*(entry(*s) for s in steps))))) if pairs else F.create_map().cast("map<string,array<struct<verb:string,type:string>>>")
+    named = F.try_element_at(known, F.concat(F.col("op"), F.lit("|"), c["media_type"]))
+    program = F.coalesce(F.transform(named, one).cast(PROGRAM), F.array().cast(PROGRAM))
     usable = F.filter(program, lambda x: (x.verb == "drop") | (x.b.isNotNull() & x.e.isNotNull()))
     return edges.withColumn("program", usable).drop(*(k for k in given if k in edges.columns))
 
@@ -132,4 +131,7 @@ def run(program: Column, type_: Column, seg_no: Column, start: Column, end: Colu
         given = F.when(x.verb == "give", F.array(_part(F.lit(0), x.b, x.e))).otherwise(empty)
         return F.when(x.type.isNull() | (x.type == type_), F.concat(moved, given)).otherwise(parts)
 
-    return F.aggregate(program, F.array(_part(seg_no, start, end)), step)
+    # Most edges have no step for a segment's type.
+    idle = ~F.exists(program, lambda x: x.type.isNull() | (x.type == type_))
+    whole = F.array(_part(seg_no, start, end))
+    return F.when(idle, whole).otherwise(F.aggregate(program, whole, step))

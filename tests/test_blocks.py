@@ -73,8 +73,9 @@ def test_one_long_medium_spreads_over_tasks(spark, monkeypatch):
     assert got == {(m, i): (k, 120) for m, held in by.items() for k, (i, _) in enumerate(held, 1)}
     got = {(r.media_id, r.frame_no): r.p for r in blocks.previous(df, ["media_id"], "frame_no", "v", "p").collect()}
     assert got == {(m, i): held[k - 1][1] if k else None for m, held in by.items() for k, (i, _) in enumerate(held)}
+    both = blocks.last_known(blocks.in_blocks(df, "frame_no"), ["media_id"], ["frame_no"], {"x": "v"}, {"y": "v"}).collect()
     for back in (False, True):
-        got = {(r.media_id, r.frame_no): r.x for r in blocks.last_known(blocks.in_blocks(df, "frame_no"), ["media_id"], ["frame_no"], {"x": "v"}, back).collect()}
+        got = {(r.media_id, r.frame_no): r.y if back else r.x for r in both}
         known = lambda held, i: [v for j, v in held if v is not None and (j >= i if back else j <= i)]
         assert got == {(m, i): (known(held, i) or [None])[0 if back else -1] for m, held in by.items() for i, _ in held}
     plan = blocks.ranked(df, ["media_id"], "frame_no")._jdf.queryExecution().executedPlan().toString()
