@@ -134,15 +134,24 @@ def q_qtables(spark, d):
     return rows.unionByName(bad.select(key, F.concat(F.lit("size "), "n").alias("luma"), F.lit("").alias("chroma")))
 
 
+#: Slices of time in which the events arrive, and files of a batch.
+SLICES, FILES = 8, 16
+
+
 def q_sessions(spark, d):
     """T1 over the events as a stream of files, run until all that is there has been read."""
     path, out = _folder(spark), _folder(spark)
     f = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("media_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").isin("error", "click").alias("changed"))
+    # The files arrive a slice of time after the other and in any order within one, so no row is later than a slice is wide.
+    first, last = f.agg(F.min("ts"), F.max("ts")).first()
+    width = 1 if first is None else int((last - first).total_seconds()) // SLICES + 1
+    start = lambda i: F.lit(first) + F.make_dt_interval(secs=F.lit(width * i))
+    for i in range(SLICES if first is not None else 0):
+        f.where((F.col("ts") >= start(i)) & (F.col("ts") < start(i + 1))).write.mode("append").parquet(path)
     # A last row far later lets the watermark pass every session.
-    f.write.parquet(path)
-    f.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(F.lit(-1).cast("long").alias("media_id"), "ts", F.lit(True).alias("changed")).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    query = streaming.change_sessions(stream.select(F.col("media_id").cast("long"), "ts", "changed"), "6 hours", "20 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
+    f.agg((F.max("ts") + F.make_dt_interval(F.lit(2), secs=F.lit(width))).alias("ts")).select(F.lit(-1).cast("long").alias("media_id"), "ts", F.lit(True).alias("changed")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    query = streaming.change_sessions(stream.select(F.col("media_id").cast("long"), "ts", "changed"), "6 hours", f"{width} seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("media_id long, start timestamp, stop timestamp, frames long").parquet(out).select("media_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "frames")
 
@@ -200,7 +209,7 @@ SELECT concat('has', op) AS name, CASE WHEN length(op) % 2 = 0 THEN 'node' ELSE
 UNION ALL SELECT concat('len', length(op)), 'project', string_agg(op, ' ' ORDER BY op), '', '', '', false FROM u GROUP BY length(op)""",
     "quantization_tables": """WITH v AS (SELECT label::BIGINT AS label, list_transform(arg_min(embedding, vec_id), lambda x: floor(abs(x::DOUBLE) * 100)::BIGINT) AS a, list_transform(arg_max(embedding, vec_id), lambda x: floor(abs(x::DOUBLE) * 100)::BIGINT) AS b FROM embeddings GROUP BY 1)
 SELECT label, array_to_string(a[1:3], ',') AS luma, array_to_string(b[62:64], ',') AS chroma FROM v WHERE label % 4 > 0 UNION ALL SELECT label, 'size 73', '' FROM v WHERE label % 4 = 0""",
-    "change_sessions": """WITH c AS (SELECT user_id AS media_id, ts::TIMESTAMP AS ts FROM events WHERE event_type IN ('error', 'click')), n AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw FROM c WINDOW w AS (PARTITION BY media_id ORDER BY ts)),
+    "change_sessions": """WITH c AS (SELECT user_id AS media_id, ts::TIMESTAMP AS ts FROM events WHERE event_type IN ('error', 'click')), n AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw FROM c WINDOW w AS (PARTITION BY media_id ORDER BY ts)),
 s AS (SELECT *, sum(nw) OVER (PARTITION BY media_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM n) SELECT media_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS frames FROM s GROUP BY media_id, k""",
     "journal_intake": f"{with_views('journals')} SELECT project_id, concat('unknown user ', username) AS message, 1 AS n FROM journals WHERE project_id % 4 = 0",
 }

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def change_sessions(frames: DataFrame, gap: str = "1 second", late: str = "10 seconds") -> DataFrame:
-    """Runs of changed frames (media_id, ts, changed) of an arriving stream, closed by a gap; frames later than the watermark are dropped."""
+    """Runs of changed frames (media_id, ts, changed) of an arriving stream, closed by a longer gap; frames later than the watermark are dropped."""
     s = frames.where("changed").withWatermark("ts", late).groupBy("media_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("frames"))
     return s.select("media_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "frames")
 
