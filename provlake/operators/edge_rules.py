@@ -89,7 +89,8 @@ def amount_rules(edges: DataFrame, media: DataFrame, segments: DataFrame) -> Dat
     cut = (lost != F.col("_sum")) & (video | (F.abs(lost - F.col("_sum")) > F.col("rate0") * 0.1))
     replace = F.coalesce(argument("add type") == "replace", F.lit(False))
     stretched = F.coalesce(argument("Filter Type").isin("Frequency Stretch", "Time Stretch"), F.lit(False))
-    long = sound & ~stretched & (F.abs(F.col("ms0") - F.col("ms1")) > 100)
+    # Rounded, so that a difference of just 100 ms is not more by what binary fractions lose.
+    long = sound & ~stretched & (F.round(F.abs(F.col("ms0") - F.col("ms1")), 6) > 100)
     overlay = F.coalesce(argument("add type").isin("overlay", "replace"), F.lit(False))
     insert = F.coalesce(argument("add type"), F.lit("insert")) == "insert"
     donors = segments.join(edges.where("op = 'Donor'").select(P, "src", "dst"), [P, "src", "dst"]).select(P, "dst", "type", F.col("frames").alias("_donor"))

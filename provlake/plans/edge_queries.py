@@ -274,8 +274,8 @@ x AS (SELECT w.*, a.type, a.rate AS r0, b.rate AS r1, a.frames AS f0, b.frames A
 df AS (SELECT DISTINCT a.project_id, a.src, a.dst FROM sg a JOIN sg b ON b.op = 'Donor' AND b.project_id = a.project_id AND b.dst = a.dst AND b.type = a.type AND b.frames <> a.frames WHERE a.op <> 'Donor')
 {_all((3, 'cut_amount', "concat('Actual amount of frames of cut video is ', f0 - f1)", 'x', "type = 'video' AND f0 - f1 <> s"), (3, 'cut_amount', "concat('Actual amount of cut time in milliseconds is ', round((f0 - f1) * 1000.0 / r0)::BIGINT)", 'x', "type = 'audio' AND f0 - f1 <> s AND abs(f0 - f1 - s) > r0 * 0.1"),
       (3, 'paste_amount', 'Replacement may not increase the video beyond the size of the donor', 'x', "type = 'video' AND add_type = 'replace' AND f1 > f0"), (3, 'paste_amount', "concat('Pasted frames are not the increase: ', f1 - f0, ' added, ', s, ' recorded')", 'x', "type = 'video' AND coalesce(add_type, '') <> 'replace' AND f1 - f0 <> s"),
-      (3, 'crop_length', "concat('Actual amount of frames of cropped video is ', f1)", 'x', "type = 'video' AND abs(f1 - dst % 60) > 1"), (3, 'audio_duration', 'Duration of media changed', 'x', "type = 'audio' AND abs(m0 - m1) > 100"),
-      (3, 'overlay_duration', 'Duration of media changed', 'x', "type = 'audio' AND abs(m0 - m1) > 100 AND add_type IN ('overlay', 'replace')"), (3, 'audio_add', 'Length did not change though an insert is applied', 'x', "type = 'audio' AND abs(m0 - m1) <= 100 AND coalesce(add_type, 'insert') = 'insert'"),
+      (3, 'crop_length', "concat('Actual amount of frames of cropped video is ', f1)", 'x', "type = 'video' AND abs(f1 - dst % 60) > 1"), (3, 'audio_duration', 'Duration of media changed', 'x', "type = 'audio' AND round(abs(m0 - m1), 6) > 100"),
+      (3, 'overlay_duration', 'Duration of media changed', 'x', "type = 'audio' AND round(abs(m0 - m1), 6) > 100 AND add_type IN ('overlay', 'replace')"), (3, 'audio_add', 'Length did not change though an insert is applied', 'x', "type = 'audio' AND round(abs(m0 - m1), 6) <= 100 AND coalesce(add_type, 'insert') = 'insert'"),
       (2, 'rate_changed', 'Frame rate changed between nodes', 'x', 'r0 <> r1'), (3, 'rate_unchanged', 'Frame rate did not change between nodes', 'x', 'r0 = r1'), (3, 'donor_times', 'Mismatch number of frames', 'df', 'true'))}""",
     "donor_paths": f"""{_RW}, {_UPALL}, rg AS (SELECT DISTINCT u.project_id, u.node_id FROM upall u JOIN edges e ON e.project_id = u.project_id AND e.dst = u.at WHERE e.op = 'Blur'), dn AS (SELECT project_id, dst, min(src) AS donor FROM edges WHERE op = 'Donor' GROUP BY 1, 2),
 x AS (SELECT w.*, d.donor IS NULL AS lost, EXISTS (SELECT 1 FROM rg WHERE rg.project_id = d.project_id AND rg.node_id = d.donor) AS has FROM wide w LEFT JOIN dn d ON d.project_id = w.project_id AND d.dst = w.dst WHERE w.op <> 'Donor')
