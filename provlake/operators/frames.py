@@ -314,9 +314,9 @@ def compare_masks(pairs: DataFrame) -> DataFrame:
 
 
 def mean_image(frames: DataFrame, sample: int) -> DataFrame:
-    """(media_id, pixels array<double>): mean over an even sample of at most `sample` frames."""
+    """(media_id, pixels array<double>): mean over every n/sample-th of n frames, rounded down: at least `sample` frames, all where there are fewer."""
     n = ranked(frames, ["media_id"], "frame_no")
-    step = F.greatest(F.ceil(F.col("_n") / sample), F.lit(1))
+    step = F.greatest(F.floor(F.col("_n") / sample), F.lit(1))
     kept = n.where((F.col("_i") - 1) % step == 0).select("media_id", F.posexplode("gray").alias("_p", "_v"))
     means = kept.groupBy("media_id", "_p").agg(F.round(F.avg("_v"), 6).alias("_m"))
     return means.groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"]).alias("pixels"))
