@@ -155,54 +155,89 @@ class BKTree:
             children[d] = (x, {})
 
 
-def shard_links(members: list[int], radius: int = RADIUS, sketches: dict[int, np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Links that join all members which a chain of steps within the radius joins: at most one for each member and group.
-
-    With sketches a step must have SIMILARITY by them too, and only members that no leader is so near become leaders, nodes of the
-    tree; the others are tied to all their leaders.
-    """
-    tree, head, links = BKTree(), {}, []
+def _joined(links: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the links those that join what no link before them has joined."""
+    head, out = {}, []
 
     def root(v: int) -> int:
+        head.setdefault(v, v)
         while head[v] != v:
             head[v] = v = head[head[v]]
         return v
 
-    for x in members:
-        head[x] = x
-        found = tree.near(x, radius)
-        if sketches is not None:
-            found = [y for y in found if jaccard(sketches[x], sketches[y]) >= SIMILARITY]
-        for y in found:
-            if (a := root(x)) != (b := root(y)):
-                head[a] = b
-                links.append((x, y))
-        if sketches is None or not found:
+    for x, y in links:
+        if (a := root(x)) != (b := root(y)):
+            head[a] = b
+            out.append((x, y))
+    return out
+
+
+def shard_links(members: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links that join all members which a chain of steps within the radius joins: at most one for each member and group."""
+    tree = BKTree()
+
+    def near() -> Iterator[tuple[int, int]]:
+        for x in members:
+            yield from ((x, y) for y in tree.near(x, radius))
             tree.add(x)
-    return links
 
+    return _joined(near())
 
-def _link_shards(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, verified: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, value, fp[, sketch]) come sorted by shard (mask, value); a shard may go on in the next batch."""
-    key, members, sketches, out = None, [], {}, []
 
-    def links() -> list[tuple[int, int]]:
-        return shard_links(members, radius, sketches if verified else None) if len(members) > 1 else []
+def similar_links(fps: np.ndarray, sketches: list[np.ndarray], radius: int = NEAR) -> list[tuple[int, int]]:
+    """Links that join all texts which a chain of pairs within the radius and of SIMILARITY by their sketches joins.
 
+    A text is compared with every one before it but those that it is joined with already; texts of one fingerprint are.
+    """
+    group, out = np.unique(fps, return_inverse=True)[1], []
+    for i in range(1, len(fps)):
+        near = np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= radius)
+        near = near[group[near] != group[i]]
+        while len(near):
+            j, near = near[0], near[1:]
+            if jaccard(sketches[i], sketches[j]) >= SIMILARITY:
+                out.append((int(fps[i]), int(fps[j])))
+                group[group == group[j]] = group[i]
+                near = near[group[near] != group[i]]
+    return out
+
+
+def _shards(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The other columns of each shard of two rows or more; rows come sorted by the first `keys` columns, a shard may go on in the next batch."""
+    key, parts, n = None, [], 0
     for b in batches:
-        fps = b.column(2).to_numpy(zero_copy_only=False).view("u8").tolist()
-        held = b.column(3).to_pylist() if verified else fps
-        for s, f, h in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), fps, held):
-            if s != key:
-                out += links()
-                key, members, sketches = s, [], {}
-            members.append(f)
-            if verified:
-                sketches[f] = np.frombuffer(h, "<u4")
+        told = list(zip(*(c.to_pylist() for c in b.columns[:keys])))
+        rest = [c.to_numpy(zero_copy_only=False) for c in b.columns[keys:]]
+        starts = [i for i in range(len(told)) if i == 0 or told[i] != told[i - 1]]
+        for i, j in zip(starts, [*starts[1:], len(told)]):
+            if told[i] != key:
+                if n > 1:
+                    yield [np.concatenate(c) for c in zip(*parts)]
+                key, parts, n = told[i], [], 0
+            parts.append([c[i:j] for c in rest])
+            n += j - i
+    if n > 1:
+        yield [np.concatenate(c) for c in zip(*parts)]
+
+
+def _link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the shards (mask, value) of rows (mask, value, fp)."""
+    yield from _links_batches(shard_links(fps.view("u8").tolist()) for (fps,) in _shards(batches, 2))
+
+
+def _link_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the shards (mask, value, low, high) of rows (mask, value, low, high, fp, sketch)."""
+    yield from _links_batches(similar_links(fps.view("u8"), [np.frombuffer(h, "<u4") for h in held]) for fps, held in _shards(batches, 4))
+
+
+def _links_batches(shards: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    out = []
+    for links in shards:
+        out += links
         if len(out) > 50_000:
             yield _links_batch(out)
             out = []
-    yield _links_batch(out + links())
+    yield _links_batch(out)
 
 
 def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -220,11 +255,20 @@ def _thirds(mask: int) -> list[int]:
     return [mask | sum(1 << i for i in free[k :: RADIUS + 1]) for k in range(RADIUS + 1)]
 
 
-def _linked(shards: DataFrame, radius: int, verified: bool) -> DataFrame:
+def _linked(shards: DataFrame) -> DataFrame:
     n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["mask", "value", "fp", *(["sketch"] if verified else [])]
-    ordered = shards.select(*columns).repartition(n, "mask", "value").sortWithinPartitions("mask", "value", "fp")
-    return ordered.mapInArrow(lambda b: _link_shards(b, radius, verified), "a long, b long")
+    ordered = shards.select("mask", "value", "fp").repartition(n, "mask", "value").sortWithinPartitions("mask", "value", "fp")
+    return ordered.mapInArrow(_link_shards, "a long, b long")
+
+
+def _similar(shards: DataFrame, shard_max: int) -> DataFrame:
+    """Links of shards (mask, value, n rows) of rows (fp, sketch). Those above shard_max are dealt out in blocks, a task for every two of them."""
+    count = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = shards.withColumn("blocks", F.ceil(F.col("n") / shard_max)).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    pairs = blocks.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("blocks = 1 or own <> other")
+    key = ["mask", "value", "low", "high"]
+    dealt = pairs.select("mask", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "sketch")
+    return dealt.repartition(count, *key).sortWithinPartitions(*key, "fp").mapInArrow(_link_similar, "a long, b long")
 
 
 def near_links(fps: DataFrame, shard_max: int = SHARD_MAX) -> DataFrame:
@@ -237,7 +281,7 @@ def near_links(fps: DataFrame, shard_max: int = SHARD_MAX) -> DataFrame:
         # Where no more bits are free than the radius has, all members are within it of each other.
         last = F.col("mask").isin(*(_signed(m) for m in masks if 64 - m.bit_count() <= RADIUS))
         small = rows.join(sizes.where((F.col("n") <= shard_max) | last).select("mask", "value"), ["mask", "value"], "left_semi")
-        links = _linked(small, RADIUS, False)
+        links = _linked(small)
         out = links if out is None else out.unionByName(links)
         large = sizes.where((F.col("n") > shard_max) & ~last).select("mask", "value")
         # At most six masks, and three for each of these in every further round.
@@ -283,13 +327,12 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, lists, pa.array(sketches, pa.binary())], names=["doc_id", "digest", "fp", "bands", "sketch"])
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_max: int = SHARD_MAX) -> DataFrame:
     """docs without near-duplicates: one row of each group stays.
 
     A group is what chains of links join: fingerprints within distance 2, and texts of SIMILARITY or more by their five-word shingles
-    among documents that share a band (in a band's shard each is compared with those that have no such one before them). Texts of one
-    fingerprint count as one. The row that
-    stays is the one with the smallest id (null ids last), of these the one with the least hash of all its columns, so the result is
+    among documents that share a band, each compared with all others there that no link has joined it with yet. Texts of one
+    fingerprint are one group, and each of them is compared. The row that stays is the one with the smallest id (null ids last), of these the one with the least hash of all its columns, so the result is
     the same in every run; of rows that are alike in every column one stays. Null and empty texts are one group. Each row is
     judged by its own text: where rows share an id but not their text, they are different documents.
     """
@@ -297,13 +340,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     named = docs.withColumn(digest, F.sha2(F.to_json(F.struct("*")), 256))
     rows = named.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(digest).alias("digest"), F.col(text).alias("text"))
     marked = materialize(rows.mapInArrow(_marked, "doc_id long, digest string, fp long, bands array<long>, sketch binary"), "fingerprints")
-    # Of texts with one fingerprint, one speaks for all.
-    texts = materialize(marked.groupBy("fp").agg(F.min_by(F.struct("bands", "sketch"), "digest").alias("t")).select("fp", "t.*"), "texts")
-    shards = texts.select("fp", F.posexplode("bands").alias("mask", "value"))
-    shared = materialize(shards.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mask", "value"), "bands")
+    texts = materialize(marked.groupBy("fp", "bands", "sketch").agg(F.min("digest").alias("digest")), "texts")
+    shards = texts.select("digest", F.posexplode("bands").alias("mask", "value"))
+    shared = materialize(shards.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
     # Only texts that share a band send their sketches.
-    candidates = shards.join(shared, ["mask", "value"], "left_semi").join(texts.select("fp", "sketch"), "fp")
-    links = near_links(texts.select("fp")).unionByName(_linked(candidates, NEAR, True))
+    candidates = shards.join(shared, ["mask", "value"]).join(texts.select("digest", "fp", "sketch"), "digest")
+    links = near_links(texts.select("fp").distinct()).unionByName(_similar(candidates, shard_max))
     roots = components(links).withColumnRenamed("node", "fp")
     classed = marked.select("doc_id", "digest", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")).alias("f"))
