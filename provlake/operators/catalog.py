@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provlake.functions.blocks import in_parts
+
 P = "project_id"
 
 
@@ -215,8 +217,10 @@ def named_by_md5(finals: DataFrame) -> DataFrame:
 
 def list_check(sheet: DataFrame, files: DataFrame) -> DataFrame:
     """(file, side): names that only the sheet or only the folder holds."""
-    a, b = sheet.select("file").distinct(), files.select("file").distinct()
-    return a.exceptAll(b).withColumn("side", F.lit("sheet")).unionByName(b.exceptAll(a).withColumn("side", F.lit("folder")))
+    side = lambda t, name: t.select("file", F.lit(name).alias("side"))
+    # One exchange of all names, in as many parts as keep each small.
+    both = in_parts(side(sheet, "sheet").unionByName(side(files, "folder")), "file")
+    return both.groupBy("file").agg(F.min("side").alias("side"), F.max("side").alias("_last")).where("side = _last").drop("_last")
 
 
 def empty_mask_edges(edges: DataFrame, operations: DataFrame) -> DataFrame:
