@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.functions.blocks import in_parts
+from provlake.functions.blocks import in_parts, n_parts
 
 P = "project_id"
 
@@ -49,7 +49,13 @@ def pick_paired(files: DataFrame, pairs: DataFrame) -> DataFrame:
     lengths = sorted(r["n"] for r in pairs.select(F.length("prefix").alias("n")).distinct().collect() if r["n"] is not None)
     begins = F.explode(F.array_compact(F.array(*(F.when(F.length("file") >= n, F.left("file", F.lit(n))) for n in lengths))))
     j = files.withColumn("prefix", begins) if lengths else files.withColumn("prefix", F.lit(None).cast("string"))
-    return j.join(pairs, "prefix").groupBy("file").agg(F.min_by("to", F.struct("pos", "to")).alias("to"))
+    first = pairs.groupBy("prefix").agg(F.min(F.struct("pos", "to")).alias("pair"))
+    # Many names begin alike: they are dealt out, and a prefix has a row for each share of them.
+    n = n_parts(files.count(), files.sparkSession)
+    dealt = first.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    shares = j.withColumn("_share", F.pmod(F.xxhash64("file"), F.lit(n)).cast("int")).repartition(n, "prefix", "_share")
+    found = shares.join(dealt, ["prefix", "_share"])
+    return in_parts(found.select("file", "pair"), "file").groupBy("file").agg(F.min("pair").alias("_pair")).select("file", F.col("_pair.to").alias("to"))
 
 
 def reduce_listing(listing: DataFrame, journals: DataFrame, ts: Column) -> DataFrame:
