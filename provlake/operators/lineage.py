@@ -164,15 +164,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = edges.select(P, F.col("src").alias("node_id"), F.col("dst").alias("_to")).unionByName(edges.select(P, F.col("dst").alias("node_id"), F.col("src").alias("_to"))).distinct()
     both = written(both)
-    label = written(nodes.select(P, "node_id", F.col("node_id").alias("component")))
-    while True:
-        sent = label.join(both, [P, "node_id"]).select(P, F.col("_to").alias("node_id"), "component")
-        least = label.unionByName(sent).groupBy(P, "node_id").agg(F.min("component").alias("component"))
-        jump = least.select(P, F.col("node_id").alias("component"), F.col("component").alias("_far"))
-        after = written(least.join(jump, [P, "component"]).select(P, "node_id", F.col("_far").alias("component")))
-        if after.join(label, [P, "node_id", "component"], "left_anti").isEmpty():
-            return after
-        label = after
+    # What a node had before goes along, so that no join has to tell whether any label moved.
+    label = written(nodes.select(P, "node_id", F.col("node_id").alias("component"), F.lit(True).alias("_moved")))
+    while not label.where("_moved").isEmpty():
+        sent = label.join(both, [P, "node_id"]).select(P, F.col("_to").alias("node_id"), "component", F.lit(None).cast("long").alias("_old"))
+        own = label.select(P, "node_id", "component", F.col("component").alias("_old"))
+        least = written(own.unionByName(sent).groupBy(P, "node_id").agg(F.min("component").alias("component"), F.max("_old").alias("_old")))
+        # Only labels that moved may have moved on themselves.
+        roots = least.where("node_id <> component").select(P, F.col("node_id").alias("component"), F.col("component").alias("_far"))
+        far = F.coalesce("_far", "component")
+        label = written(least.join(roots, [P, "component"], "left").select(P, "node_id", far.alias("component"), (~far.eqNullSafe(F.col("_old"))).alias("_moved")))
+    return label.drop("_moved")
 
 
 def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
