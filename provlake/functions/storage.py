@@ -43,6 +43,14 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def picked(df: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of df; of a table that was written they are not written again."""
+    out = df.select(*columns)
+    if hasattr(df, "_written_at"):
+        out._written_at = df._written_at
+    return out
+
+
 class Rounds:
     """The rounds of a loop as partitions of one table, so that what all rounds have found is one scan, whatever the depth."""
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.functions.storage import Rounds, written
+from provlake.functions.storage import Rounds, picked, written
 
 P = "project_id"
 
@@ -117,7 +117,7 @@ def find_base(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def terminals(nodes: DataFrame, edges: DataFrame, exclude_donor: bool = True) -> DataFrame:
     """(project_id, node_id, final): nodes without successors that each node reaches, each once."""
-    nodes, edges = written(nodes.select(P, "node_id")), written(edges.select(P, "src", "dst", "op"))
+    nodes, edges = written(picked(nodes, P, "node_id")), written(picked(edges, P, "src", "dst", "op"))
     # Upward from the ends: what reaches none of them is not looked at.
     found = reach(_plain(edges, exclude_donor), ends(nodes, edges), upward=True)
     return found.select(P, "node_id", F.col("seed").alias("final"))
@@ -125,21 +125,21 @@ def terminals(nodes: DataFrame, edges: DataFrame, exclude_donor: bool = True) ->
 
 def ancestor_edges(edges: DataFrame, seeds: DataFrame, exclude_donor: bool = False) -> DataFrame:
     """(project_id, seed, src, dst, op): all edges among a node and its ancestors that lead upward from it."""
-    plain = _plain(written(edges.select(P, "src", "dst", "op")), exclude_donor)
+    plain = _plain(written(picked(edges, P, "src", "dst", "op")), exclude_donor)
     up = reach(plain, seeds, upward=True)
     return up.select(P, "seed", F.col("node_id").alias("dst")).join(plain.select(P, "src", "dst", "op"), [P, "dst"]).select(P, "seed", "src", "dst", "op")
 
 
 def donor_base_tuples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, donor_src, donor_dst, base): the bases above each donor edge's start."""
-    edges = written(edges.select(P, "src", "dst", "op"))
+    edges = written(picked(edges, P, "src", "dst", "op"))
     donors = edges.where("op = 'Donor'").select(P, F.col("src").alias("donor_src"), F.col("dst").alias("donor_dst"))
     return donors.join(bases(nodes, edges).withColumnRenamed("node_id", "donor_src"), [P, "donor_src"]).select(P, "donor_src", "donor_dst", "base")
 
 
 def terminal_base_tuples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, final, base)."""
-    edges = written(edges.select(P, "src", "dst", "op"))
+    edges = written(picked(edges, P, "src", "dst", "op"))
     return bases(nodes, edges).join(ends(nodes, edges), [P, "node_id"], "left_semi").withColumnRenamed("node_id", "final")
 
 
@@ -160,21 +160,30 @@ def common_parent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, node_id, component): the smallest node reachable when directions are ignored.
 
-    Labels spread along edges and then jump to their label's label, so rounds grow with the logarithm of a diameter.
+    By random contraction: in each round a node goes over into the one of least hash among itself and its neighbours, with another seed each
+    round, so nodes and links shrink by a share each round, chains and stars alike. The rounds' maps are then followed from the last back.
     """
-    both = edges.select(P, F.col("src").alias("node_id"), F.col("dst").alias("_to")).unionByName(edges.select(P, F.col("dst").alias("node_id"), F.col("src").alias("_to"))).distinct()
-    both = written(both)
-    # What a node had before goes along, so that no join has to tell whether any label moved.
-    label = written(nodes.select(P, "node_id", F.col("node_id").alias("component"), F.lit(True).alias("_moved")))
-    while not label.where("_moved").isEmpty():
-        sent = label.join(both, [P, "node_id"]).select(P, F.col("_to").alias("node_id"), "component", F.lit(None).cast("long").alias("_old"))
-        own = label.select(P, "node_id", "component", F.col("component").alias("_old"))
-        least = written(own.unionByName(sent).groupBy(P, "node_id").agg(F.min("component").alias("component"), F.max("_old").alias("_old")))
-        # Only labels that moved may have moved on themselves.
-        roots = least.where("node_id <> component").select(P, F.col("node_id").alias("component"), F.col("component").alias("_far"))
-        far = F.coalesce("_far", "component")
-        label = written(least.join(roots, [P, "component"], "left").select(P, "node_id", far.alias("component"), (~far.eqNullSafe(F.col("_old"))).alias("_moved")))
-    return label.drop("_moved")
+    pair = lambda a, b: (F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b"))
+    left = written(edges.where("src <> dst").select(P, *pair("src", "dst")).distinct())
+    maps: list[DataFrame] = []
+    while not left.isEmpty():
+        hashed = lambda c: F.xxhash64(F.lit(len(maps)), F.col(c))  # noqa: B023, E731
+        side = lambda one, other: left.select(P, F.col(one).alias("node_id"), F.col(other).alias("_n"), hashed(other).alias("_h"))  # noqa: B023, E731
+        near = side("_a", "_b").unionByName(side("_b", "_a")).groupBy(P, "node_id").agg(F.min_by("_n", "_h").alias("_n"), F.min("_h").alias("_h"))
+        into = written(near.select(P, "node_id", F.when(hashed("node_id") <= F.col("_h"), F.col("node_id")).otherwise(F.col("_n")).alias("_to")))
+        of = lambda end: into.select(P, F.col("node_id").alias(end), F.col("_to").alias(f"_to{end}"))  # noqa: B023, E731
+        left = written(left.join(of("_a"), [P, "_a"]).join(of("_b"), [P, "_b"]).where("_to_a <> _to_b").select(P, *pair("_to_a", "_to_b")).distinct())
+        maps.append(into)
+    own = nodes.select(P, "node_id").distinct()
+    if not maps:
+        return own.withColumn("component", F.col("node_id"))
+    root = maps.pop()
+    while maps:
+        into = maps.pop()
+        root = written(into.join(root.select(P, F.col("node_id").alias("_to"), F.col("_to").alias("_far")), [P, "_to"], "left").select(P, "node_id", F.coalesce("_far", "_to").alias("_to")))
+    rooted = written(own.join(root, [P, "node_id"], "left"))
+    least = rooted.where("_to is not null").groupBy(P, "_to").agg(F.min("node_id").alias("component"))
+    return rooted.join(least, [P, "_to"], "left").select(P, "node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -203,9 +212,16 @@ def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _trimmed(left: DataFrame) -> DataFrame:
-    """The edges without those that a node without predecessors or successors ends, one layer only."""
-    ins, outs = left.select(P, F.col("dst").alias("src")), left.select(P, F.col("src").alias("dst"))
-    return written(left.join(ins, [P, "src"], "left_semi").join(outs, [P, "dst"], "left_semi"))
+    """The edges without those that a node without predecessors or successors ends: layer by layer while a layer takes a fourth of what is left
+    or more, so that all layers together cost no more than four of the first."""
+    n = left.count()
+    while n:
+        ins, outs = left.select(P, F.col("dst").alias("src")), left.select(P, F.col("src").alias("dst"))
+        left = written(left.join(ins, [P, "src"], "left_semi").join(outs, [P, "dst"], "left_semi"))
+        before, n = n, left.count()
+        if n > before * 3 / 4:
+            break
+    return left
 
 
 def _least_above(edges: DataFrame) -> DataFrame:
@@ -238,7 +254,7 @@ def subgraph(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataF
 
 def qa_invalidate(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(project_id, src, dst): links up- and downstream of changed links (project_id, src, dst), whose QA mark must be reset."""
-    edges = written(edges.select(P, "src", "dst"))
+    edges = written(picked(edges, P, "src", "dst"))
     up = reached(edges, changed.select(P, F.col("src").alias("node_id")), upward=True).withColumnRenamed("node_id", "dst")
     down = reached(edges, changed.select(P, F.col("dst").alias("node_id"))).withColumnRenamed("node_id", "src")
     hit = edges.join(up, [P, "dst"], "left_semi").select(P, "src", "dst").unionByName(edges.join(down, [P, "src"], "left_semi").select(P, "src", "dst"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.functions.storage import Rounds, written
+from provlake.functions.storage import Rounds, picked, written
 
 from . import lineage, transforms
 from .transforms import register_transform  # noqa: F401
@@ -24,7 +24,7 @@ def is_localized(operations: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 def probe_summary(nodes: DataFrame, edges: DataFrame, operations: DataFrame) -> DataFrame:
     """One row for each localized edge and final medium that it reaches: base and level of its source (the first by level, then id)."""
-    nodes, edges = written(nodes.select(P, "node_id")), written(edges.select(P, "src", "dst", "op"))
+    nodes, edges = written(picked(nodes, P, "node_id")), written(picked(edges, P, "src", "dst", "op"))
     return _completed(is_localized(operations)(edges), nodes, edges)
 
 
@@ -148,6 +148,6 @@ def assign_colors(edges: DataFrame) -> DataFrame:
 
 def extend_detect_probes(probes: DataFrame, nodes: DataFrame, edges: DataFrame, detect: Column) -> DataFrame:
     """Rows for detect-only edges without a probe: each final and base of theirs."""
-    nodes, edges = written(nodes.select(P, "node_id")), written(edges.select(P, "src", "dst", "op"))
+    nodes, edges = written(picked(nodes, P, "node_id")), written(picked(edges, P, "src", "dst", "op"))
     free = edges.where(detect).select(P, "src", "dst", "op").join(probes.select(P, "src", "dst").distinct(), [P, "src", "dst"], "left_anti")
     return _completed(free, nodes, edges)

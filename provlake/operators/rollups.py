@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.functions.storage import written
+from provlake.functions.storage import picked, written
 
 from . import lineage
 from .groups import expand_groups
@@ -29,7 +29,7 @@ SELECTION = ("SelectRegion", "SelectRegionFromFrames", "SelectImageFromFrames")
 
 def final_edges(nodes: DataFrame, edges: DataFrame, exclude_donor: bool = False) -> DataFrame:
     """(project_id, final, src, dst, op): the closure that all roll-ups of finals use."""
-    edges = written(edges.select(P, "src", "dst", "op"))
+    edges = written(picked(edges, P, "src", "dst", "op"))
     finals = lineage.ends(nodes, edges)
     return lineage.ancestor_edges(edges, finals, exclude_donor).withColumnRenamed("seed", "final")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlake.functions.scalars import file_type, suffix, time_to_ms, valid_coordinates, valid_time
+from provlake.functions.storage import picked, written
 
 from . import lineage
 from .segments import from_constraints
@@ -40,11 +41,13 @@ def graph_rules(nodes: DataFrame, edges: DataFrame, journals: DataFrame | None =
     """Isolated nodes, nodes with a donor as their only predecessor, parts apart from the rest, a journal's cycles (at the smallest node that
     lies on one), repeated final files; with journals (project_id, version, jt_upgrades) those of another version than the current one or
     not upgraded to their own, without a node."""
-    d = lineage.degrees(nodes, edges)
+    # Both are read by every rule, and the degrees by three.
+    nodes, edges = written(picked(nodes, P, "node_id", "file")), written(picked(edges, P, "src", "dst", "op"))
+    d = written(lineage.degrees(nodes, edges))
     at = {"start": "node_id", "end": "node_id"}
     isolated = messages(d.where("n_in + n_out = 0"), ERROR, "graph", "is not connected to other nodes", **at)
     donor = messages(d.where("n_in = 1 and n_in_plain = 0"), ERROR, "graph", "has a donor but no other predecessor", **at)
-    parts = lineage.components(nodes, edges)
+    parts = written(lineage.components(nodes, edges))
     many = parts.groupBy(P).agg(F.min("component").alias("_main"), F.count_distinct("component").alias("_n")).where("_n > 1")
     apart = parts.where("component = node_id").join(many, P).where("component <> _main").select(P, "node_id")
     cycle = messages(lineage.cycle_nodes(nodes, edges).groupBy(P).agg(F.min("node_id").alias("node_id")), ERROR, "graph", "has a cycle", **at)
