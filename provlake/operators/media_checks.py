@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provlake.functions.blocks import n_parts
+
 from .rules import ERROR, WARNING, P, messages, register, union
 from .segments import from_constraints
 
@@ -74,10 +76,13 @@ def mask_rules(edges: DataFrame, files: DataFrame) -> DataFrame:
     A link needs its mask if it is about image or video and has no video masks; an input mask must be there and as large as
     the link mask, unless it is audio (width and height null). A file listed twice counts once.
     """
-    listed = files.groupBy(P, "file").agg(F.max("width").alias("w"), F.max("height").alias("h"))
+    # Dealt out by the rows that there are, so that a task's memory does not grow with the tables.
+    n = n_parts(max(edges.count(), files.count()), edges.sparkSession)
+    listed = files.repartition(n, P, "file").groupBy(P, "file").agg(F.max("width").alias("w"), F.max("height").alias("h"))
     side = lambda name, to: listed.select(P, F.col("file").alias(name), F.lit(True).alias(f"{to}_there"), F.col("w").alias(f"{to}_w"), F.col("h").alias(f"{to}_h"))
     seen = ["video", "image"]
-    rows = edges.join(side("maskname", "m"), [P, "maskname"], "left").join(side("inputmask", "i"), [P, "inputmask"], "left")
+    rows = edges.repartition(n, P, "maskname").join(side("maskname", "m"), [P, "maskname"], "left")
+    rows = rows.repartition(n, P, "inputmask").join(side("inputmask", "i"), [P, "inputmask"], "left")
     visual = F.coalesce(F.col("src_type").isin(seen), F.lit(False)) | F.coalesce(F.col("dst_type").isin(seen), F.lit(False))
     needed = visual & ~F.coalesce(F.col("generate").isin("audio", "meta", "frames"), F.lit(False)) & (F.coalesce("n_videomasks", F.lit(0)) == 0)
     asked = F.coalesce(F.length("inputmask"), F.lit(0)) > 0
