@@ -74,6 +74,38 @@ def final_node_properties(closure: DataFrame, properties: DataFrame) -> DataFram
     return wide.unpivot([P, "final"], [p["name"] for p in rows], "name", "value")
 
 
+def _reached_nodes(edges: DataFrame, finals: DataFrame, exclude_donor: bool = False) -> DataFrame:
+    """(project_id, final, dst): the finals and what lies above them."""
+    up = lineage.reach(edges.where("op <> 'Donor'") if exclude_donor else edges, finals, upward=True)
+    return up.select(P, F.col("seed").alias("final"), F.col("node_id").alias("dst"))
+
+
+def properties_of_finals(nodes: DataFrame, edges: DataFrame, properties: DataFrame) -> DataFrame:
+    """A1: final_node_properties() from the edges themselves (project_id, src, dst, and what it asks of a closure but final and is_plain).
+
+    Properties are told for each node's incoming edges first, in one row a node; only these rows meet the finals, not the edges.
+    """
+    rows = properties.collect()  # a dictionary
+    links, plain = written(picked(edges, P, "src", "dst", "op")), F.col("op") != "Donor"
+    hits = {p["name"]: _has(p) if p["rule"] is None else _has(p) | F.coalesce(F.col(p["rule"]), F.lit(False)) for p in rows}
+    told = edges.groupBy(P, "dst").agg(*(F.bool_or(hits[p["name"]] & (F.lit(True) if p["includedonors"] else plain)).alias(p["name"]) for p in rows))
+    finals = written(lineage.ends(nodes, links))
+    by_plain = _reached_nodes(links, finals, True).withColumn("_plain", F.lit(True))
+    up = _reached_nodes(links, finals).join(by_plain, [P, "final", "dst"], "left")
+    on = F.coalesce("_plain", F.lit(False))
+    wide = up.join(told, [P, "dst"]).groupBy(P, "final").agg(*(F.bool_or(F.col(p["name"]) & (F.lit(True) if p["includedonors"] else on)).alias(p["name"]) for p in rows))
+    return wide.unpivot([P, "final"], [p["name"] for p in rows], "name", "value")
+
+
+def rules_of_finals(nodes: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
+    """A3: property_rules() from the edges themselves: links (project_id, src, dst) lead to the finals, edges (project_id, dst) carry what
+    the rules ask for, which are told for each node's incoming edges first, in one row a node."""
+    rules = rule_predicates("members" in edges.columns)
+    told = edges.groupBy(P, "dst").agg(*(F.bool_or(c).alias(k) for k, c in rules.items()))
+    up = _reached_nodes(links, lineage.ends(nodes, links))
+    return up.join(told, [P, "dst"]).groupBy(P, "final").agg(*(F.bool_or(k).alias(k) for k in rules))
+
+
 def project_properties(edges: DataFrame, properties: DataFrame) -> DataFrame:
     """A2: (project_id, name, value): does any edge of the journal give the property (see final_node_properties)?"""
     rows = properties.collect()  # a dictionary

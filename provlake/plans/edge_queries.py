@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provlake.functions.storage import picked
 from provlake.operators import edge_rules, edge_sets, groups, lineage, rollups, rules
 
-from .fixture import view, wide_edges, with_views
+from .fixture import kept_views, view, wide_edges, with_views
 
 EDGE = ("project_id", "src", "dst")
 _W = with_views("wide", "operations")
@@ -112,15 +113,17 @@ def q_run(spark, d):
     return rules.sort_messages(rules.remove_messages(kept, (F.col("module") == "empty") & (F.pmod("start", F.lit(2)) == 0)))
 
 
-def _closure(spark, d):
-    n, e = view(spark, d, "nodes"), view(spark, d, "edges").select(*EDGE, "op")
+def _rule_edges(spark, d):
+    """Nodes, links, and the links with what the rules ask for."""
+    have = kept_views(spark, d, "nodes", "edges")
+    n, e = have["nodes"], picked(have["edges"], *EDGE, "op")
     common = lineage.common_parent(n, e).select("project_id", F.col("node_id").alias("dst"), F.col("same").alias("common_parent"))
-    wide = edge_sets.is_gan(wide_edges(spark, d), spark.createDataFrame([("s2",)], "name string")).join(view(spark, d, "operations").select("op", "category"), "op", "left").join(common, ["project_id", "dst"], "left")
-    return rollups.final_edges(n, e).join(wide, [*EDGE, "op"])
+    wide = edge_sets.is_gan(wide_edges(spark, d, have), spark.createDataFrame([("s2",)], "name string")).join(view(spark, d, "operations").select("op", "category"), "op", "left")
+    return n, e, wide.join(common, ["project_id", "dst"], "left")
 
 
 def q_property_rules(spark, d):
-    return rollups.property_rules(_closure(spark, d))
+    return rollups.rules_of_finals(*_rule_edges(spark, d))
 
 
 def q_formats(spark, d):
@@ -177,8 +180,9 @@ def q_group_rules(spark, d):
     held = levels.select("group_name").distinct().where("group_name <> 'g0'").selectExpr("group_name", "if(group_name = 'g1', 'g0', 'g1') as op", "cast(0 as bigint) as pos")
     members = groups.group_members(levels.unionByName(held), view(spark, d, "operations"))
     grouped = F.pmod("dst", F.lit(12)) == 0
-    c = _closure(spark, d).withColumns({"category": F.when(grouped, "Groups").otherwise(F.col("category")), "op": F.when(grouped, F.concat(F.lit("g"), F.pmod("src", F.lit(3)))).otherwise(F.col("op"))})
-    return rollups.property_rules(c.join(members, "op", "left")).select("project_id", "final", "color", "audio_activity", "other_enhancement", "video_other_enhancement", "median_smoothing")
+    n, e, wide = _rule_edges(spark, d)
+    c = wide.withColumns({"category": F.when(grouped, "Groups").otherwise(F.col("category")), "op": F.when(grouped, F.concat(F.lit("g"), F.pmod("src", F.lit(3)))).otherwise(F.col("op"))})
+    return rollups.rules_of_finals(n, e, c.join(members, "op", "left")).select("project_id", "final", "color", "audio_activity", "other_enhancement", "video_other_enhancement", "median_smoothing")
 
 
 def q_generated(spark, d):
