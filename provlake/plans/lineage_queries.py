@@ -190,16 +190,14 @@ def _properties(spark):
     return spark.createDataFrame(rows, PROPERTIES)
 
 
-def _property_edges(spark, d):
+def _property_edges(spark, d, have=None):
     group = F.when(F.pmod("dst", F.lit(8)) == 0, F.array(F.lit("face"), F.lit("body")))
-    return wide_edges(spark, d).withColumns({"semanticGroups": group, "warp": (F.col("op") == "TimeWarp") & (F.pmod("src", F.lit(2)) == 0)})
+    return wide_edges(spark, d, have).withColumns({"semanticGroups": group, "warp": (F.col("op") == "TimeWarp") & (F.pmod("src", F.lit(2)) == 0)})
 
 
 def q_final_properties(spark, d):
-    n, e = _ne(spark, d)
-    plain = rollups.final_edges(n, e, True).select("project_id", "final", "src", "dst").distinct().withColumn("is_plain", F.lit(True))
-    closure = rollups.final_edges(n, e).select("project_id", "final", "src", "dst", "op").distinct().join(plain, ["project_id", "final", "src", "dst"], "left").na.fill(False, ["is_plain"])
-    return rollups.final_node_properties(closure.join(_property_edges(spark, d), ["project_id", "src", "dst", "op"]), _properties(spark))
+    have = kept_views(spark, d, "nodes", "edges")
+    return rollups.properties_of_finals(have["nodes"], _property_edges(spark, d, have), _properties(spark))
 
 
 def q_project_properties(spark, d):
