@@ -29,7 +29,7 @@ def reach(edges: DataFrame, seeds: DataFrame, upward: bool = False) -> DataFrame
 def reached(edges: DataFrame, seeds: DataFrame, upward: bool = False) -> DataFrame:
     """(project_id, node_id) of all nodes that any of the seeds reaches, the seeds included: one frontier for all of them, so each node and
     edge is looked at once, however many seeds there are."""
-    return _spread(edges, seeds.select(P, F.lit(None).cast("long").alias("seed"), "node_id"), upward).select(P, "node_id")
+    return _spread(edges, seeds.select(P, F.lit(0).cast("long").alias("seed"), "node_id"), upward).select(P, "node_id")
 
 
 def _spread(edges: DataFrame, seeds: DataFrame, upward: bool) -> DataFrame:
@@ -37,10 +37,10 @@ def _spread(edges: DataFrame, seeds: DataFrame, upward: bool) -> DataFrame:
     steps = written(edges.select(P, F.col(here).alias("node_id"), F.col(there).alias("_next")).distinct())
     rounds = Rounds(seeds.distinct().withColumn("depth", F.lit(0)))
     while not rounds.last.isEmpty():
-        found = rounds.last.join(steps, [P, "node_id"]).select(P, "seed", F.col("_next").alias("node_id"), (F.col("depth") + 1).alias("depth")).distinct()
-        seen = rounds.all().select(P, F.col("seed").alias("_s"), F.col("node_id").alias("_n"), F.lit(True).alias("_seen")).withColumnRenamed(P, "_p")
-        same = (F.col(P) == F.col("_p")) & F.col("seed").eqNullSafe(F.col("_s")) & (F.col("node_id") == F.col("_n"))
-        rounds.add(found.join(seen, same, "left_anti"))
+        # Distinct by the keys of the join that follows, so that both share one exchange. A row without a seed or node leads nowhere.
+        found = rounds.last.join(steps, [P, "node_id"]).select(P, "seed", F.col("_next").alias("node_id")).distinct()
+        new = found.join(rounds.all().select(P, "seed", "node_id"), [P, "seed", "node_id"], "left_anti")
+        rounds.add(new.withColumn("depth", F.lit(rounds.count)))
     return rounds.all()
 
 

@@ -22,16 +22,23 @@ def is_localized(operations: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda edges: edges.join(ops, "op", "left_semi")
 
 
-def probe_summary(nodes: DataFrame, edges: DataFrame, operations: DataFrame) -> DataFrame:
-    """One row for each localized edge and final medium that it reaches: base and level of its source (the first by level, then id)."""
+def probe_summary(nodes: DataFrame, edges: DataFrame, operations: DataFrame, ways: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row for each localized edge and final medium that it reaches: base and level of its source (the first by level, then id).
+    ways: the finals_and_bases() of the same tables, where they are at hand."""
+    edges = written(picked(edges, P, "src", "dst", "op"))
+    return _completed(is_localized(operations)(edges), ways or finals_and_bases(nodes, edges))
+
+
+def finals_and_bases(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(project_id, dst, final): the finals that each node reaches; (project_id, src, base, level): the first base of each node."""
     nodes, edges = written(picked(nodes, P, "node_id")), written(picked(edges, P, "src", "dst", "op"))
-    return _completed(is_localized(operations)(edges), nodes, edges)
+    finals = lineage.terminals(nodes, edges).select(P, F.col("node_id").alias("dst"), "final")
+    return finals, lineage.nearest_bases(nodes, edges).withColumnRenamed("node_id", "src")
 
 
-def _completed(some: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _completed(some: DataFrame, ways: tuple[DataFrame, DataFrame]) -> DataFrame:
     """One row for each of some edges and each final that it reaches, with the first base of its source."""
-    finals = lineage.terminals(nodes, edges).select(P, F.col("node_id").alias("dst"), "final")
-    bases = lineage.nearest_bases(nodes, edges).withColumnRenamed("node_id", "src")
+    finals, bases = ways
     return some.select(P, "src", "dst", "op").join(finals, [P, "dst"]).join(bases, [P, "src"], "left").select(P, "src", "dst", "op", "final", "base", "level")
 
 
@@ -146,8 +153,8 @@ def assign_colors(edges: DataFrame) -> DataFrame:
     return e.select(P, "src", "dst", F.when(F.col("_d") == F.col("_n"), F.col("_own")).otherwise(spread).alias("color"))
 
 
-def extend_detect_probes(probes: DataFrame, nodes: DataFrame, edges: DataFrame, detect: Column) -> DataFrame:
-    """Rows for detect-only edges without a probe: each final and base of theirs."""
-    nodes, edges = written(picked(nodes, P, "node_id")), written(picked(edges, P, "src", "dst", "op"))
+def extend_detect_probes(probes: DataFrame, nodes: DataFrame, edges: DataFrame, detect: Column, ways: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Rows for detect-only edges without a probe: each final and base of theirs. ways: as in probe_summary()."""
+    edges = written(picked(edges, P, "src", "dst", "op"))
     free = edges.where(detect).select(P, "src", "dst", "op").join(probes.select(P, "src", "dst").distinct(), [P, "src", "dst"], "left_anti")
-    return _completed(free, nodes, edges)
+    return _completed(free, ways or finals_and_bases(nodes, edges))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.functions.storage import picked
+from provlake.functions.storage import picked, written
 from provlake.operators import lineage, probes, rollups, rules
 
 from . import program_sql
@@ -107,13 +107,13 @@ def q_qa(spark, d):
     return lineage.qa_invalidate(e, e.where("op = 'TransformCrop'"))
 
 
-def q_probe_summary(spark, d):
-    n, e = _ne(spark, d)
+def q_probe_summary(spark, d, kept=None):
+    n, e = kept or _kept_ne(spark, d)
     return probes.probe_summary(n, e, view(spark, d, "operations"))
 
 
 def q_probes(spark, d):
-    e = view(spark, d, "wide")
+    e = _kept_wide(spark, d)["wide"]
     segs, ops = view(spark, d, "segments"), view(spark, d, "operations")
     return probes.generate_probes(e, segs, _places(spark, d), probes.is_localized(ops), media=view(spark, d, "media"))
 
@@ -145,7 +145,8 @@ def q_video_bits(spark, d):
 
 
 def q_donor_segments(spark, d):
-    return probes.donor_segments(view(spark, d, "nodes"), view(spark, d, "wide"), view(spark, d, "segments"), _places(spark, d), view(spark, d, "media"))
+    have = _kept_wide(spark, d)
+    return probes.donor_segments(have["nodes"], have["wide"], view(spark, d, "segments"), _places(spark, d), view(spark, d, "media"))
 
 
 def q_designate(spark, d):
@@ -155,8 +156,8 @@ def q_designate(spark, d):
 
 
 def q_donors(spark, d):
-    n, e = _ne(spark, d)
-    p = q_probe_summary(spark, d)
+    n, e = kept = _kept_ne(spark, d)
+    p = q_probe_summary(spark, d, kept)
     out = probes.attach_donors(p, probes.construct_donors(n, e))
     return out.select("project_id", "src", "dst", "final", F.coalesce("donor_base", F.lit(-1)).alias("donor_base"))
 
@@ -167,8 +168,10 @@ def q_colors(spark, d):
 
 
 def q_detect(spark, d):
-    n, e = _ne(spark, d)
-    return probes.extend_detect_probes(q_probe_summary(spark, d), n, e, F.col("op").isin("ColorColorBalance", "Blur"))
+    n, e = _kept_ne(spark, d)
+    ways = probes.finals_and_bases(n, e)
+    p = probes.probe_summary(n, e, view(spark, d, "operations"), ways)
+    return probes.extend_detect_probes(p, n, e, F.col("op").isin("ColorColorBalance", "Blur"), ways)
 
 
 def q_rollups(spark, d):
@@ -223,6 +226,12 @@ def q_create_time(spark, d):
     return rollups.create_time(view(spark, d, "nodes")).withColumn("createtime", F.col("createtime").cast("string"))
 
 
+def _kept_wide(spark, d):
+    have = kept_views(spark, d, "nodes", "edges")
+    have["wide"] = written(view(spark, d, "wide", have).select("project_id", "src", "dst", "op", "media_type", "add_type"))
+    return have
+
+
 def q_graph_rules(spark, d):
     n, e = _kept_ne(spark, d)
     # A link back from the last to the first node of a plain edge in some journals makes cycles.
