@@ -123,8 +123,10 @@ def neighbour_diffs(frames: DataFrame, first: int) -> DataFrame:
     return d.groupBy("media_id").agg(F.round(F.avg("_d"), 4).alias("mean"), F.round(F.stddev_pop("_d"), 4).alias("std"))
 
 
-#: Stretches of a frame whose means bound differences from below, and pairs of blocks of a medium that are searched first.
+#: Stretches of a frame whose means bound differences from below, and pairs of tiles of a medium that are searched first.
 PARTS, FIRST_PAIRS = 4, 8
+#: Frames that are sent to a search together, and of these the rows of one matrix product.
+TILE, ROWS = 4096, 256
 
 
 def _summaries(f: DataFrame) -> DataFrame:
@@ -152,36 +154,34 @@ def block_pairs(frames: DataFrame) -> DataFrame:
 def best_frame_pairs(frames: DataFrame, distance: int, offset: int = 0, k: int = 50, block: int = 256) -> DataFrame:
     """(media_id, frame_a, frame_b, score): of all pairs at least `distance` apart the k with the lowest std of difference.
 
-    Frames are cut into blocks, and pairs of blocks are the rows of work: dealt by (medium, a, b), each fetches its two blocks
-    and keeps its own k best. The pairs with the least bounds are searched first; what their k-th score rules out by its
-    bound is not searched at all.
+    Frames are cut into blocks, whose bounds are found for all pairs of blocks, and blocks are put together in tiles of TILE frames. Pairs
+    of tiles are the work: dealt by (medium, a, b), each gets the frames of its two tiles and keeps its own k best. The pairs with the least
+    bounds are searched first; what their k-th score rules out by its bound is not searched at all, and in what is searched only pairs of
+    frames within that score are looked at one by one.
     """
-    f = written(frames.where(F.col("frame_no") > offset).select("media_id", "frame_no", "gray").withColumn("_b", F.floor(F.col("frame_no") / block)))
-    # A block of frames is one row.
-    blocks = written(f.groupBy("media_id", "_b").agg(F.collect_list(F.struct("frame_no", "gray")).alias("rows")))
-    pairs = written(block_pairs(f).withColumn("_k", F.expr("row_number() over (partition by media_id order by bound, _b - _a, _a)")))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for m, ra, rb in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                fa, fb = (np.array([r["frame_no"] for r in rs]) for rs in (ra, rb))
-                ga, gb = (np.array([r["gray"] for r in rs], "f8") for rs in (ra, rb))
-                # var(a - b) = var(a) + var(b) - 2 cov(a, b): one matrix product for the pair of blocks.
-                ga, gb = ga - ga.mean(1, keepdims=True), gb - gb.mean(1, keepdims=True)
-                squares = (ga**2).mean(1)[:, None] + (gb**2).mean(1)[None] - 2 * (ga @ gb.T) / ga.shape[1]
-                score = np.floor(np.sqrt(np.maximum(squares, 0)) * 1000 + 1e-9).astype("i8")
-                i, j = np.nonzero(fb[None] - fa[:, None] >= distance)
-                order = np.lexsort((fb[j], fa[i], score[i, j]))[:k]
-                i, j = i[order], j[order]
-                yield pa.RecordBatch.from_arrays([pa.array([m] * len(i), pa.int64()), pa.array(fa[i], pa.int64()), pa.array(fb[j], pa.int64()), pa.array(score[i, j])], names=["media_id", "frame_a", "frame_b", "score"])
+    f = written(frames.where(F.col("frame_no") > offset).select("media_id", "frame_no", F.col("gray").cast("array<double>").alias("gray")).withColumn("_b", F.floor(F.col("frame_no") / block)))
+    tile = lambda b: F.floor(F.col(b) / max(TILE // block, 1))
+    bounds = block_pairs(f).groupBy("media_id", tile("_a").alias("_a"), tile("_b").alias("_b")).agg(F.min("bound").alias("bound"))
+    pairs = written(bounds.withColumn("_k", F.expr("row_number() over (partition by media_id order by bound, _b - _a, _a)")))
+    f = f.withColumn("_t", tile("_b")).drop("_b")
+
+    def best(key: tuple, rows: pa.Table) -> pa.Table:
+        m, a, b, most = (x.as_py() for x in key)
+        number, of = rows.column("frame_no").to_numpy(), rows.column("_t").to_numpy()
+        flat = rows.column("gray").combine_chunks()
+        gray = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+        gray = gray - gray.mean(1, keepdims=True)
+        sides = [np.flatnonzero(of == t) for t in (a, b)]
+        i, j, score = _least_pairs(*((number[x], gray[x]) for x in sides), distance, k, np.inf if most is None else most)
+        return pa.table({"media_id": pa.array([m] * len(i), pa.int64()), "frame_a": pa.array(i, pa.int64()), "frame_b": pa.array(j, pa.int64()), "score": pa.array(score, pa.int64())})
 
     def searched(work: DataFrame) -> DataFrame:
-        for x in "ab":
-            work = work.join(blocks.select("media_id", F.col("_b").alias(f"_{x}"), F.col("rows").alias(f"rows_{x}")), ["media_id", f"_{x}"])
-        found = work.select("media_id", "rows_a", "rows_b").mapInArrow(best, "media_id long, frame_a long, frame_b long, score long")
+        # A tile against itself is sent once.
+        sent = work.select("media_id", "_a", "_b", "_most", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_t")).join(f, ["media_id", "_t"])
+        found = sent.groupBy("media_id", "_a", "_b", "_most").applyInArrow(best, "media_id long, frame_a long, frame_b long, score long")
         return found.withColumn("_k", F.expr("row_number() over (partition by media_id order by score, frame_a, frame_b)")).where(F.col("_k") <= k)
 
-    first = written(searched(pairs.where(F.col("_k") <= FIRST_PAIRS)))
+    first = written(searched(pairs.where(F.col("_k") <= FIRST_PAIRS).withColumn("_most", F.lit(None).cast("long"))))
     reach = first.where(F.col("_k") == k).select("media_id", F.col("score").alias("_most"))
     # A score is the std in thousandths, rounded down.
     rest = pairs.where(F.col("_k") > FIRST_PAIRS).join(reach, "media_id", "left").where(F.col("_most").isNull() | (F.floor(F.col("bound") * 1000 - 1e-6) <= F.col("_most")))
@@ -189,6 +189,48 @@ def best_frame_pairs(frames: DataFrame, distance: int, offset: int = 0, k: int =
     return both.withColumn("_k", F.expr("row_number() over (partition by media_id order by score, frame_a, frame_b)")).where(F.col("_k") <= k).drop("_k")
 
 
+def _least_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], distance: int, k: int, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frames of a, frames of b, scores) of the k least pairs at least `distance` apart, by score, then numbers, of those that score `most` or
+    less. a, b: frame numbers, and frames less their means."""
+    (na, ga), (nb, gb) = (tuple(x[np.argsort(n, kind="stable")] for x in (n, g)) for n, g in (a, b))
+    found = (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8"))
+    if not len(na) or not len(nb):
+        return found
+    va, vb, size = (ga**2).mean(1), (gb**2).mean(1), ga.shape[1]
+    # The products round, by so much at most; scores are told from the frames themselves.
+    slack = 4 * size * np.finfo("f8").eps * (va.max() + vb.max())
+    told = lambda square: np.floor(np.sqrt(np.maximum(square, 0)) * 1000 + 1e-9)
+    for at in range(0, len(na), ROWS):
+        rows = slice(at, at + ROWS)
+        least = np.searchsorted(nb, na[rows][0] + distance)
+        if least == len(nb):
+            break
+        # var(a - b) = var(a) + var(b) - 2 cov(a, b): one matrix product for some rows.
+        squares = ga[rows] @ (gb[least:].T * (-2 / size))
+        squares += va[rows, None]
+        squares += vb[None, least:]
+        if nb[least] - na[rows][-1] < distance:
+            squares[nb[None, least:] - na[rows, None] < distance] = np.inf
+        if most == np.inf and squares.size > k:
+            most = told(np.partition(squares, k - 1, axis=None)[k - 1] + slack)
+        i, j = np.nonzero((squares <= ((most + 1) / 1000) ** 2 + slack) & (squares < np.inf))
+        if len(i) > k:
+            # By the greatest score that each may have, then numbers, which ascend: what comes after the k-th at its least score goes.
+            high, low = told(squares[i, j] + slack), told(squares[i, j] - slack)
+            last = np.argsort(high, kind="stable")[k - 1]
+            kept = (low < high[last]) | ((low == high[last]) & (np.arange(len(i)) <= last))
+            i, j = i[kept], j[kept]
+        i, j = i + at, j + least
+        score = np.concatenate([np.zeros(0), *(told(((ga[i[x : x + TILE]] - gb[j[x : x + TILE]]) ** 2).mean(1)) for x in range(0, len(i), TILE))]).astype("i8")
+        every = [np.concatenate(x) for x in zip(found, (na[i], nb[j], score))]
+        order = np.lexsort((every[1], every[0], every[2]))[:k]
+        found = tuple(x[order] for x in every)
+        if len(order) == k:
+            most = min(most, found[2][-1])
+    keep = found[2] <= most
+    return tuple(x[keep] for x in found)
+
+
 # --- pixels: one row a picture; bytes stay out of shuffles -----------------------------------------------------------
 
 
