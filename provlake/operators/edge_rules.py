@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from provlake.functions.scalars import file_type, suffix
 
 from .edge_sets import argument, is_yes
-from .rules import ERROR, WARNING, P, messages, register, union
+from .rules import ERROR, WARNING, P, messages, register, told, union
 
 # Streams that are not sound, suffixes that an output operation may have beside its own name.
 NOT_SOUND = ("video", "unknown", "data")
@@ -49,25 +49,26 @@ def recorded_length_rules(edges: DataFrame) -> DataFrame:
     e = edges.withColumns({"_changed": changed, "_short": shorter_not, "_long": longer_not, "_add": add, "_sound": sound, "_rates": rates, "_w": fits("width", 0), "_h": fits("height", 1), "_size": F.size(size)})
     video, over = "Length of video {}", F.col("_add").isin("replace", "overlay")
     strict = F.abs("_sound") > 0.001
-    return union(
+    return told(
+        e,
         [
-            messages(e.where("_changed"), ERROR, "duration", video.format("has changed")),
-            messages(e.where("_changed"), WARNING, "length_same", video.format("has changed")),
-            messages(e.where("_short"), ERROR, "length_smaller", video.format("is not shorter")),
-            messages(e.where("_long"), ERROR, "length_bigger", video.format("is not longer")),
-            messages(e.where(~over & F.col("_long")), ERROR, "length_same_or_bigger", video.format("is not longer")),
-            messages(e.where(over & F.col("_changed")), WARNING, "length_same_or_bigger", video.format("has changed")),
-            messages(e.where("_sound >= 0"), ERROR, "audio_bigger", "Audio is not longer in duration"),
-            messages(e.where("_sound <= 0.001"), ERROR, "audio_smaller", "Audio is not shorter in duration"),
-            messages(e.where(strict), ERROR, "audio_strict", "Audio duration does not match"),
-            messages(e.where("floor(abs(_sound)) <> 0"), ERROR, "audio_loose", "Audio duration does not match"),
-            messages(e.where((F.col("_add") == "insert") & (F.col("_sound") >= 0)), ERROR, "audio_same_or_longer", "Audio is not longer in duration"),
-            messages(e.where((F.col("_add") != "insert") & strict), ERROR, "audio_same_or_longer", "Audio duration does not match"),
-            messages(e.where("_rates"), ERROR, "sample_rate", "Sample rate changed"),
-            messages(e.where("_size = 1"), ERROR, "resolution", "resolution is not in correct format"),
-            messages(e.where("_w"), WARNING, "resolution", "resolution width does not match video"),
-            messages(e.where("_h"), WARNING, "resolution", "resolution height does not match video"),
-        ]
+            (F.col("_changed"), ERROR, "duration", video.format("has changed")),
+            (F.col("_changed"), WARNING, "length_same", video.format("has changed")),
+            (F.col("_short"), ERROR, "length_smaller", video.format("is not shorter")),
+            (F.col("_long"), ERROR, "length_bigger", video.format("is not longer")),
+            (~over & F.col("_long"), ERROR, "length_same_or_bigger", video.format("is not longer")),
+            (over & F.col("_changed"), WARNING, "length_same_or_bigger", video.format("has changed")),
+            (F.expr("_sound >= 0"), ERROR, "audio_bigger", "Audio is not longer in duration"),
+            (F.expr("_sound <= 0.001"), ERROR, "audio_smaller", "Audio is not shorter in duration"),
+            (strict, ERROR, "audio_strict", "Audio duration does not match"),
+            (F.expr("floor(abs(_sound)) <> 0"), ERROR, "audio_loose", "Audio duration does not match"),
+            ((F.col("_add") == "insert") & (F.col("_sound") >= 0), ERROR, "audio_same_or_longer", "Audio is not longer in duration"),
+            ((F.col("_add") != "insert") & strict, ERROR, "audio_same_or_longer", "Audio duration does not match"),
+            (F.col("_rates"), ERROR, "sample_rate", "Sample rate changed"),
+            (F.expr("_size = 1"), ERROR, "resolution", "resolution is not in correct format"),
+            (F.col("_w"), WARNING, "resolution", "resolution width does not match video"),
+            (F.col("_h"), WARNING, "resolution", "resolution height does not match video"),
+        ],
     )
 
 

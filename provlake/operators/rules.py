@@ -37,6 +37,15 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def told(df: DataFrame, rules: list[tuple[Column, int, str, Column | str]], start: str = "src", end: str = "dst") -> DataFrame:
+    """The messages of several rules (condition, severity, module, message) over the same rows, which are made once for all of them; a rule's
+    message is told where its condition is true."""
+    text = lambda m: F.lit(m) if isinstance(m, str) else m
+    each = [F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(module).alias("module"), text(message).alias("message"))) for when, severity, module, message in rules]
+    rows = df.select(P, F.col(start).alias("start"), F.col(end).alias("end"), F.explode(F.array_compact(F.array(*each))).alias("_m"))
+    return rows.select(P, "_m.severity", "start", "end", "_m.module", "_m.message")
+
+
 def graph_rules(nodes: DataFrame, edges: DataFrame, journals: DataFrame | None = None, current: str | None = None) -> DataFrame:
     """Isolated nodes, nodes with a donor as their only predecessor, parts apart from the rest, a journal's cycles (at the smallest node that
     lies on one), repeated final files; with journals (project_id, version, jt_upgrades) those of another version than the current one or
@@ -201,17 +210,21 @@ def entered_time_rules(edges: DataFrame, recorded: DataFrame, frames: int = 1, m
     of sound in milliseconds; a start without any segment. edges: project_id, src, dst, media_type, rate, arguments; recorded: dst, type, start
     and stop (the least and the greatest frame). Only edges of sound and video count. compat: the start is never compared.
     """
-    e = edges.where("media_type in ('audio', 'video')").withColumns({"_s": _entered("Start Time"), "_e": _entered("End Time")})
+    timed = F.exists(F.map_keys("arguments"), lambda k: k.endswith("Start Time") | k.endswith("End Time"))
+    e = edges.where("media_type in ('audio', 'video')").where(timed).withColumns({"_s": _entered("Start Time"), "_e": _entered("End Time")})
     bound = from_constraints(F.col("_s"), F.col("_e"), F.col("rate"))
     e = e.withColumns({"_b": bound}).withColumns({"_start": F.when(F.col("_s").isNotNull(), F.col("_b.startframe")), "_stop": F.when(F.col("_e").isNotNull(), F.col("_b.endframe"))})
-    none = e.where("_s is not null").join(recorded.select("dst").distinct(), "dst", "left_anti")
-    j = e.join(recorded.select("dst", "type", "start", "stop"), "dst")
+    # An edge without any segment meets one row of nulls: one join for all rules.
+    e = e.select(P, "src", "dst", "rate", F.col("_s").isNotNull().alias("_timed"), "_start", "_stop")
+    found = recorded.where("dst is not null").select("dst", "type", "start", "stop", F.lit(True).alias("_found"))
+    j = e.join(found, "dst", "left")
     off = lambda entered, found: F.when(F.col("type") == "audio", F.abs(F.col(entered) - F.col(found)) * 1000 / F.col("rate") > ms).otherwise(F.abs(F.col(entered) - F.col(found)) > frames)
     what = F.when(F.col("type") == "audio", "time").otherwise("frame")
-    out = [messages(none, ERROR, "entered_times", "change masks are missing"), messages(j.where(off("_stop", "stop")), WARNING, "entered_times", F.concat(F.lit("end "), what, F.lit(" differs from the detected end")))]
+    differs = lambda end: F.concat(F.lit(f"{end} "), what, F.lit(f" differs from the detected {end}"))
+    out = [(F.col("_found").isNull() & F.col("_timed"), ERROR, "entered_times", "change masks are missing"), (off("_stop", "stop"), WARNING, "entered_times", differs("end"))]
     if not compat:
-        out.append(messages(j.where(off("_start", "start")), WARNING, "entered_times", F.concat(F.lit("start "), what, F.lit(" differs from the detected start"))))
-    return union(out)
+        out.append((off("_start", "start"), WARNING, "entered_times", differs("start")))
+    return told(j, out)
 
 
 @register("audio_time_format")
@@ -219,7 +232,7 @@ def audio_time_format_rules(edges: DataFrame) -> DataFrame:
     """Start Time and End Time of sound that count frames; the end is told first, and alone."""
     frames = lambda name: F.coalesce(time_to_ms(F.try_element_at("arguments", F.lit(name))).frames, F.lit(0)) > 1
     e = edges.withColumns({"_e": frames("End Time"), "_s": frames("Start Time")})
-    return union([messages(e.where("_e"), ERROR, "audio_time_format", "end time has a frame number"), messages(e.where("_s and not _e"), ERROR, "audio_time_format", "start time has a frame number")])
+    return told(e, [(F.col("_e"), ERROR, "audio_time_format", "end time has a frame number"), (F.col("_s") & ~F.col("_e"), ERROR, "audio_time_format", "start time has a frame number")])
 
 
 @register("donor")
