@@ -283,7 +283,8 @@ def q_time_rules(spark, d):
 def q_entered(spark, d):
     """Entered times of all edges, some with frames, against the segments of their end; some of sound told with frame numbers."""
     times = "map('Insertion Start Time', concat('00:00:0', 2 + dst % 7, '.', 100 + src % 900, if(dst % 3 = 0, concat(':', 1 + dst % 5), '')), 'End Time', concat('00:00:1', src % 3, if(dst % 4 = 0, concat(':', dst % 6), '.5')))"
-    e = view(spark, d, "wide").withColumns({"arguments": F.expr(times), "rate": F.lit(30.0)})
+    # Both rules read the edges.
+    e = written(view(spark, d, "wide").select("project_id", "src", "dst", "media_type")).withColumns({"arguments": F.expr(times), "rate": F.lit(30.0)})
     found = view(spark, d, "segments").where("set_id % 5 > 0").groupBy(F.col("set_id").alias("dst"), "type").agg(F.min("startframe").alias("start"), F.max("endframe").alias("stop"))
     return rules.entered_time_rules(e, found).unionByName(rules.audio_time_format_rules(e.where("media_type = 'audio'")))
 
