@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provlake.functions.blocks import dealt
 from provlake.functions.storage import Rounds, picked, written
 
 from . import lineage, transforms
@@ -43,25 +44,43 @@ def _completed(some: DataFrame, ways: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 
 def _programs(edges: DataFrame, bounds: DataFrame, media: DataFrame | None) -> DataFrame:
-    """The edges that are not donors with their programs."""
+    """The edges that are not donors with their programs. Only edges of operations that need bounds, or lengths, are joined with these."""
     plain = edges.where("op <> 'Donor'")
     bounds = bounds.withColumnsRenamed({"set_id": "dst", "startframe": "b_start", "endframe": "b_end"})
-    out = plain.join(bounds.select("dst", *(c for c in ("b_start", "b_end", "to_start", "to_end") if c in bounds.columns)), "dst", "left")
-    if media is not None:
-        for end, name in (("src", "from_frames"), ("dst", "to_frames")):
-            out = out.join(media.select(P, F.col("node_id").alias(end), F.col("frames").alias(name)), [P, end], "left")
-    return transforms.compiled(out).select(P, "src", "dst", "program")
+    bounds = bounds.select("dst", *(c for c in ("b_start", "b_end", "to_start", "to_end") if c in bounds.columns))
+    needs: dict[tuple[bool, bool], list[str]] = {}
+    for op, by_media in transforms.PROGRAMS.items():
+        verbs = {verb for steps in by_media.values() for verb, _ in steps}
+        needs.setdefault((bool(verbs - {"rerate", "drop"}), "rerate" in verbs and media is not None), []).append(op)
+    needs.pop((False, False), None)
+    parts = [plain.where(~F.col("op").isin(*(op for ops in needs.values() for op in ops)))]
+    for (bounded, rated), ops in needs.items():
+        out = plain.where(F.col("op").isin(*ops))
+        if bounded:
+            out = out.join(bounds, "dst", "left")
+        if rated:
+            for end, name in (("src", "from_frames"), ("dst", "to_frames")):
+                out = out.join(media.select(P, F.col("node_id").alias(end), F.col("frames").alias(name)), [P, end], "left")
+        parts.append(out)
+    return reduce(DataFrame.unionByName, (transforms.compiled(x).select(P, "src", "dst", "program") for x in parts))
+
+
+def _walked(seeds: DataFrame, steps: DataFrame, ends: DataFrame) -> DataFrame:
+    """What seeds (project_id, src, dst, at, seg_no, type, startframe, endframe) become on their way over steps (project_id, at, _to, program), where it
+    arrives at one of the ends (project_id, at), which no step leaves. Steps tell whether they lead to an end, and are dealt out once for all rounds."""
+    keys, kinds = [P, "src", "dst", "at", "seg_no", *SEG, "_end"], ["seg_no", "startframe", "endframe"]
+    rounds = Rounds(seeds.select(*(F.col(c).cast("long") if c in kinds else c for c in keys)).distinct())
+    with dealt(marked(steps, ends, "_to"), P, "at") as steps:
+        while not rounds.last.isEmpty():
+            parts = transforms.run(F.col("program"), F.col("type"), F.col("seg_no"), F.col("startframe"), F.col("endframe"))
+            moved = rounds.last.where("not _end").drop("_end").join(steps, [P, "at"]).withColumn("_p", F.explode(parts))
+            rounds.add(moved.select(P, "src", "dst", F.col("_to").alias("at"), F.col("_p.n").alias("seg_no"), "type", F.col("_p.s").alias("startframe"), F.col("_p.e").alias("endframe"), "_end").distinct())
+    return rounds.all().where("_end").drop("_end")
 
 
-def _walked(seeds: DataFrame, steps: DataFrame) -> DataFrame:
-    """All that seeds (project_id, src, dst, at, seg_no, type, startframe, endframe) become on their way over steps (project_id, at, _to, program)."""
-    keys, kinds = [P, "src", "dst", "at", "seg_no", *SEG], ["seg_no", "startframe", "endframe"]
-    rounds = Rounds(seeds.select(*(F.col(c).cast("long") if c in kinds else c for c in keys)).distinct())
-    while not rounds.last.isEmpty():
-        parts = transforms.run(F.col("program"), F.col("type"), F.col("seg_no"), F.col("startframe"), F.col("endframe"))
-        moved = rounds.last.join(steps, [P, "at"]).withColumn("_p", F.explode(parts))
-        rounds.add(moved.select(P, "src", "dst", F.col("_to").alias("at"), F.col("_p.n").alias("seg_no"), "type", F.col("_p.s").alias("startframe"), F.col("_p.e").alias("endframe")).distinct())
-    return rounds.all()
+def marked(rows: DataFrame, ends: DataFrame, node: str) -> DataFrame:
+    """rows with `_end`: is their node one of the ends (project_id, at; each once)?"""
+    return rows.join(ends.select(P, F.col("at").alias(node), F.lit(True).alias("_end")), [P, node], "left").withColumn("_end", F.coalesce("_end", F.lit(False)))
 
 
 def generate_probes(
@@ -77,8 +96,12 @@ def generate_probes(
     ends. Equal parts of several paths count once.
     """
     steps = written(_programs(edges, bounds, media).select(P, F.col("src").alias("at"), F.col("dst").alias("_to"), "program"))
-    seeds = include(edges).select(P, "src", "dst").distinct().join(segments.withColumnRenamed("set_id", "dst"), "dst").withColumn("at", F.col("dst"))
-    out = _walked(seeds, steps).join(steps.select(P, "at"), [P, "at"], "left_anti").withColumnRenamed("at", "final").select(P, "src", "dst", "final", "seg_no", *SEG)
+    marks = include(edges).select(P, "src", "dst").distinct()
+    # Ends: where a seed or a step arrives and no step goes on.
+    arrived = steps.select(P, F.col("_to").alias("at")).unionByName(marks.select(P, F.col("dst").alias("at"))).distinct()
+    ends = written(arrived.join(steps.select(P, "at"), [P, "at"], "left_anti"))
+    seeds = marked(marks.withColumn("at", F.col("dst")), ends, "at").join(segments.withColumnRenamed("set_id", "dst"), "dst")
+    out = _walked(seeds, steps, ends).withColumnRenamed("at", "final").select(P, "src", "dst", "final", "seg_no", *SEG)
     return reduce(lambda df, f: f(df), processors, out.distinct())
 
 
@@ -93,9 +116,10 @@ def donor_segments(nodes: DataFrame, edges: DataFrame, segments: DataFrame, boun
     taken out, and those that it took them from belong to the donor, as segment 0. A branch ends where all is cut away; equal parts
     of several paths count once."""
     steps = written(_programs(edges, bounds, media).select(P, F.col("dst").alias("at"), F.col("src").alias("_to"), transforms.inverse(F.col("program")).alias("program")))
-    seeds = edges.where("op = 'Donor'").select(P, "src", "dst").join(segments.withColumnRenamed("set_id", "dst"), "dst").withColumn("at", F.col("src"))
-    tops = lineage.tops(nodes, edges).withColumnRenamed("node_id", "at")
-    return _walked(seeds, steps).join(tops, [P, "at"], "left_semi").withColumnRenamed("at", "base").select(P, "src", "dst", "base", "seg_no", *SEG).distinct()
+    tops = written(lineage.tops(nodes, edges).distinct().withColumnRenamed("node_id", "at"))
+    donors = edges.where("op = 'Donor'").select(P, "src", "dst").withColumn("at", F.col("src"))
+    seeds = marked(donors, tops, "at").join(segments.withColumnRenamed("set_id", "dst"), "dst")
+    return _walked(seeds, steps, tops).withColumnRenamed("at", "base").select(P, "src", "dst", "base", "seg_no", *SEG).distinct()
 
 
 def attach_donors(probes: DataFrame, donors: DataFrame) -> DataFrame:
