@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provlake.functions.blocks import dealt
 from provlake.functions.storage import Rounds, picked, written
 
 P = "project_id"
@@ -34,13 +35,14 @@ def reached(edges: DataFrame, seeds: DataFrame, upward: bool = False) -> DataFra
 
 def _spread(edges: DataFrame, seeds: DataFrame, upward: bool) -> DataFrame:
     here, there = ("dst", "src") if upward else ("src", "dst")
-    steps = written(edges.select(P, F.col(here).alias("node_id"), F.col(there).alias("_next")).distinct())
+    steps = edges.select(P, F.col(here).alias("node_id"), F.col(there).alias("_next")).distinct()
     rounds = Rounds(seeds.distinct().withColumn("depth", F.lit(0)))
-    while not rounds.last.isEmpty():
-        # Distinct by the keys of the join that follows, so that both share one exchange. A row without a seed or node leads nowhere.
-        found = rounds.last.join(steps, [P, "node_id"]).select(P, "seed", F.col("_next").alias("node_id")).distinct()
-        new = found.join(rounds.all().select(P, "seed", "node_id"), [P, "seed", "node_id"], "left_anti")
-        rounds.add(new.withColumn("depth", F.lit(rounds.count)))
+    with dealt(steps, P, "node_id") as steps:
+        while not rounds.last.isEmpty():
+            # Distinct by the keys of the join that follows, so that both share one exchange. A row without a seed or node leads nowhere.
+            found = rounds.last.join(steps, [P, "node_id"]).select(P, "seed", F.col("_next").alias("node_id")).distinct()
+            new = found.join(rounds.all().select(P, "seed", "node_id"), [P, "seed", "node_id"], "left_anti")
+            rounds.add(new.withColumn("depth", F.lit(rounds.count)))
     return rounds.all()
 
 
@@ -83,11 +85,12 @@ def nearest_bases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     From all bases downward at once, one level a round: a node is reached at its least level first, by the smallest base of
     the parents that were reached in the round before. No path is listed.
     """
-    steps = written(_plain(edges, True).select(P, F.col("src").alias("node_id"), F.col("dst").alias("_to")))
+    steps = _plain(edges, True).select(P, F.col("src").alias("node_id"), F.col("dst").alias("_to"))
     rounds = Rounds(tops(nodes, edges).distinct().select(P, "node_id", F.col("node_id").alias("base"), F.lit(0).cast("long").alias("level")))
-    while not rounds.last.isEmpty():
-        found = rounds.last.join(steps, [P, "node_id"]).groupBy(P, F.col("_to").alias("node_id")).agg(F.min("base").alias("base"), (F.min("level") + 1).alias("level"))
-        rounds.add(found.join(rounds.all().select(P, "node_id"), [P, "node_id"], "left_anti"))
+    with dealt(steps, P, "node_id") as steps:
+        while not rounds.last.isEmpty():
+            found = rounds.last.join(steps, [P, "node_id"]).groupBy(P, F.col("_to").alias("node_id")).agg(F.min("base").alias("base"), (F.min("level") + 1).alias("level"))
+            rounds.add(found.join(rounds.all().select(P, "node_id"), [P, "node_id"], "left_anti"))
     return rounds.all()
 
 

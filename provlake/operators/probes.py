@@ -148,13 +148,14 @@ def drop_nonspatial_files(probes: DataFrame) -> DataFrame:
 def assign_bits(probes: DataFrame) -> DataFrame:
     """Probes (project_id, base, shape, src, dst, mask_hash, probe_no) with group_id and bit_number.
 
-    A group is a journal's base and mask shape; equal (edge, mask) share a bit, numbered by first appearance.
+    A group is a journal's base and mask shape; equal (edge, mask) share a bit, numbered by first appearance. Probe numbers are unique in their
+    journal, which deals the rows out once for all windows. Probes with a null among the key columns are in no group.
     """
-    first = probes.groupBy(P, "base", "shape", "src", "dst", "mask_hash").agg(F.min("probe_no").alias("_first"))
-    first = first.withColumn("bit_number", F.expr("cast(row_number() over (partition by project_id, base, shape order by _first) as bigint)"))
-    groups = first.groupBy(P, "base", "shape").agg(F.min("_first").alias("_g")).withColumn("group_id", F.expr("cast(row_number() over (partition by project_id order by _g) as bigint)"))
-    out = probes.join(first.drop("_first"), [P, "base", "shape", "src", "dst", "mask_hash"]).join(groups.drop("_g"), [P, "base", "shape"])
-    return out
+    group, bit = [P, "base", "shape"], [P, "base", "shape", "src", "dst", "mask_hash"]
+    by = lambda keys, order="": f"over (partition by {', '.join(keys)} {order})"
+    out = probes.where(" and ".join(f"{c} is not null" for c in bit)).withColumn("_first", F.expr(f"min(probe_no) {by(bit)}"))
+    out = out.withColumns({"bit_number": F.expr(f"cast(dense_rank() {by(group, 'order by _first')} as bigint)"), "_g": F.expr(f"min(_first) {by(group)}")})
+    return out.withColumn("group_id", F.expr(f"cast(dense_rank() {by([P], 'order by _g')} as bigint)")).drop("_first", "_g")
 
 
 def assign_video_bits(probes: DataFrame, key: list[str]) -> DataFrame:

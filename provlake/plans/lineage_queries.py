@@ -22,6 +22,13 @@ def _kept_ne(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return have["nodes"], picked(have["edges"], "project_id", "src", "dst", "op")
 
 
+def _kept_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The same without what only rules look at: no more than the keys and the operation is written."""
+    n = view(spark, d, "nodes").select("project_id", "node_id", "r", "code")
+    e = written(view(spark, d, "edges", {"nodes": n}).select("project_id", "src", "dst", "op"))
+    return written(n.select("project_id", "node_id")), e
+
+
 NE = ("nodes", "edges")
 #: Paths from every node up to its bases, with and without donor edges; degrees; reach.
 UP = """up AS (SELECT project_id, node_id, node_id AS at, CAST(0 AS BIGINT) AS level FROM nodes
@@ -108,7 +115,7 @@ def q_qa(spark, d):
 
 
 def q_probe_summary(spark, d, kept=None):
-    n, e = kept or _kept_ne(spark, d)
+    n, e = kept or _kept_graph(spark, d)
     return probes.probe_summary(n, e, view(spark, d, "operations"))
 
 
@@ -227,7 +234,8 @@ def q_create_time(spark, d):
 
 
 def _kept_wide(spark, d):
-    have = kept_views(spark, d, "nodes", "edges")
+    have = {"nodes": written(view(spark, d, "nodes").select("project_id", "node_id", "r", "code", "file"))}
+    have["edges"] = written(view(spark, d, "edges", have))
     have["wide"] = written(view(spark, d, "wide", have).select("project_id", "src", "dst", "op", "media_type", "add_type"))
     return have
 
