@@ -61,10 +61,11 @@ def probes_to_csv(probes: DataFrame, path: str | None = None) -> DataFrame:
     """IO6: one `summary` row a probe, then its donor and target segments (arrays donor_segments, target_segments), blanks where absent."""
     key = [c for c in ("project_id", "src", "dst", "final", "base", "donor_base", "level") if c in probes.columns]
     seg = ["type", "startframe", "endframe"]
-    rows = probes.select(*key, F.lit("summary").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in seg])
-    for kind in ("donor_segment", "target_segment"):
-        part = probes.select(*key, F.explode(f"{kind}s").alias("s"))
-        rows = rows.unionByName(part.select(*key, F.lit(kind).alias("kind"), *[F.col(f"s.{c}").cast("string").alias(c) for c in seg]))
+    # All rows of a probe are told at once, so that probes are made once.
+    row = lambda kind, *values: F.struct(F.lit(kind).alias("kind"), *(v.cast("string").alias(c) for c, v in zip(seg, values)))
+    parts = lambda kind: F.coalesce(F.transform(f"{kind}s", lambda s: row(kind, *(s[c] for c in seg))), F.array())
+    told = F.concat(F.array(row("summary", *[F.lit(None)] * 3)), parts("donor_segment"), parts("target_segment"))
+    rows = probes.select(*key, F.explode(told).alias("_r")).select(*key, "_r.*")
     if path:
         rows.write.csv(path)
     return rows
