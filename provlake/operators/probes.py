@@ -44,38 +44,68 @@ def _completed(some: DataFrame, ways: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 
 def _programs(edges: DataFrame, bounds: DataFrame, media: DataFrame | None) -> DataFrame:
-    """The edges that are not donors with their programs. Only edges of operations that need bounds, or lengths, are joined with these."""
+    """The edges that are not donors with their programs, in place of what these are compiled from. Only edges whose operation has a program for
+    their medium, and one that needs bounds or lengths, are joined with these."""
     plain = edges.where("op <> 'Donor'")
     bounds = bounds.withColumnsRenamed({"set_id": "dst", "startframe": "b_start", "endframe": "b_end"})
     bounds = bounds.select("dst", *(c for c in ("b_start", "b_end", "to_start", "to_end") if c in bounds.columns))
     needs: dict[tuple[bool, bool], list[str]] = {}
     for op, by_media in transforms.PROGRAMS.items():
-        verbs = {verb for steps in by_media.values() for verb, _ in steps}
-        needs.setdefault((bool(verbs - {"rerate", "drop"}), "rerate" in verbs and media is not None), []).append(op)
+        for kind, steps in by_media.items():
+            verbs = {verb for verb, _ in steps}
+            needs.setdefault((bool(verbs - {"rerate", "drop"}), "rerate" in verbs and media is not None), []).append(f"{op}|{kind}")
     needs.pop((False, False), None)
-    parts = [plain.where(~F.col("op").isin(*(op for ops in needs.values() for op in ops)))]
-    for (bounded, rated), ops in needs.items():
-        out = plain.where(F.col("op").isin(*ops))
+    kind = F.col("media_type") if "media_type" in edges.columns else F.lit(None).cast("string")
+    among = lambda keys: F.coalesce(F.concat("op", F.lit("|"), kind).isin(*keys), F.lit(False))
+    parts = [plain.where(~among([key for keys in needs.values() for key in keys]))]
+    for (bounded, rated), keys in needs.items():
+        out = plain.where(among(keys))
         if bounded:
             out = out.join(bounds, "dst", "left")
         if rated:
             for end, name in (("src", "from_frames"), ("dst", "to_frames")):
                 out = out.join(media.select(P, F.col("node_id").alias(end), F.col("frames").alias(name)), [P, end], "left")
         parts.append(out)
-    return reduce(DataFrame.unionByName, (transforms.compiled(x).select(P, "src", "dst", "program") for x in parts))
+    return reduce(DataFrame.unionByName, (transforms.compiled(x).drop("op") for x in parts))
 
 
-def _walked(seeds: DataFrame, steps: DataFrame, ends: DataFrame) -> DataFrame:
-    """What seeds (project_id, src, dst, at, seg_no, type, startframe, endframe) become on their way over steps (project_id, at, _to, program), where it
-    arrives at one of the ends (project_id, at), which no step leaves. Steps tell whether they lead to an end, and are dealt out once for all rounds."""
-    keys, kinds = [P, "src", "dst", "at", "seg_no", *SEG, "_end"], ["seg_no", "startframe", "endframe"]
-    rounds = Rounds(seeds.select(*(F.col(c).cast("long") if c in kinds else c for c in keys)).distinct())
-    with dealt(marked(steps, ends, "_to"), P, "at") as steps:
-        while not rounds.last.isEmpty():
-            parts = transforms.run(F.col("program"), F.col("type"), F.col("seg_no"), F.col("startframe"), F.col("endframe"))
-            moved = rounds.last.where("not _end").drop("_end").join(steps, [P, "at"]).withColumn("_p", F.explode(parts))
-            rounds.add(moved.select(P, "src", "dst", F.col("_to").alias("at"), F.col("_p.n").alias("seg_no"), "type", F.col("_p.s").alias("startframe"), F.col("_p.e").alias("endframe"), "_end").distinct())
-    return rounds.all().where("_end").drop("_end")
+def _walked(seeds: DataFrame, segments: DataFrame, steps: DataFrame, own: str) -> DataFrame:
+    """What the segments of seeds (project_id, src, dst, at, _end; set_id: their dst) become on their way over steps (project_id, at, _to, program, _end), where
+    it arrives at an end, which no step leaves. Steps are dealt out once for all rounds.
+
+    In journals where no two steps share their `own` node (at or _to), a seed has one way to each end. Its row walks without its segments and gathers the
+    programs on the way, which the segments pass at last: no round moves these. In other journals ways may meet again, and equal parts go on once.
+    """
+    segments = segments.withColumnRenamed("set_id", "dst").select("dst", F.col("seg_no").cast("long"), "type", *(F.col(c).cast("long") for c in SEG[1:]))
+    with dealt(steps, P, "at") as steps:
+        meeting = written(steps.groupBy(P, own).count().where("count > 1").select(P).distinct())
+        if meeting.isEmpty():
+            return _gathered(seeds, segments, steps)
+        apart = _gathered(seeds.join(meeting, P, "left_anti"), segments, steps)
+        return apart.unionByName(_carried(seeds.join(meeting, P, "left_semi"), segments, steps))
+
+
+def _gathered(seeds: DataFrame, segments: DataFrame, steps: DataFrame) -> DataFrame:
+    """_walked() where ways do not meet."""
+    rounds = Rounds(seeds.select(P, "src", "dst", "at", F.array().cast(f"array<{transforms.PROGRAM}>").alias("programs"), "_end"))
+    programs = F.when(F.size("program") > 0, F.array_append("programs", F.col("program"))).otherwise(F.col("programs"))
+    while not rounds.last.isEmpty():
+        moved = rounds.last.where("not _end").drop("_end").join(steps, [P, "at"])
+        rounds.add(moved.select(P, "src", "dst", F.col("_to").alias("at"), programs.alias("programs"), "_end"))
+    parts = transforms.run_all(F.col("programs"), F.col("type"), F.col("seg_no"), F.col("startframe"), F.col("endframe"))
+    out = rounds.all().where("_end").join(segments, "dst").select(P, "src", "dst", "at", "type", F.explode(parts).alias("_p"))
+    return out.select(P, "src", "dst", "at", F.col("_p.n").alias("seg_no"), "type", F.col("_p.s").alias("startframe"), F.col("_p.e").alias("endframe")).distinct()
+
+
+def _carried(seeds: DataFrame, segments: DataFrame, steps: DataFrame) -> DataFrame:
+    """_walked() where ways may meet."""
+    keys = [P, "src", "dst", "at", "seg_no", *SEG, "_end"]
+    rounds = Rounds(seeds.join(segments, "dst").select(*keys).distinct())
+    parts = transforms.run(F.col("program"), F.col("type"), F.col("seg_no"), F.col("startframe"), F.col("endframe"))
+    while not rounds.last.isEmpty():
+        moved = rounds.last.where("not _end").drop("_end").join(steps, [P, "at"]).withColumn("_p", F.explode(parts))
+        rounds.add(moved.select(P, "src", "dst", F.col("_to").alias("at"), F.col("_p.n").alias("seg_no"), "type", F.col("_p.s").alias("startframe"), F.col("_p.e").alias("endframe"), "_end").distinct())
+    return rounds.all().where("_end").drop("_end").distinct()
 
 
 def marked(rows: DataFrame, ends: DataFrame, node: str) -> DataFrame:
@@ -100,9 +130,9 @@ def generate_probes(
     # Ends: where a seed or a step arrives and no step goes on.
     arrived = steps.select(P, F.col("_to").alias("at")).unionByName(marks.select(P, F.col("dst").alias("at"))).distinct()
     ends = written(arrived.join(steps.select(P, "at"), [P, "at"], "left_anti"))
-    seeds = marked(marks.withColumn("at", F.col("dst")), ends, "at").join(segments.withColumnRenamed("set_id", "dst"), "dst")
-    out = _walked(seeds, steps, ends).withColumnRenamed("at", "final").select(P, "src", "dst", "final", "seg_no", *SEG)
-    return reduce(lambda df, f: f(df), processors, out.distinct())
+    seeds = marked(marks.withColumn("at", F.col("dst")), ends, "at")
+    out = _walked(seeds, segments, marked(steps, ends, "_to"), "_to").withColumnRenamed("at", "final").select(P, "src", "dst", "final", "seg_no", *SEG)
+    return reduce(lambda df, f: f(df), processors, out)
 
 
 def construct_donors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -115,11 +145,12 @@ def donor_segments(nodes: DataFrame, edges: DataFrame, segments: DataFrame, boun
     edges above its source to every base by the inverse of their programs; tables as for generate_probes(). Frames that an edge laid over are
     taken out, and those that it took them from belong to the donor, as segment 0. A branch ends where all is cut away; equal parts
     of several paths count once."""
-    steps = written(_programs(edges, bounds, media).select(P, F.col("dst").alias("at"), F.col("src").alias("_to"), transforms.inverse(F.col("program")).alias("program")))
-    tops = written(lineage.tops(nodes, edges).distinct().withColumnRenamed("node_id", "at"))
-    donors = edges.where("op = 'Donor'").select(P, "src", "dst").withColumn("at", F.col("src"))
-    seeds = marked(donors, tops, "at").join(segments.withColumnRenamed("set_id", "dst"), "dst")
-    return _walked(seeds, steps, tops).withColumnRenamed("at", "base").select(P, "src", "dst", "base", "seg_no", *SEG).distinct()
+    tops = lineage.tops(nodes, edges).distinct().withColumnRenamed("node_id", "at")
+    # Tops are told for donors and steps at once.
+    edges = written(marked(picked(edges, P, "src", "dst", "op", *(c for c in ("media_type", "add_type") if c in edges.columns)), tops, "src"))
+    donors = edges.where("op = 'Donor'").select(P, "src", "dst", F.col("src").alias("at"), "_end")
+    steps = _programs(edges, bounds, media).select(P, F.col("dst").alias("at"), F.col("src").alias("_to"), transforms.inverse(F.col("program")).alias("program"), "_end")
+    return _walked(donors, segments, steps, "at").withColumnRenamed("at", "base").select(P, "src", "dst", "base", "seg_no", *SEG)
 
 
 def attach_donors(probes: DataFrame, donors: DataFrame) -> DataFrame:

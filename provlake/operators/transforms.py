@@ -135,3 +135,9 @@ def run(program: Column, type_: Column, seg_no: Column, start: Column, end: Colu
     idle = ~F.exists(program, lambda x: x.type.isNull() | (x.type == type_))
     whole = F.array(_part(seg_no, start, end))
     return F.when(idle, whole).otherwise(F.aggregate(program, whole, step))
+
+
+def run_all(programs: Column, type_: Column, seg_no: Column, start: Column, end: Column) -> Column:
+    """array<struct<n, s, e>>: the parts of a segment after several programs, each part once. Where one leaves nothing, those after it add nothing."""
+    passed = lambda parts, x: F.array_distinct(F.flatten(F.transform(parts, lambda p: run(x, type_, p.n, p.s, p.e))))
+    return F.aggregate(programs, F.array(_part(seg_no, start, end)), passed)

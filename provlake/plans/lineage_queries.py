@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provlake.functions.blocks import in_parts
 from provlake.functions.storage import picked, written
 from provlake.operators import lineage, probes, rollups, rules
 
@@ -120,7 +123,8 @@ def q_probe_summary(spark, d, kept=None):
 
 
 def q_probes(spark, d):
-    e = _kept_wide(spark, d)["wide"]
+    with _journals(spark, d) as (_, e):
+        e = written(e)
     segs, ops = view(spark, d, "segments"), view(spark, d, "operations")
     return probes.generate_probes(e, segs, _places(spark, d), probes.is_localized(ops), media=view(spark, d, "media"))
 
@@ -152,8 +156,8 @@ def q_video_bits(spark, d):
 
 
 def q_donor_segments(spark, d):
-    have = _kept_wide(spark, d)
-    return probes.donor_segments(have["nodes"], have["wide"], view(spark, d, "segments"), _places(spark, d), view(spark, d, "media"))
+    with _journals(spark, d) as (n, e):
+        return probes.donor_segments(n, e, view(spark, d, "segments"), _places(spark, d), view(spark, d, "media"))
 
 
 def q_designate(spark, d):
@@ -233,11 +237,24 @@ def q_create_time(spark, d):
     return rollups.create_time(view(spark, d, "nodes")).withColumn("createtime", F.col("createtime").cast("string"))
 
 
-def _kept_wide(spark, d):
-    have = {"nodes": written(view(spark, d, "nodes").select("project_id", "node_id", "r", "code", "file"))}
-    have["edges"] = written(view(spark, d, "edges", have))
-    have["wide"] = written(view(spark, d, "wide", have).select("project_id", "src", "dst", "op", "media_type", "add_type"))
-    return have
+@contextmanager
+def _journals(spark, d):
+    """Nodes and edges with what programs are compiled from. Nodes are dealt out by journal once, as their order in it asks for, and kept by the executors
+    while the edges are made: joins within journals need no other exchange."""
+    orders = in_parts(spark.read.parquet(f"{d}/orders.parquet"), "o_custkey")
+    have = {"nodes": view(spark, d, "nodes", {"orders": orders}).select("project_id", "node_id", "r", "code", "file")}
+    have["edges"] = view(spark, d, "edges", have)
+    wide = view(spark, d, "wide", have)
+    # Not before: views made of a table that is kept let it go.
+    have["nodes"].persist()
+    whole = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(whole)
+    spark.conf.set(whole, "false")
+    try:
+        yield have["nodes"].select("project_id", "node_id"), wide.select("project_id", "src", "dst", "op", "media_type", "add_type")
+    finally:
+        spark.conf.set(whole, before)
+        have["nodes"].unpersist()
 
 
 def q_graph_rules(spark, d):
